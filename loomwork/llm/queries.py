@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, secrets
+from loomwork.llm import bpe, media, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op3_bpe_encode": bpe.op3_bpe_encode,
+        "op6_media_columns": media.op6_media_columns,
     }
 
 
