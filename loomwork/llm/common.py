@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``most_bytes`` of text each, at least one row a slice."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         total += n or 0
