@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, media, secrets, sharding
+from loomwork.llm import bpe, media, neardup, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op3_bpe_encode": bpe.op3_bpe_encode,
         "op6_media_columns": media.op6_media_columns,
+        "op9_minhash_neardup": neardup.op9_minhash_neardup,
         "op10_sharding": sharding.op10_sharding,
     }
 
