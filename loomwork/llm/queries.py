@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, media, neardup, secrets, sharding
+from loomwork.llm import bpe, media, neardup, pii, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_pii": pii.op2_pii,
         "op3_bpe_encode": bpe.op3_bpe_encode,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_media_columns": media.op6_media_columns,
         "op9_minhash_neardup": neardup.op9_minhash_neardup,
         "op10_sharding": sharding.op10_sharding,
