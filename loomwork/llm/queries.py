@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import bpe, media, neardup, pii, secrets, sharding, toxicity
+from loomwork.llm import ann, bpe, html, media, mixing, neardup, pii, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": pii.op2_pii,
         "op3_bpe_encode": bpe.op3_bpe_encode,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_html_extraction": html.op5_html_extraction,
         "op6_media_columns": media.op6_media_columns,
+        "op7_ann_search": ann.op7_ann_search,
+        "op8_mixing": mixing.op8_mixing,
         "op9_minhash_neardup": neardup.op9_minhash_neardup,
         "op10_sharding": sharding.op10_sharding,
     }
