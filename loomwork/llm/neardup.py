@@ -7,7 +7,8 @@ shingle sets, and confirmed links are joined into components.
 How groups stay bounded: documents with equal sets are one class from the start; in a bucket (a band value)
 each class is first compared with one hub only, the member that shares most bucket places, so proposals grow
 with the rows and not with the square of a bucket. What hubs leave open (members of one bucket that are in
-different components) is compared in blocks of bounded size, on signatures first, so no link is lost.
+different components) is compared in blocks of bounded size, on signatures first and then on full sets in the
+same task, so no link is lost and no pairs are given out but links.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BANDS, ROWS = 20, 4  # 80 values of 40 permutations; a pair at 0.85 shares no ba
 PERMUTATIONS = BANDS * ROWS // 2
 LINK = (85, 100)
 FLOOR = 0.6  # of 80 signature values; a pair at 0.85 agrees in fewer with a chance under 1e-7
-BLOCK = 1024  # classes of a bucket that meet in one task
+BLOCK = 512  # classes of a bucket that meet in one task
 CACHED = 300_000
 
 
@@ -120,11 +121,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node string, shingles array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets overlap enough."""
-    pairs = checkpoint(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingle_sets(docs, classes.select("node", "doc_id").join(nodes, "node")))
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets, of ``sets(node, shingles)``, overlap enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -138,35 +136,62 @@ def near_enough(m: str, n: str) -> F.Column:
     return (F.least(m, n) * LINK[1] >= F.greatest(m, n) * LINK[0])
 
 
-def open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that agree in enough signature values.
+def open_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components.
 
-    ``members(band, bucket, node, sig, n, component, hub)``. A bucket of m members is cut into blocks of BLOCK, and
-    every pair of blocks is one group, so no task holds more than two blocks at a time, and all pairs are looked at.
+    ``members(band, bucket, node, n, sig, bands, shingles, component, hub)``. A bucket of m members is cut into blocks of
+    BLOCK, and every pair of blocks is one group: no task holds more than two blocks, and all pairs are looked at, each
+    in the first band that it shares. Pairs are compared on signatures, then confirmed on full sets in the same task, and
+    only links that join two components there are given out, fewer than the task has rows.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.join(size, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("*", other).select("bucket", "node", "sig", "n", "component", "hub", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("m", "blocks", "other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0])
+        lo, hi, band = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0]), int(pdf.band.iloc[0])
         sig = np.frombuffer(b"".join(pdf.sig), "u1").reshape(len(pdf), -1)
-        n, comp, hub, block = pdf.n.to_numpy(), pd.factorize(pdf.component)[0], pdf.hub.to_numpy(), pdf.block.to_numpy()
+        bands = np.stack(pdf.bands.to_numpy())
+        n, hub, block = pdf.n.to_numpy(), pdf.hub.to_numpy(), pdf.block.to_numpy()
+        comp, names = pd.factorize(pdf.component)
+        group = list(range(len(names)))  # components that links found here have joined
+
+        def find(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        sets = pdf.shingles.to_numpy()
+        ends = np.cumsum([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        each = np.split(ids, ends[:-1])
+        mark = np.zeros(int(ids.max()) + 1, bool)
         rows, cols = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         found = []
         for i in rows.tolist():
+            if hub[i]:
+                continue
             js = cols if lo != hi else cols[cols > i]
-            js = js[(comp[js] != comp[i]) & ~hub[js] & (np.minimum(n[js], n[i]) * LINK[1] >= np.maximum(n[js], n[i]) * LINK[0])] if not hub[i] else js[:0]
-            if len(js):
-                js = js[(sig[js] == sig[i]).sum(1) >= FLOOR * sig.shape[1]]
-                found += [(i, j) for j in js.tolist()]
+            js = js[(comp[js] != comp[i]) & ~hub[js] & (np.minimum(n[js], n[i]) * LINK[1] >= np.maximum(n[js], n[i]) * LINK[0])]
+            js = js[(sig[js] == sig[i]).sum(1) >= FLOOR * sig.shape[1]]
+            js = js[(bands[js] == bands[i]).argmax(1) == band]
+            if not len(js):
+                continue
+            mark[each[i]] = True
+            for j in js.tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    both = int(mark[each[j]].sum())
+                    if both * LINK[1] >= (n[i] + n[j] - both) * LINK[0]:
+                        group[x] = y
+                        found.append((i, j))
+            mark[each[i]] = False
         node = pdf.node.to_numpy()
-        pairs = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in found]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+        return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"], dtype=object)
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a string, b string").distinct()
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a string, b string")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -182,24 +207,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each = stored(sketches(docs))
     # one row a distinct set from here on
     classes = stored(each.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    places = classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select("node", "n", F.xxhash64("band", "hash").alias("bucket"))
-    crowd = places.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(places.join(crowd, "bucket"))
+    places = classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select("node", "n", "band", F.xxhash64("band", "hash").alias("bucket"))
+    # buckets of two members or more; of buckets with the same members only the one of the lowest band
+    mix = F.xxhash64("node").cast("decimal(38,0)")
+    crowd = places.groupBy("bucket").agg(F.count("*").alias("m"), F.min("band").alias("band"), F.sum(mix).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
+    single = crowd.groupBy("m", "s", "x").agg(F.min(F.struct("band", "bucket")).alias("first")).select(F.col("first.bucket").alias("bucket"), "m")
+    shared = stored(places.join(single, "bucket"))
     reach = shared.groupBy("node").agg(F.sum("m").alias("reach"))
     ranked = shared.join(reach, "node").withColumn("rank", F.struct(F.col("reach"), "node", "n"))
     hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = stored(shared.select("bucket", "node", "n").join(hubs, "bucket"))
+    stars = stored(shared.select("bucket", "band", "node", "n").join(hubs, "bucket"))
+    sets = stored(shingle_sets(docs, classes.select("node", "doc_id").join(stars.select("node").distinct(), "node")))
     first = stars.where((F.col("node") != F.col("hub")) & near_enough("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = confirmed(first, docs, classes)
+    links = confirmed(first, sets)
     labels = components(links)
     # what the hubs left open
-    at = stars.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("hub")).alias("hub"))
-    torn = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.when(~F.col("hub"), 1)).alias("others")).where("lo <> hi and others > 1").select("bucket")
-    members = at.join(torn, "bucket").join(classes.select("node", "n", "sig"), "node")
-    more = checkpoint(open_pairs(members))
+    at = stars.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("hub")).alias("hub"))
+    torn = at.where("not hub").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    members = at.join(torn, "bucket").where("not hub").join(classes.select("node", "n", "sig", "bands"), "node").join(sets, "node")
+    more = checkpoint(open_links(members))
     if more.limit(1).count():
-        links = links.unionByName(confirmed(more, docs, classes))
-        labels = components(links)
+        labels = components(links.unionByName(more))
     ids = classes.select(F.col("node").alias("set_key"), "doc_id").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     owner = ids.join(smallest, "component").select("set_key", "component_id")
