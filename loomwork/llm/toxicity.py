@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,9 +25,9 @@ from loomwork.llm.common import chunks, read
 
 HELD_OUT = 2
 THRESHOLD = 0.3
-SAMPLE = 8000  # labelled rows that the model is fitted on, at most
+SAMPLE = 5000  # labelled rows that the model is fitted on, at most
 FEATURES = 20_000
-LEAST_GAIN = 9.0  # nats by which a part of a word must tell the labels apart to be looked at
+LEAST_GAIN = 9.0  # nats by which a part of a word must tell the labels apart, and no less than the log of the number of parts tried
 PULL = 3e-4  # towards the prior
 CACHED = 300_000
 LONGEST = 64  # letters of a word that are looked at for parts
@@ -41,9 +42,9 @@ class Model(NamedTuple):
 
 
 def parts(word: str) -> set[str]:
-    """The word and its beginnings of three to eight letters, which inflected forms of a stem share."""
+    """The word and its beginnings of four to eight letters, which inflected forms of a stem share."""
     w = f"^{word[:LONGEST]}$"
-    return {w, *(w[:n] for n in range(4, min(10, len(w))))}
+    return {w, *(w[:n] for n in range(5, min(10, len(w))))}
 
 
 def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
@@ -59,29 +60,40 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300) -> Model:
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Model(math.log((p + 1e-3) / (1 - p + 1e-3)), {})
-    docs = [sentences(r[0]) for r in rows]
+    vocabulary: dict[str, int] = {}
+    tokens, lengths, per_doc = array("i"), array("i"), array("i")  # distinct words of each sentence, all in a row
+    for text, _ in rows:
+        found = sentences(text)
+        per_doc.append(len(found))
+        for _, _, ws in found:
+            lengths.append(len(ws))
+            tokens.extend(vocabulary.setdefault(w, len(vocabulary)) for w in ws)
+    tokens, lengths, per_doc = (np.array(x, "i8") for x in (tokens, lengths, per_doc))
+    n = len(lengths)
+    doc = np.repeat(np.arange(len(rows)), per_doc)
+    at = np.repeat(np.arange(n), lengths)  # the sentence of each word
     # screen: parts of words that are commoner in toxic documents than chance allows
     gains: dict[str, float] = {}
-    cache: dict[str, set[str]] = {}
-    totals = [Counter(), Counter()]
-    for sents, label in zip(docs, y.astype(int).tolist()):
-        totals[label].update(set().union(*(s[2] for s in sents)))
+    once = np.unique(doc[at] * len(vocabulary) + tokens)  # a word counts once a document
+    word_of, toxic = once % len(vocabulary), y[once // len(vocabulary)] > 0
+    in1, in0 = (np.bincount(word_of[x], minlength=len(vocabulary)).tolist() for x in (toxic, ~toxic))
     n1, n0 = y.sum(), len(y) - y.sum()
     seen1: Counter = Counter()
-    for word, c in totals[1].items():
-        cache[word] = parts(word)
-        for f in cache[word]:
-            seen1[f] += c
     seen0: Counter = Counter()
-    for word, c in totals[0].items():
-        for f in parts(word):
-            if f in seen1:
-                seen0[f] += c
+    for word, c in zip(vocabulary, in1):
+        if c:
+            for f in parts(word):
+                seen1[f] += c
+    for word, c in zip(vocabulary, in0):
+        if c:
+            for f in parts(word):
+                if f in seen1:
+                    seen0[f] += c
     for f, a in seen1.items():
         b = seen0.get(f, 0)
         if a * n0 > b * n1:
             gain = a * math.log(a * len(y) / ((a + b) * n1)) + (b * math.log(b * len(y) / ((a + b) * n0)) if b else 0.0)
-            if gain > LEAST_GAIN:
+            if gain > max(LEAST_GAIN, math.log(len(seen1))):
                 gains[f] = gain
     # of parts that always come together, such as those of one rare word, one stays
     alike: dict[tuple[int, int], list[str]] = {}
@@ -92,21 +104,12 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300) -> Model:
     chosen = sorted((f for same in alike.values() for f in same), key=lambda f: (-gains[f], f))[:FEATURES]
     odds = np.array([math.log((seen1[f] + 0.5) / (n1 + 1)) - math.log((seen0.get(f, 0) + 0.5) / (n0 + 1)) for f in chosen])
     number = {f: i for i, f in enumerate(chosen)}
-    words: dict[str, list[int]] = {}
-    of_feature, of_sentence, of_doc = [], [], []
-    n = 0
-    for d, sents in enumerate(docs):
-        for _, _, ws in sents:
-            found: set[int] = set()
-            for w in ws:
-                if (ids := words.get(w)) is None:
-                    ids = words[w] = [number[f] for f in (cache.get(w) or parts(w)) if f in number]
-                found.update(ids)
-            of_feature += found
-            of_sentence += [n] * len(found)
-            of_doc.append(d)
-            n += 1
-    feature, sentence, doc = np.array(of_feature, "i8"), np.array(of_sentence, "i8"), np.array(of_doc, "i8")
+    known = {i: ids for i, word in enumerate(vocabulary) if (ids := [number[f] for f in parts(word) if f in number])}
+    spoken = np.zeros(len(vocabulary), bool)
+    spoken[list(known)] = True
+    hit = np.flatnonzero(spoken[tokens])
+    pairs = np.unique(np.array([(s, f) for s, t in zip(at[hit].tolist(), tokens[hit].tolist()) for f in known[t]], "i8").reshape(-1, 2), axis=0)
+    sentence, feature = pairs[:, 0], pairs[:, 1]
     # The prior: each part's own log odds. Without it, words that share documents explain each other away.
     w = np.append(odds, -6.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
