@@ -109,15 +109,21 @@ def disclosures(base: DataFrame, support: int = SUPPORT, least: float = GENERALI
     entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
     some = base.where(F.size("base") > 0)
     pairs = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(near_terms(F.col("text"), s), lambda t: F.struct(entity(s).alias("entity"), t.alias("term"))))))
-    together = stored(some.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support))
-    entities = some.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_rows"))
+    near = stored(some.select(F.array_distinct(F.transform("base", entity)).alias("entities"), pairs.alias("pairs")))
+    entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_rows"))
+    rows = base.count()
+    n = F.lit(float(rows))
+    together = near.select(F.explode("pairs").alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    together = together.join(entities, "entity").withColumn("most", F.col("together") * F.pow(n / F.col("entity_rows"), F.lit(1.0 - least)))
+    # A term in more than ``most`` rows can't reach the threshold; it is in at least as many rows as it is near any entity in.
+    beside = near.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("beside"))
+    together = stored(together.join(beside, "term").where(F.col("beside") <= F.col("most") + 1).drop("most", "beside"))
     candidates = together.select("term").distinct()
     small = candidates.limit(10 * LITERALS + 1).count() <= 10 * LITERALS
     every = base.select(F.explode(F.array_distinct(found(F.lower("text"), TERM))).alias("term"))
     terms = every.join(F.broadcast(candidates) if small else candidates, "term").groupBy("term").agg(F.count("*").alias("term_rows"))
-    n = F.lit(float(base.count()))
     pmi = F.log(n * F.col("together") / (F.col("entity_rows") * F.col("term_rows")))
-    out = together.join(terms, "term").join(entities, "entity").withColumn("disclosure", pmi / F.nullif(F.log(n / F.col("entity_rows")), F.lit(0.0)))
+    out = together.join(terms, "term").withColumn("disclosure", pmi / F.nullif(F.log(n / F.col("entity_rows")), F.lit(0.0)))
     return out.where(F.col("disclosure") >= least)
 
 
