@@ -1,0 +1,165 @@
+"""Usage-log metrics: costs, counts and quality figures over many projects at once.
+
+Log rows are never gathered: every figure is a partial aggregate by a small key. Unknown costs stay null in rows and
+count as nothing in sums; a missing content type counts as ``unknown`` and a missing ``passed`` as true.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+FORMATS = {"docx": "word", "md": "markdown", "markdown": "markdown", "pdf": "pdf"}
+
+
+def of_type(events: DataFrame, kind: str) -> DataFrame:
+    """Events of one type."""
+    return events.where(F.col("event_type") == kind)
+
+
+def is_type(kind: str) -> Column:
+    return F.col("event_type") == kind
+
+
+def failed_check() -> Column:
+    return is_type("consistency_check") & ~F.coalesce("passed", F.lit(True))
+
+
+def money(cost: str = "cost_usd") -> Column:
+    return F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6)
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """A1: totals of each project's log."""
+    totals = events.groupBy("project_id").agg(
+        F.round(F.coalesce(F.sum(F.when(is_type("generation"), F.col("cost_usd"))), F.lit(0.0)), 6).alias("total_cost_usd"),
+        F.count_if(is_type("rollover")).alias("rollovers"),
+        F.count_if(is_type("extraction_error")).alias("extraction_errors"),
+        F.count_if(failed_check()).alias("consistency_failures"),
+        F.count_if(is_type("consistency_check_override")).alias("consistency_overrides"),
+    )
+    types = of_type(events, "generation").groupBy("project_id", F.coalesce("content_type", F.lit("unknown")).alias("t")).agg(F.count("*").alias("n"))
+    maps = types.groupBy("project_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n"))))).alias("generation_counts"))
+    return totals.join(maps, "project_id", "left").withColumn("generation_counts", F.coalesce("generation_counts", F.lit("{}")))
+
+
+def local_month(zone: str) -> Column:
+    return F.date_format(F.from_utc_timestamp("ts", zone), "yyyy-MM")
+
+
+def monthly_costs(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """A2: generation cost per project and calendar month in ``zone``; quiet months between are there with 0."""
+    gen = of_type(events, "generation").where("ts is not null").withColumn("month", local_month(zone))
+    by_type = gen.groupBy("project_id", "month", F.coalesce("content_type", F.lit("unknown")).alias("t")).agg(F.count("*").alias("n"), money().alias("c"))
+    month = by_type.groupBy("project_id", "month").agg(
+        F.sum("n").alias("generations"), F.round(F.sum("c"), 6).alias("cost_usd"), F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "t", F.lit('":'), F.col("c").cast("decimal(18,6)").cast("string")))), ","), F.lit("}")).alias("cost_by_type")
+    )
+    first = lambda m: F.to_date(F.concat(m, F.lit("-01")))
+    ends = month.groupBy("project_id").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    spine = ends.select("project_id", F.explode(F.sequence(first(F.col("lo")), first(F.col("hi")), F.expr("interval 1 month"))).alias("d")).select("project_id", F.date_format("d", "yyyy-MM").alias("month"))
+    full = spine.join(month, ["project_id", "month"], "left")
+    n, cost = F.coalesce("generations", F.lit(0)), F.coalesce("cost_usd", F.lit(0.0))
+    return full.select(
+        "project_id", "month", n.cast("long").alias("generations"), cost.alias("cost_usd"),
+        F.coalesce("cost_by_type", F.lit("{}")).alias("cost_by_type"), F.when(n > 0, F.round(cost / n, 6)).otherwise(0.0).alias("avg_cost_usd"),
+    )
+
+
+def month_delta(events: DataFrame, as_of: str, zone: str = "UTC") -> DataFrame:
+    """A3: this month's cost against last month's; null where the log has no row for last month."""
+    months = monthly_costs(events, zone)
+    now = F.date_format(F.to_date(F.lit(as_of)), "yyyy-MM")
+    before = F.date_format(F.add_months(F.to_date(F.lit(as_of)), -1), "yyyy-MM")
+    picked = months.groupBy("project_id").agg(F.max(F.when(F.col("month") == now, F.col("cost_usd"))).alias("this"), F.max(F.when(F.col("month") == before, F.col("cost_usd"))).alias("last"))
+    this = F.coalesce("this", F.lit(0.0))
+    return picked.select("project_id", this.alias("this_month_usd"), F.col("last").alias("last_month_usd"), F.round(this - F.col("last"), 6).alias("delta_usd"))
+
+
+def format_of_file(name: Column) -> Column:
+    suffix = F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
+    out = F.lit("other")
+    for ending, kind in FORMATS.items():
+        out = F.when(suffix == ending, kind).otherwise(out)
+    return out
+
+
+def files_processed(events: DataFrame) -> DataFrame:
+    """A4: extracted and failed files per format, full outer; a PDF that was converted counts as pdf."""
+    kind = F.when(F.col("pdf_method").isNotNull(), "pdf").otherwise(F.coalesce("source_format", F.lit("unknown")))
+    good = of_type(events, "extraction").groupBy("project_id", kind.alias("format")).agg(F.count("*").alias("good"))
+    bad = of_type(events, "extraction_error").groupBy("project_id", format_of_file(F.col("filename")).alias("format")).agg(F.count("*").alias("bad"))
+    g, b = F.coalesce("good", F.lit(0)), F.coalesce("bad", F.lit(0))
+    return good.join(bad, ["project_id", "format"], "full_outer").select("project_id", "format", g.alias("extracted"), b.alias("errors"), F.round(b / (g + b), 6).alias("error_rate"))
+
+
+def consistency(events: DataFrame) -> DataFrame:
+    """A5: checks run, caught and overridden; the terms that were caught, by number of times."""
+    checks = events.groupBy("project_id").agg(F.count_if(is_type("consistency_check")).alias("checks"), F.count_if(failed_check()).alias("caught"), F.count_if(is_type("consistency_check_override")).alias("overridden"))
+    caught = events.where(failed_check()).groupBy("project_id", "term").agg(F.count("*").alias("n"))
+    listed = caught.groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "term", "n"))).alias("t"))
+    return checks.join(listed, "project_id", "left").select("project_id", "checks", "caught", "overridden", F.coalesce(F.array_join("t", ","), F.lit("")).alias("caught_terms"))
+
+
+def cost_by_type(events: DataFrame) -> DataFrame:
+    """Calls, tokens and cost by content type, with a total row per project (content_type null, is_total 1)."""
+    gen = of_type(events, "generation").withColumn("content_type", F.coalesce("content_type", F.lit("unknown")))
+    return gen.rollup("project_id", "content_type").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        money().alias("cost_usd"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)) / F.count("*"), 6).alias("avg_cost_usd"),
+        F.count_if(F.col("cost_usd").isNull()).alias("unpriced"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
+    ).where("level < 3").select("project_id", "content_type", F.col("level").cast("int").alias("is_total"), "calls", "input_tokens", "output_tokens", "cost_usd", "avg_cost_usd", "unpriced", "models")
+
+
+def typical_output(events: DataFrame, last: int = 10) -> DataFrame:
+    """Median of the last ``last`` non-zero replies by project and type, as a whole number. The rank limit is the feature."""
+    replies = of_type(events, "generation").where("output_tokens > 0")
+    order = Window.partitionBy("project_id", "content_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    recent = replies.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= last)
+    return recent.groupBy("project_id", "content_type").agg(F.floor(F.percentile("output_tokens", F.lit(0.5))).cast("long").alias("typical_tokens"))
+
+
+def price(events: DataFrame, rates: DataFrame) -> DataFrame:
+    """Cost of each generation from its rate; local calls take the local default; no rate means null, not 0."""
+    gen = of_type(events, "generation").withColumn("section", F.col("provider"))
+    gen = gen.withColumn("rate_model", F.when(F.col("provider") == "local", "default").otherwise(F.col("model")))
+    r = F.broadcast(rates.select(F.col("section"), F.col("model").alias("rate_model"), "input_per_1k", "output_per_1k"))  # a configuration file
+    cost = F.col("input_tokens") / 1000 * F.col("input_per_1k") + F.col("output_tokens") / 1000 * F.col("output_per_1k")
+    return gen.join(r, ["section", "rate_model"], "left").select("event_id", "project_id", "model", "provider", F.round(cost, 8).alias("priced_usd"))
+
+
+def effective_rates(bundled: DataFrame, project: DataFrame) -> DataFrame:
+    """The project's sections replace the bundled ones section by section."""
+    return project.unionByName(bundled.join(F.broadcast(project.select("section").distinct()), "section", "left_anti").select(*project.columns))
+
+
+def cost_estimate(requests: DataFrame, rates: DataFrame, most_output: int = 2000) -> DataFrame:
+    """estimated prompt tokens (a quarter of the characters, at least 1) and the most that a call can cost."""
+    tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long")
+    known = F.broadcast(rates.select("model", "input_per_1k", "output_per_1k"))
+    priced = requests.withColumn("tokens", tokens).join(known, "model", "left")
+    ceiling = F.round(F.col("tokens") / 1000 * F.col("input_per_1k") + F.lit(most_output) / 1000 * F.col("output_per_1k"), 8)
+    return priced.select("request_id", "model", "tokens", ceiling.alias("ceiling_usd"))
+
+
+def rollover_history(events: DataFrame) -> DataFrame:
+    """Rollovers of each project, newest first."""
+    order = Window.partitionBy("project_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return of_type(events, "rollover").select("project_id", F.row_number().over(order).alias("nth"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "source_term", "target_term", "source_weeks", "target_weeks", "flag_count")
+
+
+def usage_tally(events: DataFrame) -> DataFrame:
+    """Calls and tokens of each run (a project's model and day)."""
+    day = F.to_date("ts")
+    return of_type(events, "generation").groupBy("project_id", "model", day.alias("day")).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+def report(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """One text per project from the tables above."""
+    files = files_processed(events).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "format", "extracted", "errors", F.format_number(100 * F.col("error_rate"), 0)))).alias("rows"))
+    costs = cost_by_type(events).where("is_total = 0").groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "content_type", "calls", "input_tokens", "output_tokens", F.format_number("cost_usd", 4)))).alias("cost_rows"))
+    months = monthly_costs(events, zone).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "month", "generations", F.format_number("cost_usd", 4)))).alias("month_rows"))
+    s = summary(events)
+    joined = s.join(files, "project_id", "left").join(costs, "project_id", "left").join(months, "project_id", "left")
+    part = lambda title, rows: F.concat(F.lit(f"## {title}\n"), F.coalesce(F.array_join(rows, "\n"), F.lit("none")))
+    text = F.concat_ws("\n\n", F.concat(F.lit("# Project "), F.col("project_id")), part("Files", "rows"), part("Cost by type", "cost_rows"), part("Cost by month", "month_rows"))
+    return joined.select("project_id", text.alias("content"))
