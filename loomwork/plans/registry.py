@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import base, metrics  # noqa: F401  (importing a module registers its queries)
+from loomwork.plans import base, metrics, rollover  # noqa: F401  (importing a module registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["a2_monthly_costs"](spark, sf_dir)
+    return base.QUERIES["e23_rollover"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
