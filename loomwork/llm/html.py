@@ -22,6 +22,7 @@ from loomwork.llm.common import chunks, read, stored
 LEAST_PAGES = 3  # pages of a host that a template subtree occurs on, at least
 LEAST_SHARE = 0.2  # and the share of the host's pages
 INNER_PAGES, INNER_SHARE = 10, 0.5  # the same inside what a page marks as its article, where pages may quote each other
+INNER_LETTERS = 30
 SMALL = 200_000  # template hashes that may be broadcast
 
 # Elements of HTML by what a reader sees of them.
@@ -29,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
 NOT_TEXT = frozenset("head script style noscript template nav header footer aside form button select option textarea input dialog menu iframe object canvas audio video svg math title label fieldset noembed noframes".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+CELLS = frozenset("td th tr tbody thead tfoot caption li dt dd summary".split())
 CLOSES = {  # an opening tag that ends an open element of these kinds
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
@@ -49,10 +51,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hash")
+    __slots__ = ("tag", "attributes", "children", "hash", "size")
 
     def __init__(self, tag: str, attributes: str) -> None:
-        self.tag, self.attributes, self.children, self.hash = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.hash, self.size = tag, attributes, [], 0, 0
 
 
 def parse(page: str) -> Node:
@@ -122,19 +124,26 @@ def ordered(root: Node) -> list[Node]:
 
 
 def hashed(root: Node) -> list[Node]:
-    """Hash every subtree from below: tag, class and id, and children; white space doesn't count."""
+    """Hash every subtree from below (tag, class and id, and children; white space doesn't count) and count its letters."""
     nodes = ordered(root)
     for node in reversed(nodes):
         h = xxhash.xxh64(node.tag)
         h.update("\0".join(SPACE.sub(" ", a[1]).strip("\"' ") for a in ATTRIBUTE.findall(node.attributes) if a[0].lower() in ("class", "id")) if node.attributes else "")
         for c in node.children:
-            h.update(c.hash.to_bytes(8, "little") if isinstance(c, Node) else SPACE.sub(" ", c))
+            if isinstance(c, Node):
+                h.update(c.hash.to_bytes(8, "little"))
+                node.size += c.size
+            else:
+                h.update(SPACE.sub(" ", c))
+                node.size += len(c.strip())
         node.hash = h.intdigest()
     return nodes
 
 
-def has_text(node: Node) -> bool:
-    return node.tag not in VOID and any(isinstance(c, Node) or c.strip() for c in node.children)
+def may_recur(node: Node, inner: bool) -> bool:
+    """Whether a subtree may be a piece of template: a block of its own, no cell, no line of words inside a block; in an
+    article only one of some length, since short blocks and list items recur there by chance."""
+    return node.tag in BLOCKS - CELLS and node.tag not in KEPT and node.size >= (INNER_LETTERS if inner else 1)
 
 
 def unwanted(node: Node) -> bool:
@@ -191,9 +200,8 @@ def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
             if child.tag in BLOCKS or child.tag in ("nav", "header", "footer", "aside", "form"):
                 flush()
             continue
-        if child.hash in template and child.tag not in KEPT:
-            if child.tag in BLOCKS:
-                flush()
+        if child.hash in template and may_recur(child, inside):
+            flush()
             continue
         if child.tag in BLOCKS:
             flush()
@@ -226,8 +234,9 @@ def subtrees(pages: DataFrame) -> DataFrame:
                     marked = {id(y) for x in nodes if x.tag in ("article", "main") for y in ordered(x)[1:]}
                     seen: dict[int, bool] = {}
                     for x in nodes:
-                        if x.tag not in KEPT and not unwanted(x) and has_text(x):
-                            seen[x.hash] = seen.get(x.hash, True) and id(x) in marked
+                        inner = id(x) in marked
+                        if may_recur(x, inner) and not unwanted(x):
+                            seen[x.hash] = seen.get(x.hash, True) and inner
                     hosts.append(host)
                     found.append([(h - (1 << 63), inner) for h, inner in seen.items()])
                 kind = pa.list_(pa.struct([("hash", pa.int64()), ("inner", pa.bool_())]))
