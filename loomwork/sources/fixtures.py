@@ -66,7 +66,11 @@ def pick(index: F.Column, *values: str | None) -> F.Column:
 
 def eval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage log: one row an event, the union of all payloads. Times are UTC."""
-    e = table(spark, sf_dir, "events")
+    return as_log(table(spark, sf_dir, "events"))
+
+
+def as_log(e: DataFrame) -> DataFrame:
+    """The events table, batch or stream, as a usage log."""
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.withColumn("k", k).withColumn("at", F.col("ts").cast("timestamp") + F.make_dt_interval(F.col("k") % 7 * 61))
     kind = (
