@@ -272,3 +272,33 @@ def roll_over(courses: DataFrame, weeks: DataFrame, terms: DataFrame, no_class:
     breaks = kept.select("course_id", "row_no", "label", "date_start", "date_end").unionByName(fresh.select("course_id", "row_no", t.break_label(F.col("label"), F.col("date_start"), F.col("date_end")).alias("label"), "date_start", "date_end"))
     rows = regular.drop("assignments", "target_term").unionByName(breaks.select("course_id", "row_no", F.lit(None).cast("int").alias("week_number"), "label", F.lit(True).alias("is_break"), F.lit(None).cast("date").alias("old_day"), F.col("date_start").alias("day"), "date_end"))
     return rows.join(joined_flags, ["course_id", "row_no"], "left").select("course_id", "row_no", "week_number", "label", "is_break", "old_day", F.col("day").alias("new_day"), F.col("date_end").alias("new_end"), F.coalesce("flags", F.lit("")).alias("flags"))
+
+
+def not_observed(weeks: DataFrame, courses: DataFrame, through: DataFrame) -> DataFrame:
+    """Break rows that name a break the class meets through; ``through(course_id, name)``. The rest stays."""
+    rows = weeks.where("is_break").join(courses.select("course_id"), "course_id", "left_semi")
+    hit = rows.join(through, "course_id").where(t.labels_match(F.col("label"), F.col("name")))
+    return hit.select("course_id", "row_no", t.core_name(F.col("label")).alias("dropped")).dropDuplicates(["course_id", "row_no"])
+
+
+def added_break_rows(skipped: DataFrame, shown: DataFrame) -> DataFrame:
+    """A row for each break stepped over that the schedule doesn't show yet; both ``(course_id, label, date_start, date_end)``."""
+    span = ["course_id", "date_start", "date_end"]
+    return skipped.join(shown.select(*span).distinct(), span, "left_anti").groupBy(*span).agg(F.min("label").alias("label")).select("course_id", "date_start", "date_end", t.break_label(F.col("label"), F.col("date_start"), F.col("date_end")).alias("label"))
+
+
+def unnamed_entries(courses: DataFrame, dates: DataFrame, no_class: DataFrame) -> DataFrame:
+    """Calendar entries of the target term that no row of a course's dates names, by core name."""
+    entries = small(no_class.select(F.col("term").alias("target_term"), "label", F.lower(t.core_name(F.col("label"))).alias("core")))
+    due = courses.join(entries, "target_term").select("course_id", "label", "core")
+    named = dates.select("course_id", F.lower(t.core_name(F.col("event"))).alias("core")).distinct()
+    return due.join(named, ["course_id", "core"], "left_anti").select("course_id", "label")
+
+
+def guess_session(courses: DataFrame) -> DataFrame:
+    """a likely span from weeks and credits; ``courses(course_id, term, week_count, credits)``. Summer has 10 or 12 weeks."""
+    summer = t.season(F.col("term")) == "Summer"
+    one = (F.coalesce("credits", F.lit(3.0)) < 2) | (F.col("week_count") == 5)
+    code = F.when(summer, F.when(F.col("week_count") <= 10, "10 weeks").otherwise("12 weeks")).when(one, "1").when(F.col("week_count") == 10, "1-2").otherwise("1-3")
+    weeks = F.when(summer, F.when(F.col("week_count") <= 10, 10).otherwise(12)).when(one, 5).when(F.col("week_count") == 10, 10).otherwise(F.col("week_count"))
+    return courses.select("course_id", code.alias("session"), weeks.cast("int").alias("weeks"))
