@@ -14,6 +14,7 @@ from loomwork.functions import terms as t
 
 MOST_CALENDAR_ROWS = 100_000
 SLOTS = 60  # weeks ahead that a schedule may be moved
+MOST_WEEKS = 180
 
 
 def small(calendar: DataFrame) -> DataFrame:
@@ -103,22 +104,25 @@ def plan_week_starts(courses: DataFrame, weeks: DataFrame) -> DataFrame:
     """
     numbers = weeks.where("not is_break and week_number is not null").groupBy("course_id").agg(F.array_sort(F.collect_set("week_number")).alias("numbers"))
 
-    def days_from(start: Column, days: Column) -> Column:
-        wanted = F.when(F.size(days) > 0, days).otherwise(F.array(*map(F.lit, range(5))))
-        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add(start, i)), lambda d: F.array_contains(wanted, F.weekday(d)))
-
     def covered(start: Column) -> Column:
-        days = days_from(start, F.col("days"))
+        wanted = F.when(F.size("days") > 0, F.col("days")).otherwise(F.array(*map(F.lit, range(5))))
+        days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add(start, i)), lambda d: F.array_contains(wanted, F.weekday(d)))
         return F.exists(F.coalesce("breaks", F.array().cast("array<struct<s:date,e:date,label:string>>")), lambda b: F.forall(days, lambda d: d.between(b["s"], b["e"])))
 
+    # Which of the weeks from the one before Week 1 are covered: once for each calendar and set of class days.
+    key = ["week_one", "days", "breaks"]
+    kinds = courses.where("week_one is not null").select(*key).distinct()
+    kinds = kinds.withColumn("covered", F.transform(F.sequence(F.lit(-1), F.lit(MOST_WEEKS)), lambda i: covered(F.date_add("week_one", 7 * i))))
+    kinds = small(kinds.select(*(F.col(k).alias(f"k_{k}") for k in key), "covered"))
+    joined = courses.join(numbers, "course_id").join(kinds, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key])
+
     def step(state: Column, n: Column) -> Column:
-        first = F.date_add(F.col("week_one"), (7 * (n - 1 + state["shift"])).cast("int"))
-        free = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(SLOTS)), lambda k: ~covered(F.date_add(first, 7 * k))), 1)
-        new = F.struct(n.alias("week_number"), F.date_add(first, 7 * free).alias("start"), (state["shift"] + free).alias("shift"))
-        return F.struct((state["shift"] + free).alias("shift"), F.concat(state["out"], F.array(new)).alias("out"))
+        free = F.greatest(F.array_position(F.slice("covered", n + state["shift"] + 1, SLOTS + 1), False) - 1, F.lit(0)).cast("int")
+        shift = state["shift"] + free
+        new = F.struct(n.alias("week_number"), F.date_add(F.col("week_one"), (7 * (n - 1 + shift)).cast("int")).alias("start"), shift.alias("shift"))
+        return F.struct(shift.alias("shift"), F.concat(state["out"], F.array(new)).alias("out"))
 
     empty = F.array().cast("array<struct<week_number:int,start:date,shift:int>>")
-    joined = courses.join(numbers, "course_id").where("week_one is not null")
     walked = joined.withColumn("plan", F.aggregate("numbers", F.struct(F.lit(0).alias("shift"), empty.alias("out")), step, lambda s: s["out"]))
     return walked.select("course_id", F.explode("plan").alias("p")).select("course_id", "p.*")
 

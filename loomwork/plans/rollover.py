@@ -60,15 +60,15 @@ add("t2_adjusted_weeks", lambda s, d: r.adjust_weeks(fx.weeks(s, d), fx.courses(
 add("w12_week_starts", lambda s, d: r.plan_week_starts(planned(s, d).select("course_id", "week_one", "days", "breaks"), fx.weeks(s, d)),
     f"""WITH RECURSIVE {PLAN},
       n AS (SELECT course_id, week_number, row_number() OVER (PARTITION BY course_id ORDER BY week_number) AS k FROM (SELECT DISTINCT course_id, week_number FROM fx_weeks WHERE NOT is_break)),
+      g AS (SELECT target_term, days, i, (week_one + (7 * i)::INT)::DATE AS start, EXISTS (SELECT 1 FROM fx_no_class b WHERE b.term = target_term AND b.date_start IS NOT NULL AND NOT EXISTS (
+              SELECT 1 FROM range(0, 7) o(j) WHERE list_contains(CASE WHEN len(days) > 0 THEN days ELSE [0,1,2,3,4] END, (isodow((week_one + (7 * i + o.j)::INT)::DATE) - 1)::INT)
+                AND NOT (week_one + (7 * i + o.j)::INT)::DATE BETWEEN b.date_start AND b.date_end)) AS hit
+            FROM (SELECT DISTINCT target_term, days, week_one FROM p WHERE week_one IS NOT NULL), range(0, 80) r(i)),
       walk AS (
-        SELECT p.course_id, 0::BIGINT AS k, NULL::INT AS week_number, NULL::DATE AS start, 0::BIGINT AS shift, 0::BIGINT AS tries, true AS placed FROM p WHERE week_one IS NOT NULL
+        SELECT course_id, 0::BIGINT AS k, NULL::INT AS week_number, NULL::DATE AS start, 0::BIGINT AS shift, true AS placed FROM p WHERE week_one IS NOT NULL
         UNION ALL
-        SELECT x.course_id, x.k, x.week_number, x.start, x.shift + x.hit::INT AS shift, x.tries + 1, NOT x.hit FROM (
-          SELECT w.course_id, n.k, n.week_number, w.tries, w.shift, (p.week_one + (7 * (n.week_number - 1 + w.shift))::INT)::DATE AS start,
-            EXISTS (SELECT 1 FROM fx_no_class b WHERE b.term = p.target_term AND b.date_start IS NOT NULL AND NOT EXISTS (
-              SELECT 1 FROM range(0, 7) o(i) WHERE list_contains(CASE WHEN len(p.days) > 0 THEN p.days ELSE [0,1,2,3,4] END, (isodow((p.week_one + (7 * (n.week_number - 1 + w.shift) + o.i)::INT)::DATE) - 1)::INT)
-                AND NOT (p.week_one + (7 * (n.week_number - 1 + w.shift) + o.i)::INT)::DATE BETWEEN b.date_start AND b.date_end)) AS hit
-          FROM walk w JOIN p USING (course_id) JOIN n ON n.course_id = w.course_id AND n.k = CASE WHEN w.placed THEN w.k + 1 ELSE w.k END) x)
+        SELECT w.course_id, n.k, n.week_number, g.start, w.shift + g.hit::INT, NOT g.hit FROM walk w JOIN p USING (course_id)
+          JOIN n ON n.course_id = w.course_id AND n.k = CASE WHEN w.placed THEN w.k + 1 ELSE w.k END JOIN g ON g.target_term = p.target_term AND g.days = p.days AND g.i = n.week_number - 1 + w.shift)
     SELECT course_id, week_number, start, shift::INT AS shift FROM walk WHERE placed AND k > 0""")
 add("j2_collisions", lambda s, d: r.collisions(dated(s, d), fx.no_class(s)),
     f"""WITH w AS (SELECT w.course_id, row_no, week_number, term, day, {DAYS} AS days FROM fx_weeks w JOIN fx_courses USING (course_id) WHERE NOT is_break),
