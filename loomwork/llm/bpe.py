@@ -25,7 +25,7 @@ from loomwork.llm.common import chunks, read
 
 VOCABULARY = "word_bpe_49k.json"
 NONE = 1 << 62
-CACHED = 600_000
+CACHED = 400_000
 
 # Fixed value: how the vocabulary's pre-tokenizer cuts a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -30,7 +30,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 LINK = (85, 100)
 FLOOR = 0.6  # of 80 signature values; a pair at 0.85 agrees in fewer with a chance under 1e-7
 BLOCK = 512  # classes of a bucket that meet in one task
-CACHED = 300_000
+CACHED = 200_000
 
 
 def constants() -> tuple[np.ndarray, np.ndarray]:
