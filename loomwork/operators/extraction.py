@@ -171,3 +171,23 @@ def nested(courses: DataFrame, weeks: DataFrame, dates: DataFrame) -> DataFrame:
 def flat(records: DataFrame, field: str) -> DataFrame:
     """S4 the other way: the rows of one field."""
     return records.select("course_id", F.explode(field).alias("x")).select("course_id", "x.*")
+
+
+def rolled_lines(rows: DataFrame, plan: DataFrame, targets: DataFrame) -> DataFrame:
+    """The lines of a syllabus in its new term: term line and schedule rows replaced, all other lines untouched.
+
+    ``plan(doc_id, row_no, week_number, is_break, day, day_end, topics, assignments)`` holds the new rows, ``targets(doc_id, term)``
+    the new terms. New rows stand where the old ones began; lines are numbered again.
+    """
+    old = tables_headed(rows, "week").select("doc_id", "line_no")
+    anchor = old.groupBy("doc_id").agg(F.min("line_no").alias("anchor"))
+    kept = rows.join(old, ["doc_id", "line_no"], "left_anti").join(targets.withColumnRenamed("term", "new_term"), "doc_id", "left")
+    is_term = F.rlike("text", F.lit(r"(?i)^[*_#\s]*(?:term|semester)[*_\s]*:")) & F.col("new_term").isNotNull()
+    first = F.row_number().over(Window.partitionBy("doc_id", is_term).orderBy("line_no")) == 1
+    text = F.when(is_term & first, F.concat(F.regexp_extract("text", r"^([^:]*:[*_]*\s*)", 1), "new_term")).otherwise(F.col("text"))
+    dates = F.when(F.col("is_break"), F.concat_ws(" - ", t.month_day(F.col("day")), t.month_day(F.col("day_end")))).otherwise(t.month_day(F.col("day")))
+    week = F.when(F.col("is_break"), "-").otherwise(F.col("week_number").cast("string"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", week, dates, F.array_join("topics", "; "), F.array_join("assignments", "; ")), F.lit(" |"))
+    fresh = plan.join(anchor, "doc_id").select("doc_id", F.struct("anchor", "row_no").alias("at"), line.alias("text"))
+    every = kept.select("doc_id", F.struct(F.col("line_no").alias("anchor"), F.lit(-1).alias("row_no")).alias("at"), text.alias("text")).unionByName(fresh)
+    return every.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("line_no"), "text")

@@ -9,6 +9,7 @@ from loomwork.functions import terms as t
 from loomwork.operators import extraction as x
 from loomwork.plans.base import add
 from loomwork.sources import fixtures as fx
+from loomwork.sources.files import settled
 
 
 def syllabus_lines(s: SparkSession, d: str) -> DataFrame:
@@ -25,7 +26,7 @@ def syllabus_lines(s: SparkSession, d: str) -> DataFrame:
     date = F.when(F.col("is_break"), span("date_start", "date_end")).otherwise(t.month_day(F.col("day")))
     week = F.concat_ws(" | ", F.when(F.col("is_break"), "| -").otherwise(F.concat(F.lit("| "), F.col("week_number").cast("string"))), date, F.when(F.col("is_break"), F.col("label")).otherwise(F.array_join("topics", "; ")), F.concat(F.array_join("assignments", "; "), F.lit(" |")))
     event = F.concat_ws(" | ", F.concat(F.lit("| "), F.col("event")), F.concat(F.coalesce(F.concat(t.month_day(F.col("day")), F.lit("/"), F.year("day").cast("string")), span("date_start", "date_end")), F.lit(" |")))
-    return fixed_lines.unionByName(w.select(F.col("course_id").alias("doc_id"), (100 + F.col("row_no")).alias("line_no"), week.alias("text"))).unionByName(u.select(F.col("course_id").alias("doc_id"), (2000 + F.col("pos")).alias("line_no"), event.alias("text"))).withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")))
+    return settled(fixed_lines.unionByName(w.select(F.col("course_id").alias("doc_id"), (100 + F.col("row_no")).alias("line_no"), week.alias("text"))).unionByName(u.select(F.col("course_id").alias("doc_id"), (2000 + F.col("pos")).alias("line_no"), event.alias("text"))).withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))))
 
 
 def grading_rows(s: SparkSession, d: str) -> DataFrame:
@@ -57,3 +58,18 @@ add("e8_course_page", lambda s, d: x.page(fx.courses(s, d), fx.weeks(s, d)),
     """WITH r AS (SELECT course_id, string_agg('<tr><td>' || label || '</td><td>' || array_to_string(topics, '; ') || '</td></tr>', '' ORDER BY row_no) AS rows FROM fx_weeks GROUP BY 1)
     SELECT course_id, '<h1>' || title || '</h1><p>' || number || ', ' || term || ', ' || meeting_pattern || '</p><table>' || rows || '</table>' AS content FROM fx_courses JOIN r USING (course_id)""")
 add("s4_nested_and_flat", lambda s, d: x.flat(x.nested(fx.courses(s, d), fx.weeks(s, d), fx.university_dates(s, d)), "weeks").select("course_id", "row_no", "week_number", "day", "label", F.array_join("topics", "|").alias("topics")), "SELECT course_id, row_no, week_number, day, label, array_to_string(topics, '|') AS topics FROM fx_weeks")
+
+
+def rolled(s: SparkSession, d: str) -> DataFrame:
+    """Syllabi of fall and spring courses a year on, 52 weeks later."""
+    c = fx.courses(s, d).where("term = 'Spring 2027'").select(F.col("course_id").alias("doc_id"))
+    w = fx.weeks(s, d).withColumnRenamed("course_id", "doc_id").join(c, "doc_id").where("week_number <> 2 or is_break")
+    plan = w.select("doc_id", "row_no", "week_number", "is_break", F.date_add(F.coalesce("day", "date_start"), 364).alias("day"), F.date_add("date_end", 364).alias("day_end"), "topics", "assignments")
+    return settled(x.rolled_lines(syllabus_lines(s, d).join(c, "doc_id"), plan, c.select("doc_id", F.lit("Spring 2028").alias("term"))))
+
+
+add("e6_rolled_syllabi", lambda s, d: x.schedule(rolled(s, d)).select("doc_id", "row_no", "week_number", "day", F.array_join("topics", "|").alias("topics"), "error_code"),
+    """SELECT course_id AS doc_id, (row_number() OVER (PARTITION BY course_id ORDER BY row_no))::INT AS row_no, week_number, (day + 364)::DATE AS day, array_to_string(topics, '|') AS topics, NULL::VARCHAR AS error_code
+    FROM fx_weeks JOIN fx_courses USING (course_id) WHERE term = 'Spring 2027' AND week_number <> 2""")
+add("e6_untouched_lines", lambda s, d: rolled(s, d).where("text not like '|%'").groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.when(F.rlike("text", F.lit("^Term:")), F.col("text"))).alias("term_line")),
+    "SELECT course_id AS doc_id, 11::BIGINT AS lines, 'Term: Spring 2028' AS term_line FROM fx_courses WHERE term = 'Spring 2027'")

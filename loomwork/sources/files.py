@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +50,14 @@ def read_calendar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def write_documents(documents: DataFrame, path: str, key: str) -> None:
     """One folder per key with its text, so a course's brief or page can be picked up alone."""
     documents.select(key, "content").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """A table that several branches of a job read, written once in the shared checkpoint folder.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset a temporary one is set.
+    """
+    context = table.sparkSession.sparkContext
+    if not table.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return table.checkpoint()
