@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import terms as t
+from loomwork.sources.files import settled
 
 MOST_CALENDAR_ROWS = 100_000
 SLOTS = 60  # weeks ahead that a schedule may be moved
@@ -252,13 +253,13 @@ def roll_over(courses: DataFrame, weeks: DataFrame, terms: DataFrame, no_class:
     Weeks step over breaks unless a numbered week is itself a break; break rows follow by name or, on a season change, are
     the breaks that overlap the new weeks. Flags are codes, joined by commas: collision, numbered_break, clock_change.
     """
-    info = plan(courses, terms, no_class).where("error_code is null")
+    info = settled(plan(courses, terms, no_class).where("error_code is null"))
     mentions = numbered_break(weeks)
     own_slot = mentions.select("course_id").distinct().withColumn("own_slot", F.lit(True))
     stepping = info.join(own_slot, "course_id", "left").withColumn("breaks", F.when(F.col("own_slot").isNull(), F.col("breaks")))
     starts = plan_week_starts(stepping.select("course_id", "week_one", "days", "breaks"), weeks)
     moved = new_days(weeks, starts, info).join(info.select("course_id", "target_term", "target_end"), "course_id")
-    regular = moved.select("course_id", "row_no", "week_number", "label", "is_break", F.col("day").alias("old_day"), F.col("new_day").alias("day"), F.lit(None).cast("date").alias("date_end"), "assignments", "target_term")
+    regular = settled(moved.select("course_id", "row_no", "week_number", "label", "is_break", F.col("day").alias("old_day"), F.col("new_day").alias("day"), F.lit(None).cast("date").alias("date_end"), "assignments", "target_term"))
     per_week = Window.partitionBy("course_id", "week_number")
     checked = regular.join(info.select("course_id", "days"), "course_id").withColumn("one_a_week", F.count("*").over(per_week) == 1)
     flags = (
