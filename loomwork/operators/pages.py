@@ -100,3 +100,22 @@ def cell_rows(cells: DataFrame, years: DataFrame) -> DataFrame:
     rows = rows.withColumn("l", week_label(F.col("label"), F.col("year")))
     kind = F.when(F.col("l.week_number").isNotNull() | F.col("l.day").isNotNull(), "week").when(F.rlike("label", F.lit(r"(?i)\b(?:break|no class|holiday)\b")), "break").otherwise("other")
     return rows.select(*key, "label", kind.alias("kind"), F.col("l.week_number").alias("week_number"), F.col("l.day").alias("day"), "topics", "assignments", F.regexp_replace("notes", r"(?i)note:\s*", "").alias("notes"))
+
+
+def stitched(pieces: DataFrame) -> DataFrame:
+    """Schedule pieces across pages as one table a module; ``pieces(doc_id, item_no, row_no, cells)``, row 0 the header.
+
+    A piece whose header repeats the one before goes on with its table, without the header; another header starts a module.
+    A row with a blank first cell was cut off: its cells are joined onto the row above, also across pages.
+    """
+    heads = pieces.where("row_no = 0").select("doc_id", "item_no", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("head"))
+    by_item = Window.partitionBy("doc_id").orderBy("item_no")
+    changed = F.coalesce(F.lag("head").over(by_item) != F.col("head"), F.lit(True))
+    modules = heads.withColumn("changed", changed).withColumn("module", F.sum(F.col("changed").cast("int")).over(by_item)).select("doc_id", "item_no", "module")
+    rows = pieces.where("row_no > 0").join(modules, ["doc_id", "item_no"])
+    in_order = Window.partitionBy("doc_id", "module").orderBy("item_no", "row_no")
+    starts = F.trim(F.coalesce(F.try_element_at("cells", F.lit(1)), F.lit(""))) != ""
+    rows = rows.withColumn("starts", starts).withColumn("nth", F.sum(F.col("starts").cast("int")).over(in_order))
+    listed = rows.groupBy("doc_id", "module", "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "row_no", "cells"))), lambda x: x["cells"]).alias("l"), F.max(F.size("cells")).alias("width"))
+    cell = lambda i: F.array_join(F.filter(F.transform("l", lambda c: F.trim(F.coalesce(F.try_element_at(c, i), F.lit("")))), lambda x: x != ""), " ")
+    return listed.select("doc_id", F.col("module").cast("int").alias("module"), F.col("nth").cast("int").alias("row_no"), F.transform(F.sequence(F.lit(1), "width"), cell).alias("cells"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import terms as t
@@ -38,3 +39,19 @@ add("e16_paragraphs", lambda s, d: p.reflow(page_lines(s, d).select("*", F.lit(7
 add("e20_joined_replies", lambda s, d: p.joined_replies(part_replies(s, d))[1],
     """SELECT course_id AS doc_id, (row_number() OVER (PARTITION BY course_id ORDER BY week_number))::INT AS row_no, week_number AS week, strftime(day, '%-m/%-d') AS date, array_to_string(topics, '') || CASE WHEN week_number = 3 THEN '; more' ELSE '' END AS topics FROM fx_weeks WHERE NOT is_break AND row_no % 10 = 0""")
 add("e20_reply_courses", lambda s, d: p.joined_replies(part_replies(s, d))[0], "SELECT course_id AS doc_id, title, term, NULL::VARCHAR AS number FROM fx_courses")
+
+
+def pieces(s, d):
+    """Schedules cut into pieces of four rows, every fourth week's row cut off in the middle."""
+    w = fx.weeks(s, d).where("not is_break").withColumn("n", F.row_number().over(Window.partitionBy("course_id").orderBy("row_no")))
+    item = F.floor(F.col("n") / 4).cast("int")
+    rows = w.select(F.col("course_id").alias("doc_id"), item.alias("item_no"), (F.col("n") % 4 * 2 + 1).alias("row_no"), F.array("label", F.array_join("topics", "; "), F.lit("")).alias("cells"))
+    cut = w.where("n % 4 = 3").select(F.col("course_id").alias("doc_id"), (item + 1).alias("item_no"), F.lit(0).alias("row_no"), F.array(F.lit(""), F.lit("went on"), F.lit("x")).alias("cells")).withColumn("row_no", F.lit(1))
+    rows = rows.withColumn("row_no", F.col("row_no") + 1).unionByName(cut)
+    head = rows.select("doc_id", "item_no").distinct().select("doc_id", "item_no", F.lit(0).alias("row_no"), F.array(F.lit("Week"), F.lit("Topic"), F.lit("Note")).alias("cells"))
+    return rows.unionByName(head)
+
+
+add("e18_stitched_tables", lambda s, d: p.stitched(pieces(s, d)).select("doc_id", "module", "row_no", F.array_join("cells", "|").alias("cells")),
+    """SELECT course_id AS doc_id, 1::INT AS module, n::INT AS row_no, label || '|' || array_to_string(topics, '; ') || CASE WHEN n % 4 = 3 THEN ' went on|x' ELSE '|' END AS cells
+    FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY row_no) AS n FROM fx_weeks WHERE NOT is_break)""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import documents as doc
 from loomwork.operators import flags as f
 from loomwork.functions import terms as t
 from loomwork.plans.base import add
