@@ -9,6 +9,7 @@ from loomwork.llm import bpe, mixing, neardup, secrets, toxicity
 from loomwork.llm.common import read, stored
 
 FLATTEN = 0.9  # milder than mixing alone: fewer documents are left out
+NEAR = (80, 100)  # near copies on word shingles; the 0.85 of op9 is that query's own contract
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; a row given twice stays once."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return neardup.without_near_copies(docs, NEAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ same task, so no link is lost and no pairs are given out but links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,17 +27,41 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import checkpoint, chunks, components, read, stored
 
 WIDTH = 5  # words in a shingle
-BANDS, ROWS = 20, 4  # 80 values of 40 permutations; a pair at 0.85 shares no band with a chance of 4e-7
-PERMUTATIONS = BANDS * ROWS // 2
 LINK = (85, 100)
-FLOOR = 0.6  # of 80 signature values; a pair at 0.85 agrees in fewer with a chance under 1e-7
+MISS = 4e-7  # chance that a pair right at the threshold shares no band
+UNLIKE = 1e-7  # chance that its signatures agree in fewer values than the filter asks for
+MOST_BANDS = 24
 BLOCK = 512  # classes of a bucket that meet in one task
 CACHED = 200_000
 
 
-def constants() -> tuple[np.ndarray, np.ndarray]:
+class Plan(NamedTuple):
+    """What follows from a threshold: bands of so many rows, and the least number of signature values that agree."""
+
+    link: tuple[int, int]
+    bands: int
+    rows: int
+    floor: int
+
+
+def plan_of(link: tuple[int, int]) -> Plan:
+    """The longest bands of which MOST_BANDS or fewer miss a pair at the threshold with a chance under MISS."""
+    s = link[0] / link[1]
+    if not 0.5 <= s < 1:
+        raise ValueError("the threshold must be at least 0.5 and below 1")
+    need = lambda rows: math.ceil(math.log(MISS) / math.log1p(-(s**rows)))
+    rows = max((r for r in range(1, 9) if need(r) <= MOST_BANDS), default=1)
+    bands = need(rows)
+    bands += bands * rows % 2  # smallest and largest values come in pairs
+    values, below, floor = bands * rows, 0.0, 0
+    while below + (chance := math.comb(values, floor) * s**floor * (1 - s) ** (values - floor)) < UNLIKE:
+        below, floor = below + chance, floor + 1
+    return Plan(link, bands, rows, floor)
+
+
+def constants(permutations: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_917)
-    return rng.integers(0, 1 << 63, PERMUTATIONS, dtype="u8") * 2 + 1, rng.integers(0, 1 << 63, PERMUTATIONS, dtype="u8")
+    return rng.integers(0, 1 << 63, permutations, dtype="u8") * 2 + 1, rng.integers(0, 1 << 63, permutations, dtype="u8")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,7 +95,7 @@ class Shingler:
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest and largest value under each permutation, side by side."""
-    out = np.empty((PERMUTATIONS, 2), "u8")
+    out = np.empty((len(a), 2), "u8")
     for at in range(0, len(a), 8):  # eight permutations at a time keep a long text's rows in cache
         v = shingles[None, :] * a[at : at + 8, None] + b[at : at + 8, None]
         v ^= v >> np.uint64(29)
@@ -78,13 +104,14 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig, bands): the set's 128-bit digest, one byte of each signature value, band hashes."""
-    a, b = constants()
+def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, text_key, n_shingles, set_key, sig, bands): the set's 128-bit digest, one byte of each signature value, band hashes."""
+    n_bands, n_rows = plan.bands, plan.rows
+    a, b = constants(n_bands * n_rows // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        salt = np.arange(1, BANDS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.arange(1, n_bands + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
         for whole in batches:
             for batch in chunks(whole, "text"):
                 counts, keys, sigs, bands = [], [], [], []
@@ -96,18 +123,18 @@ def sketches(docs: DataFrame) -> DataFrame:
                         continue
                     sig = signature(s, a, b)
                     h = salt.copy()
-                    for column in sig.reshape(BANDS, ROWS).T:
+                    for column in sig.reshape(n_bands, n_rows).T:
                         h = mixed(h ^ column)
                     keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                     sigs.append(sig.astype("u1").tobytes())  # low bytes; the high ones of minima are all near zero
                     bands.append(h.view("i8"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key string, sig binary, bands array<bigint>")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) text_key").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, set_key string, sig binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the classes in ``wanted(node, doc_id)``: full sets, computed again from whole texts."""
+    """(node, shingles) of the classes in ``wanted(node, doc_id, text_key)``: full sets, computed again from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -117,26 +144,29 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 same = pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) == k for x, k in zip(sets, batch.column("node").to_pylist())], pa.bool_())  # not another text of the same doc_id
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.view("i8") for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"]).filter(same)
 
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) text_key")
+    texts = rows.join(wanted.drop("text_key"), "doc_id").select("node", "text")
+    nameless = rows.where("doc_id is null").dropDuplicates(["text_key"]).drop("doc_id")  # found by their text
+    texts = texts.unionByName(nameless.join(wanted.where("doc_id is null").drop("doc_id"), "text_key").select("node", "text"))
     return texts.mapInArrow(run, "node string, shingles array<bigint>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, link: tuple[int, int]) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets, of ``sets(node, shingles)``, overlap enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     # the hubs (b) meet last: their sets aren't shuffled once a pair
-    return checkpoint(pairs.join(left, "a").join(right, "b").where(both * LINK[1] >= union * LINK[0]).select("a", "b"))
+    return checkpoint(pairs.join(left, "a").join(right, "b").where(both * link[1] >= union * link[0]).select("a", "b"))
 
 
-def near_enough(m: str, n: str) -> F.Column:
+def near_enough(m: str, n: str, link: tuple[int, int]) -> F.Column:
     """No two sets whose sizes differ more can be linked."""
-    return (F.least(m, n) * LINK[1] >= F.greatest(m, n) * LINK[0])
+    return (F.least(m, n) * link[1] >= F.greatest(m, n) * link[0])
 
 
-def open_links(members: DataFrame) -> DataFrame:
+def open_links(members: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components.
 
     ``members(band, bucket, node, n, sig, bands, shingles, component, hub)``. A bucket of m members is cut into blocks of
@@ -144,6 +174,7 @@ def open_links(members: DataFrame) -> DataFrame:
     in the first band that it shares. Pairs are compared on signatures, then confirmed on full sets in the same task, and
     only links that join two components there are given out, fewer than the task has rows.
     """
+    (part, whole), floor = plan.link, plan.floor
     size = members.groupBy("bucket").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.join(size, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -174,8 +205,8 @@ def open_links(members: DataFrame) -> DataFrame:
             if hub[i]:
                 continue
             js = cols if lo != hi else cols[cols > i]
-            js = js[(comp[js] != comp[i]) & ~hub[js] & (np.minimum(n[js], n[i]) * LINK[1] >= np.maximum(n[js], n[i]) * LINK[0])]
-            js = js[(sig[js] == sig[i]).sum(1) >= FLOOR * sig.shape[1]]
+            js = js[(comp[js] != comp[i]) & ~hub[js] & (np.minimum(n[js], n[i]) * whole >= np.maximum(n[js], n[i]) * part)]
+            js = js[(sig[js] == sig[i]).sum(1) >= floor]
             js = js[(bands[js] == bands[i]).argmax(1) == band]
             if not len(js):
                 continue
@@ -184,7 +215,7 @@ def open_links(members: DataFrame) -> DataFrame:
                 x, y = find(comp[i]), find(comp[j])
                 if x != y:
                     both = int(mark[each[j]].sum())
-                    if both * LINK[1] >= (n[i] + n[j] - both) * LINK[0]:
+                    if both * whole >= (n[i] + n[j] - both) * part:
                         group[x] = y
                         found.append((i, j))
             mark[each[i]] = False
@@ -194,19 +225,13 @@ def open_links(members: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a string, b string")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.85 or more.
-
-    ``docs(doc_id, text, ...)``; returns doc_id, n_shingles, component_id (smallest doc_id that can be reached) and
-    kept (doc_id = component_id), a row for each row. Null and empty texts, and texts of white space, have no shingles
-    and are linked with nothing (component_id is their own doc_id). Fewer than five words are one shingle. Rows that
-    repeat a text are linked; rows that repeat a doc_id are told apart by text only, and get a result each. A null doc_id
-    is linked with equal sets only. Ties cannot matter. Other columns
-    are ignored; an empty table gives no rows. Shingles are 64-bit hashes, set digests have 128 bits.
-    """
-    each = stored(sketches(docs))
+def grouped(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component, component_id) of each row: its text's digest, the component's own key (null
+    without shingles) and its smallest doc_id. Rows are linked as in ``near_duplicates``."""
+    plan = plan_of(link)
+    each = stored(sketches(docs, plan))
     # one row a distinct set from here on
-    classes = stored(each.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = stored(each.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     places = classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select("node", "n", "band", F.xxhash64("band", "hash").alias("bucket"))
     # buckets of two members or more; of buckets with the same members only the one of the lowest band
     mix = F.xxhash64("node").cast("decimal(38,0)")
@@ -217,24 +242,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranked = shared.join(reach, "node").withColumn("rank", F.struct(F.col("reach"), "node", "n"))
     hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     stars = stored(shared.select("bucket", "band", "node", "n").join(hubs, "bucket"))
-    sets = stored(shingle_sets(docs, classes.select("node", "doc_id").join(stars.select("node").distinct(), "node")))
-    first = stars.where((F.col("node") != F.col("hub")) & near_enough("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = confirmed(first, sets)
+    sets = stored(shingle_sets(docs, classes.select("node", "doc_id", "text_key").join(stars.select("node").distinct(), "node")))
+    first = stars.where((F.col("node") != F.col("hub")) & near_enough("n", "hub_n", link)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = confirmed(first, sets, link)
     labels = components(links)
     # what the hubs left open
     at = stars.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("hub")).alias("hub"))
     torn = at.where("not hub").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     members = at.join(torn, "bucket").where("not hub").join(classes.select("node", "n", "sig", "bands"), "node").join(sets, "node")
-    more = checkpoint(open_links(members))
+    more = checkpoint(open_links(members, plan))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     ids = classes.select(F.col("node").alias("set_key"), "doc_id").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    owner = ids.join(smallest, "component").select("set_key", "component_id")
-    out = each.select("doc_id", "n_shingles", "set_key").join(owner, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    owner = ids.join(smallest, "component").select("set_key", "component", "component_id")
+    return each.select("doc_id", "text_key", "n_shingles", "set_key").join(owner, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """Components of documents whose five-word shingle sets have a Jaccard similarity of ``link`` (a fraction, 0.85) or more.
+
+    ``docs(doc_id, text, ...)``; returns doc_id, n_shingles, component_id (smallest doc_id that can be reached) and
+    kept (doc_id = component_id), a row for each row. Null and empty texts, and texts of white space, have no shingles
+    and are linked with nothing (component_id is their own doc_id). Fewer than five words are one shingle. Rows that
+    repeat a text are linked; rows that repeat a doc_id are told apart by text only, and get a result each. Rows of a null
+    doc_id are linked like others. Ties cannot matter. Other columns
+    are ignored; an empty table gives no rows. Shingles are 64-bit hashes, set digests have 128 bits.
+    """
+    out = grouped(docs, link)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (a null last) and then of the smallest digest.
+
+    Rows without shingles stay; a row given twice stays once. Rows are told apart by doc_id and text, so another text
+    under the doc_id of one that stays is judged by itself.
+    """
+    rows = grouped(docs, link).select("component", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key").alias("row"))
+    best = rows.where("component is not null").groupBy("component").agg(F.min("row").alias("row")).select("row.*")
+    kept = best.unionByName(rows.where("component is null").select("row.*").distinct())
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text"))
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    left = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
