@@ -23,9 +23,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-TERM = r"(?<![\p{L}\p{N}_@.+-])\p{L}[\p{L}\p{N}_-]{3,}+(?![\p{L}\p{N}_@]|[.+-][\p{L}\p{N}@])"
-CONTEXT = 60  # characters on either side of an entity
-SUPPORT = 3  # rows in which a term stands near an entity before it counts as evidence
+# Four letters or more, or a shorter word with a capital (or of a script without): names like Li and Ann.
+TERM = r"(?<![\p{L}\p{N}_@.+-])(?:\p{L}[\p{L}\p{N}_-]{3,}+|[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{N}_-]{1,2}+)(?![\p{L}\p{N}_@]|[.+-][\p{L}\p{N}@])"
+CONTEXT = 60  # characters on either side of an entity, and on from there to the borders of the sentences
+UP_TO = r"(?s)^(?:.*(?:[.!?]\s|[\n\r\u3002\uFF01\uFF1F]))?(.*)$"  # what follows the last border of sentences
+ON_TO = r"(?s)^(.*?)(?:[.!?]\s|[\n\r\u3002\uFF01\uFF1F]|$)"
+SUPPORT = 1  # distinct texts in which a term stands near an entity before it counts as evidence
+PLAIN = 3  # distinct texts from which on evidence counts in full; less is shrunk
 GENERALISE, REMOVE = 0.8, 0.95
 LITERALS = 20_000  # disclosed terms that may go into an expression; beyond, they are joined
 
@@ -92,39 +96,48 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("base"))
 
 
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(found(text, TERM), lambda m: F.lower(m)))
+
+
 def near_terms(text: Column, span: Column) -> Column:
-    """Distinct terms within CONTEXT characters of a span, without words that the window cuts."""
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), span["start"]))
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    before = F.when(span["start"] > CONTEXT, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-    after = F.when(F.length(after) >= CONTEXT, F.regexp_replace(after, r"\S*$", "")).otherwise(after)
-    return F.array_distinct(found(F.lower(F.concat(before, F.lit(" "), after)), TERM))
+    """Distinct terms within CONTEXT characters of a span and in the rest of the sentences that these end in."""
+    near = F.least(F.lit(CONTEXT), span["start"])
+    before = F.concat(F.regexp_extract(F.substring(text, F.lit(1), span["start"] - near), UP_TO, 1), F.substring(text, span["start"] - near + 1, near))
+    after = F.concat(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), F.regexp_extract(F.substring(text, span["end"] + CONTEXT + 1, F.length(text)), ON_TO, 1))
+    return terms_of(F.concat(before, F.lit(" "), after))
 
 
 def disclosures(base: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(term, entity, together, term_rows, entity_rows, disclosure) of all terms that disclose an entity enough.
 
-    Counts are numbers of rows, over the whole corpus. ``base`` comes from ``base_spans``.
+    Counts are numbers of distinct texts, over the whole corpus. ``base`` comes from ``base_spans``. Evidence c from fewer
+    than PLAIN of an entity's m texts enters PMI as (c - 1/2) c / m: a word of one text is generalised where it is rare
+    enough, and never removed.
     """
     entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
     some = base.where(F.size("base") > 0)
     pairs = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(near_terms(F.col("text"), s), lambda t: F.struct(entity(s).alias("entity"), t.alias("term"))))))
-    near = stored(some.select(F.array_distinct(F.transform("base", entity)).alias("entities"), pairs.alias("pairs")))
+    near = stored(some.select(F.xxhash64("text").alias("key"), F.array_distinct(F.transform("base", entity)).alias("entities"), pairs.alias("pairs")).dropDuplicates(["key"]))
     entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_rows"))
-    rows = base.count()
+    rows = base.select(F.xxhash64("text").alias("key")).distinct().count()
     n = F.lit(float(rows))
     together = near.select(F.explode("pairs").alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    together = together.join(entities, "entity").withColumn("most", F.col("together") * F.pow(n / F.col("entity_rows"), F.lit(1.0 - least)))
-    # A term in more than ``most`` rows can't reach the threshold; it is in at least as many rows as it is near any entity in.
+    together = together.join(entities, "entity")
+    shrunk = (F.col("together") - 0.5) * F.col("together") / F.col("entity_rows")
+    together = together.withColumn("evidence", F.when(F.col("together") >= PLAIN, F.col("together").cast("double")).otherwise(shrunk))
+    together = together.withColumn("most", F.col("evidence") * F.pow(n / F.col("entity_rows"), F.lit(1.0 - least)))
+    # A term in more than ``most`` texts can't reach the threshold; it is in at least as many rows as it is near any entity in.
     beside = near.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("beside"))
     together = stored(together.join(beside, "term").where(F.col("beside") <= F.col("most") + 1).drop("most", "beside"))
     candidates = together.select("term").distinct()
     small = candidates.limit(10 * LITERALS + 1).count() <= 10 * LITERALS
-    every = base.select(F.explode(F.array_distinct(found(F.lower("text"), TERM))).alias("term"))
-    terms = every.join(F.broadcast(candidates) if small else candidates, "term").groupBy("term").agg(F.count("*").alias("term_rows"))
-    pmi = F.log(n * F.col("together") / (F.col("entity_rows") * F.col("term_rows")))
+    every = base.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    terms = every.join(F.broadcast(candidates) if small else candidates, "term").groupBy("term").agg(F.countDistinct("key").alias("term_rows"))
+    pmi = F.log(n * F.col("evidence") / (F.col("entity_rows") * F.col("term_rows")))
     out = together.join(terms, "term").withColumn("disclosure", pmi / F.nullif(F.log(n / F.col("entity_rows")), F.lit(0.0)))
-    return out.where(F.col("disclosure") >= least)
+    return out.where(F.col("disclosure") >= least).drop("evidence")
 
 
 def label(spans: Column) -> Column:
@@ -151,8 +164,8 @@ def sanitise(docs: DataFrame, with_text: bool = False, support: int = SUPPORT, g
     """Personal data and disclosing terms of every whole text of ``docs(doc_id, text, ...)``.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans and, ``with_text``, clean_text. Terms are
-    compared in lower case and marked wherever they stand, in any row. A null text counts as empty; repeated rows count
-    as often as they stand there; a term that discloses several entities takes the highest degree; other columns are
+    compared in lower case and marked wherever they stand, in any row. A null text counts as empty; texts that repeat count
+    once; a term that discloses several entities takes the highest degree; other columns are
     ignored; an empty table gives no rows.
     """
     base = base_spans(docs)
@@ -166,8 +179,8 @@ def sanitise(docs: DataFrame, with_text: bool = False, support: int = SUPPORT, g
         parts = [placed(F.col("text"), TERM, F.col("words"), 4 + i, inside(names)) for i, names in enumerate((kept, gone)) if names]
     else:
         keyed = base.withColumn("row", F.xxhash64("doc_id", "text"))
-        every = keyed.select("row", F.explode(F.array_distinct(found(F.lower("text"), TERM))).alias("term")).distinct()
-        hits = every.join(known, "term").groupBy("row").agg(F.collect_set(F.when(F.col("disclosure") < remove, F.col("term"))).alias("kept"), F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term"))).alias("gone"))
+        every = keyed.select("row", F.explode(terms_of(F.col("text"))).alias("term"))
+        hits = every.join(F.broadcast(known) if known.limit(10 * LITERALS + 1).count() <= 10 * LITERALS else known, "term").groupBy("row").agg(F.collect_set(F.when(F.col("disclosure") < remove, F.col("term"))).alias("kept"), F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term"))).alias("gone"))
         rows = keyed.join(hits, "row", "left").withColumn("words", found(F.col("text"), TERM, F.col("kept").isNotNull()))
         holds = lambda c: (lambda m: F.coalesce(F.array_contains(F.col(c), F.lower(m)), F.lit(False)))
         parts = [placed(F.col("text"), TERM, F.col("words"), 4 + i, holds(c)) for i, c in enumerate(("kept", "gone"))]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomwork.llm import neardup
+from loomwork.llm import neardup, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +49,23 @@ def test_bands_follow_the_threshold(link):
     assert (1 - s**plan.rows) ** plan.bands < 4e-7 and plan.bands * plan.rows % 2 == 0
     rng = np.random.default_rng(1)
     assert (rng.binomial(plan.bands * plan.rows, s, 100_000) >= plan.floor).all()
+
+
+# --- personal data: terms of entities that stand in one text or two
+
+
+def test_pii_terms_of_one_text(spark):
+    plain = [(100 + i, f"This is Note number {i} about plain things, with words like all the others. Please write soon.") for i in range(1200)]
+    rows = [(1, "Please write soon to Zebedee Quillfeather about plain things with words like all the others and more such words, at z.q@mail.example.org. This is Note number"), (2, "The others know Quillfeather")]
+    rows += [(3, "Call Ng at +44 20 7946 0958 soon. This is plain.")] * 40
+    out = {r.doc_id: r for r in pii.sanitise(documents(spark, plain + rows), with_text=True).collect()}
+    assert "Zebedee" not in out[1].clean_text and "Quillfeather" not in out[1].clean_text and "[TERM]" in out[1].clean_text
+    assert "Quillfeather" not in out[2].clean_text and "Ng" not in out[3].clean_text.split()
+    assert all(out[100 + i].n_terms == 0 for i in range(1200))
+
+
+def test_pii_copies_are_one_text(spark):
+    rows = [(i, "Write to Kingfisher at k.f@mail.example.org now") for i in range(50)] + [(100 + i, f"now write to note {i}") for i in range(200)]
+    got = {r.term: r for r in pii.disclosures(pii.base_spans(documents(spark, rows))).collect()}
+    assert got["kingfisher"].together == got["kingfisher"].term_rows == got["kingfisher"].entity_rows == 1
+    assert pii.GENERALISE <= got["kingfisher"].disclosure < pii.REMOVE
