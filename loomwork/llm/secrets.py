@@ -2,7 +2,8 @@
 
 Ordinary words and identifiers are cheap under a BPE vocabulary (three or more characters a token);
 random strings are dear (under two). A run of key-like characters whose characters-per-token ratio is
-low, and which is not a known digest, identifier, number, path or address, is reported as ``random``.
+low, and which is not a known digest, UUID or plain number, is reported as ``random``; on letters, paths and names
+the ratio alone decides.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-WORDY = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
+NUMBER = re.compile(r"[0-9]+(?:[-_/+=T]+[0-9]+)*Z?")  # dates, times, phone and card numbers too
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,18 +60,8 @@ def encoder(path: str):
 
 
 def excluded(run: str) -> bool:
-    """Known digests and identifiers: no secrets, however few characters a token they have."""
-    if UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)):
-        return True
-    if not any(c.isdigit() for c in run):
-        # letters alone: a word, a CamelCase or snake_case name, or a path, unless cases alternate like noise
-        flips = sum(a.islower() and b.isupper() for a, b in zip(run, run[1:]))
-        return flips * 6 < len(run)
-    letters = sum(c.isalpha() for c in run)
-    if letters * 4 < len(run):
-        return True  # numbers, dates, phone and card numbers
-    parts = [p for p in re.split(r"[-_/+=]", run) if p]
-    return sum(len(m) for p in parts for m in WORDY.findall(p)) * 4 >= len(run) * 3
+    """Known digests, identifiers and plain numbers: no secrets, however few characters a token they have."""
+    return bool(UUID.fullmatch(run) or NUMBER.fullmatch(run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)))
 
 
 def random_spans(text: str, path: str, ratio: float, shortest: int) -> list[tuple[int, int]]:

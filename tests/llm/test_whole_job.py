@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomwork.llm import neardup, pii
+from loomwork.llm import neardup, pii, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +69,23 @@ def test_pii_copies_are_one_text(spark):
     got = {r.term: r for r in pii.disclosures(pii.base_spans(documents(spark, rows))).collect()}
     assert got["kingfisher"].together == got["kingfisher"].term_rows == got["kingfisher"].entity_rows == 1
     assert pii.GENERALISE <= got["kingfisher"].disclosure < pii.REMOVE
+
+
+# --- secrets: random letters
+
+
+@pytest.mark.parametrize("key", ["xkqjzvbnwpqlmzxkvbtr", "QWZXKJHVBNMPLTRSDF", "83920-x7461-29q38-47561"])
+def test_random_letters_and_figures_are_found(key):
+    base, more = secrets.scan(f"the key {key} is here", secrets_path(), 2.2, 16)
+    assert not base and more == [(8, 8 + len(key))]
+
+
+def test_words_numbers_and_digests_are_left(spark):
+    text = "internationalization_of_organizations getElementByIdentifier 4111-1111-1111-1111 2026-01-01T10-30-00Z Rechtsschutzversicherungsgesellschaften"
+    assert secrets.scan(text, secrets_path(), 2.2, 16) == ([], [])
+
+
+def secrets_path():
+    import public_tokenizers as tok
+
+    return tok.path(secrets.VOCABULARY)
