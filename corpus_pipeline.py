@@ -29,7 +29,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn so that sources, languages and topics come near their target shares of tokens."""
-    return mixing.drawn(docs, flatten=FLATTEN)
+    return mixing.drawn(docs, flatten=FLATTEN, share=mixing.SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting. Built-in functions only.
 
 Tokens are summed in cells of (source, lang, topic); cell weights are raked until their sums meet the target
-marginals of all three; a document's chance of being drawn is its cell's calibrated ratio, scaled so that the
-largest is 1. Every decision then depends on the document alone, through a hash, so it is the same in every run.
+marginals of all three; a document's expected number of copies is its cell's calibrated ratio, scaled to a wanted
+share of all tokens (or, if none is given, so that the largest is 1). Every decision then depends on the document alone, through a hash, so it is the same in every run.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from loomwork.llm.common import checkpoint, read, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = 0.7  # target share of a category: its own share to this power, summed to 1
+SHARE = 0.9  # tokens wanted, as a share of all, copies included
 SWEEPS = 16
 CLOSE = 1e-6  # largest relative miss of a marginal at which raking ends
 SMALL = 20_000  # cells that may be broadcast
@@ -80,15 +81,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
     return state.drop(*(f"goal_{d}" for d in DIMENSIONS))
 
 
-def weighed(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0, flatten: float = FLATTEN) -> DataFrame:
-    """``docs`` with ``_mix_*`` columns: the parts, weight (raked over own tokens), probability and selected."""
+def weighed(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0, flatten: float = FLATTEN, share: float | None = None) -> DataFrame:
+    """``docs`` with ``_mix_*`` columns: the parts, weight (raked over own tokens), probability, copies and selected.
+
+    ``share``: the tokens to expect, copies included, as a share of all; a rare cell's documents then get copies instead of
+    all others being thinned out to it.
+    """
     parts = with_parts(docs, topic)
     keys = [f"_mix_{d}" for d in DIMENSIONS]
     cells = stored(parts.groupBy(*keys).agg(F.sum("_mix_tokens").alias("tokens")))
     ratios = rake(cells, targets, flatten).withColumn("_mix_weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)))
     most, n = ratios.agg(F.max("_mix_weight"), F.count("*")).first()
-    chance = F.least(F.lit(1.0), F.col("_mix_weight") / F.lit(most or 1.0))
-    ratios = ratios.select(*(F.col(k).alias(f"cell{k}") for k in keys), "_mix_weight", chance.alias("_mix_probability"))
+    rate = F.col("_mix_weight") / F.lit(most or 1.0) if share is None else F.col("_mix_weight") * F.lit(float(share))  # weighted tokens sum to all tokens
+    ratios = ratios.select(*(F.col(k).alias(f"cell{k}") for k in keys), "_mix_weight", rate.alias("_mix_rate"))
     same = [F.col(k).eqNullSafe(F.col(f"cell{k}")) for k in keys]
     if n <= SMALL:
         out = parts.join(F.broadcast(ratios), same, "left")
@@ -97,13 +102,16 @@ def weighed(docs: DataFrame, topic: Column | None = None, targets: dict[str, Dat
         spread = ratios.withColumn("cell_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = parts.withColumn("_mix_salt", salt).join(spread, [*same, F.col("_mix_salt") == F.col("cell_salt")], "left").drop("_mix_salt", "cell_salt")
     even = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return out.drop(*(f"cell{k}" for k in keys)).withColumn("_mix_selected", even < F.coalesce("_mix_probability", F.lit(0.0)))
+    rate = F.coalesce("_mix_rate", F.lit(0.0))
+    copies = F.floor(rate) + (even < rate - F.floor(rate)).cast("long")
+    out = out.withColumns({"_mix_probability": F.least(F.lit(1.0), F.col("_mix_rate")), "_mix_copies": copies})
+    return out.drop("_mix_rate", *(f"cell{k}" for k in keys)).withColumn("_mix_selected", F.col("_mix_copies") > 0)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Weight, chance and decision of every row of ``docs(doc_id, text, source, lang, ...)``.
 
-    Returns doc_id, source, lang, topic, n_tokens, weight, probability, selected. Options are those of ``weighed``. A
+    Returns doc_id, source, lang, topic, n_tokens, weight, probability, selected, copies. Options are those of ``weighed``. A
     null or empty text has no tokens and takes its cell's chance (none in a cell without tokens); null sources and
     languages are categories of their own; rows that repeat share one fate; ties can't occur; other columns are
     ignored; an empty table gives no rows.
@@ -115,13 +123,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.round("_mix_weight", 9).alias("weight"),
         F.round("_mix_probability", 9).alias("probability"),
         F.col("_mix_selected").alias("selected"),
+        F.col("_mix_copies").alias("copies"),
     )
 
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their own columns only."""
-    return weighed(docs, **options).where("_mix_selected").select(*docs.columns)
+    """The rows of ``docs`` that are drawn, as often as they have copies, with their own columns only."""
+    rows = weighed(docs, **options).where("_mix_selected")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))
+    return mix(read(spark, sf_dir, "documents"), share=SHARE)

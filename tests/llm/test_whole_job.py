@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomwork.llm import neardup, pii, secrets
+from loomwork.llm import mixing, neardup, pii, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,3 +89,18 @@ def secrets_path():
     import public_tokenizers as tok
 
     return tok.path(secrets.VOCABULARY)
+
+
+# --- mixing: a rare cell doesn't thin out all others
+
+
+def test_mixing_keeps_a_share_of_tokens_whatever_is_rare(spark):
+    rows = [(i, f"a b c d {i}", "en", f"s{i % 4}", 1) for i in range(4000)] + [(9000, "a b c d e", None, "odd", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(docs, share=0.9).collect()
+    tokens = sum(r.n_tokens for r in out)
+    assert sum(r.copies * r.n_tokens for r in out) == pytest.approx(0.9 * tokens, rel=0.05)
+    assert sum(r.selected for r in out) > 0.8 * len(out) > sum(r.selected for r in mixing.mix(docs).collect())
+    rare = next(r for r in out if r.doc_id == 9000)
+    assert rare.copies >= 2 and rare.probability == 1
+    assert sum(r.doc_id == 9000 for r in mixing.drawn(docs, share=0.9).collect()) == rare.copies
