@@ -1,16 +1,20 @@
 """HTML extraction by site template removal.
 
-Every page becomes a tree; each element's subtree is hashed; Spark counts on how many pages of its host a hash
-occurs; subtrees that recur across many pages of their host are deleted, and so are parts that say themselves
-that they aren't the article (menus, headers, footers, forms, notices, adverts, comments). What remains, block
-by block, is the main text.
+Every page becomes a tree; each element's subtree is hashed twice: exactly, and by its form alone (its path of tags
+and classes, and the kinds of blocks in it, with all text masked), so that a menu recurs though its words differ.
+Spark counts on how many distinct pages of its host a hash occurs; subtrees that recur across many of them are
+deleted. What a page marks as its article, or else the block that holds most of its letters outside links, is never
+deleted itself, and inside it only exact repeats are. Elements that HTML defines as no part of the text, and those
+that name themselves an advert, a comment or the like, go too: they are all there is on hosts of one page or two.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -19,49 +23,80 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import chunks, read, stored
 
-LEAST_PAGES = 3  # pages of a host that a template subtree occurs on, at least
-LEAST_SHARE = 0.2  # and the share of the host's pages
-INNER_PAGES, INNER_SHARE = 10, 0.5  # the same inside what a page marks as its article, where pages may quote each other
+LEAST_PAGES = 3  # distinct pages of a host that a template subtree occurs on, at least
+LEAST_SHARE = 0.2  # and the share of the host's distinct pages
+FORM_SHARE = 0.5  # the same for forms without text
+INNER_PAGES, INNER_SHARE = 10, 0.5  # the same for exact repeats inside the article, where pages may quote each other
 INNER_LETTERS = 30
-SMALL = 200_000  # template hashes that may be broadcast
+SMALL = 200_000  # template hashes that every worker may hold
+FORM, OUTER, INNER = range(3)  # kinds of hashes
 
 # Elements of HTML by what a reader sees of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
-NOT_TEXT = frozenset("head script style noscript template nav header footer aside form button select option textarea input dialog menu iframe object canvas audio video svg math title label fieldset noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
+UNSEEN = frozenset("head script style noscript template title noembed noframes".split())
+NOT_TEXT = UNSEEN | frozenset("nav header footer aside form button select option textarea input dialog menu iframe object canvas audio video svg math fieldset".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CELLS = frozenset("td th tr tbody thead tfoot caption li dt dd summary".split())
+PARTS = frozenset("nav header footer aside form dialog menu fieldset".split())  # blocks too
+BOXES = frozenset("div section center".split()) | PARTS  # what a form without text may be deleted for
+LISTS = frozenset("ul ol dl table p".split())  # the same where most of it is links
 CLOSES = {  # an opening tag that ends an open element of these kinds
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
 } | {b: {"p"} for b in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split()}
+ROWS = frozenset("tr thead tbody tfoot td th".split())  # those that end several
 SCOPE = frozenset("ul ol dl table div article section main body html td th blockquote aside nav header footer form".split())
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
-    r"comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pagination|pager|widget\w*|skip-link)(?:$|[\s_-])",
-    re.I,
-)
+BORDERS = {tag: SCOPE - ends for tag, ends in CLOSES.items()}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: An article that the page itself marks; its own class never counts as a sign against it.
+#: Whole class names and ids by which elements name themselves, in an article and, with more of them, outside.
+NAMED_INSIDE = frozenset("ad ads advert advertisement adslot sponsored comment comments comment-list commentlist comments-area disqus_thread share sharing social-share related related-posts newsletter".split())
+NAMED = NAMED_INSIDE | frozenset("banner promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies cookie-banner cookie-notice consent notice popup modal respond replies subscribe pagination pager widget search-form skip-link".split())
+#: What a page marks itself as its article; its own class never counts as a sign against it.
 KEPT = frozenset(("article", "main", "body", "html"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
+FIGURES = re.compile(r"[0-9]+")
+UNDISPLAYED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hash", "size")
+    __slots__ = ("tag", "attributes", "children", "up", "path", "hash", "form", "size", "plain", "titled", "inner", "guarded")
 
-    def __init__(self, tag: str, attributes: str) -> None:
-        self.tag, self.attributes, self.children, self.hash, self.size = tag, attributes, [], 0, 0
+    def __init__(self, tag: str, attributes: str, up: Node | None) -> None:
+        self.tag, self.children, self.up = tag, [], up
+        self.attributes: dict[str, str] = {}
+        if attributes:
+            for name, value in reversed(ATTRIBUTE.findall(attributes)):  # the first of a name counts
+                self.attributes[name.lower()] = value.strip("\"'")
+        self.path = self.hash = self.form = self.size = self.plain = 0  # size: letters; plain: those outside links
+        self.titled = self.inner = self.guarded = False
+
+    def named(self) -> str:
+        a = self.attributes
+        return SPACE.sub(" ", f"{a.get('class', '')}\0{a.get('id', '')}") if a else "\0"
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and texts (character references still in place). Never fails; unclosed elements end with their parent."""
-    root = Node("html", "")
+    """A tree of elements and texts (character references still in place). Never fails; unclosed elements end with their parent.
+
+    Where elements are open is kept by tag, so each tag costs the same however many are open.
+    """
+    root = Node("html", "", None)
     stack = [root]
+    open_at: dict[str, list[int]] = defaultdict(list)
     at, n = 0, len(page)
+
+    def shut(i: int) -> None:
+        for x in stack[i:]:
+            open_at[x.tag].pop()
+        del stack[i:]
+
+    def last(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -82,34 +117,28 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_at.get(tag):
+                shut(open_at[tag][-1])
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and open_at.get(tag):
             continue
         if ends := CLOSES.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if tag not in ("tr", "thead", "tbody", "tfoot", "td", "th"):
-                        break
-                elif stack[i].tag in SCOPE:
-                    break
-        node = Node(tag, m.group(3) or "")
+            if found := last(ends):
+                border = last(BORDERS[tag])
+                while found > border:
+                    shut(found)
+                    found = last(ends) if tag in ROWS else 0
+        text = m.group(3) or ""
+        node = Node(tag, text, stack[-1])
         stack[-1].children.append(node)
-        if tag in VOID or node.attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
+        if tag in VOID or text.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in PARTS:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            if end:
-                node.children.append(page[at : end.start()])
-                at = end.end()
-            else:
-                node.children.append(page[at:])
-                at = n
+            node.children.append(page[at : end.start()] if end else page[at:])
+            at = end.end() if end else n
             continue
+        open_at[tag].append(len(stack))
         stack.append(node)
     return root
 
@@ -123,53 +152,129 @@ def ordered(root: Node) -> list[Node]:
     return out
 
 
-def hashed(root: Node) -> list[Node]:
-    """Hash every subtree from below (tag, class and id, and children; white space doesn't count) and count its letters."""
+def measured(root: Node) -> list[Node]:
+    """All elements with path, hashes, letters and what is the article filled in; parents first."""
     nodes = ordered(root)
+    for node in nodes:
+        node.path = xxhash.xxh64_intdigest(f"{node.up.path if node.up else 0}\0{node.tag}\0{FIGURES.sub('', node.named())}")
     for node in reversed(nodes):
-        h = xxhash.xxh64(node.tag)
-        h.update("\0".join(SPACE.sub(" ", a[1]).strip("\"' ") for a in ATTRIBUTE.findall(node.attributes) if a[0].lower() in ("class", "id")) if node.attributes else "")
+        exact = xxhash.xxh64(f"{node.tag}\0{node.named()}")
+        forms: dict[int, None] = {}
         for c in node.children:
             if isinstance(c, Node):
-                h.update(c.hash.to_bytes(8, "little"))
+                exact.update(c.hash.to_bytes(8, "little"))
                 node.size += c.size
+                node.plain += c.plain
+                if c.form:
+                    forms[c.form] = None  # a menu of four entries has the form of one of six
+                node.titled = node.titled or c.titled
             else:
-                h.update(SPACE.sub(" ", c))
+                exact.update(SPACE.sub(" ", c))
                 node.size += len(c.strip())
-        node.hash = h.intdigest()
+                node.plain += len(c.strip())
+        node.hash = exact.intdigest()
+        if node.tag in BLOCKS or node.tag in PARTS or forms:  # words inside a block have no form
+            node.form = xxhash.xxh64_intdigest(f"{node.tag}\0{FIGURES.sub('', node.named())}\0{list(forms)}") | 1
+        if node.tag == "a" or node.tag in NOT_TEXT:
+            node.plain = 0
+        node.titled = node.titled or node.tag in ("h1", "h2")
+    for block in articles(root, nodes):
+        block.inner = True  # for now: where the inside begins
+        while block is not None and not block.guarded:
+            block.guarded, block = True, block.up
+    for node in nodes:
+        if node.up is not None:
+            node.inner = node.inner or node.up.inner
+    for node in nodes:
+        if node.guarded:
+            node.inner = False
     return nodes
 
 
-def may_recur(node: Node, inner: bool) -> bool:
-    """Whether a subtree may be a piece of template: a block of its own, no cell, no line of words inside a block; in an
-    article only one of some length, since short blocks and list items recur there by chance."""
-    return node.tag in BLOCKS - CELLS and node.tag not in KEPT and node.size >= (INNER_LETTERS if inner else 1)
+def articles(root: Node, nodes: list[Node]) -> list[Node]:
+    """The blocks that a page marks as its articles, if these hold a twentieth of its letters outside links; else the
+    innermost box that holds more than half of them."""
+    for tag in ("article", "main"):
+        some, outside = [], {id(root)}
+        for x in nodes[1:]:
+            if id(x.up) in outside and x.tag not in NOT_TEXT:
+                if x.tag == tag:
+                    some.append(x)
+                else:
+                    outside.add(id(x))
+        if sum(x.plain for x in some) * 20 > root.plain:
+            return some
+    node = root
+    while True:
+        into = next((c for c in node.children if isinstance(c, Node) and c.plain * 2 > node.plain and c.tag not in LISTS and (c.tag in BOXES or c.tag in CELLS or c.tag in KEPT)), None)
+        into = into or next((c for c in node.children if isinstance(c, Node) and c.tag == "table" and c.plain * 2 > node.plain), None)
+        if into is None:
+            return [node]
+        node = into
+
+
+class Page(NamedTuple):
+    nodes: list[Node]
+    marked: bool  # whether it says what its article is
+    most: int  # letters of the article outside links
+    guards: frozenset[int]  # forms of the article and of what it stands in
+
+
+def page_of(html: str | None) -> Page:
+    nodes = measured(parse(html or ""))
+    inmost = [x for x in nodes if x.guarded and not any(isinstance(c, Node) and c.guarded for c in x.children)]
+    return Page(nodes, any(x.tag in ("article", "main") for x in inmost), sum(x.plain for x in inmost), frozenset(form_key(x) for x in nodes if x.guarded))
+
+
+def article_key(page: Page) -> int:
+    """Pages of one article are one page, whatever stands around it."""
+    return xxhash.xxh64_intdigest(repr([x.hash for x in page.nodes if x.guarded and not any(isinstance(c, Node) and c.guarded for c in x.children)])) - (1 << 63)
+
+
+def form_key(node: Node) -> int:
+    return xxhash.xxh64_intdigest(f"{node.path}\0{node.form}", seed=FORM) - (1 << 63)
+
+
+def keys(node: Node, page: Page) -> list[tuple[int, int]]:
+    """(kind, hash) under which a subtree may be a piece of template: none for the article and what it stands in; in it only
+    for exact repeats of some length, since short blocks and list items recur there by chance, and none for most of it."""
+    if node.guarded or node.tag not in BLOCKS and node.tag not in PARTS:
+        return []
+    exact = node.tag not in CELLS and node.tag not in KEPT and node.size > 0
+    if node.inner:
+        return [(INNER, xxhash.xxh64_intdigest(node.hash.to_bytes(8, "little"), seed=INNER) - (1 << 63))] if exact and node.size >= INNER_LETTERS and node.plain * 2 <= page.most else []
+    out = []
+    if exact and (page.marked or node.plain * 2 <= page.most):
+        out.append((OUTER, xxhash.xxh64_intdigest(node.hash.to_bytes(8, "little"), seed=OUTER) - (1 << 63)))
+    if node.tag in BOXES and (node.tag in PARTS or not node.titled) or node.tag in LISTS and node.plain * 2 < node.size:
+        key = form_key(node)
+        if key not in page.guards and (page.marked or node.plain * 4 <= page.most):
+            out.append((FORM, key))
+    return out
 
 
 def unwanted(node: Node) -> bool:
-    """Whether the element says itself that it is no part of the article."""
+    """Whether HTML, or the element's own name, says that it is no part of the article."""
     if node.tag in NOT_TEXT:
         return True
-    if not node.attributes or node.tag in KEPT:
+    if not node.attributes or node.guarded:
         return False
-    for name, value in ATTRIBUTE.findall(node.attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NOT_ARTICLE.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+    a = node.attributes
+    named = NAMED_INSIDE if node.inner else NAMED
+    if named.intersection(f"{a.get('class', '')} {a.get('id', '')}".lower().split()):
+        return True
+    return a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(UNDISPLAYED.search(a.get("style", "")))
 
 
-def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
-    """Blocks in page order, white space inside each made one space, joined by one space.
+def text_of(page: Page, template: frozenset[int] | set[int]) -> tuple[str, int, int]:
+    """Blocks in page order, white space inside each made one space, joined by one space; and how many subtrees went as
+    template, and by what HTML or their names say.
 
     A header inside an article that holds its title (h1, h2) is kept.
     """
     blocks: list[str] = []
     line: list[str] = []
+    gone = named = 0
 
     def flush() -> None:
         if line:
@@ -178,10 +283,10 @@ def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
                 blocks.append(text)
             line.clear()
 
-    # an explicit stack: (node, index of its next child, whether in an article)
-    stack = [(root, iter(root.children), False)]
+    root = page.nodes[0]
+    stack = [(root, iter(root.children))]  # an explicit stack, for deep trees
     while stack:
-        node, rest, article = stack[-1]
+        node, rest = stack[-1]
         child = next(rest, None)
         if child is None:
             stack.pop()
@@ -194,27 +299,27 @@ def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
         if child.tag == "br":
             line.append(" ")
             continue
-        inside = article or child.tag in ("article", "main")
-        titled = article and child.tag == "header" and any(x.tag in ("h1", "h2") for x in ordered(child))
-        if not titled and unwanted(child):
-            if child.tag in BLOCKS or child.tag in ("nav", "header", "footer", "aside", "form"):
-                flush()
+        block = child.tag in BLOCKS or child.tag in PARTS
+        if child.tag in UNSEEN:
             continue
-        if child.hash in template and may_recur(child, inside):
+        if template and any(k in template for _, k in keys(child, page)):
+            gone += 1
             flush()
             continue
-        if child.tag in BLOCKS:
+        if not (child.inner and child.tag == "header" and child.titled) and unwanted(child):
+            named += 1
+            if block:
+                flush()
+            continue
+        if block:
             flush()
-        stack.append((child, iter(child.children), inside))
+        stack.append((child, iter(child.children)))
     flush()
-    return " ".join(blocks)
+    return " ".join(blocks), gone, named
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    root = parse(page or "")
-    if template:
-        hashed(root)
-    return text_of(root, template)
+    return text_of(page_of(page), template)[0]
 
 
 def host_of(url: Column) -> Column:
@@ -223,70 +328,73 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, hash, inner) once for each page and distinct subtree that holds text or elements; inner: in an article."""
+    """(host, article, found): each page's article and the distinct (kind, hash) of its subtrees that may be template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64())]))
         for whole in batches:
             for b in chunks(whole, "html"):
-                hosts, found = [], []
-                for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                    nodes = hashed(parse(page or ""))
-                    marked = {id(y) for x in nodes if x.tag in ("article", "main") for y in ordered(x)[1:]}
-                    seen: dict[int, bool] = {}
-                    for x in nodes:
-                        inner = id(x) in marked
-                        if may_recur(x, inner) and not unwanted(x):
-                            seen[x.hash] = seen.get(x.hash, True) and inner
-                    hosts.append(host)
-                    found.append([(h - (1 << 63), inner) for h, inner in seen.items()])
-                kind = pa.list_(pa.struct([("hash", pa.int64()), ("inner", pa.bool_())]))
-                found = [[{"hash": h, "inner": i} for h, i in x] for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, kind)], names=["host", "found"])
-
-    return pages.select("host", "html").mapInArrow(run, "host string, found array<struct<hash:bigint,inner:boolean>>").select("host", F.explode("found").alias("f")).select("host", "f.*")
+                names, found = [], []
+                for text in b.column("html").to_pylist():
+                    page = page_of(text)
+                    names.append(article_key(page))
+                    some = sorted({k for x in page.nodes for k in keys(x, page) if x.tag not in UNSEEN})
+                    found.append([{"kind": k, "hash": h} for k, h in some])
+                yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(names, pa.int64()), pa.array(found, kind)], names=["host", "article", "found"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, article bigint, found array<struct<kind:int,hash:bigint>>")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash) of subtrees that recur across many pages of their host.
+    """(host, hash) of subtrees that recur across many distinct pages of their host; pages of one article count once.
 
     As each takes a share of the host's pages, a host has at most (mean subtrees of a page / ``share``) of them.
     """
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = subtrees(pages).groupBy("host", "hash").agg(F.count("*").alias("n"), F.bool_and("inner").alias("inner")).where(F.col("n") >= least_pages)
-    outer = F.col("n") >= F.col("pages") * share
-    inner = (F.col("n") >= INNER_PAGES) & (F.col("n") >= F.col("pages") * INNER_SHARE)
-    return counts.join(sizes, "host").where(F.when(F.col("inner"), inner).otherwise(outer)).select("host", "hash")
+    each = stored(subtrees(pages).groupBy("host", "article").agg(F.min("found").alias("found")))
+    sizes = each.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = each.select("host", F.explode("found").alias("f")).groupBy("host", "f.kind", "f.hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    least = F.when(F.col("kind") == FORM, FORM_SHARE).when(F.col("kind") == OUTER, share).otherwise(INNER_SHARE)
+    enough = (F.col("n") >= F.col("pages") * least) & ((F.col("kind") != INNER) | (F.col("n") >= INNER_PAGES))
+    return counts.join(sizes, "host").where(enough).select("host", "hash")
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = LEAST_SHARE, counts: bool = False) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html, ...)``.
 
-    A null html counts as empty (text empty); pages without a host share one; rows that repeat count as pages each and
-    get the same text; broken markup is read as far as it goes; other columns are ignored; an empty table gives no rows.
+    A null html counts as empty (text empty); pages without a host share one; rows that repeat, and pages of one article
+    under several addresses, count as one page and each get their text; broken markup is read as far as it goes; other
+    columns are ignored; an empty table gives no rows. With ``counts``, n_template and n_named count the subtrees that were
+    deleted because they recur, and because of what HTML or their names say. A notice without an article beside it that is marked
+    as such, and longer than all else on its page, is taken for the article.
     """
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url")).alias("host"))
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     known = stored(templates(slim, least_pages, share))
-    by_host = known.groupBy("host").agg(F.collect_list("hash").alias("template"))  # bounded, see templates()
-    if known.limit(SMALL + 1).count() <= SMALL:
-        joined = slim.join(F.broadcast(by_host), "host", "left")
+    few = known.limit(SMALL + 1).collect()  # bounded; beyond the bound they are joined
+    held = None
+    if len(few) <= SMALL:
+        by_host = defaultdict(set)
+        for r in few:
+            by_host[r.host].add(r.hash)
+        held = pages.sparkSession.sparkContext.broadcast(dict(by_host))
+        joined = slim.withColumn("template", F.lit(None).cast("array<bigint>"))
     else:  # hosts may hold a third of the pages
         salts = 64
-        spread = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        arrays = known.groupBy("host").agg(F.collect_list("hash").alias("template"))  # bounded, see templates()
+        spread = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, "html"):
-                texts, cache = [], {}
+                rows = []
                 for host, page, template in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template")):
-                    if host not in cache:
-                        cache[host] = frozenset(h + (1 << 63) for h in template.as_py() or ())
-                    texts.append(main_text(page, cache[host]))
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                    rows.append(text_of(page_of(page), held.value.get(host, frozenset()) if held else frozenset(template.as_py() or ())))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *cols], names=["page_id", "url", "text", "n_template", "n_named"])
 
-    out = joined.select("page_id", "url", "host", "html", "template").mapInArrow(run, "page_id bigint, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    out = joined.select("page_id", "url", "host", "html", "template").mapInArrow(run, "page_id bigint, url string, text string, n_template bigint, n_named bigint")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), *(["n_template", "n_named"] if counts else []))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(read(spark, sf_dir, "pages"))
+    return extract(read(spark, sf_dir, "pages"), counts=True)
