@@ -16,15 +16,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is set.
+    Only on one machine (master ``local``), as in tests, a temporary folder is set where it is unset; elsewhere
+    executors would write where nobody reads, so that is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base and context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    if not base and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return (base or context.getCheckpointDir()).rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -34,11 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
     Column pruning and pushdown then work on it, which they don't on a checkpoint.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,23 +67,68 @@ def utf8_bytes(column: str) -> F.Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 
 
+HOT = 256  # rows of one key that may meet in a task, at least
+MOST_HOT = 50_000  # keys that can be hot at once
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key, pieces) of the keys that hold too many of ``rows`` for one task; None where there are none.
+
+    A key is hot beyond HOT rows and beyond a MOST_HOT-th of all rows, so there are at most MOST_HOT of them at any size
+    of input: few enough to be broadcast.
+    """
+    n = rows.count()
+    if n <= HOT:
+        return None
+    limit = max(HOT, n // MOST_HOT)
+    hot = stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / limit).cast("int").alias("_pieces")))
+    return hot if hot.limit(1).count() else None
+
+
+def dealt(rows: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``_piece``: 0, or for a hot key one of its pieces by the hash of ``by``."""
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    return met.withColumn("_piece", F.pmod(F.xxhash64(by), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_hot", "_pieces")
+
+
+def copied(facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``facts``, a row or few a key, once for each piece of a hot key."""
+    met = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    return met.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_hot", "_pieces")
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", hot: DataFrame | None | str = "count") -> DataFrame:
+    """Join ``rows`` to ``facts`` (a row or few a key) on ``key``; hot keys of ``rows`` are split by the hash of ``by``.
+
+    ``hot``: what ``hot_keys`` gave, if that is known already. Null keys meet nothing and are kept apart.
+    """
+    hot = hot_keys(rows, key) if isinstance(hot, str) else hot
+    some = rows.where(F.col(key).isNotNull())
+    met = some.join(facts, key, how) if hot is None else dealt(some, key, hot, by).join(copied(facts, key, hot), [key, "_piece"], how).drop("_piece")
+    if how != "left":
+        return met
+    return met.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
     ``edges(a, b)``: one row or more per link, any order, same type. Returns ``(node, component)`` for
     every node that has a link; the component is its smallest node. Each round takes the smallest label
     among neighbours and then jumps to that label's own label, so the rounds grow with the logarithm of
-    the longest chain. All state stays in Spark; each round is checkpointed.
+    the longest chain. All state stays in Spark; each round is checkpointed. The links of a node that has
+    very many, and the nodes of a very large component, are dealt over several tasks.
     """
-    both = checkpoint(
+    both = stored(
         edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct().select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct()
     )
+    stars = hot_keys(both, "b")
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a", hot=stars).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = checkpoint(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new")))
         parent = labels.select(F.col("node").alias("new"), F.col("component").alias("up"))
-        jumped = checkpoint(lower.join(parent, "new", "left").select("node", "old", F.least("new", "up").alias("component")))
+        jumped = checkpoint(salted_join(lower, parent, "new", "node", "left").select("node", "old", F.least("new", "up").alias("component")))
         moved = jumped.where("component <> old").limit(1).count()
         labels = jumped.select("node", "component")
         if not moved:

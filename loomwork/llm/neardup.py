@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import checkpoint, chunks, components, read, stored
+from loomwork.llm.common import checkpoint, chunks, components, hot_keys, read, salted_join, stored
 
 WIDTH = 5  # words in a shingle
 LINK = (85, 100)
@@ -145,7 +145,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.view("i8") for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"]).filter(same)
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) text_key")
-    texts = rows.join(wanted.drop("text_key"), "doc_id").select("node", "text")
+    texts = rows.join(wanted, ["doc_id", "text_key"]).select("node", "text")
     nameless = rows.where("doc_id is null").dropDuplicates(["text_key"]).drop("doc_id")  # found by their text
     texts = texts.unionByName(nameless.join(wanted.where("doc_id is null").drop("doc_id"), "text_key").select("node", "text"))
     return texts.mapInArrow(run, "node string, shingles array<bigint>")
@@ -157,8 +157,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, link: tuple[int, int]) -> DataF
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    # the hubs (b) meet last: their sets aren't shuffled once a pair
-    return checkpoint(pairs.join(left, "a").join(right, "b").where(both * link[1] >= union * link[0]).select("a", "b"))
+    # the hubs (b) meet last: their sets aren't shuffled once a pair; the pairs of a hub that has very many are dealt out
+    hot = hot_keys(pairs, "b")
+    return checkpoint(salted_join(pairs.join(left, "a"), right, "b", "a", hot=hot).where(both * link[1] >= union * link[0]).select("a", "b"))
 
 
 def near_enough(m: str, n: str, link: tuple[int, int]) -> F.Column:
@@ -169,15 +170,14 @@ def near_enough(m: str, n: str, link: tuple[int, int]) -> F.Column:
 def open_links(members: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components.
 
-    ``members(band, bucket, node, n, sig, bands, shingles, component, hub)``. A bucket of m members is cut into blocks of
+    ``members(band, bucket, m, node, n, sig, bands, shingles, component, hub)``. A bucket of m members is cut into blocks of
     BLOCK, and every pair of blocks is one group: no task holds more than two blocks, and all pairs are looked at, each
     in the first band that it shares. Pairs are compared on signatures, then confirmed on full sets in the same task, and
     only links that join two components there are given out, fewer than the task has rows.
     """
     (part, whole), floor = plan.link, plan.floor
-    size = members.groupBy("bucket").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = members.join(size, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("m", "blocks", "other")
 
@@ -231,32 +231,36 @@ def grouped(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     plan = plan_of(link)
     each = stored(sketches(docs, plan))
     # one row a distinct set from here on
-    classes = stored(each.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = stored(each.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("node", "row.doc_id", "row.text_key", "n", "sig", "bands"))
     places = classes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select("node", "n", "band", F.xxhash64("band", "hash").alias("bucket"))
     # buckets of two members or more; of buckets with the same members only the one of the lowest band
     mix = F.xxhash64("node").cast("decimal(38,0)")
     crowd = places.groupBy("bucket").agg(F.count("*").alias("m"), F.min("band").alias("band"), F.sum(mix).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
     single = crowd.groupBy("m", "s", "x").agg(F.min(F.struct("band", "bucket")).alias("first")).select(F.col("first.bucket").alias("bucket"), "m")
-    shared = stored(places.join(single, "bucket"))
+    hot = hot_keys(places, "bucket")
+    shared = stored(salted_join(places, single, "bucket", "node", hot=hot))
     reach = shared.groupBy("node").agg(F.sum("m").alias("reach"))
     ranked = shared.join(reach, "node").withColumn("rank", F.struct(F.col("reach"), "node", "n"))
-    hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = stored(shared.select("bucket", "band", "node", "n").join(hubs, "bucket"))
+    hubs = stored(ranked.groupBy("bucket").agg(F.max("rank").alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")))
+    stars = stored(salted_join(shared.select("bucket", "band", "node", "n"), hubs, "bucket", "node", hot=hot))
     sets = stored(shingle_sets(docs, classes.select("node", "doc_id", "text_key").join(stars.select("node").distinct(), "node")))
     first = stars.where((F.col("node") != F.col("hub")) & near_enough("n", "hub_n", link)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = confirmed(first, sets, link)
+    links = confirmed(stored(first), sets, link)
     labels = components(links)
     # what the hubs left open
     at = stars.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("hub")).alias("hub"))
     torn = at.where("not hub").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    members = at.join(torn, "bucket").where("not hub").join(classes.select("node", "n", "sig", "bands"), "node").join(sets, "node")
+    inside = stored(salted_join(at, torn, "bucket", "node", hot=hot).where("not hub"))
+    crowds = inside.groupBy("bucket").agg(F.count("*").alias("m"))
+    members = salted_join(inside, crowds, "bucket", "node", hot=hot).join(classes.select("node", "n", "sig", "bands"), "node").join(sets, "node")
     more = checkpoint(open_links(members, plan))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    ids = classes.select(F.col("node").alias("set_key"), "doc_id").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    ids = stored(classes.select(F.col("node").alias("set_key"), "doc_id").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key")))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    owner = ids.join(smallest, "component").select("set_key", "component", "component_id")
-    return each.select("doc_id", "text_key", "n_shingles", "set_key").join(owner, "set_key", "left").drop("set_key")
+    owner = stored(salted_join(ids, smallest, "component", "set_key").select("set_key", "component", "component_id"))
+    rows = each.select("doc_id", "text_key", "n_shingles", "set_key")
+    return salted_join(rows, owner, "set_key", "doc_id", "left").drop("set_key")
 
 
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
