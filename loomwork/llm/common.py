@@ -115,8 +115,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``edges(a, b)``: one row or more per link, any order, same type. Returns ``(node, component)`` for
     every node that has a link; the component is its smallest node. Each round takes the smallest label
-    among neighbours and then jumps to that label's own label, so the rounds grow with the logarithm of
-    the longest chain. All state stays in Spark; each round is checkpointed. The links of a node that has
+    among neighbours, gives it to the node that the old label names too, and then jumps to the label's own
+    label, so the rounds grow with the logarithm of the longest chain. All state stays in Spark; each round is checkpointed. The links of a node that has
     very many, and the nodes of a very large component, are dealt over several tasks.
     """
     both = stored(
@@ -126,9 +126,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(most_rounds):
         near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a", hot=stars).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = checkpoint(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new")))
-        parent = labels.select(F.col("node").alias("new"), F.col("component").alias("up"))
-        jumped = checkpoint(salted_join(lower, parent, "new", "node", "left").select("node", "old", F.least("new", "up").alias("component")))
+        lower = stored(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new")))
+        hooks = lower.where("new < old").groupBy(F.col("old").alias("node")).agg(F.min("new").alias("hook"))
+        hooked = checkpoint(lower.join(hooks, "node", "left").select("node", "old", F.least("new", "hook").alias("new")))
+        parent = hooked.select(F.col("node").alias("new"), F.col("new").alias("up"))
+        jumped = checkpoint(salted_join(hooked, parent, "new", "node", "left").select("node", "old", F.least("new", "up").alias("component")))
         moved = jumped.where("component <> old").limit(1).count()
         labels = jumped.select("node", "component")
         if not moved:
