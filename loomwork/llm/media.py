@@ -11,6 +11,7 @@ the luminance DC coefficients alone.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -29,6 +30,7 @@ BLOCK = 64
 CATEGORY = 9
 PLUS = 256  # 256 to 511 is category 9
 MOST = 8191  # units in a row: 65535 pixels
+PAYLOAD = re.compile(rb"payload ([0-9]+)")
 
 
 class Frame(NamedTuple):
@@ -325,28 +327,71 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def decoded(files: list[bytes | None]) -> list[tuple[Frame, np.ndarray] | str]:
+    """Each file's frame and coefficients, or why there are none. One bad file doesn't touch the others."""
+    broken = (ValueError, IndexError, KeyError, struct.error)
+    out: list = ["null" if x is None else "" for x in files]
+    sound = []
+    for i, x in enumerate(files):
+        if x is not None:
+            try:
+                f = parse(x)
+                if int(np.prod(unit_counts(f))) > 4 * len(x):  # a block takes two bits at least
+                    raise ValueError("the scan ends early")
+                sound.append(i)
+            except (*broken, ZeroDivisionError) as e:
+                out[i] = str(e) or "unreadable"
+    try:
+        for i, got in zip(sound, decode([files[i] for i in sound])):
+            out[i] = got
+    except broken:
+        for i in sound:
+            try:
+                out[i] = decode([files[i]])[0]
+            except broken as e:
+                out[i] = str(e) or "unreadable"
+    return out
+
+
+def payload_in(f: Frame, coefficients: np.ndarray) -> bytes | None:
+    """The payload of a file that ``encode`` wrote; None in any other file."""
+    stated = PAYLOAD.fullmatch(f.comment)
+    if not stated or coefficients.shape[1:] != (3, BLOCK) or coefficients.min() < PLUS or coefficients.max() > PLUS + 255:
+        return None
+    return (coefficients.ravel() - PLUS).astype("u1").tobytes()[: int(stated.group(1))]
+
+
 def features(media: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """What the stored files of ``media(doc_id, n_bytes, media)`` say when they are read back.
+    """What the stored files of ``media(doc_id, n_bytes, media, ...)`` say when they are read back.
 
-    payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes, media_sha256, width, height and
-    feature: ``<width>x<height>:<hash of the DC-only thumbnail>``; with ``keep_payload`` also the payload.
+    payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes, media_sha256, width, height,
+    feature (``<width>x<height>:<hash of the DC-only thumbnail>``) and error; with ``keep_payload`` also the payload. The
+    payload columns are null for files that hold none (any other baseline JPEG). A null, broken or foreign file gives a row
+    with nulls and says why in ``error``, which is null otherwise; repeated files give repeated rows; other columns
+    are ignored; an empty table gives none.
     """
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int" + ", payload binary" * keep_payload
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int, error string" + ", payload binary" * keep_payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, "media", 2 << 20):
                 files = b.column("media").to_pylist()
                 rows = []
-                for file, (f, c) in zip(files, decode(files)):
-                    payload = (c.ravel() - PLUS).astype("u1").tobytes()[: int(f.comment.split()[1])]
-                    row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), f"{f.width}x{f.height}:{average_hash(thumbnail(f, c))}", f.width, f.height]
-                    rows.append(row + [payload] * keep_payload)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "payload"]
+                for file, got in zip(files, decoded(files)):
+                    stored_as = [None, None] if file is None else [len(file), hashlib.sha256(file).hexdigest()]
+                    if isinstance(got, str):
+                        rows.append([None, None, None, *stored_as, None, None, None, got] + [None] * keep_payload)
+                        continue
+                    f, c = got
+                    payload = payload_in(f, c)
+                    said = [None] * 3 if payload is None else [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])]
+                    rows.append([*said, *stored_as, f"{f.width}x{f.height}:{average_hash(thumbnail(f, c))}", f.width, f.height, None] + [payload] * keep_payload)
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "error", "payload"]
                 cols = [b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))]
                 yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
 
-    return media.mapInArrow(run, schema)
+    return media.selectExpr("cast(doc_id as bigint) doc_id", "cast(n_bytes as bigint) n_bytes", "media").mapInArrow(run, schema)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ from loomwork.llm.common import checkpoint, read, stored
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = 0.7  # target share of a category: its own share to this power, summed to 1
 SHARE = 0.9  # tokens wanted, as a share of all, copies included
-SWEEPS = 16
+SWEEPS = 42  # at most; what is left then is told as _mix_miss
+AT_ONCE = 3  # sweeps a job
 CLOSE = 1e-6  # largest relative miss of a marginal at which raking ends
 SMALL = 20_000  # cells that may be broadcast
 SALTS = 64
@@ -53,7 +54,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
 
     ``cells(_mix_source, _mix_lang, _mix_topic, tokens)``. ``targets``: by dimension a table (value, share); where there is
     none, each category's own share to the power ``flatten``. Shares are scaled to sum to 1 over the categories that
-    have tokens; a category without a target keeps its own share. A null category is one of its own.
+    have tokens; a category without a target keeps its own share. A null category is one of its own. ``miss`` is the largest
+    relative miss of a marginal that is left: under CLOSE, or more if ``sweeps`` don't suffice or the targets contradict
+    each other (cells without tokens stay empty).
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -70,19 +73,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten:
         share = own.select(F.col(name).alias("value"), (F.col("raw") / scale * total).alias(f"goal_{d}"))
         state = state.join(share, F.col(name).eqNullSafe(F.col("value"))).drop("value")
     state = checkpoint(state)
-    for sweep in range(sweeps):
-        for d in DIMENSIONS:
+    miss = 0.0
+    for done in range(0, sweeps, AT_ONCE):
+        for d in DIMENSIONS * min(AT_ONCE, sweeps - done):
             at = F.sum("weight").over(Window.partitionBy(f"_mix_{d}"))
             state = state.withColumn("weight", F.when(at > 0, F.col("weight") * F.col(f"goal_{d}") / at).otherwise(F.lit(0.0)))
         state = checkpoint(state)
         misses = [F.abs(F.sum("weight").over(Window.partitionBy(f"_mix_{d}")) / F.nullif(F.col(f"goal_{d}"), F.lit(0.0)) - 1) for d in DIMENSIONS[:-1]]  # the last was met just now
-        if (state.select(F.greatest(*misses).alias("miss")).agg(F.max("miss")).first()[0] or 0.0) < CLOSE:
+        miss = state.select(F.greatest(*misses).alias("miss")).agg(F.max("miss")).first()[0] or 0.0
+        if miss < CLOSE:
             break
-    return state.drop(*(f"goal_{d}" for d in DIMENSIONS))
+    return state.drop(*(f"goal_{d}" for d in DIMENSIONS)).withColumn("miss", F.lit(float(miss)))
 
 
 def weighed(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 0, flatten: float = FLATTEN, share: float | None = None) -> DataFrame:
-    """``docs`` with ``_mix_*`` columns: the parts, weight (raked over own tokens), probability, copies and selected.
+    """``docs`` with ``_mix_*`` columns: the parts, weight (raked over own tokens), probability, copies, selected and miss.
 
     ``share``: the tokens to expect, copies included, as a share of all; a rare cell's documents then get copies instead of
     all others being thinned out to it.
@@ -93,7 +98,7 @@ def weighed(docs: DataFrame, topic: Column | None = None, targets: dict[str, Dat
     ratios = rake(cells, targets, flatten).withColumn("_mix_weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)))
     most, n = ratios.agg(F.max("_mix_weight"), F.count("*")).first()
     rate = F.col("_mix_weight") / F.lit(most or 1.0) if share is None else F.col("_mix_weight") * F.lit(float(share))  # weighted tokens sum to all tokens
-    ratios = ratios.select(*(F.col(k).alias(f"cell{k}") for k in keys), "_mix_weight", rate.alias("_mix_rate"))
+    ratios = ratios.select(*(F.col(k).alias(f"cell{k}") for k in keys), "_mix_weight", rate.alias("_mix_rate"), F.col("miss").alias("_mix_miss"))
     same = [F.col(k).eqNullSafe(F.col(f"cell{k}")) for k in keys]
     if n <= SMALL:
         out = parts.join(F.broadcast(ratios), same, "left")
@@ -111,7 +116,7 @@ def weighed(docs: DataFrame, topic: Column | None = None, targets: dict[str, Dat
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Weight, chance and decision of every row of ``docs(doc_id, text, source, lang, ...)``.
 
-    Returns doc_id, source, lang, topic, n_tokens, weight, probability, selected, copies. Options are those of ``weighed``. A
+    Returns doc_id, source, lang, topic, n_tokens, weight, probability, selected, copies, miss (of the raking). Options are those of ``weighed``. A
     null or empty text has no tokens and takes its cell's chance (none in a cell without tokens); null sources and
     languages are categories of their own; rows that repeat share one fate; ties can't occur; other columns are
     ignored; an empty table gives no rows.
@@ -124,6 +129,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.round("_mix_probability", 9).alias("probability"),
         F.col("_mix_selected").alias("selected"),
         F.col("_mix_copies").alias("copies"),
+        F.round("_mix_miss", 9).alias("miss"),
     )
 
 

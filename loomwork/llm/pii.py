@@ -163,7 +163,7 @@ def cleaned(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, with_text: bool = False, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Personal data and disclosing terms of every whole text of ``docs(doc_id, text, ...)``.
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans and, ``with_text``, clean_text. Terms are
+    Returns doc_id, n_email, n_ip, n_card, n_phone, n_base (all four), n_terms, base_sha256, spans and, ``with_text``, clean_text. Terms are
     compared in lower case and marked wherever they stand, in any row. A null text counts as empty; texts that repeat count
     once; a term that discloses several entities takes the highest degree; other columns are
     ignored; an empty table gives no rows.
@@ -190,6 +190,7 @@ def sanitise(docs: DataFrame, with_text: bool = False, support: int = SUPPORT, g
     every_span = F.array_sort(F.concat("base", "terms"))
     out = rows.select(
         "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
+        F.size("base").cast("long").alias("n_base"),
         F.size("terms").cast("long").alias("n_terms"),
         F.sha2(label(F.col("base")), 256).alias("base_sha256"),
         label(every_span).alias("spans"),
