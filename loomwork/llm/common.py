@@ -71,13 +71,13 @@ HOT = 256  # rows of one key that may meet in a task, at least
 MOST_HOT = 50_000  # keys that can be hot at once
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """(key, pieces) of the keys that hold too many of ``rows`` for one task; None where there are none.
+def hot_keys(rows: DataFrame, key: str, n: int | None = None) -> DataFrame | None:
+    """(key, pieces) of the keys that hold too many of the ``n`` ``rows`` for one task; None where there are none.
 
     A key is hot beyond HOT rows and beyond a MOST_HOT-th of all rows, so there are at most MOST_HOT of them at any size
     of input: few enough to be broadcast.
     """
-    n = rows.count()
+    n = rows.count() if n is None else n
     if n <= HOT:
         return None
     limit = max(HOT, n // MOST_HOT)
@@ -124,15 +124,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     stars = hot_keys(both, "b")
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    n = labels.count()
     for _ in range(most_rounds):
         near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a", hot=stars).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = stored(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new")))
+        if not lower.where("new < old").limit(1).count():
+            return labels
         hooks = lower.where("new < old").groupBy(F.col("old").alias("node")).agg(F.min("new").alias("hook"))
-        hooked = checkpoint(lower.join(hooks, "node", "left").select("node", "old", F.least("new", "hook").alias("new")))
+        hooked = checkpoint(lower.join(hooks, "node", "left").select("node", F.least("new", "hook").alias("new")))
         parent = hooked.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        jumped = checkpoint(salted_join(hooked, parent, "new", "node", "left").select("node", "old", F.least("new", "up").alias("component")))
-        moved = jumped.where("component <> old").limit(1).count()
-        labels = jumped.select("node", "component")
-        if not moved:
-            return labels
+        labels = checkpoint(salted_join(hooked, parent, "new", "node", "left", hot=hot_keys(hooked, "new", n)).select("node", F.least("new", "up").alias("component")))
     raise RuntimeError("components did not settle")

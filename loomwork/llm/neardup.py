@@ -225,6 +225,17 @@ def open_links(members: DataFrame, plan: Plan) -> DataFrame:
     return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a string, b string")
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after the links ``more(a, b)``: components of components, which are few."""
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    ends = more.join(known, "a", "left").join(known.toDF("b", "y"), "b", "left")
+    ends = stored(ends.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+    top = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("component", "top")
+    fresh = ends.select(F.explode(F.array(F.struct("a", "x"), F.struct(F.col("b").alias("a"), F.col("y").alias("x")))).alias("e")).select("e.*").where("a = x").distinct().toDF("node", "component")
+    every = stored(labels.unionByName(fresh.join(labels, "node", "left_anti")))
+    return checkpoint(salted_join(every, top, "component", "node", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
 def grouped(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """(doc_id, text_key, n_shingles, component, component_id) of each row: its text's digest, the component's own key (null
     without shingles) and its smallest doc_id. Rows are linked as in ``near_duplicates``."""
@@ -255,7 +266,7 @@ def grouped(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     members = salted_join(inside, crowds, "bucket", "node", hot=hot).join(classes.select("node", "n", "sig", "bands"), "node").join(sets, "node")
     more = checkpoint(open_links(members, plan))
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = joined(labels, more)
     ids = stored(classes.select(F.col("node").alias("set_key"), "doc_id").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key")))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     owner = stored(salted_join(ids, smallest, "component", "set_key").select("set_key", "component", "component_id"))
