@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import terms as t
+from loomwork.sources.files import small
 
 # The months in which a season's first class may be.
 MONTHS = {"Fall": (8, 11), "Spring": (1, 4), "Summer": (5, 7)}
@@ -67,7 +68,7 @@ def calendar_problems(terms: DataFrame, no_class: DataFrame) -> DataFrame:
     bad_terms = terms.withColumn("before", F.lag("start_date").over(order)).select(
         "term", "pos", F.lit(None).cast("string").alias("label"), codes((F.col("start_date") >= F.col("end_date"), "reversed_term"), (F.col("before") >= F.col("start_date"), "terms_out_of_order")).alias("problem")
     )
-    entries = no_class.join(F.broadcast(terms.select("term", "start_date", "end_date")), "term", "left")
+    entries = no_class.join(small(terms.select("term", "start_date", "end_date")), "term", "left")
     lo, hi = F.coalesce("day", "date_start"), F.coalesce("day", "date_end")
     bad_entries = entries.select("term", "pos", "label", codes((lo.isNull() | hi.isNull(), "no_date"), (lo > hi, "reversed_span"), ((lo < F.col("start_date")) | (hi > F.col("end_date")), "outside_term"), (F.col("start_date").isNull(), "unknown_term")).alias("problem"))
     return bad_terms.unionByName(bad_entries).where("problem <> ''")

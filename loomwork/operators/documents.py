@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,19 +82,20 @@ def repack(blocks: DataFrame, most: int = 12_000) -> DataFrame:
     @F.pandas_udf("array<int>")
     def parts(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(b: list) -> list[int]:
-            out, part, size, start = [], 0, 0, 0
+            upto = [0, *itertools.accumulate(x["n"] for x in b)]
+            out, part, start, head = [], 0, 0, 0  # head: the last heading behind the part's start
             for i, x in enumerate(b):
-                n = x["n"]
-                if size and size + n > most:
-                    heads = [j for j in range(start + 1, i) if b[j]["is_heading"] and sum(y["n"] for y in b[start:j]) * 2 >= size]
-                    cut = heads[-1] if heads else i
+                size = upto[i] - upto[start]
+                if size and size + x["n"] > most:
+                    cut = head if head > start and (upto[head] - upto[start]) * 2 >= size else i
                     part += 1
                     out[cut:] = [part] * (i - cut)
-                    start, size = cut, sum(y["n"] for y in b[cut:i])
-                    if size and size + n > most:
-                        part, start, size = part + 1, i, 0
+                    start = cut
+                    if upto[i] > upto[start] and upto[i + 1] - upto[start] > most:
+                        part, start = part + 1, i
                 out.append(part)
-                size += n
+                if x["is_heading"] and i > 0:
+                    head = i
             return out
 
         for c in columns:

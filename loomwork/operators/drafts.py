@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.files import small
+
 ORDER = ("quiz", "discussion", "rubric", "summary")
 
 
@@ -52,20 +54,26 @@ def missing_variables(templates: DataFrame, required: DataFrame) -> DataFrame:
     """Required variables that a template doesn't name; ``templates(template_id, content_type, text)``."""
     named = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\{([a-z_]+)\}"), F.lit(1)))
     gone = F.array_sort(F.array_except("variables", named))
-    return templates.join(F.broadcast(required), "content_type").withColumn("missing", gone).where(F.size("missing") > 0).select("template_id", "content_type", F.array_join("missing", ",").alias("missing"))
+    return templates.join(small(required), "content_type").withColumn("missing", gone).where(F.size("missing") > 0).select("template_id", "content_type", F.array_join("missing", ",").alias("missing"))
 
 
 def prompts(requests: DataFrame, weeks: DataFrame, sources: DataFrame, templates: DataFrame, budget: int = 24_000) -> DataFrame:
     """The prompt of each request, filled in one pass, so values with braces stay as they are.
 
-    ``requests(request_id, course_id, content_type, week_number)``, ``sources(course_id, pos, name, text)``: each is cut to the
-    budget before anything is joined; ``templates(content_type, text)``. Unknown braces are kept.
+    ``requests(request_id, course_id, content_type, week_number)``, ``sources(course_id, pos, name, text)``: all of a course, in
+    order, share one budget of characters, and no more than that is gathered; ``templates(content_type, text)``. Unknown
+    braces are kept. Sources without text are left out.
     """
-    cut = sources.withColumn("kept", F.substring("text", 1, budget)).withColumn("gone", F.length("text") - F.length("kept"))
-    piece = F.concat(F.lit("### "), "name", F.lit("\n"), "kept", F.when(F.col("gone") > 0, F.concat(F.lit("\n[... "), "gone", F.lit(" characters omitted]"))).otherwise(F.lit("")))
-    context = cut.groupBy("course_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+    ahead = Window.partitionBy("course_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    piece = F.concat(F.when(F.row_number().over(Window.partitionBy("course_id").orderBy("pos")) > 1, F.lit("\n\n")).otherwise(F.lit("")), F.lit("### "), "name", F.lit("\n"), "text")
+    placed = sources.where("text is not null").withColumn("piece", piece).withColumn("start", F.coalesce(F.sum(F.length("piece")).over(ahead), F.lit(0)))
+    # lengths of all, texts of those only that begin inside the budget
+    inside = placed.select("course_id", "pos", (F.col("start") + F.length("piece")).alias("end"), F.when(F.col("start") < budget, F.substring("piece", F.lit(1), (budget - F.col("start")).cast("int"))).alias("kept"))
+    whole = inside.groupBy("course_id").agg(F.max("end").alias("length"), F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("pos", "kept")))).alias("pieces"))
+    gone = F.col("length") - budget
+    context = whole.select("course_id", F.concat(F.array_join(F.transform("pieces", lambda x: x["kept"]), ""), F.when(gone > 0, F.concat(F.lit("\n[... "), gone.cast("string"), F.lit(" characters omitted]"))).otherwise(F.lit(""))).alias("context"))
     week = merged_weeks(weeks).select("course_id", "week_number", F.array_join("topics", ", ").alias("topics"), F.array_join("assignments", ", ").alias("assignments"))
-    rows = requests.join(week, ["course_id", "week_number"], "left").join(context, "course_id", "left").join(F.broadcast(templates.withColumnRenamed("text", "template")), "content_type")
+    rows = requests.join(week, ["course_id", "week_number"], "left").join(context, "course_id", "left").join(small(templates.withColumnRenamed("text", "template")), "content_type")
     values = F.create_map(*[x for n in ("week_number", "topics", "assignments", "context") for x in (F.lit(n), F.coalesce(F.col(n).cast("string"), F.lit("")))])
     # a template in pieces: every other one is a variable's name
     marked = F.split(F.regexp_replace("template", r"\{([a-z_]+)\}", "\u0001$1\u0001"), "\u0001")

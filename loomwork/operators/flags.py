@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import terms as t
+from loomwork.sources.files import small
 
 
 def schedule_choices(courses: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -48,11 +49,11 @@ def stale_holidays(lines: DataFrame, courses: DataFrame, no_class: DataFrame, mo
     """
     names = no_class.select("term", F.lower(t.core_name(F.col("label"))).alias("name")).distinct()
     pairs = courses.select("term", "target_term").distinct().where(t.season_change(F.col("term"), F.col("target_term")))
-    old = pairs.join(F.broadcast(names), "term")
+    old = pairs.join(small(names), "term")
     new = names.select(F.col("term").alias("target_term"), "name")
-    gone = old.join(F.broadcast(new), ["target_term", "name"], "left_anti")
+    gone = old.join(small(new), ["target_term", "name"], "left_anti")
     patterns = gone.groupBy("term", "target_term").agg(F.concat(F.lit(r"(?i)\b(?:"), F.array_join(F.array_sort(F.collect_set(F.regexp_replace("name", r"([.()\[\]*+?])", r"\\$1"))), "|"), F.lit(r")\b")).alias("pattern"))
-    asked = courses.join(F.broadcast(patterns), ["term", "target_term"]).select("course_id", "pattern")
+    asked = courses.join(small(patterns), ["term", "target_term"]).select("course_id", "pattern")
     hits = lines.join(asked, "course_id").where(F.expr("text rlike pattern")).groupBy("course_id", "text").agg(F.min("line_no").alias("line_no"))
     nth = F.row_number().over(Window.partitionBy("course_id").orderBy("line_no"))
     return hits.withColumn("nth", nth).where(F.col("nth") <= most).select("course_id", "nth", "line_no", "text")

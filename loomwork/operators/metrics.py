@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.files import small
+
 FORMATS = {"docx": "word", "md": "markdown", "markdown": "markdown", "pdf": "pdf"}
 
 
@@ -122,20 +124,20 @@ def price(events: DataFrame, rates: DataFrame) -> DataFrame:
     """Cost of each generation from its rate; local calls take the local default; no rate means null, not 0."""
     gen = of_type(events, "generation").withColumn("section", F.col("provider"))
     gen = gen.withColumn("rate_model", F.when(F.col("provider") == "local", "default").otherwise(F.col("model")))
-    r = F.broadcast(rates.select(F.col("section"), F.col("model").alias("rate_model"), "input_per_1k", "output_per_1k"))  # a configuration file
+    r = small(rates.select(F.col("section"), F.col("model").alias("rate_model"), "input_per_1k", "output_per_1k"))  # a configuration file
     cost = F.col("input_tokens") / 1000 * F.col("input_per_1k") + F.col("output_tokens") / 1000 * F.col("output_per_1k")
     return gen.join(r, ["section", "rate_model"], "left").select("event_id", "project_id", "model", "provider", F.round(cost, 8).alias("priced_usd"))
 
 
 def effective_rates(bundled: DataFrame, project: DataFrame) -> DataFrame:
     """The project's sections replace the bundled ones section by section."""
-    return project.unionByName(bundled.join(F.broadcast(project.select("section").distinct()), "section", "left_anti").select(*project.columns))
+    return project.unionByName(bundled.join(small(project.select("section").distinct()), "section", "left_anti").select(*project.columns))
 
 
 def cost_estimate(requests: DataFrame, rates: DataFrame, most_output: int = 2000) -> DataFrame:
     """estimated prompt tokens (a quarter of the characters, at least 1) and the most that a call can cost."""
     tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long")
-    known = F.broadcast(rates.select("model", "input_per_1k", "output_per_1k"))
+    known = small(rates.select("model", "input_per_1k", "output_per_1k"))
     priced = requests.withColumn("tokens", tokens).join(known, "model", "left")
     ceiling = F.round(F.col("tokens") / 1000 * F.col("input_per_1k") + F.lit(most_output) / 1000 * F.col("output_per_1k"), 8)
     return priced.select("request_id", "model", "tokens", ceiling.alias("ceiling_usd"))

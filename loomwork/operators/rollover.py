@@ -11,17 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import terms as t
-from loomwork.sources.files import settled
-
-MOST_CALENDAR_ROWS = 100_000
-SLOTS = 60  # weeks ahead that a schedule may be moved
-MOST_WEEKS = 180
-
-
-def small(calendar: DataFrame) -> DataFrame:
-    """Broadcast a calendar after a check of its size; a larger one is joined as it is."""
-    return F.broadcast(calendar) if calendar.limit(MOST_CALENDAR_ROWS + 1).count() <= MOST_CALENDAR_ROWS else calendar
-
+from loomwork.sources.files import settled, small
 
 def look_up_target(courses: DataFrame, terms: DataFrame, manual: str | None = None) -> DataFrame:
     """The target term's dates; Week 1 is the manual date, else the term's start, else the course is an error row."""
@@ -110,15 +100,17 @@ def plan_week_starts(courses: DataFrame, weeks: DataFrame) -> DataFrame:
         days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add(start, i)), lambda d: F.array_contains(wanted, F.weekday(d)))
         return F.exists(F.coalesce("breaks", F.array().cast("array<struct<s:date,e:date,label:string>>")), lambda b: F.forall(days, lambda d: d.between(b["s"], b["e"])))
 
-    # Which of the weeks from the one before Week 1 are covered: once for each calendar and set of class days.
+    # Which of the weeks from the one before Week 1 are covered: once for each calendar and set of class days, for as many
+    # weeks as the longest schedule there has and its breaks can take.
     key = ["week_one", "days", "breaks"]
-    kinds = courses.where("week_one is not null").select(*key).distinct()
-    kinds = kinds.withColumn("covered", F.transform(F.sequence(F.lit(-1), F.lit(MOST_WEEKS)), lambda i: covered(F.date_add("week_one", 7 * i))))
+    taken = F.aggregate(F.coalesce("breaks", F.array().cast("array<struct<s:date,e:date,label:string>>")), F.lit(0), lambda n, b: n + F.floor(F.date_diff(b["e"], b["s"]) / 7).cast("int") + 2)
+    kinds = courses.where("week_one is not null").join(numbers, "course_id").groupBy(*key).agg(F.max(F.array_max("numbers")).alias("last"))
+    kinds = kinds.withColumn("covered", F.transform(F.sequence(F.lit(-1), F.greatest("last", F.lit(1)) + taken), lambda i: covered(F.date_add("week_one", 7 * i))))
     kinds = small(kinds.select(*(F.col(k).alias(f"k_{k}") for k in key), "covered"))
     joined = courses.join(numbers, "course_id").join(kinds, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key])
 
     def step(state: Column, n: Column) -> Column:
-        free = F.greatest(F.array_position(F.slice("covered", n + state["shift"] + 1, SLOTS + 1), False) - 1, F.lit(0)).cast("int")
+        free = F.greatest(F.array_position(F.slice("covered", n + state["shift"] + 1, F.size("covered")), False) - 1, F.lit(0)).cast("int")
         shift = state["shift"] + free
         new = F.struct(n.alias("week_number"), F.date_add(F.col("week_one"), (7 * (n - 1 + shift)).cast("int")).alias("start"), shift.alias("shift"))
         return F.struct(shift.alias("shift"), F.concat(state["out"], F.array(new)).alias("out"))
@@ -194,9 +186,16 @@ def term_ends(rows: DataFrame) -> DataFrame:
     return rows.groupBy("course_id").agg(F.max_by(F.coalesce("day", "date_end"), at).alias("schedule_end"), F.count("*").alias("rows"))
 
 
+def break_slots(no_class: DataFrame) -> DataFrame:
+    """How many weekly slots a term's breaks can take at most, wherever the first slot is."""
+    spans = no_class.where("date_start is not null and date_end is not null")
+    return spans.groupBy("term").agg(F.sum(F.floor(F.date_diff("date_end", "date_start") / 7) + 1).cast("int").alias("taken"))
+
+
 def session_starts(terms: DataFrame, no_class: DataFrame, sessions: int = 3) -> DataFrame:
     """The (5 (k - 1) + 1)-th weekly slot from a term's start that isn't inside a break, for k = 1, 2, ..."""
-    slots = terms.select("term", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.date_add("start_date", 7 * i))).alias("slot", "day"))
+    slots = terms.join(small(break_slots(no_class)), "term", "left").withColumn("last", F.coalesce("taken", F.lit(0)) + 5 * sessions)
+    slots = slots.select("term", F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.date_add("start_date", 7 * i))).alias("day"))
     spans = small(no_class.where("date_start is not null").select("term", "date_start", "date_end"))
     free = slots.join(spans, (slots.term == spans.term) & F.col("day").between(F.col("date_start"), F.col("date_end")), "left_anti")
     nth = free.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("day")))
@@ -206,10 +205,13 @@ def session_starts(terms: DataFrame, no_class: DataFrame, sessions: int = 3) ->
 def date_undated(courses: DataFrame, weeks: DataFrame, no_class: DataFrame) -> DataFrame:
     """The n-th week of a schedule without dates takes the n-th weekly slot from Week 1 that isn't inside a break.
 
-    ``courses(course_id, target_term, week_one)``.
+    ``courses(course_id, target_term, week_one)``. A course has as many slots as weeks and slots that breaks can take, so
+    none of its weeks is lost, however many there are.
     """
     rows = weeks.where("not is_break").select("course_id", "row_no", "week_number", F.dense_rank().over(Window.partitionBy("course_id").orderBy("week_number")).alias("nth"))
-    slots = courses.where("week_one is not null").select("course_id", "target_term", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.date_add("week_one", 7 * i))).alias("day"))
+    asked = courses.where("week_one is not null").join(rows.groupBy("course_id").agg(F.max("nth").alias("n")), "course_id")
+    asked = asked.join(small(break_slots(no_class).withColumnRenamed("term", "target_term")), "target_term", "left")
+    slots = asked.select("course_id", "target_term", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") + F.coalesce("taken", F.lit(0))), lambda i: F.date_add("week_one", 7 * i))).alias("day"))
     spans = small(no_class.where("date_start is not null").select(F.col("term").alias("span_term"), "date_start", "date_end"))
     free = slots.join(spans, (F.col("target_term") == F.col("span_term")) & F.col("day").between(F.col("date_start"), F.col("date_end")), "left_anti")
     nth = free.withColumn("nth", F.row_number().over(Window.partitionBy("course_id").orderBy("day"))).select("course_id", "nth", "day")

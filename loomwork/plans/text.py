@@ -94,9 +94,9 @@ def status(s: SparkSession, d: str) -> DataFrame:
 
 def prompt_batch(s: SparkSession, d: str) -> DataFrame:
     requests = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("course_id"), fx.pick(F.col("o_orderkey") % 2, "quiz", "discussion").alias("content_type"), (F.col("o_orderkey") % 9 + 1).cast("int").alias("week_number"))
-    sources = fx.table(s, d, "documents").select((F.col("doc_id") % 50).alias("course_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("d"), "doc_id").alias("name"), "text")
+    sources = fx.table(s, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("course_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("d"), "doc_id").alias("name"), "text")
     templates = s.createDataFrame([("quiz", "Quiz for week {week_number}: {topics}. {unknown}\n{context}"), ("discussion", "Discuss {topics} ({assignments})\n{context}")], "content_type string, text string")
-    return dr.prompts(requests, fx.weeks(s, d), sources, templates, 400).select("request_id", "content_type", F.sha2("prompt", 256).alias("prompt_sha256"), "tokens")
+    return dr.prompts(requests, fx.weeks(s, d), sources, templates).select("request_id", "content_type", F.sha2("prompt", 256).alias("prompt_sha256"), "tokens")
 
 
 add("s5_lines", lambda s, d: document_lines(s, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.length("text")).alias("longest")), f"WITH {LINES} SELECT doc_id, count(*) AS lines, max(length(text))::INT AS longest FROM lines GROUP BY 1")
@@ -149,7 +149,8 @@ add("a12_merged_weeks", lambda s, d: dr.merged_weeks(fx.weeks(s, d)).select("cou
 add("u3_missing_variables", lambda s, d: dr.missing_variables(fx.table(s, d, "part").select(F.col("p_partkey").alias("template_id"), fx.pick(F.col("p_partkey") % 2, "quiz", "discussion").alias("content_type"), F.concat(F.lit("Use {topics} "), F.when(F.col("p_size") > 25, F.lit("{context}")).otherwise(F.lit("{other}"))).alias("text")), s.createDataFrame([("quiz", ["topics", "context"]), ("discussion", ["topics", "prompt_count"])], "content_type string, variables array<string>")),
     "SELECT p_partkey AS template_id, CASE p_partkey % 2 WHEN 0 THEN 'quiz' ELSE 'discussion' END AS content_type, CASE p_partkey % 2 WHEN 0 THEN 'context' ELSE 'prompt_count' END AS missing FROM part WHERE p_partkey % 2 = 1 OR p_size <= 25")
 add("e10_prompt_batch", prompt_batch,
-    """WITH c AS (SELECT doc_id % 50 AS course_id, string_agg('### d' || doc_id || chr(10) || substr(text, 1, 400) || CASE WHEN length(text) > 400 THEN chr(10) || '[... ' || (length(text) - 400) || ' characters omitted]' ELSE '' END, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents GROUP BY 1),
+    """WITH a AS (SELECT doc_id // 3 AS course_id, string_agg('### d' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1),
+      c AS (SELECT course_id, substr(t, 1, 24000) || CASE WHEN length(t) > 24000 THEN chr(10) || '[... ' || (length(t) - 24000) || ' characters omitted]' ELSE '' END AS context FROM a),
       w AS (SELECT course_id, week_number, string_agg(array_to_string(topics, ', '), ', ' ORDER BY row_no) AS topics, coalesce(string_agg(array_to_string(assignments, ', '), ', ' ORDER BY row_no) FILTER (len(assignments) > 0), '') AS assignments FROM fx_weeks WHERE NOT is_break GROUP BY ALL),
       r AS (SELECT o_orderkey AS request_id, o_custkey AS course_id, CASE o_orderkey % 2 WHEN 0 THEN 'quiz' ELSE 'discussion' END AS content_type, (o_orderkey % 9 + 1)::INT AS week_number FROM orders),
       p AS (SELECT request_id, content_type, CASE content_type WHEN 'quiz' THEN 'Quiz for week ' || r.week_number || ': ' || coalesce(topics, '') || '. {unknown}' || chr(10) || coalesce(context, '') ELSE 'Discuss ' || coalesce(topics, '') || ' (' || coalesce(assignments, '') || ')' || chr(10) || coalesce(context, '') END AS prompt FROM r LEFT JOIN w USING (course_id, week_number) LEFT JOIN c USING (course_id))

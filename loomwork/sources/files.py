@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,9 @@ def read_log(spark: SparkSession, path: str, fail: bool = False) -> tuple[DataFr
     try:
         raw = spark.read.text(path)
         lines = raw.where("trim(value) <> ''").select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("e")).select("e.*")
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         lines = spark.createDataFrame([], schema)
     bad = lines.where("_corrupt is not null").select("_corrupt")
     if fail and bad.limit(1).count():
@@ -52,12 +53,23 @@ def write_documents(documents: DataFrame, path: str, key: str) -> None:
     documents.select(key, "content").write.mode("overwrite").partitionBy(key).text(path)
 
 
+MOST_ROWS = 100_000
+
+
+def small(configuration: DataFrame) -> DataFrame:
+    """Broadcast a calendar, rates or names after a check of their size; a larger table is joined as it is."""
+    return F.broadcast(configuration) if configuration.limit(MOST_ROWS + 1).count() <= MOST_ROWS else configuration
+
+
 def settled(table: DataFrame) -> DataFrame:
     """A table that several branches of a job read, written once in the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset a temporary one is set.
+    The folder is the session's ``spark.checkpoint.dir``; only on one machine (master ``local``) a temporary one is set
+    where it is unset.
     """
     context = table.sparkSession.sparkContext
     if not table.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return table.checkpoint()

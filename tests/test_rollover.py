@@ -53,6 +53,17 @@ def test_undated_schedule_skips_the_break(spark):
     assert got[7] == D(2026, 10, 5) and got[8] == D(2026, 10, 19)
 
 
+def test_long_schedules_lose_no_week(spark):
+    course = spark.createDataFrame([(1, "Fall 2026", D(2026, 8, 24))], "course_id long, target_term string, week_one date")
+    weeks = spark.createDataFrame([(1, n, n, False) for n in range(1, 251)], "course_id long, row_no int, week_number int, is_break boolean")
+    got = sorted((x.week_number, x.day) for x in r.date_undated(course, weeks, fx.no_class(spark)).collect())
+    assert [n for n, _ in got] == list(range(1, 251)) and all((b[1] - a[1]).days % 7 == 0 and b[1] > a[1] for a, b in zip(got, got[1:]))
+    span = spark.createDataFrame([(1, D(2026, 8, 24), [0, 2], [(D(2027, 1, 1), D(2028, 6, 30), "closed")])], "course_id long, week_one date, days array<int>, breaks array<struct<s:date,e:date,label:string>>")
+    plan = {x.week_number: (x.start, x.shift) for x in r.plan_week_starts(span, weeks).collect()}
+    assert len(plan) == 250 and plan[19] == (D(2026, 12, 28), 0)
+    assert all(start + dt.timedelta(days=7) > D(2028, 7, 1) and shift >= 77 for n, (start, shift) in plan.items() if n > 19)
+
+
 def one(spark, *columns, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'date' if isinstance(v, D) else 'string'}" for k, v in values.items()))
     return tuple(row.select(*columns).first())

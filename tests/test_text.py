@@ -53,8 +53,10 @@ def test_prompt_values_are_not_filled_again(spark):
     requests = spark.createDataFrame([(5, 1, "quiz", 2)], "request_id long, course_id long, content_type string, week_number int")
     sources = spark.createDataFrame([(1, 1, "s", "abcdef"), (1, 0, "r", "zz")], "course_id long, pos long, name string, text string")
     templates = spark.createDataFrame([("quiz", "{topics}|{nope}|{context}")], "content_type string, text string")
-    got = dr.prompts(requests, weeks, sources, templates, 4).first()
-    assert got.prompt == "{context}, b|{nope}|### r\nzz\n\n### s\nabcd\n[... 2 characters omitted]"
+    got = dr.prompts(requests, weeks, sources, templates, 18).first()
+    assert got.prompt == "{context}, b|{nope}|### r\nzz\n\n### s\nab\n[... 4 characters omitted]"  # one budget for all sources in order
+    assert dr.prompts(requests, weeks, sources, templates, 9).first().prompt == "{context}, b|{nope}|### r\nzz\n\n[... 13 characters omitted]"
+    assert dr.prompts(requests, weeks, sources, templates, 22).first().prompt.endswith("|### r\nzz\n\n### s\nabcdef")
 
 
 def test_catalogue(spark):
