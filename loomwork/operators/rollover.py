@@ -120,14 +120,40 @@ def plan_week_starts(courses: DataFrame, weeks: DataFrame) -> DataFrame:
     return walked.select("course_id", F.explode("plan").alias("p")).select("course_id", "p.*")
 
 
+def meeting_plan(weeks: DataFrame, courses: DataFrame) -> DataFrame:
+    """For schedules with a row a class meeting, the new weekday of each old one: both in their order through a week
+    that begins on its term's first weekday, so the first meeting stays first.
+
+    ``courses(course_id, old_start, week_one, days)``. Returns course_id, old_days, days, pairs (a map, null where the
+    numbers of days differ or none are picked) and flag: ``meeting_count_differs`` where days are picked but can't be paired.
+    """
+    repeats = weeks.where("not is_break").groupBy("course_id").agg((F.count("*") > F.count_distinct("week_number")).alias("repeats"), F.min("day").alias("first_day")).where("repeats")
+    met = repeats.join(usual_weekdays(weeks), "course_id").join(courses.select("course_id", "old_start", "week_one", "days"), "course_id")
+
+    def in_order(days: str, start: Column) -> Column:
+        keyed = F.array_sort(F.transform(days, lambda d: F.struct(F.pmod(d - F.weekday(start), F.lit(7)).alias("k"), d.alias("d"))))
+        return F.transform(keyed, lambda x: x["d"])
+
+    alike = F.size("days") == F.size("schedule_days")
+    pairs = F.when(alike, F.map_from_arrays(in_order("schedule_days", F.coalesce("old_start", "first_day")), in_order("days", F.col("week_one"))))
+    return met.select("course_id", F.col("schedule_days").alias("old_days"), "days", pairs.alias("pairs"), F.when((F.size("days") > 0) & ~alike, "meeting_count_differs").alias("flag"))
+
+
 def new_days(weeks: DataFrame, starts: DataFrame, courses: DataFrame) -> DataFrame:
-    """a row's day in the new term: the first class day on or after its week's start for one-row weeks, else the
-    week's start and the days since the week's first meeting."""
-    regular = weeks.where("not is_break").join(starts, ["course_id", "week_number"]).join(courses.select("course_id", "days"), "course_id")
+    """a row's day in the new term: where each class meeting has a row, the planned weekday on or after its week's start
+    (J8); where each week has one, the first class day on or after it; else the week's start and the days since the week's
+    first meeting. ``courses(course_id, old_start, week_one, days)``.
+    """
+    asked = courses.select("course_id", "days").join(meeting_plan(weeks, courses).select("course_id", "pairs"), "course_id", "left")
+    regular = weeks.where("not is_break").join(starts, ["course_id", "week_number"]).join(asked, "course_id")
     week = Window.partitionBy("course_id", "week_number")
-    first, n = F.min("day").over(week), F.count("*").over(week)
-    since = F.coalesce(F.date_diff("day", first), F.lit(0))
-    return regular.withColumn("new_day", F.when((n == 1) & (F.size("days") > 0), t.first_class_day(F.col("start"), F.col("days"))).otherwise(F.date_add("start", since))).drop("days")
+    since = F.coalesce(F.date_diff("day", F.min("day").over(week)), F.lit(0))
+    counted = regular.withColumn("since", since).withColumn("in_week", F.count("*").over(week))
+    once = F.max("in_week").over(Window.partitionBy("course_id")) == 1
+    planned = F.try_element_at("pairs", F.weekday("day"))
+    on_plan = F.date_add("start", F.pmod(planned - F.weekday("start"), F.lit(7)).cast("int"))
+    first = F.when(once & (F.size("days") > 0), t.first_class_day(F.col("start"), F.col("days")))
+    return counted.withColumn("new_day", F.coalesce(on_plan, first, F.expr("date_add(start, since)"))).drop("days", "pairs", "since", "in_week")
 
 
 def collisions(rows: DataFrame, no_class: DataFrame) -> DataFrame:

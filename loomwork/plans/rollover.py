@@ -114,6 +114,15 @@ add("f1_f4_term_functions", lambda s, d: planned(s, d).select("course_id", t.sea
       CASE WHEN len(days) > 0 THEN coalesce(array_to_string(list_transform(days, lambda x: ((week_one - (isodow(week_one) - 1)::INT + x)::DATE)::VARCHAR), ','), '') ELSE coalesce(week_one::VARCHAR, '') END AS week_days,
       CASE WHEN len(days) > 0 THEN list_min(list_transform(days, lambda x: (week_one + ((x - isodow(week_one) + 8) % 7)::INT)::DATE)) ELSE week_one END AS first_class,
       (SELECT (q + ((8 - isodow(q)) % 7)::INT)::DATE FROM (SELECT CASE {SEASON.format('target_term')} WHEN 'Spring' THEN make_date(right(target_term, 4)::INT, 1, 7) WHEN 'Summer' THEN make_date(right(target_term, 4)::INT, 5, 13) ELSE make_date(right(target_term, 4)::INT, 8, 20) END AS q)) AS provisional FROM p""")
+add("j8_meeting_plan", lambda s, d: r.meeting_plan(fx.weeks(s, d), planned(s, d).where("week_one is not null")).select("course_id", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("old_days", "days")), F.array_join(F.transform(F.map_entries("pairs"), lambda e: F.concat(e["key"].cast("string"), F.lit(">"), e["value"].cast("string"))), ",").alias("pairs"), "flag"),
+    f"""WITH {PLAN}, w AS (SELECT course_id, week_number, list_sort(list_distinct(list(isodow(day) - 1))) AS l, min(row_no) AS first FROM fx_weeks WHERE NOT is_break GROUP BY ALL),
+      f AS (SELECT *, max(len(l)) OVER (PARTITION BY course_id) AS m FROM w), g AS (SELECT course_id, l, count(*) AS c, min(first) AS first FROM f WHERE len(l) = m GROUP BY ALL),
+      o AS (SELECT course_id, l FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY c DESC, first) AS k FROM g) WHERE k = 1),
+      t AS (SELECT course_id, min(day) AS d FROM fx_weeks WHERE NOT is_break GROUP BY 1 HAVING count(*) > count(DISTINCT week_number)),
+      x AS (SELECT course_id, l, p.days AS n, list_sort(list_transform(l, lambda c: ((c - isodow(coalesce(old_start, t.d)) + 8) % 7) * 10 + c)) AS a, list_sort(list_transform(p.days, lambda c: ((c - isodow(week_one) + 8) % 7) * 10 + c)) AS b FROM t JOIN o USING (course_id) JOIN p USING (course_id) WHERE week_one IS NOT NULL)
+    SELECT course_id, array_to_string(l, ',') AS old_days, coalesce(array_to_string(n, ','), '') AS days,
+      CASE WHEN len(a) = len(b) THEN array_to_string(list_transform(range(1, len(a) + 1), lambda i: (a[i] % 10) || '>' || (b[i] % 10)), ',') END AS pairs,
+      CASE WHEN len(n) > 0 AND len(n) <> len(l) THEN 'meeting_count_differs' END AS flag FROM x""")
 add("e23_rollover", lambda s, d: r.roll_over(fx.courses(s, d), fx.weeks(s, d), fx.terms(s), fx.no_class(s)), None)
 
 add("p1_invalid_weeks", lambda s, d: c.invalid_weeks(fx.weeks(s, d).withColumn("day", F.when(F.col("course_id") % 13 != 0, F.col("day"))).withColumn("date_end", F.when(F.col("course_id") % 9 != 0, F.col("date_end")))),

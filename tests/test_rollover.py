@@ -53,6 +53,25 @@ def test_undated_schedule_skips_the_break(spark):
     assert got[7] == D(2026, 10, 5) and got[8] == D(2026, 10, 19)
 
 
+def twice_a_week(spark, days, week_one=D(2026, 8, 24), skip=()):
+    """A Tuesday and Thursday class of three weeks in spring, moved to fall."""
+    rows = [(1, 10 * w + m, w, D(2026, 1, 20) + dt.timedelta(days=7 * (w - 1) + 2 * m), False) for w in (1, 2, 3) for m in (0, 1) if (w, m) not in skip]
+    weeks = spark.createDataFrame(rows, "course_id long, row_no int, week_number int, day date, is_break boolean")
+    course = spark.createDataFrame([(1, D(2026, 1, 19), week_one, days, None)], "course_id long, old_start date, week_one date, days array<int>, breaks array<struct<s:date,e:date,label:string>>")
+    got = r.new_days(weeks, r.plan_week_starts(course, weeks), course)
+    return [x.new_day for x in got.orderBy("row_no").collect()], r.meeting_plan(weeks, course).first()
+
+
+def test_meetings_move_to_the_days_of_the_new_term(spark):
+    assert twice_a_week(spark, [1, 3])[0][:4] == [D(2026, 8, 25), D(2026, 8, 27), D(2026, 9, 1), D(2026, 9, 3)]
+    got, plan = twice_a_week(spark, [0, 4])
+    assert got[:4] == [D(2026, 8, 24), D(2026, 8, 28), D(2026, 8, 31), D(2026, 9, 4)] and plan.pairs == {1: 0, 3: 4} and plan.flag is None
+    assert twice_a_week(spark, [0, 2], week_one=D(2026, 8, 26))[0][:4] == [D(2026, 8, 26), D(2026, 8, 31), D(2026, 9, 2), D(2026, 9, 7)]
+    assert twice_a_week(spark, [0, 2], skip=[(2, 0)])[0][2] == D(2026, 9, 2)
+    got, plan = twice_a_week(spark, [0, 2, 4])
+    assert got[:2] == [D(2026, 8, 24), D(2026, 8, 26)] and plan.pairs is None and plan.flag == "meeting_count_differs"
+
+
 def test_long_schedules_lose_no_week(spark):
     course = spark.createDataFrame([(1, "Fall 2026", D(2026, 8, 24))], "course_id long, target_term string, week_one date")
     weeks = spark.createDataFrame([(1, n, n, False) for n in range(1, 251)], "course_id long, row_no int, week_number int, is_break boolean")
