@@ -47,7 +47,11 @@ add("w15_objectives", lambda s, d: x.section_lines(syllabus_lines(s, d), "(?i)ob
 add("e3_grading_weights", lambda s, d: x.grading(grading_rows(s, d)),
     """WITH r AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL)
     SELECT l_orderkey AS doc_id, l_linenumber AS row_no, 'Part ' || l_linenumber AS name, least(round_even(CASE l_orderkey % 3 WHEN 0 THEN q / 100 WHEN 1 THEN q / 400 ELSE q / sum(q) OVER (PARTITION BY l_orderkey) END, 4), 1.0) AS weight FROM r""")
-add("w2_new_year", lambda s, d: x.roll_new_year(fx.table(s, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).alias("row_no"), F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 2 == 0).alias("is_spring"))).groupBy("doc_id").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("n")), None)
+add("w2_new_year", lambda s, d: x.roll_new_year(fx.table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).alias("row_no"), F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 2 == 0).alias("is_spring"))),
+    """WITH RECURSIVE o AS (SELECT o_custkey AS doc_id, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no FROM orders),
+      walk AS (SELECT doc_id, row_no, 0 AS extra, day FROM o WHERE row_no = 1 UNION ALL
+        SELECT o.doc_id, o.row_no, w.extra + (w.day - (o.day + to_months(12 * w.extra))::DATE > 180)::INT, (o.day + to_months(12 * (w.extra + (w.day - (o.day + to_months(12 * w.extra))::DATE > 180)::INT)))::DATE FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.row_no = w.row_no + 1)
+    SELECT doc_id, row_no::INT AS row_no, CASE WHEN doc_id % 2 = 0 THEN (day - to_months(12 * max(extra) OVER (PARTITION BY doc_id)))::DATE ELSE day END AS day FROM walk""")
 add("f10_week_labels", lambda s, d: fx.weeks(s, d).where("not is_break").select("course_id", "row_no", x.week_label(F.when(F.col("row_no") % 3 == 0, F.concat("label", F.lit(" ("), t.month_day(F.col("day")), F.lit(")"))).when(F.col("row_no") % 3 == 1, F.concat("label", F.lit(" ("), F.date_format("day", "MMM. d"), F.lit(")"))).otherwise(F.col("label")), F.year("day")).alias("l")).select("course_id", "row_no", "l.*"),
     "SELECT course_id, row_no, week_number, CASE WHEN row_no % 3 < 2 THEN day END AS day, CASE row_no % 3 WHEN 0 THEN 'm/d' WHEN 1 THEN 'Mon. d' ELSE 'undated' END AS style FROM fx_weeks WHERE NOT is_break")
 add("e7_course_brief", lambda s, d: x.brief(fx.courses(s, d), fx.weeks(s, d), fx.university_dates(s, d)),
@@ -61,15 +65,20 @@ add("s4_nested_and_flat", lambda s, d: x.flat(x.nested(fx.courses(s, d), fx.week
 
 
 def rolled(s: SparkSession, d: str) -> DataFrame:
-    """Syllabi of fall and spring courses a year on, 52 weeks later."""
-    c = fx.courses(s, d).where("term = 'Spring 2027'").select(F.col("course_id").alias("doc_id"))
-    w = fx.weeks(s, d).withColumnRenamed("course_id", "doc_id").join(c, "doc_id").where("week_number <> 2 or is_break")
-    plan = w.select("doc_id", "row_no", "week_number", "is_break", F.date_add(F.coalesce("day", "date_start"), 364).alias("day"), F.date_add("date_end", 364).alias("day_end"), "topics", "assignments")
-    return settled(x.rolled_lines(syllabus_lines(s, d).join(c, "doc_id"), plan, c.select("doc_id", F.lit("Spring 2028").alias("term"))))
+    """Syllabi of all courses a year on, 52 weeks later."""
+    c = fx.courses(s, d).select(F.col("course_id").alias("doc_id"), F.concat_ws(" ", t.season(F.col("term")), t.year_of(F.col("term")) + 1).alias("term"))
+    on = lambda day: F.date_add(day, 364)
+    name = F.array(t.break_label(t.core_name(F.col("label")), on("date_start"), on("date_end")))
+    plan = fx.weeks(s, d).select(F.col("course_id").alias("doc_id"), "row_no", "week_number", "is_break", on(F.coalesce("day", "date_start")).alias("day"), on("date_end").alias("day_end"), F.when(F.col("is_break"), name).otherwise(F.col("topics")).alias("topics"), "assignments")
+    # every third course's dates lack a row, so they are paired by name
+    dates = fx.university_dates(s, d).where("course_id % 3 > 0 or pos <> 3").select(F.col("course_id").alias("doc_id"), "pos", "event", on("day").alias("day"), on("date_start").alias("date_start"), on("date_end").alias("date_end"))
+    return settled(x.rolled_lines(syllabus_lines(s, d), plan, c, dates))
 
 
-add("e6_rolled_syllabi", lambda s, d: x.schedule(rolled(s, d)).select("doc_id", "row_no", "week_number", "day", F.array_join("topics", "|").alias("topics"), "error_code"),
-    """SELECT course_id AS doc_id, (row_number() OVER (PARTITION BY course_id ORDER BY row_no))::INT AS row_no, week_number, (day + 364)::DATE AS day, array_to_string(topics, '|') AS topics, NULL::VARCHAR AS error_code
-    FROM fx_weeks JOIN fx_courses USING (course_id) WHERE term = 'Spring 2027' AND week_number <> 2""")
+add("e6_rolled_syllabi", lambda s, d: x.schedule(rolled(s, d)).select("doc_id", "row_no", "week_number", "is_break", F.coalesce("day", "date_start").alias("day"), "date_end", F.array_join("topics", "|").alias("topics"), "error_code"),
+    """SELECT course_id AS doc_id, (row_number() OVER (PARTITION BY course_id ORDER BY row_no))::INT AS row_no, week_number, is_break, (coalesce(day, date_start) + 364)::DATE AS day, (date_end + 364)::DATE AS date_end,
+      CASE WHEN is_break THEN 'Fall Break (' || month(date_start + 364) || '/' || day(date_start + 364) || ' - ' || month(date_end + 364) || '/' || day(date_end + 364) || ')' ELSE array_to_string(topics, '|') END AS topics, NULL::VARCHAR AS error_code FROM fx_weeks""")
+add("e6_rolled_dates", lambda s, d: x.university_dates(rolled(s, d)).select("doc_id", "pos", "event", "day", "date_start", "date_end"),
+    "SELECT course_id AS doc_id, pos, event, CASE WHEN course_id % 3 = 0 AND pos = 3 THEN day ELSE (day + 364)::DATE END AS day, (date_start + 364)::DATE AS date_start, (date_end + 364)::DATE AS date_end FROM fx_university_dates")
 add("e6_untouched_lines", lambda s, d: rolled(s, d).where("text not like '|%'").groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.when(F.rlike("text", F.lit("^Term:")), F.col("text"))).alias("term_line")),
-    "SELECT course_id AS doc_id, 11::BIGINT AS lines, 'Term: Spring 2028' AS term_line FROM fx_courses WHERE term = 'Spring 2027'")
+    "SELECT course_id AS doc_id, 11::BIGINT AS lines, 'Term: ' || split_part(term, ' ', 1) || ' ' || (split_part(term, ' ', 2)::INT + 1) AS term_line FROM fx_courses")

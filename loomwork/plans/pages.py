@@ -22,10 +22,10 @@ def cells(s, d):
 
 
 def part_replies(s, d):
-    """Courses as replies to two parts, the seventh week cut in two."""
-    w = fx.weeks(s, d).where("not is_break and row_no % 10 = 0")
+    """Courses as replies to two parts, the third week's last row cut in two."""
+    w = fx.weeks(s, d).where("not is_break")
     row = F.struct(F.col("week_number").alias("week"), F.date_format("day", "M/d").alias("date"), F.array_join("topics", "").alias("topics"))
-    again = w.where("week_number = 3").select("course_id", F.lit(2).alias("part"), F.lit(0).alias("row_no"), F.struct(F.lit(3).alias("week"), F.date_format("day", "M/d").alias("date"), F.lit("more").alias("topics")).alias("w"))
+    again = w.where("week_number = 3").groupBy("course_id").agg(F.max("day").alias("day")).select("course_id", F.lit(2).alias("part"), F.lit(0).alias("row_no"), F.struct(F.lit(3).alias("week"), F.date_format("day", "M/d").alias("date"), F.lit("more").alias("topics")).alias("w"))
     rows = w.select("course_id", F.when(F.col("week_number") <= 3, 1).otherwise(2).alias("part"), "row_no", row.alias("w")).unionByName(again)
     listed = rows.groupBy("course_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "w"))), lambda x: x["w"]).alias("weeks"))
     named = listed.join(fx.courses(s, d).select("course_id", "title", "term"), "course_id")
@@ -37,7 +37,7 @@ add("e2_cell_rows", lambda s, d: p.cell_rows(cells(s, d), fx.weeks(s, d).groupBy
     """SELECT course_id AS doc_id, row_no, CASE WHEN is_break THEN 'break' ELSE 'week' END AS kind, week_number, CASE WHEN NOT is_break THEN day END AS day, array_to_string(topics, '|') AS topics, array_to_string(assignments, '|') AS assignments, coalesce(notes, '') AS notes FROM fx_weeks""")
 add("e16_paragraphs", lambda s, d: p.reflow(page_lines(s, d).select("*", F.lit(72.0).alias("x0"), (72.0 + 5 * F.length("text")).alias("x1"))).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars")), None)
 add("e20_joined_replies", lambda s, d: p.joined_replies(part_replies(s, d))[1],
-    """SELECT course_id AS doc_id, (row_number() OVER (PARTITION BY course_id ORDER BY week_number))::INT AS row_no, week_number AS week, strftime(day, '%-m/%-d') AS date, array_to_string(topics, '') || CASE WHEN week_number = 3 THEN '; more' ELSE '' END AS topics FROM fx_weeks WHERE NOT is_break AND row_no % 10 = 0""")
+    """SELECT course_id AS doc_id, (row_number() OVER (PARTITION BY course_id ORDER BY row_no))::INT AS row_no, week_number AS week, strftime(day, '%-m/%-d') AS date, array_to_string(topics, '') || CASE WHEN week_number = 3 AND row_no = max(row_no) OVER (PARTITION BY course_id, week_number) THEN '; more' ELSE '' END AS topics FROM fx_weeks WHERE NOT is_break""")
 add("e20_reply_courses", lambda s, d: p.joined_replies(part_replies(s, d))[0], "SELECT course_id AS doc_id, title, term, NULL::VARCHAR AS number FROM fx_courses")
 
 

@@ -35,8 +35,8 @@ add("j17_same_layout", lambda s, d: f.same_layout(rows(s, d), rows(s, d).where("
     "SELECT course_id, course_id % 5 <> 0 AS same FROM fx_courses")
 add("j18_reviewed_details", lambda s, d: f.apply_edits(fx.courses(s, d), fx.courses(s, d).where("course_id % 2 = 0").select("course_id", fx.pick(F.col("course_id") % 4, "New title", "", " ").alias("new_title"), fx.pick(F.col("course_id") % 6, "3", "", "1.5", "", "three").alias("new_credits"))),
     """SELECT course_id, CASE WHEN course_id % 4 = 0 THEN 'New title' ELSE title END AS title, CASE WHEN course_id % 6 = 0 THEN 3.0 WHEN course_id % 6 = 2 THEN 1.5 END::DOUBLE AS credits, CASE WHEN course_id % 6 = 4 THEN 'bad_credits' END AS error_code FROM fx_courses""")
-add("a14_week_flags", lambda s, d: f.week_flags(rows(s, d).where("row_no % 3 = 0").select("course_id", "row_no", fx.pick(F.col("row_no") % 4, "collision", "clock", "break", "clock").alias("flag"))),
-    """WITH g AS (SELECT course_id, CASE row_no % 4 WHEN 0 THEN 'collision' WHEN 2 THEN 'break' ELSE 'clock' END AS flag, min(row_no) AS first, count(*) AS n FROM fx_weeks WHERE row_no % 3 = 0 GROUP BY ALL)
+add("a14_week_flags", lambda s, d: f.week_flags(rows(s, d).select("course_id", "row_no", fx.pick(F.col("row_no") % 4, "collision", "clock", "break", "clock").alias("flag"))),
+    """WITH g AS (SELECT course_id, CASE row_no % 4 WHEN 0 THEN 'collision' WHEN 2 THEN 'break' ELSE 'clock' END AS flag, min(row_no) AS first, count(*) AS n FROM fx_weeks GROUP BY ALL)
     SELECT course_id, string_agg(flag, ',' ORDER BY first) AS flags, sum(n)::BIGINT AS flag_count FROM g GROUP BY 1""")
 add("j14_evidence_scores", lambda s, d: f.evidence_scores(fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("submission_id"), (F.col("l_linenumber") % 3).alias("pos"), (F.col("l_partkey") % 2).cast("int").alias("part"), (F.col("l_suppkey") % 3 > 0).alias("met"), F.when(F.col("l_quantity") > 10, F.array(F.lit("q"))).otherwise(F.array().cast("array<string>")).alias("evidence")), s.createDataFrame([(p, q, 2.0 * p + q + 1) for p in range(3) for q in range(2)], "pos int, part int, points double")),
     """SELECT l_orderkey AS submission_id, (l_linenumber % 3)::INT AS pos, sum(CASE WHEN l_suppkey % 3 > 0 AND l_quantity > 10 THEN 2.0 * (l_linenumber % 3) + l_partkey % 2 + 1 ELSE 0 END)::DOUBLE AS earned, count(*) FILTER (l_suppkey % 3 > 0 AND l_quantity <= 10) AS met_without_evidence FROM lineitem GROUP BY ALL""")
@@ -44,7 +44,7 @@ add("j15_source_errors", lambda s, d: f.source_errors(fx.table(s, d, "orders").s
     "SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 1 THEN 'unknown_source' ELSE 'no_source' END AS error_code FROM orders WHERE o_orderkey % 4 <> 2")
 add("j16_changed_paragraphs", lambda s, d: f.changed_paragraphs(document_lines(s, d).select("doc_id", F.col("line_no").alias("para_no"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")), document_lines(s, d).select("doc_id", F.col("line_no").alias("para_no"), F.concat_ws(" ", F.when((F.col("line_no") % 3 == 0), F.lit("[new]")), F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text"))).groupBy("doc_id").agg(F.count("*").alias("changed"), F.count_if((F.col("added") == "[new]") & (F.col("removed") == "")).alias("insertions")),
     f"WITH {LINES} SELECT doc_id, count(*) AS changed, count(*) FILTER (trim(text) <> '') + count(*) FILTER (trim(text) = '') AS insertions FROM lines WHERE line_no % 3 = 0 GROUP BY 1")
-add("e17_real_tables", lambda s, d: f.tidy_tables(document_lines(s, d).select("doc_id", (F.floor(F.col("line_no") / 4)).cast("int").alias("item_no"), F.col("line_no").alias("row_no"), F.array(F.when(F.col("line_no") % 8 == 0, F.concat(F.lit("Week "), "line_no")).otherwise(F.substring("text", 1, 5)), F.when(F.col("doc_id") % 2 == 0, "--").otherwise("x")).alias("cells"))),
-    f"""WITH {LINES}, c AS (SELECT doc_id, (line_no // 4)::INT AS item_no, CASE WHEN line_no % 8 = 0 THEN 'Week ' || line_no ELSE trim(substr(text, 1, 5), ' ') END AS a, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END AS b FROM lines),
+add("e17_real_tables", lambda s, d: f.tidy_tables(document_lines(s, d).select("doc_id", (F.floor(F.col("line_no") / 4)).cast("int").alias("item_no"), F.col("line_no").alias("row_no"), F.array(F.when(F.col("line_no") % 8 == 0, F.concat(F.lit("Week "), "line_no")).otherwise(F.col("text")), F.when(F.col("doc_id") % 2 == 0, "--").otherwise("x")).alias("cells"))),
+    f"""WITH {LINES}, c AS (SELECT doc_id, (line_no // 4)::INT AS item_no, CASE WHEN line_no % 8 = 0 THEN 'Week ' || line_no ELSE trim(text, ' ') END AS a, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END AS b FROM lines),
       r AS (SELECT *, (CASE WHEN regexp_full_match(a, '[-–—]+') OR a = '' THEN 0 ELSE 1 END) + (CASE WHEN b = '' THEN 0 ELSE 1 END) AS filled FROM c)
     SELECT doc_id, item_no, count(*) AS rows, bool_or(regexp_matches(a, '^[Ww]eek\\s+[0-9]+')) OR 2 * count(*) FILTER (filled >= 2) > count(*) AS is_real FROM r WHERE filled > 0 GROUP BY ALL""")

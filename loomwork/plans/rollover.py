@@ -133,7 +133,7 @@ add("p3_term_consistency", lambda s, d: c.term_consistency(fx.courses(s, d).with
       j AS (SELECT course_id, term, {SEASON.format('term')} AS said, month(first_day) AS m FROM c LEFT JOIN f USING (course_id)),
       k AS (SELECT *, said IS NULL OR m IS NULL OR CASE said WHEN 'Fall' THEN m BETWEEN 8 AND 11 WHEN 'Spring' THEN m BETWEEN 1 AND 4 ELSE m BETWEEN 5 AND 7 END AS passed FROM j)
     SELECT course_id, term, m::INT AS first_month, passed, CASE WHEN NOT passed THEN CASE WHEN m BETWEEN 8 AND 11 THEN 'Fall' WHEN m BETWEEN 1 AND 4 THEN 'Spring' WHEN m BETWEEN 5 AND 7 THEN 'Summer' ELSE 'Fall' END END AS likely_season FROM k""")
-add("p4_lists_breaks", lambda s, d: c.lists_breaks(fx.university_dates(s, d).where("course_id % 7 <> 0 or pos < 2")), "SELECT course_id, bool_or(lower(event) LIKE '%break%' OR date_start IS NOT NULL) AS lists_breaks FROM fx_university_dates WHERE course_id % 7 <> 0 OR pos < 2 GROUP BY 1")
+add("p4_lists_breaks", lambda s, d: c.lists_breaks(fx.university_dates(s, d).withColumns({"event": F.when((F.col("course_id") % 7 == 0) & (F.col("pos") == 2), "Long weekend").otherwise(F.col("event")), "date_start": F.when(F.col("course_id") % 7 > 0, F.col("date_start"))})), "SELECT course_id, course_id % 7 > 0 AND bool_or(lower(event) LIKE '%break%' OR date_start IS NOT NULL) AS lists_breaks FROM fx_university_dates GROUP BY 1")
 add("p7_duration_flags", lambda s, d: c.duration_flags(fx.courses(s, d).withColumn("duration_weeks", (F.col("duration_weeks") + F.when(F.col("course_id") % 8 == 0, 1).otherwise(0)).cast("int")).withColumn("new_weeks", (5 + F.col("course_id") % 7 * 2).cast("int")), fx.weeks(s, d)),
     """WITH c AS (SELECT course_id, (duration_weeks + CASE WHEN course_id % 8 = 0 THEN 1 ELSE 0 END)::INT AS duration_weeks, (5 + course_id % 7 * 2)::INT AS new_weeks FROM fx_courses), k AS (SELECT course_id, count(DISTINCT week_number) AS week_count FROM fx_weeks WHERE NOT is_break GROUP BY 1)
     SELECT course_id, duration_weeks, new_weeks, week_count, duration_weeks <> new_weeks AS duration_changed, duration_weeks <> week_count AS schedule_differs FROM c JOIN k USING (course_id)""")

@@ -100,8 +100,8 @@ def prompt_batch(s: SparkSession, d: str) -> DataFrame:
 
 
 add("s5_lines", lambda s, d: document_lines(s, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.length("text")).alias("longest")), f"WITH {LINES} SELECT doc_id, count(*) AS lines, max(length(text))::INT AS longest FROM lines GROUP BY 1")
-add("w6_markdown_tables", lambda s, d: doc.table_rows(document_lines(s, d).withColumn("text", F.when(F.col("line_no") % 5 < 3, F.concat(F.lit("| a | "), F.substring("text", 1, 10), F.lit(" |"))).otherwise(F.col("text")))).select("doc_id", F.col("table_no").cast("int").alias("table_no"), "row_no", "line_no", F.array_join("cells", "~").alias("cells")),
-    f"""WITH {LINES}, x AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 < 3 THEN '| a | ' || substr(text, 1, 10) || ' |' ELSE text END AS text FROM lines), b AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM x WHERE regexp_matches(text, '^\\s*\\|.*\\|\\s*$')),
+add("w6_markdown_tables", lambda s, d: doc.table_rows(document_lines(s, d).withColumn("text", F.when(F.col("line_no") % 5 < 3, F.concat(F.lit("| a | "), F.col("text"), F.lit(" |"))).otherwise(F.col("text")))).select("doc_id", F.col("table_no").cast("int").alias("table_no"), "row_no", "line_no", F.array_join("cells", "~").alias("cells")),
+    f"""WITH {LINES}, x AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 < 3 THEN '| a | ' || text || ' |' ELSE text END AS text FROM lines), b AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM x WHERE regexp_matches(text, '^\\s*\\|.*\\|\\s*$')),
       k AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id ORDER BY island))::INT AS table_no, list_transform(string_split_regex(regexp_replace(text, '^\\s*\\||\\|\\s*$', '', 'g'), '\\|'), lambda c: trim(c, ' ')) AS cells FROM b)
     SELECT doc_id, table_no, (row_number() OVER (PARTITION BY doc_id, table_no ORDER BY line_no))::INT AS row_no, line_no, array_to_string(cells, '~') AS cells FROM k WHERE NOT list_bool_and(list_transform(cells, lambda c: regexp_full_match(c, ':?-{{3,}}:?')))""")
 add("w9_first_mentions", lambda s, d: doc.first_mentions(document_lines(s, d), "[0-9]{3}"),
@@ -129,8 +129,8 @@ add("e21_quote_grounding", lambda s, d: g.ground(quotes(s, d), submissions(s, d)
     f"""WITH {SUBMISSIONS}, q AS (SELECT submission_id, unnest([0, 1, 2, 3, 4])::INT AS quote_id, unnest([substr(text, 11, 40), substr(text, 11, 20) || '...' || substr(text, 61, 20), substr(text, 61, 20) || '...' || substr(text, 11, 20), '', 'nobody wrote this']) AS quote, {NORMAL.format('text')} AS body FROM subs),
       p AS (SELECT *, list_filter(list_transform(string_split({NORMAL.format('quote')}, '...'), lambda x: regexp_replace(x, '^[\\s"''.,;:]+|[\\s"''.,;:]+$', '', 'g')), lambda x: x <> '') AS ps FROM q)
     SELECT submission_id, quote_id, CASE WHEN len(ps) = 0 THEN 'no_quote' WHEN instr(body, ps[1]) > 0 AND (len(ps) = 1 OR instr(substr(body, instr(body, ps[1]) + length(ps[1])), ps[2]) > 0) THEN 'found' ELSE 'not_found' END AS note FROM p""")
-add("f16_text_functions", lambda s, d: fx.table(s, d, "documents").select("doc_id", t.slug(F.substring("text", 1, 80)).alias("slug"), F.sha2(t.escape_html(F.col("text")), 256).alias("escaped")),
-    """SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS slug,
+add("f16_text_functions", lambda s, d: fx.table(s, d, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"), F.sha2(t.escape_html(F.col("text")), 256).alias("escaped")),
+    """SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS slug,
       sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped FROM documents""")
 add("s8_saved_drafts", lambda s, d: dr.catalogue(listing(s, d)),
     f"""WITH {LISTING}, x AS (SELECT project_id, regexp_extract(regexp_extract(path, '([^/]+)$', 1), '^(week-[0-9]+-[a-z]+)', 1) AS stem, contains(path, '/.archive/') AS old FROM files), c AS (SELECT project_id, stem, count(*) FILTER (old) AS versions FROM x WHERE stem <> '' GROUP BY ALL HAVING count(*) FILTER (NOT old) > 0)
