@@ -108,6 +108,39 @@ def grading(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_no", "name", "weight")
 
 
+PERCENT, POINTS, NUMBER = r"([0-9]+(?:\.[0-9]+)?)\s*%", r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:pts?|points?)\b", r"^\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*$"
+
+
+def grading_tables(tables: DataFrame) -> DataFrame:
+    """Weights of grading tables as they stand in a text; ``tables(doc_id, table_no, row_no, cells)``, row 1 first.
+
+    The first row is a header if a cell behind its first, without digits, says percent or weight (this wins) or points. A table
+    without one counts by its second cells, if more than half of them, the first too, are percentages, else points. Points
+    are divided by the "Total" row's, else by their sum, and rounded half-even to four places, at most 1. Rows without a
+    readable value give nothing, as do tables of neither kind.
+    """
+    table = Window.partitionBy("doc_id", "table_no")
+    says = lambda c, pattern: F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
+    label = lambda pattern: F.array_position(F.transform("cells", lambda c, i: (i > 0) & ~says(c, "[0-9]") & says(c, pattern)), True)
+    top = F.min("row_no").over(table)
+    heads = tables.withColumn("is_first", F.col("row_no") == top)
+    at = lambda pattern: F.max(F.when(F.col("is_first"), F.nullif(label(pattern), F.lit(0)))).over(table)
+    most = lambda pattern: (2 * F.count_if(says(cell(2), pattern)).over(table) > F.count("*").over(table)) & F.bool_or(F.col("is_first") & says(cell(2), pattern)).over(table)
+    found = heads.select("*", at("(?i)weight|percent|%").alias("c_percent"), at(r"(?i)\b(?:points?|pts?)\b").alias("c_points"), most(PERCENT).alias("m_percent"), most(POINTS).alias("m_points"))
+    headed = F.coalesce("c_percent", "c_points").isNotNull()
+    unit = F.when(F.col("c_percent").isNotNull(), "percent").when(F.col("c_points").isNotNull(), "points").when(F.col("m_percent"), "percent").when(F.col("m_points"), "points")
+    column = F.coalesce("c_percent", "c_points", F.lit(2)).cast("int")
+    rows = found.select("doc_id", "table_no", "row_no", unit.alias("unit"), F.trim(cell(1)).alias("name"), F.coalesce(F.try_element_at("cells", column), F.lit("")).alias("value"), (headed & F.col("is_first")).alias("is_header")).where("unit is not null and not is_header")
+    read = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
+    number = F.replace(F.when(F.col("unit") == "percent", read(PERCENT)).otherwise(F.coalesce(read(POINTS), read(NUMBER))), F.lit(","), F.lit("")).cast("double")
+    rows = rows.withColumn("n", number).withColumn("is_total", F.startswith(F.lower("name"), F.lit("total")))
+    # the last Total row counts, though it has no number
+    stated = F.max_by(F.when(F.col("is_total"), F.coalesce("n", F.lit(0.0))), F.when(F.col("is_total"), F.col("row_no"))).over(table)
+    whole = F.coalesce(F.nullif(stated, F.lit(0.0)), F.nullif(F.sum(F.when(~F.col("is_total"), F.col("n"))).over(table), F.lit(0.0)))
+    weight = F.when(F.col("unit") == "percent", F.col("n") / 100).otherwise(F.least(F.bround(F.col("n") / whole, 4), F.lit(1.0)))
+    return rows.withColumn("weight", weight).where("not is_total and weight is not null").select("doc_id", "table_no", "row_no", "name", "unit", "weight")
+
+
 def roll_new_year(rows: DataFrame) -> DataFrame:
     """Dates of a schedule whose years all came from its term. A date more than JUMP days before the one before it, as
     adjusted, starts a new year from there on; in spring terms the whole schedule moves back by what was added.

@@ -45,7 +45,7 @@ def reply_json(text: Column) -> Column:
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
     """the earliest attempt of each criterion whose JSON holds a name and a number; ``replies(submission_id, pos, attempt, text)``."""
-    body = F.from_json(reply_json(F.col("text")), "name string, earned double, reasoning string, evidence array<string>")
+    body = F.from_json(reply_json(F.col("text")), "name string, earned double, reasoning string, deduction_comment string, evidence array<string>")
     good = replies.withColumn("r", body).where("r.name is not null and r.earned is not null")
     return good.groupBy("submission_id", "pos").agg(F.min_by("r", "attempt").alias("r"), F.min("attempt").alias("attempt")).select("submission_id", "pos", "attempt", "r.*")
 
@@ -64,7 +64,7 @@ def criterion_scores(replies: DataFrame, rubric: DataFrame, submissions: DataFra
         F.when(F.lower(F.trim("name")) != F.lower(F.trim("criterion")), "name_differs"),
         F.when((F.col("earned") < 0) | (F.col("earned") > F.col("possible")), "out_of_range"),
     )
-    return joined.select("submission_id", "rubric_id", "pos", "criterion", "possible", "earned", "reasoning", "evidence", error.alias("errors"))
+    return joined.select("submission_id", "rubric_id", "pos", "criterion", "possible", "earned", "reasoning", "deduction_comment", "evidence", error.alias("errors"))
 
 
 def totals(scores: DataFrame) -> DataFrame:
@@ -110,3 +110,41 @@ def ground(quotes: DataFrame, submissions: DataFrame) -> DataFrame:
     end = F.aggregate("pieces", F.lit(1), step)
     note = F.when(F.coalesce(F.size("pieces"), F.lit(0)) <= 0, "no_quote").when(F.col("body").isNotNull() & (end > 0), "found").otherwise("not_found")
     return joined.select("submission_id", "quote_id", note.alias("note"))
+
+
+NO_REASON, CONTRADICTION = "No reason was given for this deduction; please review it.", "The explanation states another score; please review it."
+STATED = r"(?<![0-9])([0-9]+(?:\.[0-9]+)?)\s*/\s*([0-9]+(?:\.[0-9]+)?)(?![0-9])"
+
+
+def reviewed(scores: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Criterion scores with what an instructor must see: a comment on each deduction, a warning where the reasoning
+    states "x/y" with the full points but another score, and a note where the evidence isn't in the submission.
+
+    ``scores`` from ``criterion_scores``, ``submissions(submission_id, text)``. Notes: ``not_found`` if any quote isn't there,
+    ``no_quote`` if there is none.
+    """
+    quotes = scores.select("submission_id", "pos", F.posexplode_outer("evidence").alias("nth", "quote")).select("submission_id", F.struct("pos", "nth").alias("quote_id"), F.coalesce("quote", F.lit("")).alias("quote"))
+    notes = ground(quotes, submissions).groupBy("submission_id", F.col("quote_id.pos").alias("pos")).agg(F.when(F.bool_or(F.col("note") == "not_found"), "not_found").when(~F.bool_or(F.col("note") == "found"), "no_quote").alias("evidence_note"))
+    pairs = F.arrays_zip(F.regexp_extract_all("reasoning", F.lit(STATED), F.lit(1)).alias("x"), F.regexp_extract_all("reasoning", F.lit(STATED), F.lit(2)).alias("y"))
+    contradicts = F.coalesce(F.exists(pairs, lambda p: (p["y"].cast("double") == F.col("possible")) & (p["x"].cast("double") != F.col("earned"))), F.lit(False))
+    given = F.nullif(F.trim(F.coalesce("deduction_comment", F.lit(""))), F.lit(""))
+    comment = F.when(F.col("earned") < F.col("possible"), F.concat_ws(" ", F.coalesce(given, F.lit(NO_REASON)), F.when(contradicts, CONTRADICTION))).otherwise("")
+    out = scores.join(notes, ["submission_id", "pos"], "left")
+    return out.select("submission_id", "rubric_id", "pos", "criterion", "possible", "earned", "errors", F.coalesce("reasoning", F.lit("")).alias("reasoning"), comment.alias("deduction_comment"), contradicts.alias("contradicts"), "evidence_note")
+
+
+def feedback(rows: DataFrame) -> DataFrame:
+    """One report a submission from ``reviewed`` rows: totals, a comment for the student, notes for the instructor with
+    the criteria whose evidence must be checked. A submission with a row that can't be scored is an error without texts."""
+    names = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "criterion")))), lambda x: x["criterion"]), ", ")
+    line = F.struct("pos", F.concat_ws(": ", "criterion", "reasoning").alias("l"))
+    g = rows.groupBy("submission_id", "rubric_id").agg(
+        F.sum(F.col("earned").cast(POINTS)).cast("double").alias("earned"), F.sum(F.col("possible").cast(POINTS)).cast("double").alias("possible"), F.bool_or(F.col("errors") != "").alias("bad"),
+        names(F.col("earned") >= 0.75 * F.col("possible")).alias("good"), names(F.col("earned") < F.col("possible")).alias("weak"), names(F.col("evidence_note").isNotNull()).alias("unsupported"),
+        F.count_if("contradicts").alias("contradictions"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("lines"),
+    )
+    said = lambda text, c: F.when(F.col(c) != "", F.concat(F.lit(text), F.lower(c), F.lit(".")))
+    student = F.concat_ws(" ", said("Well done: ", "good"), said("Work next on: ", "weak"), F.lit("The rubric has the details."))
+    notes = F.concat_ws("\n", F.lit("Preliminary scores; please review."), F.when(F.col("unsupported") != "", F.concat(F.lit("Check the evidence for: "), "unsupported", F.lit("."))), "lines")
+    ok = lambda c: F.when(~F.col("bad"), c)
+    return g.select("submission_id", "rubric_id", ok(F.col("earned")).alias("earned"), "possible", ok(F.round(100 * F.col("earned") / F.col("possible"), 4)).alias("percent"), ok(student).alias("comment"), ok(notes).alias("notes"), ok(F.col("unsupported")).alias("unsupported"), ok(F.col("contradictions")).alias("contradictions"), F.when(F.col("bad"), "needs_review").alias("error_code"))

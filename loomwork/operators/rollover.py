@@ -244,28 +244,63 @@ def date_undated(courses: DataFrame, weeks: DataFrame, no_class: DataFrame) -> D
     return rows.join(nth, ["course_id", "nth"]).select("course_id", "row_no", "week_number", "day")
 
 
+def named_dates(dates: DataFrame, courses: DataFrame, no_class: DataFrame) -> DataFrame:
+    """Each university date with the target term's break (spans, by matching name) and holiday (by whole name) that
+    it names, and whether its name is a holiday of any term. One row a date; the calendar's few rows are broadcast."""
+    entries = no_class.select(F.col("term").alias("target_term"), "pos", "label", "day", "date_start", "date_end", t.holiday_key(F.col("label")).alias("key"))
+    breaks = small(entries.where("date_start is not null").select(F.col("target_term").alias("break_term"), F.struct(F.col("pos").alias("at"), F.col("date_start").alias("s"), F.col("date_end").alias("e"), "label").alias("break")))
+    holidays = small(entries.where("day is not null").groupBy("target_term", "key").agg(F.min(F.struct(F.col("pos").alias("at"), F.col("day").alias("on"), "label")).alias("holiday")))
+    known = small(entries.where("day is not null").select("key", F.lit(True).alias("is_holiday")).distinct())
+    keyed = dates.join(courses, "course_id").withColumn("key", t.holiday_key(F.col("event"))).join(holidays, ["target_term", "key"], "left").join(known, "key", "left")
+    paired = keyed.join(breaks, (F.col("target_term") == F.col("break_term")) & F.col("date_start").isNotNull() & t.labels_match(F.col("event"), F.col("break.label")), "left")
+    kept = ("event", "day", "date_start", "date_end", "target_term", "old_start", "week_one", "target_end", "season_change", "holiday")
+    return paired.groupBy("course_id", "pos").agg(F.min("break").alias("break"), F.first(F.coalesce("is_holiday", F.lit(False))).alias("is_holiday"), *(F.first(c).alias(c) for c in kept))
+
+
+def unused_entries(named: DataFrame, courses: DataFrame, no_class: DataFrame) -> DataFrame:
+    """Breaks and holidays of the target term that no university date of a course names, numbered by kind in the calendar's
+    order; courses that change season only."""
+    kind = F.when(F.col("date_start").isNotNull(), "break").otherwise("holiday")
+    entries = small(no_class.select(F.col("term").alias("target_term"), kind.alias("kind"), F.col("pos").alias("at"), F.col("label").alias("new_event"), F.coalesce("day", "date_start").alias("from_day"), "date_end"))
+    due = courses.where("season_change").select("course_id", "target_term").join(entries, "target_term")
+    used = named.select("course_id", F.explode(F.array(F.struct(F.lit("break").alias("kind"), F.col("break.at").alias("at")), F.struct(F.lit("holiday").alias("kind"), F.col("holiday.at").alias("at")))).alias("u")).select("course_id", "u.*").where("at is not null").distinct()
+    free = due.join(used, ["course_id", "kind", "at"], "left_anti")
+    return free.select("course_id", "kind", "new_event", "from_day", "date_end", F.row_number().over(Window.partitionBy("course_id", "kind").orderBy("at")).alias("nth"))
+
+
 def roll_university_dates(dates: DataFrame, courses: DataFrame, no_class: DataFrame) -> DataFrame:
-    """J7, for courses that stay in their season: begin and end rows take the term's dates, spans a break of that name,
-    holidays their own date, all others move by the terms' distance. Rows and their order never change.
+    """Begin and end rows take the term's dates, spans the break they name, holidays their own date. On a season change the
+    n-th span without a break takes the n-th break that is left, and the n-th holiday without a date the n-th holiday that is
+    left, with its name. All others move by the terms' distance, on a season change with the flag ``unmatched``. Rows and
+    their order never change; ``no_class`` is the whole calendar, breaks that the class meets through included.
 
-    ``courses(course_id, target_term, old_start, week_one, target_end)``.
+    ``courses(course_id, target_term, old_start, week_one, target_end, season_change)``.
     """
-    rows = dates.join(courses, "course_id")
-    breaks = small(no_class.where("date_start is not null").select(F.col("term").alias("target_term"), F.col("label").alias("b_label"), F.col("date_start").alias("b_start"), F.col("date_end").alias("b_end")))
-    holidays = small(no_class.where("day is not null").select(F.col("term").alias("target_term"), t.holiday_key(F.col("label")).alias("key"), F.col("day").alias("h_day")))
-    keyed = rows.withColumn("key", t.holiday_key(F.col("event"))).join(holidays, ["target_term", "key"], "left")
-    paired = keyed.join(breaks, (keyed.target_term == breaks.target_term) & keyed.date_start.isNotNull() & t.labels_match(keyed.event, breaks.b_label), "left").drop(breaks.target_term)
-    one = paired.groupBy("course_id", "pos").agg(
-        F.min(F.when(F.col("b_start").isNotNull(), F.struct("b_start", "b_end"))).alias("b"), F.min("h_day").alias("h_day"),
-        *(F.first(c).alias(c) for c in ("event", "day", "date_start", "date_end", "old_start", "week_one", "target_end")),
-    )
+    named = settled(named_dates(dates, courses, no_class))
     offset = F.date_diff("week_one", "old_start")
     begins, ends = F.rlike("event", F.lit(r"(?i)\bbegin")), F.rlike("event", F.lit(r"(?i)\bend"))
-    rule = F.when(begins, "begin").when(ends, "end").when(F.col("b").isNotNull(), "break").when(F.col("h_day").isNotNull() & F.col("day").isNotNull(), "holiday").otherwise("moved")
-    day = F.when(rule == "begin", F.col("week_one")).when(rule == "end", F.coalesce("target_end", F.date_add("day", offset))).when(rule == "holiday", F.col("h_day")).when(rule == "moved", F.date_add("day", offset))
-    start = F.when(rule == "break", F.col("b.b_start")).when(rule == "moved", F.date_add("date_start", offset))
-    end = F.when(rule == "break", F.col("b.b_end")).when(rule == "moved", F.date_add("date_end", offset))
-    return one.select("course_id", "pos", "event", rule.alias("rule"), day.alias("day"), start.alias("date_start"), end.alias("date_end"))
+    rule = F.when(begins, "begin").when(ends, "end").when(F.col("break").isNotNull(), "break").when(F.col("holiday").isNotNull() & F.col("day").isNotNull(), "holiday").otherwise("moved")
+    open_kind = F.when(F.col("season_change") & (F.col("rule") == "moved"), F.when(F.col("date_start").isNotNull(), "break").when(F.col("day").isNotNull() & F.col("is_holiday"), "holiday"))
+    ruled = named.withColumn("rule", rule).withColumn("kind", open_kind)
+    ruled = ruled.withColumn("nth", F.row_number().over(Window.partitionBy("course_id", "kind").orderBy("pos")))
+    left = unused_entries(named, courses, no_class).withColumnRenamed("date_end", "new_end")
+    full = ruled.join(left, ["course_id", "kind", "nth"], "left").withColumn("rule", F.when(F.col("new_event").isNotNull(), F.concat(F.lit("next_"), "kind")).otherwise(F.col("rule")))
+    is_rule = lambda name: F.col("rule") == name
+    day = F.when(is_rule("begin"), F.col("week_one")).when(is_rule("end"), F.coalesce("target_end", F.date_add("day", offset))).when(is_rule("holiday"), F.col("holiday.on")).when(is_rule("next_holiday"), F.col("from_day")).when(is_rule("moved"), F.date_add("day", offset))
+    start = F.when(is_rule("break"), F.col("break.s")).when(is_rule("next_break"), F.col("from_day")).when(is_rule("moved"), F.date_add("date_start", offset))
+    end = F.when(is_rule("break"), F.col("break.e")).when(is_rule("next_break"), F.col("new_end")).when(is_rule("moved"), F.date_add("date_end", offset))
+    return full.select("course_id", "pos", F.coalesce("new_event", "event").alias("event"), "rule", day.alias("day"), start.alias("date_start"), end.alias("date_end"), F.when(is_rule("moved") & F.col("season_change"), "unmatched").alias("flag"))
+
+
+def missing_holidays(dates: DataFrame, courses: DataFrame, no_class: DataFrame) -> DataFrame:
+    """Holidays of a new season that a course's dates don't show once its own holidays have taken theirs over; only for
+    courses whose dates had a holiday at all. ``courses`` as for ``roll_university_dates``."""
+    named = named_dates(dates, courses, no_class)
+    plain = ~F.rlike("event", F.lit(r"(?i)\b(?:begin|end)"))
+    taken = plain & F.col("is_holiday") & F.col("holiday").isNull() & F.col("day").isNotNull() & F.col("date_start").isNull()
+    had = named.groupBy("course_id").agg(F.bool_or("is_holiday").alias("had"), F.count_if(taken).alias("taken")).where("had")
+    left = unused_entries(named, courses, no_class).where("kind = 'holiday'").join(had, "course_id").where("nth > taken")
+    return left.select("course_id", (F.col("nth") - F.col("taken")).cast("int").alias("nth"), F.col("new_event").alias("label"), F.col("from_day").alias("day"))
 
 
 def plan(courses: DataFrame, terms: DataFrame, no_class: DataFrame) -> DataFrame:

@@ -47,6 +47,23 @@ add("w15_objectives", lambda s, d: x.section_lines(syllabus_lines(s, d), "(?i)ob
 add("e3_grading_weights", lambda s, d: x.grading(grading_rows(s, d)),
     """WITH r AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL)
     SELECT l_orderkey AS doc_id, l_linenumber AS row_no, 'Part ' || l_linenumber AS name, least(round_even(CASE l_orderkey % 3 WHEN 0 THEN q / 100 WHEN 1 THEN q / 400 ELSE q / sum(q) OVER (PARTITION BY l_orderkey) END, 4), 1.0) AS weight FROM r""")
+
+
+def grading_cells(s: SparkSession, d: str) -> DataFrame:
+    """Orders as grading tables with and without headers, in percent and in points, with and without a total."""
+    rows = fx.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("row_no")).agg(F.max("l_quantity").cast("int").cast("string").alias("q"))
+    name, kind = F.concat(F.lit("Part "), "row_no"), F.col("doc_id") % 4
+    cells = F.when(kind == 0, F.array(name, F.lit("note"), F.concat("q", F.lit(" %")))).when(kind == 1, F.array(name, F.concat(F.lit("1,0"), F.lpad("q", 2, "0")))).when(kind == 2, F.array(name, F.concat("q", F.lit(" pts")))).otherwise(F.array(name, F.concat("q", F.lit("%"))))
+    items = rows.select("doc_id", F.lit(1).alias("table_no"), "row_no", cells.alias("cells"))
+    heads = rows.where("doc_id % 4 < 2").select("doc_id").distinct().select("doc_id", F.lit(1).alias("table_no"), F.lit(0).alias("row_no"), F.when(kind == 0, F.array(*map(F.lit, ("Item", "Points", "Weight")))).otherwise(F.array(*map(F.lit, ("Item", "Points")))).alias("cells"))
+    totals = rows.where("doc_id % 4 = 1 and doc_id % 3 = 0").select("doc_id").distinct().select("doc_id", F.lit(1).alias("table_no"), F.lit(99).alias("row_no"), F.array(F.lit("Total points"), F.lit("8,000")).alias("cells"))
+    return items.unionByName(heads).unionByName(totals)
+
+
+add("f12_grading_tables", lambda s, d: x.grading_tables(grading_cells(s, d)),
+    """WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS row_no, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL), v AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 1000 + q ELSE q END::DOUBLE AS n FROM r)
+    SELECT doc_id, 1 AS table_no, row_no, 'Part ' || row_no AS name, CASE WHEN doc_id % 4 IN (0, 3) THEN 'percent' ELSE 'points' END AS unit,
+      CASE WHEN doc_id % 4 IN (0, 3) THEN n / 100 ELSE least(round_even(n / CASE WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 8000 ELSE sum(n) OVER (PARTITION BY doc_id) END, 4), 1.0) END AS weight FROM v""")
 add("w2_new_year", lambda s, d: x.roll_new_year(fx.table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).alias("row_no"), F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 2 == 0).alias("is_spring"))),
     """WITH RECURSIVE o AS (SELECT o_custkey AS doc_id, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no FROM orders),
       walk AS (SELECT doc_id, row_no, 0 AS extra, day FROM o WHERE row_no = 1 UNION ALL

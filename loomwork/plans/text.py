@@ -51,11 +51,11 @@ NORMAL = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g')
 
 
 def replies(s: SparkSession, d: str) -> DataFrame:
-    due = submissions(s, d).select("submission_id", "rubric_id").join(g.criteria(fx.rubrics(s, d)), "rubric_id")
+    due = submissions(s, d).withColumnRenamed("text", "body").join(g.criteria(fx.rubrics(s, d)), "rubric_id")
     k = (F.col("submission_id") + F.col("pos")) % 5
     earned = F.when(F.col("submission_id") % 17 == 0, F.col("possible") + 1).otherwise(F.col("possible") * k / 4)
     name = F.when(F.col("submission_id") % 13 == 0, F.lit("other")).otherwise(F.upper("name"))
-    good = F.to_json(F.struct(name.alias("name"), earned.alias("earned"), F.lit("fine").alias("reasoning"), F.array(F.lit("x")).alias("evidence")))
+    good = F.to_json(F.struct(name.alias("name"), earned.alias("earned"), F.when(k == 1, F.concat(F.lit("So 1 / "), F.col("possible").cast("int"))).otherwise("fine").alias("reasoning"), F.when(k == 2, "Too short").alias("deduction_comment"), F.when(F.col("pos") % 2 == 0, F.array(F.substring("body", 11, 40))).when(F.col("pos") % 3 == 0, F.array(F.lit("nobody wrote this"))).otherwise(F.array().cast("array<string>")).alias("evidence")))
     text = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), good))
     first = due.select("submission_id", "pos", F.lit(1).alias("attempt"), F.when((F.col("submission_id") + F.col("pos")) % 7 == 0, F.lit("I cannot {do} this")).otherwise(text).alias("text"))
     second = due.select("submission_id", "pos", F.lit(2).alias("attempt"), text.alias("text")).where((F.col("submission_id") + F.col("pos")) % 7 == 0)
@@ -125,6 +125,16 @@ add("j13_criterion_scores", lambda s, d: scored(s, d).select("submission_id", "r
 add("e22_graded_submissions", lambda s, d: g.totals(scored(s, d)),
     f"""WITH {SCORES} SELECT submission_id, rubric_id, round(coalesce(sum(earned) FILTER (errors = ''), 0.0), 6) AS earned, sum(possible) AS possible, round(100 * coalesce(sum(earned) FILTER (errors = ''), 0.0) / sum(possible), 4) AS percent, count(*) FILTER (errors <> '') AS errors,
       coalesce(string_agg(criterion, '; ' ORDER BY pos) FILTER (errors = '' AND earned >= 0.75 * possible), '') AS strengths, coalesce(string_agg(criterion, '; ' ORDER BY pos) FILTER (errors = '' AND earned < possible), '') AS improvements FROM es GROUP BY ALL""")
+add("e22_feedback", lambda s, d: g.feedback(g.reviewed(scored(s, d), submissions(s, d))),
+    f"""WITH {SCORES}, n AS (SELECT es.*, CASE WHEN (submission_id + pos) % 5 = 1 THEN 'So 1 / ' || possible::INT ELSE 'fine' END AS reasoning, coalesce((submission_id + pos) % 5 = 1 AND earned <> 1, false) AS contradicts,
+        CASE WHEN earned IS NULL THEN 'no_quote' WHEN pos % 2 = 0 THEN CASE WHEN regexp_full_match({NORMAL.format('substr(text, 11, 40)')}, '[\\s".,;:'']*') THEN 'no_quote' END WHEN pos % 3 = 0 THEN 'not_found' ELSE 'no_quote' END AS note FROM es JOIN subs USING (submission_id)),
+      a AS (SELECT submission_id, n.rubric_id, sum(earned) AS earned, sum(possible) AS possible, bool_or(errors <> '') AS bad, coalesce(string_agg(criterion, ', ' ORDER BY pos) FILTER (earned >= 0.75 * possible), '') AS good, coalesce(string_agg(criterion, ', ' ORDER BY pos) FILTER (earned < possible), '') AS weak,
+        coalesce(string_agg(criterion, ', ' ORDER BY pos) FILTER (note IS NOT NULL), '') AS unsupported, count(*) FILTER (contradicts) AS contradictions, string_agg(criterion || ': ' || reasoning, chr(10) ORDER BY pos) AS lines FROM n GROUP BY ALL)
+    SELECT submission_id, rubric_id, CASE WHEN NOT bad THEN earned END AS earned, possible, CASE WHEN NOT bad THEN round(100 * earned / possible, 4) END AS percent, CASE WHEN NOT bad THEN concat_ws(' ', 'Well done: ' || lower(nullif(good, '')) || '.', 'Work next on: ' || lower(nullif(weak, '')) || '.', 'The rubric has the details.') END AS comment,
+      CASE WHEN NOT bad THEN concat_ws(chr(10), 'Preliminary scores; please review.', 'Check the evidence for: ' || nullif(unsupported, '') || '.', lines) END AS notes, CASE WHEN NOT bad THEN unsupported END AS unsupported, CASE WHEN NOT bad THEN contradictions END AS contradictions, CASE WHEN bad THEN 'needs_review' END AS error_code FROM a""")
+add("a7_reviewed_scores", lambda s, d: g.reviewed(scored(s, d), submissions(s, d)).select("submission_id", "pos", "deduction_comment", "contradicts"),
+    f"""WITH {SCORES}, n AS (SELECT *, (submission_id + pos) % 5 AS k, coalesce((submission_id + pos) % 5 = 1 AND earned <> 1, false) AS contradicts FROM es)
+    SELECT submission_id, pos, contradicts, CASE WHEN earned < possible THEN CASE WHEN k = 2 THEN 'Too short' ELSE '{g.NO_REASON}' END || CASE WHEN contradicts THEN ' {g.CONTRADICTION}' ELSE '' END ELSE '' END AS deduction_comment FROM n""")
 add("e21_quote_grounding", lambda s, d: g.ground(quotes(s, d), submissions(s, d)),
     f"""WITH {SUBMISSIONS}, q AS (SELECT submission_id, unnest([0, 1, 2, 3, 4])::INT AS quote_id, unnest([substr(text, 11, 40), substr(text, 11, 20) || '...' || substr(text, 61, 20), substr(text, 61, 20) || '...' || substr(text, 11, 20), '', 'nobody wrote this']) AS quote, {NORMAL.format('text')} AS body FROM subs),
       p AS (SELECT *, list_filter(list_transform(string_split({NORMAL.format('quote')}, '...'), lambda x: regexp_replace(x, '^[\\s"''.,;:]+|[\\s"''.,;:]+$', '', 'g')), lambda x: x <> '') AS ps FROM q)
