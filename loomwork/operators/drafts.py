@@ -31,6 +31,14 @@ def current_versions(writes: DataFrame) -> DataFrame:
     return writes.withColumn("nth", F.row_number().over(order)).select("key", "version_ts", "path", (F.col("nth") == 1).alias("is_current"))
 
 
+def archive_events(writes: DataFrame) -> DataFrame:
+    """An ``archive`` event for each version that a newer one replaced: where it was, and its archived name, which has the
+    time before the suffix."""
+    old = current_versions(writes).where("not is_current")
+    suffix, stem = F.regexp_extract("key", r"(\.[^./]+)$", 1), F.regexp_replace("key", r"\.[^./]+$", "")
+    return old.select(F.lit("archive").alias("event_type"), F.col("key").alias("original_path"), F.concat(stem, F.lit("-"), F.date_format("version_ts", "yyyyMMdd-HHmmss"), suffix).alias("archived_path"), "path")
+
+
 def recent_projects(files: DataFrame) -> DataFrame:
     """Each project's last use; ``files(project_id, modified_at)``."""
     return files.groupBy("project_id").agg(F.max("modified_at").alias("last_used"), F.count("*").alias("files"))

@@ -120,10 +120,21 @@ def typical_output(events: DataFrame, last: int = 10) -> DataFrame:
     return recent.groupBy("project_id", "content_type").agg(F.floor(F.percentile("output_tokens", F.lit(0.5))).cast("long").alias("typical_tokens"))
 
 
+def rate_section(provider: Column, address: Column) -> Column:
+    """The section of the rates: a provider's own, or ``local`` where its address is another than the public one."""
+    elsewhere = (F.coalesce(address, F.lit("")) != "") & ~F.contains(address, F.lit("api.openai.com"))
+    name = F.lower(F.coalesce(provider, F.lit("")))
+    return F.when(name.isin("anthropic", "gemini", "local"), name).when(elsewhere, "local").otherwise("openai")
+
+
 def price(events: DataFrame, rates: DataFrame) -> DataFrame:
-    """Cost of each generation from its rate; local calls take the local default; no rate means null, not 0."""
-    gen = of_type(events, "generation").withColumn("section", F.col("provider"))
-    gen = gen.withColumn("rate_model", F.when(F.col("provider") == "local", "default").otherwise(F.col("model")))
+    """Cost of each generation from its rate; local calls take the local default; no rate means null, not 0.
+
+    ``events`` may have a ``base_url``, the provider's address.
+    """
+    address = F.col("base_url") if "base_url" in events.columns else F.lit("")
+    gen = of_type(events, "generation").withColumn("section", rate_section(F.col("provider"), address))
+    gen = gen.withColumn("rate_model", F.when(F.col("section") == "local", "default").otherwise(F.col("model")))
     r = small(rates.select(F.col("section"), F.col("model").alias("rate_model"), "input_per_1k", "output_per_1k"))  # a configuration file
     cost = F.col("input_tokens") / 1000 * F.col("input_per_1k") + F.col("output_tokens") / 1000 * F.col("output_per_1k")
     return gen.join(r, ["section", "rate_model"], "left").select("event_id", "project_id", "model", "provider", F.round(cost, 8).alias("priced_usd"))
@@ -149,6 +160,37 @@ def rollover_history(events: DataFrame) -> DataFrame:
     return of_type(events, "rollover").select("project_id", F.row_number().over(order).alias("nth"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "source_term", "target_term", "source_weeks", "target_weeks", "flag_count")
 
 
+def expected_output(events: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The typical reply of each project and content type of ``limits`` (a configuration), else half its token limit."""
+    types = F.explode(F.array(*(F.struct(F.lit(k).alias("content_type"), F.lit(v).alias("most")) for k, v in limits.items())))
+    asked = events.select("project_id").distinct().select("project_id", types.alias("t")).select("project_id", "t.*")
+    typical = typical_output(events.where("content_type is not null"))
+    return asked.join(typical, ["project_id", "content_type"], "left").select("project_id", "content_type", F.coalesce("typical_tokens", F.floor(F.col("most") / 2)).cast("long").alias("expected_tokens"))
+
+
+#: Tokens in and out of reading one page.
+PAGE_INPUT, PAGE_OUTPUT = 800, 1200
+
+
+def cost_text(cost: Column, prefix: str = "") -> Column:
+    """a cost in dollars to four places, or that it is unknown."""
+    return F.coalesce(F.concat(F.lit(f"{prefix}$"), F.format_number(cost, 4)), F.lit("unknown (no rate for this model)"))
+
+
+def reading_estimate(texts: DataFrame, rates: DataFrame) -> DataFrame:
+    """the expected length of a structured reply to a text, and the cost of reading a page; ``texts(request_id, model, text)``."""
+    known = small(rates.select("model", "input_per_1k", "output_per_1k"))
+    tokens = F.floor(F.length(F.coalesce("text", F.lit(""))) / 4 * PAGE_OUTPUT / PAGE_INPUT).cast("long")
+    page = F.lit(PAGE_INPUT) / 1000 * F.col("input_per_1k") + F.lit(PAGE_OUTPUT) / 1000 * F.col("output_per_1k")
+    return texts.join(known, "model", "left").select("request_id", "model", tokens.alias("reply_tokens"), cost_text(page, "about ").alias("page_cost"))
+
+
+def error_list(events: DataFrame) -> DataFrame:
+    """Extraction errors of each project, newest first."""
+    order = Window.partitionBy("project_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return of_type(events, "extraction_error").select("project_id", F.row_number().over(order).alias("nth"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "filename", "error_type")
+
+
 def usage_tally(events: DataFrame) -> DataFrame:
     """Calls and tokens of each run (a project's model and day)."""
     day = F.to_date("ts")
@@ -160,8 +202,10 @@ def report(events: DataFrame, zone: str = "UTC") -> DataFrame:
     files = files_processed(events).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "format", "extracted", "errors", F.format_number(100 * F.col("error_rate"), 0)))).alias("rows"))
     costs = cost_by_type(events).where("is_total = 0").groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "content_type", "calls", "input_tokens", "output_tokens", F.format_number("cost_usd", 4)))).alias("cost_rows"))
     months = monthly_costs(events, zone).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "month", "generations", F.format_number("cost_usd", 4)))).alias("month_rows"))
+    moves = rollover_history(events).groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(" | ", "at", "source_term", "target_term", "source_weeks", "target_weeks", "flag_count").alias("l")))), lambda x: x["l"]).alias("move_rows"))
+    checks = consistency(events).select("project_id", F.array(F.concat_ws(" | ", "checks", "caught", "overridden", "caught_terms")).alias("check_rows"))
     s = summary(events)
-    joined = s.join(files, "project_id", "left").join(costs, "project_id", "left").join(months, "project_id", "left")
+    joined = s.join(checks, "project_id", "left").join(moves, "project_id", "left").join(files, "project_id", "left").join(costs, "project_id", "left").join(months, "project_id", "left")
     part = lambda title, rows: F.concat(F.lit(f"## {title}\n"), F.coalesce(F.array_join(rows, "\n"), F.lit("none")))
-    text = F.concat_ws("\n\n", F.concat(F.lit("# Project "), F.col("project_id")), part("Files", "rows"), part("Cost by type", "cost_rows"), part("Cost by month", "month_rows"))
+    text = F.concat_ws("\n\n", F.concat(F.lit("# Project "), F.col("project_id")), part("Files", "rows"), part("Consistency", "check_rows"), part("Rollovers", "move_rows"), part("Cost by type", "cost_rows"), part("Cost by month", "month_rows"))
     return joined.select("project_id", text.alias("content"))

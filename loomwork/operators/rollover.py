@@ -229,12 +229,12 @@ def session_starts(terms: DataFrame, no_class: DataFrame, sessions: int = 3) ->
 
 
 def date_undated(courses: DataFrame, weeks: DataFrame, no_class: DataFrame) -> DataFrame:
-    """The n-th week of a schedule without dates takes the n-th weekly slot from Week 1 that isn't inside a break.
+    """The n-th week row of a schedule without dates takes the n-th weekly slot from Week 1 that isn't inside a break.
 
-    ``courses(course_id, target_term, week_one)``. A course has as many slots as weeks and slots that breaks can take, so
-    none of its weeks is lost, however many there are.
+    ``courses(course_id, target_term, week_one)``. A course has as many slots as rows and slots that breaks can take, so
+    none of its rows is lost, however many there are.
     """
-    rows = weeks.where("not is_break").select("course_id", "row_no", "week_number", F.dense_rank().over(Window.partitionBy("course_id").orderBy("week_number")).alias("nth"))
+    rows = weeks.where("not is_break").select("course_id", "row_no", "week_number", F.row_number().over(Window.partitionBy("course_id").orderBy("row_no")).alias("nth"))
     asked = courses.where("week_one is not null").join(rows.groupBy("course_id").agg(F.max("nth").alias("n")), "course_id")
     asked = asked.join(small(break_slots(no_class).withColumnRenamed("term", "target_term")), "target_term", "left")
     slots = asked.select("course_id", "target_term", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") + F.coalesce("taken", F.lit(0))), lambda i: F.date_add("week_one", 7 * i))).alias("day"))
@@ -244,6 +244,29 @@ def date_undated(courses: DataFrame, weeks: DataFrame, no_class: DataFrame) -> D
     return rows.join(nth, ["course_id", "nth"]).select("course_id", "row_no", "week_number", "day")
 
 
+def undated_breaks(dated: DataFrame, courses: DataFrame, no_class: DataFrame) -> DataFrame:
+    """A row for each break that a weekly slot fell in before the last week; ``dated`` from ``date_undated``."""
+    spans = small(no_class.where("date_start is not null").select(F.col("term").alias("target_term"), "label", "date_start", "date_end"))
+    last = dated.groupBy("course_id").agg(F.max("day").alias("last"))
+    near = last.join(courses.select("course_id", "target_term", "week_one"), "course_id").join(spans, "target_term")
+    # the first slot on or after the break's start, a whole number of weeks from Week 1
+    ahead = F.greatest(F.ceil(F.date_diff("date_start", "week_one") / 7), F.lit(0)).cast("int")
+    slot = F.date_add("week_one", 7 * ahead)
+    return near.where(slot.between(F.col("date_start"), F.col("date_end")) & (slot < F.col("last"))).select("course_id", "date_start", "date_end", t.break_label(F.col("label"), F.col("date_start"), F.col("date_end")).alias("label"))
+
+
+def default_plan(courses: DataFrame, weeks: DataFrame, terms: DataFrame) -> DataFrame:
+    """what a rollover would take if nobody chose: the suggested term, the likely span, and the class days: those of the
+    meeting pattern, else those of the schedule, else the usual weekday. ``courses(course_id, term, duration_weeks, credits,
+    meeting_pattern)``."""
+    listed = F.nullif(t.meeting_days(F.col("meeting_pattern")), F.array().cast("array<int>"))
+    span = guess_session(courses.withColumnRenamed("duration_weeks", "week_count"))
+    joined = courses.join(next_terms(terms, courses).select("course_id", "suggested_term"), "course_id").join(span, "course_id")
+    joined = joined.join(usual_weekdays(weeks), "course_id", "left").join(usual_row_weekday(weeks), "course_id", "left")
+    days = F.coalesce(listed, F.nullif("schedule_days", F.array().cast("array<int>")), F.when(F.col("usual_day").isNotNull(), F.array("usual_day")), F.array().cast("array<int>"))
+    return joined.select("course_id", "suggested_term", "session", "weeks", days.alias("days"))
+
+
 def named_dates(dates: DataFrame, courses: DataFrame, no_class: DataFrame) -> DataFrame:
     """Each university date with the target term's break (spans, by matching name) and holiday (by whole name) that
     it names, and whether its name is a holiday of any term. One row a date; the calendar's few rows are broadcast."""
@@ -342,6 +365,15 @@ def roll_over(courses: DataFrame, weeks: DataFrame, terms: DataFrame, no_class:
     return rows.join(joined_flags, ["course_id", "row_no"], "left").select("course_id", "row_no", "week_number", "label", "is_break", "old_day", F.col("day").alias("new_day"), F.col("date_end").alias("new_end"), F.coalesce("flags", F.lit("")).alias("flags"))
 
 
+def rollover_events(rolled: DataFrame, courses: DataFrame, weeks: DataFrame) -> DataFrame:
+    """One ``rollover`` event a course that was moved, for the log; ``rolled`` from ``roll_over``."""
+    flags = F.when(F.col("flags") == "", 0).otherwise(F.size(F.split("flags", ",")))
+    after = rolled.groupBy("course_id").agg(F.count_distinct("week_number").alias("target_weeks"), F.sum(flags).alias("flag_count"))
+    before = week_counts(weeks).withColumnRenamed("week_count", "source_weeks")
+    joined = after.join(courses.select("course_id", F.col("term").alias("source_term"), "target_term"), "course_id").join(before, "course_id")
+    return joined.select("course_id", F.lit("rollover").alias("event_type"), "source_term", "target_term", "source_weeks", "target_weeks", "flag_count")
+
+
 def not_observed(weeks: DataFrame, courses: DataFrame, through: DataFrame) -> DataFrame:
     """Break rows that name a break the class meets through; ``through(course_id, name)``. The rest stays."""
     rows = weeks.where("is_break").join(courses.select("course_id"), "course_id", "left_semi")

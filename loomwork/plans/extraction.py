@@ -99,3 +99,5 @@ add("e6_rolled_dates", lambda s, d: x.university_dates(rolled(s, d)).select("doc
     "SELECT course_id AS doc_id, pos, event, CASE WHEN course_id % 3 = 0 AND pos = 3 THEN day ELSE (day + 364)::DATE END AS day, (date_start + 364)::DATE AS date_start, (date_end + 364)::DATE AS date_end FROM fx_university_dates")
 add("e6_untouched_lines", lambda s, d: rolled(s, d).where("text not like '|%'").groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.when(F.rlike("text", F.lit("^Term:")), F.col("text"))).alias("term_line")),
     "SELECT course_id AS doc_id, 11::BIGINT AS lines, 'Term: ' || split_part(term, ' ', 1) || ' ' || (split_part(term, ' ', 2)::INT + 1) AS term_line FROM fx_courses")
+add("f10_written_labels", lambda s, d: fx.weeks(s, d).where("not is_break").select("course_id", "row_no", t.written_label(F.col("week_number").cast("string"), F.date_add("day", 364), fx.pick(F.col("row_no") % 5, "m/d", "Mon. d", "Month d", "undated", "Mon d")).alias("label")),
+    """SELECT course_id, row_no, 'Week ' || week_number || CASE row_no % 5 WHEN 3 THEN '' ELSE ' (' || CASE row_no % 5 WHEN 0 THEN month(n) || '/' || day(n) WHEN 1 THEN strftime(n, '%b. %-d') WHEN 2 THEN strftime(n, '%B %-d') ELSE strftime(n, '%b %-d') END || ')' END AS label FROM (SELECT *, (day + 364)::DATE AS n FROM fx_weeks WHERE NOT is_break)""")

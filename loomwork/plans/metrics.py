@@ -61,9 +61,9 @@ add(
 )
 add(
     "j10_call_cost",
-    lambda s, d: m.price(fx.eval_events(s, d), fx.rates(s)),
+    lambda s, d: m.price(fx.eval_events(s, d).withColumn("base_url", fx.pick(F.col("k") % 3, "", "http://localhost:11434/v1", "https://api.openai.com/v1")), fx.rates(s)),
     f"""SELECT event_id, project_id, e.model, provider, round(input_tokens / 1000 * input_per_1k + output_tokens / 1000 * output_per_1k, 8) AS priced_usd FROM fx_events e
-    LEFT JOIN fx_rates r ON r.section = provider AND r.model = CASE WHEN provider = 'local' THEN 'default' ELSE e.model END WHERE {GEN}""",
+    LEFT JOIN fx_rates r ON r.section = CASE WHEN k % 3 = 1 THEN 'local' ELSE provider END AND r.model = CASE WHEN provider = 'local' OR k % 3 = 1 THEN 'default' ELSE e.model END WHERE {GEN}""",
 )
 add(
     "s6_effective_rates",
@@ -85,4 +85,24 @@ add(
     lambda s, d: m.rollover_history(fx.eval_events(s, d)),
     "SELECT project_id, (row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC))::INT AS nth, strftime(ts, '%Y-%m-%d %H:%M') AS at, source_term, target_term, source_weeks, target_weeks, flag_count FROM fx_events WHERE event_type = 'rollover'",
 )
-add("e9_evaluation_report", lambda s, d: m.report(fx.eval_events(s, d), ZONE), None)
+TYPICAL = f"SELECT project_id, content_type, floor(quantile_cont(output_tokens, 0.5))::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY project_id, content_type ORDER BY ts DESC, event_id DESC) AS nth FROM fx_events WHERE {GEN} AND output_tokens > 0) WHERE nth <= 10 GROUP BY ALL"
+add("w3_expected_output", lambda s, d: m.expected_output(fx.eval_events(s, d), {"quiz": 4000, "rubric": 3001, "summary": 1500}),
+    f"WITH l AS (SELECT * FROM (VALUES ('quiz', 4000), ('rubric', 3001), ('summary', 1500)) v(content_type, most)), y AS ({TYPICAL}) SELECT e.project_id, l.content_type, coalesce(n, most // 2)::BIGINT AS expected_tokens FROM (SELECT DISTINCT project_id FROM fx_events) e JOIN l ON true LEFT JOIN y ON y.project_id = e.project_id AND y.content_type = l.content_type")
+add("f13_reading_estimate", lambda s, d: m.reading_estimate(fx.table(s, d, "documents").select(F.col("doc_id").alias("request_id"), fx.pick(F.col("doc_id") % 3, "gpt-4o", "flash", "other").alias("model"), "text"), fx.rates(s)),
+    """SELECT doc_id AS request_id, d.model, floor(length(coalesce(text, '')) / 4 * 1.5)::BIGINT AS reply_tokens, coalesce('about $' || format('{:.4f}', 0.8 * input_per_1k + 1.2 * output_per_1k), 'unknown (no rate for this model)') AS page_cost
+    FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'flash' ELSE 'other' END AS model FROM documents) d LEFT JOIN fx_rates USING (model)""")
+add("a15_error_list", lambda s, d: m.error_list(fx.eval_events(s, d)),
+    "SELECT project_id, (row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC))::INT AS nth, strftime(ts, '%Y-%m-%d %H:%M') AS at, filename, error_type FROM fx_events WHERE event_type = 'extraction_error'")
+add("e9_evaluation_report", lambda s, d: m.report(fx.eval_events(s, d), ZONE),
+    f"""{MONTHS}, mr AS (SELECT project_id, string_agg(l, chr(10) ORDER BY l) AS r FROM (SELECT project_id, month || ' | ' || generations || ' | ' || format('{{:,.4f}}', cost_usd) AS l FROM f) GROUP BY 1),
+      fg AS (SELECT project_id, CASE WHEN pdf_method IS NOT NULL THEN 'pdf' ELSE coalesce(source_format, 'unknown') END AS format, count(*) AS good FROM fx_events WHERE event_type = 'extraction' GROUP BY ALL),
+      fb AS (SELECT project_id, CASE lower(regexp_extract(filename, '\\.([^.]+)$', 1)) WHEN 'docx' THEN 'word' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'pdf' THEN 'pdf' ELSE 'other' END AS format, count(*) AS bad FROM fx_events WHERE event_type = 'extraction_error' GROUP BY ALL),
+      fr AS (SELECT project_id, string_agg(l, chr(10) ORDER BY l) AS r FROM (SELECT project_id, format || ' | ' || coalesce(good, 0) || ' | ' || coalesce(bad, 0) || ' | ' || format('{{:,.0f}}', 100 * round(coalesce(bad, 0) / (coalesce(good, 0) + coalesce(bad, 0)), 6)) AS l FROM fg FULL JOIN fb USING (project_id, format)) GROUP BY 1),
+      ct AS (SELECT project_id, coalesce(content_type, 'unknown') AS t, count(*) AS n, sum(input_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o, round(coalesce(sum(cost_usd), 0.0), 6) AS c FROM fx_events WHERE {GEN} GROUP BY ALL),
+      cr AS (SELECT project_id, string_agg(l, chr(10) ORDER BY l) AS r FROM (SELECT project_id, t || ' | ' || n || ' | ' || i || ' | ' || o || ' | ' || format('{{:,.4f}}', c) AS l FROM ct) GROUP BY 1),
+      hr AS (SELECT project_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M') || ' | ' || source_term || ' | ' || target_term || ' | ' || source_weeks || ' | ' || target_weeks || ' | ' || flag_count, chr(10) ORDER BY ts DESC, event_id DESC) AS r FROM fx_events WHERE event_type = 'rollover' GROUP BY 1),
+      kt AS (SELECT project_id, string_agg(l, ',' ORDER BY l) AS terms FROM (SELECT project_id, term || ':' || count(*) AS l FROM fx_events WHERE {FAILED} GROUP BY project_id, term) GROUP BY 1),
+      kr AS (SELECT project_id, count(*) FILTER (event_type = 'consistency_check') || ' | ' || count(*) FILTER ({FAILED}) || ' | ' || count(*) FILTER (event_type = 'consistency_check_override') || ' | ' AS r FROM fx_events GROUP BY 1)
+    SELECT project_id, '# Project ' || project_id || chr(10) || chr(10) || '## Files' || chr(10) || coalesce(fr.r, 'none') || chr(10) || chr(10) || '## Consistency' || chr(10) || kr.r || coalesce(terms, '') || chr(10) || chr(10) || '## Rollovers' || chr(10) || coalesce(hr.r, 'none')
+      || chr(10) || chr(10) || '## Cost by type' || chr(10) || coalesce(cr.r, 'none') || chr(10) || chr(10) || '## Cost by month' || chr(10) || coalesce(mr.r, 'none') AS content
+    FROM kr LEFT JOIN kt USING (project_id) LEFT JOIN fr USING (project_id) LEFT JOIN hr USING (project_id) LEFT JOIN cr USING (project_id) LEFT JOIN mr USING (project_id)""")

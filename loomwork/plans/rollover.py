@@ -96,10 +96,21 @@ add("w10_session_starts", lambda s, d: r.session_starts(fx.terms(s), fx.no_class
       k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY day) AS nth FROM f)
     SELECT term, ((nth - 1) // 5 + 1)::INT AS session, day AS session_start, (SELECT count(*) FROM fx_courses c WHERE c.term = k.term) AS courses FROM k WHERE (nth - 1) % 5 = 0 AND nth <= 15 AND term IN (SELECT term FROM fx_courses)""")
 add("w11_dated_schedules", lambda s, d: r.date_undated(planned(s, d), fx.weeks(s, d), fx.no_class(s)),
-    f"""WITH {PLAN}, r AS (SELECT course_id, row_no, week_number, dense_rank() OVER (PARTITION BY course_id ORDER BY week_number) AS nth FROM fx_weeks WHERE NOT is_break),
-      s AS (SELECT course_id, target_term, (week_one + (7 * i)::INT)::DATE AS day FROM p, range(0, 30) g(i) WHERE week_one IS NOT NULL),
+    f"""WITH {PLAN}, r AS (SELECT course_id, row_no, week_number, row_number() OVER (PARTITION BY course_id ORDER BY row_no) AS nth FROM fx_weeks WHERE NOT is_break),
+      s AS (SELECT course_id, target_term, (week_one + (7 * i)::INT)::DATE AS day FROM p, range(0, 60) g(i) WHERE week_one IS NOT NULL),
       f AS (SELECT course_id, day, row_number() OVER (PARTITION BY course_id ORDER BY day) AS nth FROM s WHERE NOT EXISTS (SELECT 1 FROM fx_no_class n WHERE n.term = s.target_term AND s.day BETWEEN n.date_start AND n.date_end))
     SELECT course_id, row_no, week_number, day FROM r JOIN f USING (course_id, nth)""")
+add("w11_break_rows", lambda s, d: r.undated_breaks(r.date_undated(planned(s, d), fx.weeks(s, d), fx.no_class(s)), planned(s, d), fx.no_class(s)),
+    f"""WITH {PLAN}, k AS (SELECT course_id, count(*) AS n FROM fx_weeks WHERE NOT is_break GROUP BY 1), s AS (SELECT course_id, target_term, i, (week_one + (7 * i)::INT)::DATE AS day FROM p, range(0, 60) g(i) WHERE week_one IS NOT NULL),
+      h AS (SELECT s.*, n.label, n.date_start, n.date_end, count(*) FILTER (n.label IS NULL) OVER (PARTITION BY course_id ORDER BY s.day) AS free FROM s LEFT JOIN fx_no_class n ON n.term = s.target_term AND s.day BETWEEN n.date_start AND n.date_end)
+    SELECT DISTINCT course_id, date_start, date_end, label || ' (' || {MD.format('date_start')} || ' - ' || {MD.format('date_end')} || ')' AS label FROM h JOIN k USING (course_id) WHERE label IS NOT NULL AND free < n""")
+add("f17_default_plan", lambda s, d: r.default_plan(fx.courses(s, d).withColumn("credits", F.col("course_id") % 4 + 0.5), fx.weeks(s, d), fx.terms(s)).withColumn("days", F.array_join(F.transform("days", lambda x: x.cast("string")), ",")),
+    f"""WITH l AS (SELECT term, lead(term) OVER (ORDER BY pos) AS after FROM fx_terms), w AS (SELECT course_id, week_number, list_sort(list_distinct(list((isodow(day) - 1)::INT))) AS dd, min(row_no) AS first FROM fx_weeks WHERE NOT is_break GROUP BY ALL),
+      f AS (SELECT *, max(len(dd)) OVER (PARTITION BY course_id) AS m FROM w), g AS (SELECT course_id, dd, count(*) AS c, min(first) AS first FROM f WHERE len(dd) = m GROUP BY ALL), b AS (SELECT course_id, dd FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY c DESC, first) AS k FROM g) WHERE k = 1)
+    SELECT course_id, coalesce(s.term, l.after) AS suggested_term, array_to_string(CASE WHEN len({DAYS}) > 0 THEN {DAYS} ELSE dd END, ',') AS days,
+      CASE WHEN c.term LIKE 'Summer%' THEN CASE WHEN duration_weeks <= 10 THEN '10 weeks' ELSE '12 weeks' END WHEN course_id % 4 + 0.5 < 2 OR duration_weeks = 5 THEN '1' WHEN duration_weeks = 10 THEN '1-2' ELSE '1-3' END AS session,
+      CASE WHEN c.term LIKE 'Summer%' THEN CASE WHEN duration_weeks <= 10 THEN 10 ELSE 12 END WHEN course_id % 4 + 0.5 < 2 OR duration_weeks = 5 THEN 5 WHEN duration_weeks = 10 THEN 10 ELSE duration_weeks END::INT AS weeks
+    FROM fx_courses c JOIN b USING (course_id) LEFT JOIN fx_terms s ON s.term = split_part(c.term, ' ', 1) || ' ' || (split_part(c.term, ' ', 2)::INT + 1) LEFT JOIN l ON l.term = c.term""")
 def moving(s, d):
     return planned(s, d).where("week_one is not null").select("course_id", "target_term", "old_start", "week_one", "target_end", "season_change")
 
@@ -137,7 +148,50 @@ add("j8_meeting_plan", lambda s, d: r.meeting_plan(fx.weeks(s, d), planned(s, d)
     SELECT course_id, array_to_string(l, ',') AS old_days, coalesce(array_to_string(n, ','), '') AS days,
       CASE WHEN len(a) = len(b) THEN array_to_string(list_transform(range(1, len(a) + 1), lambda i: (a[i] % 10) || '>' || (b[i] % 10)), ',') END AS pairs,
       CASE WHEN len(n) > 0 AND len(n) <> len(l) THEN 'meeting_count_differs' END AS flag FROM x""")
-add("e23_rollover", lambda s, d: r.roll_over(fx.courses(s, d), fx.weeks(s, d), fx.terms(s), fx.no_class(s)), None)
+def rolled_over(s, d):
+    return r.roll_over(fx.courses(s, d), fx.weeks(s, d), fx.terms(s), fx.no_class(s))
+
+
+ROLLED = f"""WITH RECURSIVE {PLAN},
+      men AS (SELECT * FROM (SELECT course_id, row_no, regexp_matches(concat_ws(' ', array_to_string(topics, ' '), array_to_string(assignments, ' '), notes), '(?i)\\b(?:(?:spring|fall|summer|winter|thanksgiving|holiday) break|no class(?:es)?)\\b') AS said FROM fx_weeks WHERE NOT is_break) WHERE said),
+      q AS (SELECT p.*, course_id IN (SELECT course_id FROM men) AS own FROM p WHERE week_one IS NOT NULL),
+      n AS (SELECT course_id, week_number, row_number() OVER (PARTITION BY course_id ORDER BY week_number) AS k FROM (SELECT DISTINCT course_id, week_number FROM fx_weeks WHERE NOT is_break)),
+      g AS (SELECT target_term, days, i, (week_one + (7 * i)::INT)::DATE AS start, EXISTS (SELECT 1 FROM fx_no_class b WHERE b.term = target_term AND b.date_start IS NOT NULL AND NOT EXISTS (
+              SELECT 1 FROM range(0, 7) o(j) WHERE list_contains(CASE WHEN len(days) > 0 THEN days ELSE [0,1,2,3,4] END, (isodow((week_one + (7 * i + o.j)::INT)::DATE) - 1)::INT)
+                AND NOT (week_one + (7 * i + o.j)::INT)::DATE BETWEEN b.date_start AND b.date_end)) AS hit
+            FROM (SELECT DISTINCT target_term, days, week_one FROM q), range(0, 80) r(i)),
+      walk AS (
+        SELECT course_id, 0::BIGINT AS k, NULL::INT AS week_number, NULL::DATE AS start, 0::BIGINT AS shift, true AS placed FROM q
+        UNION ALL
+        SELECT w.course_id, n.k, n.week_number, g.start, w.shift + (g.hit AND NOT q.own)::INT, NOT (g.hit AND NOT q.own) FROM walk w JOIN q USING (course_id)
+          JOIN n ON n.course_id = w.course_id AND n.k = CASE WHEN w.placed THEN w.k + 1 ELSE w.k END JOIN g ON g.target_term = q.target_term AND g.days = q.days AND g.i = n.week_number - 1 + w.shift),
+      ww AS (SELECT course_id, week_number, list_sort(list_distinct(list(isodow(day) - 1))) AS l, min(row_no) AS first FROM fx_weeks WHERE NOT is_break GROUP BY ALL),
+      wf AS (SELECT *, max(len(l)) OVER (PARTITION BY course_id) AS m FROM ww), wg AS (SELECT course_id, l, count(*) AS c, min(first) AS first FROM wf WHERE len(l) = m GROUP BY ALL),
+      wo AS (SELECT course_id, l FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY c DESC, first) AS k FROM wg) WHERE k = 1),
+      tw AS (SELECT course_id, min(day) AS d FROM fx_weeks WHERE NOT is_break GROUP BY 1 HAVING count(*) > count(DISTINCT week_number)),
+      pr AS (SELECT course_id, list_transform(list_sort(list_transform(l, lambda c: ((c - isodow(coalesce(old_start, tw.d)) + 8) % 7) * 10 + c)), lambda c: c % 10) AS a, list_transform(list_sort(list_transform(days, lambda c: ((c - isodow(week_one) + 8) % 7) * 10 + c)), lambda c: c % 10) AS b FROM tw JOIN wo USING (course_id) JOIN q USING (course_id)),
+      mv AS (SELECT w.*, s.start, q.days, q.target_term, q.source_format, count(*) OVER (PARTITION BY w.course_id, w.week_number) AS iw, (w.day - min(w.day) OVER (PARTITION BY w.course_id, w.week_number))::INT AS since
+        FROM fx_weeks w JOIN walk s ON s.course_id = w.course_id AND s.week_number = w.week_number AND s.placed AND s.k > 0 JOIN q ON q.course_id = w.course_id WHERE NOT w.is_break),
+      mp AS (SELECT mv.*, CASE WHEN len(a) = len(b) THEN b[list_position(a, isodow(day) - 1)] END AS planned, max(iw) OVER (PARTITION BY mv.course_id) = 1 AS once FROM mv LEFT JOIN pr ON pr.course_id = mv.course_id),
+      nd AS (SELECT * EXCLUDE (planned, once), coalesce((start + ((planned - isodow(start) + 8) % 7)::INT)::DATE, CASE WHEN once AND len(days) > 0 THEN list_min(list_transform(days, lambda x: (start + ((x - isodow(start) + 8) % 7)::INT)::DATE)) END, (start + since)::DATE) AS new_day FROM mp),
+      cd AS (SELECT course_id, row_no, target_term, unnest(CASE WHEN iw = 1 AND len(days) > 0 THEN list_transform(days, lambda x: (new_day - (isodow(new_day) - 1)::INT + x)::DATE) ELSE [new_day] END) AS class_day FROM nd),
+      cc AS (SELECT *, (make_date(year(new_day), 11, 1) + ((7 - isodow(make_date(year(new_day), 11, 1))) % 7)::INT)::DATE AS change FROM nd WHERE source_format = 'markdown' AND len(assignments) > 0),
+      fl AS (SELECT DISTINCT course_id, row_no, 'collision:' || c.label AS flag FROM cd JOIN fx_no_class c ON c.term = target_term AND class_day BETWEEN coalesce(c.day, c.date_start) AND coalesce(c.day, c.date_end)
+        UNION ALL SELECT course_id, row_no, 'numbered_break' FROM men UNION ALL SELECT course_id, row_no, 'clock_change' FROM cc WHERE abs(new_day - change) <= 14),
+      fs AS (SELECT course_id, row_no, string_agg(flag, ',' ORDER BY flag) AS flags FROM fl GROUP BY ALL),
+      bb AS (SELECT w.course_id, row_no, w.label, w.date_start, w.date_end, week_one - old_start AS o, n.label AS name, n.date_start AS s, n.date_end AS e, coalesce({MATCH.format('w.label', 'n.label')}, false) AS m
+        FROM fx_weeks w JOIN q USING (course_id) LEFT JOIN fx_no_class n ON n.term = target_term AND n.date_start IS NOT NULL WHERE is_break AND NOT season_change),
+      bk AS (SELECT *, row_number() OVER (PARTITION BY course_id, row_no ORDER BY m DESC, s) AS i FROM bb),
+      ends AS (SELECT course_id, nd.target_term, min(new_day) AS lo, max(new_day) + 6 AS hi FROM nd JOIN q USING (course_id) WHERE season_change AND course_id IN (SELECT course_id FROM fx_weeks WHERE is_break) GROUP BY ALL),
+      br AS (SELECT course_id, row_no, CASE WHEN m THEN name ELSE trim(regexp_replace(label, '\\s*\\([^)]*\\)\\s*$', '')) END AS name, CASE WHEN m THEN s ELSE (date_start + o::INT)::DATE END AS s, CASE WHEN m THEN e ELSE (date_end + o::INT)::DATE END AS e FROM bk WHERE i = 1
+        UNION ALL SELECT course_id, (1000 + row_number() OVER (PARTITION BY course_id ORDER BY date_start))::INT, label, date_start, date_end FROM ends JOIN fx_no_class c ON c.term = target_term AND date_start <= hi AND date_end >= lo),
+      rolled AS (SELECT course_id, row_no, week_number, label, false AS is_break, day AS old_day, new_day, NULL::DATE AS new_end FROM nd
+        UNION ALL SELECT course_id, row_no, NULL, name || ' (' || {MD.format('s')} || ' - ' || {MD.format('e')} || ')', true, NULL, s, e FROM br),
+      flagged AS (SELECT rolled.*, coalesce(flags, '') AS flags FROM rolled LEFT JOIN fs USING (course_id, row_no))"""
+add("e23_rollover", rolled_over, f"{ROLLED} SELECT * FROM flagged")
+add("e23_events", lambda s, d: r.rollover_events(rolled_over(s, d), fx.courses(s, d), fx.weeks(s, d)),
+    f"""{ROLLED}, o AS (SELECT course_id, count(DISTINCT week_number) FILTER (NOT is_break) AS c FROM fx_weeks GROUP BY 1)
+    SELECT course_id, 'rollover' AS event_type, c.term AS source_term, c.target_term, o.c AS source_weeks, count(DISTINCT week_number) AS target_weeks, sum(CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END)::BIGINT AS flag_count FROM flagged JOIN fx_courses c USING (course_id) JOIN o USING (course_id) GROUP BY ALL""")
 
 add("p1_invalid_weeks", lambda s, d: c.invalid_weeks(fx.weeks(s, d).withColumn("day", F.when(F.col("course_id") % 13 != 0, F.col("day"))).withColumn("date_end", F.when(F.col("course_id") % 9 != 0, F.col("date_end")))),
     """SELECT * FROM (SELECT course_id, row_no, concat_ws(',', CASE WHEN is_break AND (date_start IS NULL OR CASE WHEN course_id % 9 <> 0 THEN date_end END IS NULL) THEN 'break_without_span' END,
