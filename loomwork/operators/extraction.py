@@ -104,7 +104,7 @@ def grading(rows: DataFrame) -> DataFrame:
     any_percent = F.max(F.col("percent")).over(whole)
     stated, summed = F.max(F.when(is_total, F.col("n"))).over(whole), F.sum(F.when(~is_total, F.col("n"))).over(whole)
     weight = F.when(any_percent, F.when(F.col("percent"), F.col("n") / 100)).otherwise(F.col("n") / F.coalesce(stated, summed))
-    out = parsed.withColumn("weight", F.least(F.bround(weight, 4), F.lit(1.0))).where(~is_total & F.col("weight").isNotNull())
+    out = parsed.withColumn("weight", F.when(weight.isNotNull(), F.least(F.bround(weight, 4), F.lit(1.0)))).where(~is_total & F.col("weight").isNotNull())
     return out.select("doc_id", "row_no", "name", "weight")
 
 
@@ -137,8 +137,8 @@ def grading_tables(tables: DataFrame) -> DataFrame:
     # the last Total row counts, though it has no number
     stated = F.max_by(F.when(F.col("is_total"), F.coalesce("n", F.lit(0.0))), F.when(F.col("is_total"), F.col("row_no"))).over(table)
     whole = F.coalesce(F.nullif(stated, F.lit(0.0)), F.nullif(F.sum(F.when(~F.col("is_total"), F.col("n"))).over(table), F.lit(0.0)))
-    weight = F.when(F.col("unit") == "percent", F.col("n") / 100).otherwise(F.least(F.bround(F.col("n") / whole, 4), F.lit(1.0)))
-    return rows.withColumn("weight", weight).where("not is_total and weight is not null").select("doc_id", "table_no", "row_no", "name", "unit", "weight")
+    weight = F.when(F.col("unit") == "percent", F.col("n") / 100).otherwise(F.when(whole > 0, F.least(F.bround(F.col("n") / whole, 4), F.lit(1.0))))
+    return rows.withColumn("weight", weight).where("not is_total and n is not null and weight is not null").select("doc_id", "table_no", "row_no", "name", "unit", "weight")
 
 
 def roll_new_year(rows: DataFrame) -> DataFrame:

@@ -202,6 +202,9 @@ def report(events: DataFrame, zone: str = "UTC") -> DataFrame:
     files = files_processed(events).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "format", "extracted", "errors", F.format_number(100 * F.col("error_rate"), 0)))).alias("rows"))
     costs = cost_by_type(events).where("is_total = 0").groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "content_type", "calls", "input_tokens", "output_tokens", F.format_number("cost_usd", 4)))).alias("cost_rows"))
     months = monthly_costs(events, zone).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "month", "generations", F.format_number("cost_usd", 4)))).alias("month_rows"))
+    for c in ("source_term", "target_term", "source_weeks", "target_weeks", "flag_count"):
+        if c not in events.columns:  # a log that never held a rollover
+            events = events.withColumn(c, F.lit(None).cast("string"))
     moves = rollover_history(events).groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(" | ", "at", "source_term", "target_term", "source_weeks", "target_weeks", "flag_count").alias("l")))), lambda x: x["l"]).alias("move_rows"))
     checks = consistency(events).select("project_id", F.array(F.concat_ws(" | ", "checks", "caught", "overridden", "caught_terms")).alias("check_rows"))
     s = summary(events)

@@ -297,8 +297,10 @@ def roll_university_dates(dates: DataFrame, courses: DataFrame, no_class: DataFr
     left, with its name. All others move by the terms' distance, on a season change with the flag ``unmatched``. Rows and
     their order never change; ``no_class`` is the whole calendar, breaks that the class meets through included.
 
-    ``courses(course_id, target_term, old_start, week_one, target_end, season_change)``.
+    ``courses(course_id, target_term, old_start, week_one, target_end, season_change)``; without the last, none changes season.
     """
+    if "season_change" not in courses.columns:
+        courses = courses.withColumn("season_change", F.lit(False))
     named = settled(named_dates(dates, courses, no_class))
     offset = F.date_diff("week_one", "old_start")
     begins, ends = F.rlike("event", F.lit(r"(?i)\bbegin")), F.rlike("event", F.lit(r"(?i)\bend"))
