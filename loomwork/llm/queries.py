@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import ann, bpe, html, media, mixing, neardup, pii, secrets, sharding, toxicity
+from loomwork.llm import ann, bpe, html, media, mixing, neardup, pii, runs, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_minhash_neardup": neardup.op9_minhash_neardup,
         "op10_sharding": sharding.op10_sharding,
+        "op11_periodic_runs": runs.op11_periodic_runs,
     }
 
 
