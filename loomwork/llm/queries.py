@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import ann, bpe, html, media, mixing, neardup, outliers, pii, runs, secrets, sharding, toxicity
+from loomwork.llm import ann, bpe, html, media, mixing, neardup, outliers, pii, runs, secrets, sharding, toxicity, turns
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": sharding.op10_sharding,
         "op11_periodic_runs": runs.op11_periodic_runs,
         "op12_quality_rules": outliers.op12_quality_rules,
+        "op13_conversation_repair": turns.op13_conversation_repair,
     }
 
 
