@@ -108,7 +108,35 @@ def grading(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_no", "name", "weight")
 
 
-PERCENT, POINTS, NUMBER = r"([0-9]+(?:\.[0-9]+)?)\s*%", r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:pts?|points?)\b", r"^\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*$"
+# How grading tables write their units.
+UNITS = {"%": "percent", "pt": "points", "pts": "points", "point": "points", "points": "points"}
+AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|[A-Za-z]*)"
+
+
+def amounts(text: Column) -> Column:
+    """Every number of a cell with its unit: percent, points, an empty string where none follows, null for other words."""
+    units = F.create_map(F.lit(""), F.lit(""), *[F.lit(x) for pair in UNITS.items() for x in pair])
+    read = lambda group: F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(group))
+    return F.zip_with(read(1), read(2), lambda n, unit: F.struct(F.replace(n, F.lit(","), F.lit("")).cast("double").alias("n"), F.try_element_at(units, F.lower(unit)).alias("unit")))
+
+
+def amount_in(text: Column, unit: Column | str) -> Column:
+    """The first number with a unit; a cell that is a number and no more counts as points. Null where there is none."""
+    unit = F.lit(unit) if isinstance(unit, str) else unit
+    listed = amounts(text)
+    bare = F.when((unit == "points") & (F.regexp_replace(F.trim(text), "^[0-9][0-9,]*([.][0-9]+)?$", "") == ""), F.try_element_at(listed, F.lit(1))["n"])
+    return F.coalesce(F.try_element_at(F.filter(listed, lambda a: a["unit"] == unit), F.lit(1))["n"], bare)
+
+
+def headed_by(unit: str) -> Column:
+    """The place of the first cell, behind the first and without digits, whose words name a unit; null where there is none."""
+    words = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z%]+")
+    if unit == "percent":
+        says = lambda w: F.contains(w, F.lit("%")) | F.contains(w, F.lit("percent")) | F.contains(w, F.lit("weight"))
+    else:
+        says = lambda w: w.isin(*(k for k, v in UNITS.items() if v == unit))
+    named = lambda c: F.exists(words(c), says) & (F.translate(c, "0123456789", "") == c)
+    return F.nullif(F.array_position(F.transform("cells", lambda c, i: (i > 0) & F.coalesce(named(c), F.lit(False))), True), F.lit(0))
 
 
 def grading_tables(tables: DataFrame) -> DataFrame:
@@ -120,20 +148,16 @@ def grading_tables(tables: DataFrame) -> DataFrame:
     readable value give nothing, as do tables of neither kind.
     """
     table = Window.partitionBy("doc_id", "table_no")
-    says = lambda c, pattern: F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
-    label = lambda pattern: F.array_position(F.transform("cells", lambda c, i: (i > 0) & ~says(c, "[0-9]") & says(c, pattern)), True)
-    top = F.min("row_no").over(table)
-    heads = tables.withColumn("is_first", F.col("row_no") == top)
-    at = lambda pattern: F.max(F.when(F.col("is_first"), F.nullif(label(pattern), F.lit(0)))).over(table)
-    most = lambda pattern: (2 * F.count_if(says(cell(2), pattern)).over(table) > F.count("*").over(table)) & F.bool_or(F.col("is_first") & says(cell(2), pattern)).over(table)
-    found = heads.select("*", at("(?i)weight|percent|%").alias("c_percent"), at(r"(?i)\b(?:points?|pts?)\b").alias("c_points"), most(PERCENT).alias("m_percent"), most(POINTS).alias("m_points"))
-    headed = F.coalesce("c_percent", "c_points").isNotNull()
-    unit = F.when(F.col("c_percent").isNotNull(), "percent").when(F.col("c_points").isNotNull(), "points").when(F.col("m_percent"), "percent").when(F.col("m_points"), "points")
-    column = F.coalesce("c_percent", "c_points", F.lit(2)).cast("int")
-    rows = found.select("doc_id", "table_no", "row_no", unit.alias("unit"), F.trim(cell(1)).alias("name"), F.coalesce(F.try_element_at("cells", column), F.lit("")).alias("value"), (headed & F.col("is_first")).alias("is_header")).where("unit is not null and not is_header")
-    read = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
-    number = F.replace(F.when(F.col("unit") == "percent", read(PERCENT)).otherwise(F.coalesce(read(POINTS), read(NUMBER))), F.lit(","), F.lit("")).cast("double")
-    rows = rows.withColumn("n", number).withColumn("is_total", F.startswith(F.lower("name"), F.lit("total")))
+    holds = lambda unit: F.exists(amounts(cell(2)), lambda a: F.coalesce(a["unit"] == unit, F.lit(False)))
+    top = tables.withColumn("is_first", F.col("row_no") == F.min("row_no").over(table))
+    at = lambda unit: F.max(F.when(F.col("is_first"), headed_by(unit))).over(table)
+    most = lambda unit: (2 * F.count_if(holds(unit)).over(table) > F.count("*").over(table)) & F.bool_or(F.col("is_first") & holds(unit)).over(table)
+    found = top.select("*", *(at(u).alias(f"c_{u}") for u in ("percent", "points")), *(most(u).alias(f"m_{u}") for u in ("percent", "points")))
+    headed = F.coalesce("c_percent", "c_points")
+    unit = F.when(F.col("c_percent").isNotNull() | (headed.isNull() & F.col("m_percent")), "percent").when(headed.isNotNull() | F.col("m_points"), "points")
+    value = F.coalesce(F.try_element_at("cells", F.coalesce(headed, F.lit(2)).cast("int")), F.lit(""))
+    rows = found.select("doc_id", "table_no", "row_no", unit.alias("unit"), F.trim(cell(1)).alias("name"), value.alias("value")).where(F.col("unit").isNotNull() & ~(headed.isNotNull() & F.col("is_first")))
+    rows = rows.withColumn("n", amount_in(F.col("value"), F.col("unit"))).withColumn("is_total", F.startswith(F.lower("name"), F.lit("total")))
     # the last Total row counts, though it has no number
     stated = F.max_by(F.when(F.col("is_total"), F.coalesce("n", F.lit(0.0))), F.when(F.col("is_total"), F.col("row_no"))).over(table)
     whole = F.coalesce(F.nullif(stated, F.lit(0.0)), F.nullif(F.sum(F.when(~F.col("is_total"), F.col("n"))).over(table), F.lit(0.0)))

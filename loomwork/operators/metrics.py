@@ -173,8 +173,8 @@ PAGE_INPUT, PAGE_OUTPUT = 800, 1200
 
 
 def cost_text(cost: Column, prefix: str = "") -> Column:
-    """a cost in dollars to four places, or that it is unknown."""
-    return F.coalesce(F.concat(F.lit(f"{prefix}$"), F.format_number(cost, 4)), F.lit("unknown (no rate for this model)"))
+    """a cost in dollars to four places, or that it isn't known."""
+    return F.coalesce(F.concat(F.lit(f"{prefix}$"), F.format_number(cost, 4)), F.lit("cost unknown"))
 
 
 def reading_estimate(texts: DataFrame, rates: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ NEGATED = r"(?i)\b(?:do not|don't|without|not required|avoid)\b"
 HAND_IN = r"(?i)\b(?:submit|submission|upload|turn in|hand in)\b"
 PLACE = r"(?i)\b(?:canvas|dropbox|moodle|blackboard|portal|folder|platform|website|email)\b"
 MISSING_NOTE = r"(?i)\b(?:not (?:provided|specified)|unspecified)\b"
-HEADING = r"^#{1,6}\s+(.+?)\s*$"
-SUBMISSION = r"(?i)^#{1,6}\s+(?:assignment\s+)?submission"
+HEADING = r"^#{1,6}[ \t]+\S"
+# Words that may stand around "submission" in the heading of a section that is about nothing else.
+AROUND = ("assignment", "instructions", "for", "guidelines", "details", "information", "method")
 EVALUATION = r"(?i)^#{1,6}\s+(?:evaluation|grading|scoring|rubric)"
 SHORTEST = 120
 
@@ -27,6 +28,12 @@ def has(column: str, pattern: str) -> Column:
     return F.rlike(column, F.lit(pattern))
 
 
+def is_submission(column: str) -> Column:
+    """Whether a line is the heading of a section on handing in: nothing but "submission" and words around it."""
+    words = F.filter(F.split(F.lower(F.trim(F.ltrim(column, F.lit("#")))), r"\s+"), lambda w: ~w.isin(*AROUND))
+    return has(column, HEADING) & (words == F.array(F.lit("submission")))
+
+
 def permissions(requests: DataFrame) -> DataFrame:
     """What a request's own sentences ask for; a sentence that forbids something doesn't ask for it."""
     asks = ~has("sentence", NEGATED)
@@ -42,7 +49,7 @@ def review(drafts: DataFrame, requests: DataFrame) -> DataFrame:
     demanded = has("sentence", DEMAND) & ~has("sentence", OPTIONAL) & ~has("sentence", NEGATED)
     seen = lines.groupBy("draft_id").agg(
         F.bool_or(has("sentence", HAND_IN) & has("sentence", PLACE)).alias("logistics"),
-        F.bool_or(has("sentence", SUBMISSION)).alias("submission_section"),
+        F.bool_or(is_submission("sentence")).alias("submission_section"),
         F.bool_or(has("sentence", EVALUATION)).alias("evaluation_section"),
         F.bool_or(has("sentence", MISSING_NOTE)).alias("missing_note"),
         *(F.bool_or(demanded & has("sentence", rf"(?i)\b(?:{p})s?\b")).alias(f"needs_{a}") for a, p in ARTEFACTS.items()),
@@ -61,7 +68,7 @@ def clean_up(drafts: DataFrame, requests: DataFrame) -> DataFrame:
     asked for; runs of blank lines become one. A section ends at the next heading (the last heading above a line decides)."""
     rows = drafts.select("draft_id", "request_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text")).join(permissions(requests).select("request_id", "may_hand_in"), "request_id", "left")
     above = Window.partitionBy("draft_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(has("text", HEADING), has("text", SUBMISSION)), ignorenulls=True).over(above)
+    section = F.last(F.when(has("text", HEADING), is_submission("text")), ignorenulls=True).over(above)
     free = ~F.coalesce("may_hand_in", F.lit(False))
     gone = free & (F.coalesce(section, F.lit(False)) | (has("text", HAND_IN) & has("text", PLACE))) | has("text", MISSING_NOTE)
     kept = rows.withColumn("gone", gone).groupBy("draft_id").agg(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("line_no", "text")))).alias("l"), F.count_if("gone").alias("removed_lines"))

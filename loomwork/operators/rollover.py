@@ -38,8 +38,7 @@ def week_counts(weeks: DataFrame) -> DataFrame:
 def numbered_break(weeks: DataFrame) -> DataFrame:
     """P5: weeks with a number whose words mention a break; ``mention`` is what they say."""
     words = F.concat_ws(" ", F.flatten(F.array("topics", "assignments")), "notes")
-    said = F.regexp_extract(words, t.BREAK_WORDS, 0)
-    return weeks.where(~F.col("is_break")).withColumn("mention", said).where("mention <> ''").select("course_id", "row_no", "week_number", "mention")
+    return weeks.where(~F.col("is_break")).withColumn("mention", t.break_mention(words)).where("mention is not null").select("course_id", "row_no", "week_number", "mention")
 
 
 def number_meetings(weeks: DataFrame) -> DataFrame:

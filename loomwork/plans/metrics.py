@@ -89,7 +89,7 @@ TYPICAL = f"SELECT project_id, content_type, floor(quantile_cont(output_tokens,
 add("w3_expected_output", lambda s, d: m.expected_output(fx.eval_events(s, d), {"quiz": 4000, "rubric": 3001, "summary": 1500}),
     f"WITH l AS (SELECT * FROM (VALUES ('quiz', 4000), ('rubric', 3001), ('summary', 1500)) v(content_type, most)), y AS ({TYPICAL}) SELECT e.project_id, l.content_type, coalesce(n, most // 2)::BIGINT AS expected_tokens FROM (SELECT DISTINCT project_id FROM fx_events) e JOIN l ON true LEFT JOIN y ON y.project_id = e.project_id AND y.content_type = l.content_type")
 add("f13_reading_estimate", lambda s, d: m.reading_estimate(fx.table(s, d, "documents").select(F.col("doc_id").alias("request_id"), fx.pick(F.col("doc_id") % 3, "gpt-4o", "flash", "other").alias("model"), "text"), fx.rates(s)),
-    """SELECT doc_id AS request_id, d.model, floor(length(coalesce(text, '')) / 4 * 1.5)::BIGINT AS reply_tokens, coalesce('about $' || format('{:.4f}', 0.8 * input_per_1k + 1.2 * output_per_1k), 'unknown (no rate for this model)') AS page_cost
+    """SELECT doc_id AS request_id, d.model, floor(length(coalesce(text, '')) / 4 * 1.5)::BIGINT AS reply_tokens, coalesce('about $' || format('{:.4f}', 0.8 * input_per_1k + 1.2 * output_per_1k), 'cost unknown') AS page_cost
     FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'flash' ELSE 'other' END AS model FROM documents) d LEFT JOIN fx_rates USING (model)""")
 add("a15_error_list", lambda s, d: m.error_list(fx.eval_events(s, d)),
     "SELECT project_id, (row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC))::INT AS nth, strftime(ts, '%Y-%m-%d %H:%M') AS at, filename, error_type FROM fx_events WHERE event_type = 'extraction_error'")

@@ -24,18 +24,20 @@ def requests(s, d):
 DRAFTS = """d AS (SELECT doc_id, doc_id % 5 = 1 AS may_hand_in, doc_id % 5 = 0 AS may_report, concat('# Draft' || chr(10), text, replace(CASE doc_id % 6 WHEN 0 THEN '~Submit it on Canvas.' WHEN 1 THEN '~## Submission~Upload a file.~## Next~More.' WHEN 2 THEN '~You must write a report.'
     WHEN 3 THEN '~## Grading~Ten points.' WHEN 4 THEN '~The format was not specified.' ELSE '~You may add a diagram.' END, '~', chr(10))) AS text FROM documents)"""
 IS = lambda p: f"regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')"
+AROUND = ", ".join(f"'{w}'" for w in q.AROUND)
+IS_SUBMISSION = f"({IS(q.HEADING)} AND list_filter(string_split_regex(lower(trim(ltrim(t, '#'))), '\\s+'), lambda w: w NOT IN ({AROUND})) = ['submission'])"
 DEMANDED = f"{IS(q.DEMAND)} AND NOT {IS(q.OPTIONAL)} AND NOT {IS(q.NEGATED)}"
 NEEDS = ", ".join(f"coalesce(bool_or({DEMANDED} AND {IS(f'(?i){chr(92)}b(?:{p})s?{chr(92)}b')}), false) AS needs_{a}" for a, p in q.ARTEFACTS.items())
 UNASKED = ", ".join(f"CASE WHEN needs_{a}{' AND NOT may_report' if a == 'report' else ''} THEN 'unasked_{a}' END" for a in q.ARTEFACTS)
 
 add("e11_draft_review", lambda s, d: q.review(drafts(s, d), requests(s, d)),
     f"""WITH {DRAFTS}, s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS t FROM d),
-      a AS (SELECT doc_id, bool_or({IS(q.HAND_IN)} AND {IS(q.PLACE)}) AS logistics, bool_or({IS(q.SUBMISSION)}) AS sub, bool_or({IS(q.EVALUATION)}) AS ev, bool_or({IS(q.MISSING_NOTE)}) AS missing, {NEEDS} FROM s WHERE t <> '' GROUP BY 1),
+      a AS (SELECT doc_id, bool_or({IS(q.HAND_IN)} AND {IS(q.PLACE)}) AS logistics, bool_or({IS_SUBMISSION}) AS sub, bool_or({IS(q.EVALUATION)}) AS ev, bool_or({IS(q.MISSING_NOTE)}) AS missing, {NEEDS} FROM s WHERE t <> '' GROUP BY 1),
       c AS (SELECT doc_id, concat_ws(',', CASE WHEN logistics AND NOT may_hand_in THEN 'submission_logistics' END, CASE WHEN sub AND NOT may_hand_in THEN 'submission_section' END, CASE WHEN ev THEN 'evaluation_section' END, CASE WHEN missing THEN 'missing_information_note' END, {UNASKED}) AS issues FROM d JOIN a USING (doc_id))
     SELECT doc_id AS draft_id, issues, (CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END)::INT AS n_issues FROM c""")
 add("e12_draft_clean_up", lambda s, d: q.clean_up(drafts(s, d), requests(s, d)).select("draft_id", F.sha2("text", 256).alias("text_sha256"), "removed_lines"),
     f"""WITH {DRAFTS}, l AS (SELECT doc_id, may_hand_in, unnest(generate_series(0, len(x) - 1)) AS n, unnest(x) AS t FROM (SELECT *, string_split(text, chr(10)) AS x FROM d)),
-      h AS (SELECT *, last_value(CASE WHEN {IS(q.HEADING)} THEN {IS(q.SUBMISSION)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l),
+      h AS (SELECT *, last_value(CASE WHEN {IS(q.HEADING)} THEN {IS_SUBMISSION} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l),
       g AS (SELECT *, (NOT may_hand_in AND (coalesce(sec, false) OR ({IS(q.HAND_IN)} AND {IS(q.PLACE)}))) OR {IS(q.MISSING_NOTE)} AS gone FROM h)
     SELECT doc_id AS draft_id, sha256(trim(regexp_replace(regexp_replace(string_agg(t, chr(10) ORDER BY n) FILTER (NOT gone), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g'), ' ')) AS text_sha256, count(*) FILTER (gone) AS removed_lines FROM g GROUP BY 1""")
 add("e13_revision_choice", lambda s, d: q.choose_revision(fx.table(s, d, "documents").select(F.col("doc_id").alias("draft_id"), F.lit("The").alias("name"), F.lit("old").alias("text"), (F.col("doc_id") % 3).alias("n_issues"), F.col("text").alias("revised_text"), F.lit(1).alias("revised_issues"))).select("draft_id", "revised", F.sha2("text", 256).alias("text_sha256")),

@@ -33,6 +33,11 @@ def dated(s, d):
 add("fx_courses", fx.courses, "SELECT * FROM fx_courses")
 add("fx_weeks", lambda s, d: fx.weeks(s, d).withColumns({k: F.array_join(k, "|") for k in ("topics", "assignments")}), "SELECT * REPLACE (array_to_string(topics, '|') AS topics, array_to_string(assignments, '|') AS assignments) FROM fx_weeks")
 add("fx_university_dates", fx.university_dates, "SELECT * FROM fx_university_dates")
+#: Each row's first two neighbouring words that name a break.
+NAMED = ", ".join(f"'{name}'" for name in (*(f"{x} break" for x in t.BREAK_NAMES), *t.NO_CLASSES))
+MENTIONS = f"""SELECT course_id, row_no, week_number, list_filter(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), lambda p: lower(p) IN ({NAMED}))[1] AS mention
+      FROM (SELECT course_id, row_no, week_number, string_split(concat_ws(' ', array_to_string(topics, ' '), array_to_string(assignments, ' '), notes), ' ') AS w FROM fx_weeks WHERE NOT is_break)"""
+
 add("j1_target_term", lambda s, d: r.look_up_target(fx.courses(s, d), fx.terms(s)).select("course_id", "target_term", "week_one", "target_end", "error_code"),
     f"WITH {PLAN} SELECT course_id, target_term, week_one, target_end, CASE WHEN week_one IS NULL THEN 'no_week_one' END AS error_code FROM p")
 add("w13_suggested_term", lambda s, d: r.next_terms(fx.terms(s), fx.courses(s, d)),
@@ -40,7 +45,7 @@ add("w13_suggested_term", lambda s, d: r.next_terms(fx.terms(s), fx.courses(s, d
     SELECT course_id, c.term, coalesce(s.term, l.after) AS suggested_term FROM fx_courses c LEFT JOIN fx_terms s ON s.term = split_part(c.term, ' ', 1) || ' ' || (split_part(c.term, ' ', 2)::INT + 1) LEFT JOIN l ON l.term = c.term""")
 add("a9_week_count", lambda s, d: r.week_counts(fx.weeks(s, d)), "SELECT course_id, count(DISTINCT CASE WHEN NOT is_break THEN week_number END) AS week_count FROM fx_weeks GROUP BY 1")
 add("p5_numbered_breaks", lambda s, d: r.numbered_break(fx.weeks(s, d)),
-    """SELECT * FROM (SELECT course_id, row_no, week_number, regexp_extract(concat_ws(' ', array_to_string(topics, ' '), array_to_string(assignments, ' '), notes), '(?i)\\b(?:(?:spring|fall|summer|winter|thanksgiving|holiday) break|no class(?:es)?)\\b', 0) AS mention FROM fx_weeks WHERE NOT is_break) WHERE mention <> ''""")
+    f"""SELECT course_id, row_no, week_number, mention FROM ({MENTIONS}) WHERE mention IS NOT NULL""")
 add("w1_meetings", lambda s, d: r.number_meetings(fx.weeks(s, d)).select("course_id", "row_no", "week_number", "meeting"),
     """WITH n AS (SELECT course_id, row_no, week_number, is_break, row_number() OVER (PARTITION BY course_id, week_number ORDER BY row_no) AS nth, count(*) FILTER (NOT is_break) OVER (PARTITION BY course_id, week_number) AS k FROM fx_weeks)
     SELECT course_id, row_no, week_number, CASE WHEN NOT is_break AND max(CASE WHEN NOT is_break THEN k END) OVER (PARTITION BY course_id) > 1 THEN nth::INT END AS meeting FROM n""")
@@ -153,7 +158,7 @@ def rolled_over(s, d):
 
 
 ROLLED = f"""WITH RECURSIVE {PLAN},
-      men AS (SELECT * FROM (SELECT course_id, row_no, regexp_matches(concat_ws(' ', array_to_string(topics, ' '), array_to_string(assignments, ' '), notes), '(?i)\\b(?:(?:spring|fall|summer|winter|thanksgiving|holiday) break|no class(?:es)?)\\b') AS said FROM fx_weeks WHERE NOT is_break) WHERE said),
+      men AS (SELECT course_id, row_no FROM ({MENTIONS}) WHERE mention IS NOT NULL),
       q AS (SELECT p.*, course_id IN (SELECT course_id FROM men) AS own FROM p WHERE week_one IS NOT NULL),
       n AS (SELECT course_id, week_number, row_number() OVER (PARTITION BY course_id ORDER BY week_number) AS k FROM (SELECT DISTINCT course_id, week_number FROM fx_weeks WHERE NOT is_break)),
       g AS (SELECT target_term, days, i, (week_one + (7 * i)::INT)::DATE AS start, EXISTS (SELECT 1 FROM fx_no_class b WHERE b.term = target_term AND b.date_start IS NOT NULL AND NOT EXISTS (

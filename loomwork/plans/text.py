@@ -168,7 +168,7 @@ add("e10_prompt_batch", prompt_batch,
 add("f16_emphasis", lambda s, d: fx.table(s, d, "documents").select("doc_id", F.sha2(t.plain_text(F.concat_ws("", F.lit(" **Note** on *this*: "), "text")), 256).alias("plain_sha256")),
     """SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(concat(' **Note** on *this*: ', text), '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '\\*(.*?)\\*', '\\1', 'g'), '^\\s+|\\s+$', '', 'g')) AS plain_sha256 FROM documents""")
 add("p11_ai_tasks", lambda s, d: fx.table(s, d, "documents").select("doc_id", t.has_ai_task(F.concat_ws("", "text", fx.pick(F.col("doc_id") % 3, "\n## AI-use task\nAsk.", "\n#### AI-use task", "\nAI-use task"))).alias("has_ai_task")),
-    "SELECT doc_id, doc_id % 3 = 0 OR coalesce(regexp_matches(text, '(?im)^#{1,3}\\s*AI[- ]USE TASK\\b'), false) AS has_ai_task FROM documents")
+    "SELECT doc_id, doc_id % 3 = 0 OR len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: starts_with(l, '#') AND NOT starts_with(l, '####') AND starts_with(replace(lower(ltrim(l, '# ')), '-', ' '), 'ai use task'))) > 0 AS has_ai_task FROM documents")
 add("s7_archive_events", lambda s, d: dr.archive_events(listing(s, d).select(F.concat_ws(":", "project_id", "path").alias("key"), F.col("modified_at").alias("version_ts"), F.col("source_id").cast("string").alias("path"))),
     f"""WITH {LISTING}, v AS (SELECT project_id || ':' || path AS key, modified_at, source_id::VARCHAR AS path, row_number() OVER (PARTITION BY project_id, path ORDER BY modified_at DESC, source_id::VARCHAR DESC) AS nth FROM files)
     SELECT 'archive' AS event_type, key AS original_path, regexp_replace(key, '\\.[^./]+$', '') || '-' || strftime(modified_at, '%Y%m%d-%H%M%S') || regexp_extract(key, '(\\.[^./]+)$', 1) AS archived_path, path FROM v WHERE nth > 1""")

@@ -99,4 +99,4 @@ def test_small_functions(spark):
         m.cost_text(F.lit(None).cast("double")).alias("d"), t.plain_text(F.lit(" **a** *b*\n")).alias("e"), t.has_ai_task(F.lit("x\n## AI use task")).alias("f"), t.has_ai_task(F.lit(None).cast("string")).alias("g"),
         t.written_label(F.lit("3"), F.to_date(F.lit("2027-09-05")), F.lit("Month d")).alias("h"),
     ).first()
-    assert tuple(row) == ("local", "gemini", "openai", "unknown (no rate for this model)", "a b", True, False, "Week 3 (September 5)")
+    assert tuple(row) == ("local", "gemini", "openai", "cost unknown", "a b", True, False, "Week 3 (September 5)")
