@@ -68,16 +68,21 @@ def missing_variables(templates: DataFrame, required: DataFrame) -> DataFrame:
 def prompts(requests: DataFrame, weeks: DataFrame, sources: DataFrame, templates: DataFrame, budget: int = 24_000) -> DataFrame:
     """The prompt of each request, filled in one pass, so values with braces stay as they are.
 
-    ``requests(request_id, course_id, content_type, week_number)``, ``sources(course_id, pos, name, text)``: all of a course, in
-    order, share one budget of characters, and no more than that is gathered; ``templates(content_type, text)``. Unknown
+    ``requests(request_id, course_id, content_type, week_number)``, ``sources(course_id, pos, name, text)``, pos and name
+    once a course: all of a course, in order, share one budget of characters, and no more than that is gathered; ``templates(content_type, text)``. Unknown
     braces are kept. Sources without text are left out.
     """
-    ahead = Window.partitionBy("course_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    piece = F.concat(F.when(F.row_number().over(Window.partitionBy("course_id").orderBy("pos")) > 1, F.lit("\n\n")).otherwise(F.lit("")), F.lit("### "), "name", F.lit("\n"), "text")
-    placed = sources.where("text is not null").withColumn("piece", piece).withColumn("start", F.coalesce(F.sum(F.length("piece")).over(ahead), F.lit(0)))
-    # lengths of all, texts of those only that begin inside the budget
-    inside = placed.select("course_id", "pos", (F.col("start") + F.length("piece")).alias("end"), F.when(F.col("start") < budget, F.substring("piece", F.lit(1), (budget - F.col("start")).cast("int"))).alias("kept"))
-    whole = inside.groupBy("course_id").agg(F.max("end").alias("length"), F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("pos", "kept")))).alias("pieces"))
+    piece = F.concat(F.lit("### "), "name", F.lit("\n"), "text")
+    in_order = Window.partitionBy("course_id").orderBy("pos", "name")
+    # lengths of all go through the window, texts of those only that begin inside the budget are fetched
+    sized = sources.where("text is not null").select("course_id", "pos", "name", F.length(piece).alias("size"))
+    sized = sized.withColumn("gap", F.when(F.row_number().over(in_order) > 1, 2).otherwise(0))
+    placed = sized.withColumn("end", F.sum(F.col("size") + F.col("gap")).over(in_order)).withColumn("start", F.col("end") - F.col("size") - F.col("gap"))
+    lengths = placed.groupBy("course_id").agg(F.max("end").alias("length"))
+    inside = placed.where(F.col("start") < budget).join(sources.where("text is not null"), ["course_id", "pos", "name"])
+    kept = F.substring(F.concat(F.when(F.col("gap") > 0, "\n\n").otherwise(""), piece), F.lit(1), (budget - F.col("start")).cast("int"))
+    pieces = inside.select("course_id", F.struct("pos", "name", kept.alias("kept")).alias("p")).groupBy("course_id").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    whole = lengths.join(pieces, "course_id")
     gone = F.col("length") - budget
     context = whole.select("course_id", F.concat(F.array_join(F.transform("pieces", lambda x: x["kept"]), ""), F.when(gone > 0, F.concat(F.lit("\n[... "), gone.cast("string"), F.lit(" characters omitted]"))).otherwise(F.lit(""))).alias("context"))
     week = merged_weeks(weeks).select("course_id", "week_number", F.array_join("topics", ", ").alias("topics"), F.array_join("assignments", ", ").alias("assignments"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.plans.base import add
 from loomwork.sources import fixtures as fx
+from loomwork.sources.files import shared_folder
 from loomwork.streaming import log
 
 
@@ -21,8 +21,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     spark = stream.sparkSession
     name = f"drain_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return log.drain(stream, f"{base.rstrip('/')}/{name}", name, mode)
+    return log.drain(stream, f"{shared_folder(spark)}/{name}", name, mode)
 
 
 def typical(spark: SparkSession, sf_dir: str) -> DataFrame:

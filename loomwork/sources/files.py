@@ -61,15 +61,21 @@ def small(configuration: DataFrame) -> DataFrame:
     return F.broadcast(configuration) if configuration.limit(MOST_ROWS + 1).count() <= MOST_ROWS else configuration
 
 
-def settled(table: DataFrame) -> DataFrame:
-    """A table that several branches of a job read, written once in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only on one machine (master ``local``) a temporary one is set
-    where it is unset.
+    Only on one machine (master ``local``) a temporary one is set where it is unset.
     """
-    context = table.sparkSession.sparkContext
-    if not table.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not base and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
+    return (base or context.getCheckpointDir()).rstrip("/")
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """A table that several branches of a job read, written once in the shared checkpoint folder."""
+    shared_folder(table.sparkSession)
     return table.checkpoint()
