@@ -3,7 +3,8 @@
 Every page becomes a tree; each element's subtree is hashed twice: exactly, and by its form alone (its path of tags
 and classes, and the kinds of blocks in it, with all text masked), so that a menu recurs though its words differ.
 Spark counts on how many distinct pages of its host a hash occurs; subtrees that recur across many of them are
-deleted. What a page marks as its article, or else the block that holds most of its letters outside links, is never
+deleted. Where a page doesn't mark its article, a form counts as template only if the block is a menu, a header or the like,
+or mostly links, or if its words come again on other pages as well: a block whose words differ from page to page is text. What a page marks as its article, or else the block that holds most of its letters outside links, is never
 deleted itself, and inside it only exact repeats are. Elements that HTML defines as no part of the text, and those
 that name themselves an advert, a comment or the like, go too: they are all there is on hosts of one page or two.
 """
@@ -29,7 +30,7 @@ FORM_SHARE = 0.5  # the same for forms without text
 INNER_PAGES, INNER_SHARE = 10, 0.5  # the same for exact repeats inside the article, where pages may quote each other
 INNER_LETTERS = 30
 SMALL = 200_000  # template hashes that every worker may hold
-FORM, OUTER, INNER = range(3)  # kinds of hashes
+FORM, OUTER, INNER, LOOSE = range(4)  # kinds of hashes; LOOSE: forms of blocks that are mostly text
 
 # Elements of HTML by what a reader sees of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +64,7 @@ UNDISPLAYED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "up", "path", "hash", "form", "size", "plain", "titled", "inner", "guarded")
+    __slots__ = ("tag", "attributes", "children", "up", "path", "hash", "words", "form", "size", "plain", "titled", "inner", "guarded")
 
     def __init__(self, tag: str, attributes: str, up: Node | None) -> None:
         self.tag, self.children, self.up = tag, [], up
@@ -71,7 +72,7 @@ class Node:
         if attributes:
             for name, value in reversed(ATTRIBUTE.findall(attributes)):  # the first of a name counts
                 self.attributes[name.lower()] = value.strip("\"'")
-        self.path = self.hash = self.form = self.size = self.plain = 0  # size: letters; plain: those outside links
+        self.path = self.hash = self.words = self.form = self.size = self.plain = 0  # size: letters; plain: those outside links
         self.titled = self.inner = self.guarded = False
 
     def named(self) -> str:
@@ -159,20 +160,24 @@ def measured(root: Node) -> list[Node]:
         node.path = xxhash.xxh64_intdigest(f"{node.up.path if node.up else 0}\0{node.tag}\0{FIGURES.sub('', node.named())}")
     for node in reversed(nodes):
         exact = xxhash.xxh64(f"{node.tag}\0{node.named()}")
+        words = xxhash.xxh64()
         forms: dict[int, None] = {}
         for c in node.children:
             if isinstance(c, Node):
                 exact.update(c.hash.to_bytes(8, "little"))
+                words.update(c.words.to_bytes(8, "little"))
                 node.size += c.size
                 node.plain += c.plain
                 if c.form:
                     forms[c.form] = None  # a menu of four entries has the form of one of six
                 node.titled = node.titled or c.titled
             else:
-                exact.update(SPACE.sub(" ", c))
+                text = SPACE.sub(" ", c)
+                exact.update(text)
+                words.update(FIGURES.sub("", text))
                 node.size += len(c.strip())
                 node.plain += len(c.strip())
-        node.hash = exact.intdigest()
+        node.hash, node.words = exact.intdigest(), words.intdigest()
         if node.tag in BLOCKS or node.tag in PARTS or forms:  # words inside a block have no form
             node.form = xxhash.xxh64_intdigest(f"{node.tag}\0{FIGURES.sub('', node.named())}\0{list(forms)}") | 1
         if node.tag == "a" or node.tag in NOT_TEXT:
@@ -191,9 +196,58 @@ def measured(root: Node) -> list[Node]:
     return nodes
 
 
+def inmost_box(root: Node, less: dict[int, int]) -> Node:
+    """The innermost box that holds more than half of the letters outside links; ``less``: letters that don't count, by id."""
+    rest = lambda x: x.plain - less.get(id(x), 0)
+    fits = lambda c, node: isinstance(c, Node) and rest(c) * 2 > rest(node)
+    node = root
+    while True:
+        into = next((c for c in node.children if fits(c, node) and c.tag not in LISTS and (c.tag in BOXES or c.tag in CELLS or c.tag in KEPT)), None)
+        into = into or next((c for c in node.children if fits(c, node) and c.tag == "table"), None)
+        if into is None:
+            return node
+        node = into
+
+
+def letters_of(some: list[Node]) -> dict[int, int]:
+    """Letters outside links of ``some`` blocks, added up for each element around them, by id."""
+    out: dict[int, int] = defaultdict(int)
+    for x in some:
+        node: Node | None = x
+        while node is not None:
+            out[id(node)] += x.plain
+            node = node.up
+    return out
+
+
+def inside(node: Node, tag: str) -> bool:
+    """Whether an element stands in one of that tag."""
+    while node.up is not None:
+        node = node.up
+        if node.tag == tag:
+            return True
+    return False
+
+
+def teasers(some: list[Node], root: Node) -> bool:
+    """Whether marked articles only point to others: there are several, or they are mostly links, and the largest box beside
+    them holds more text than all of them, and is none that names itself a comment or the like."""
+    if not some or len(some) < 2 and all(x.plain * 2 >= x.size for x in some):
+        return False
+    less = letters_of(some)
+    box: Node | None = inmost_box(root, less)
+    if box is root or box.plain - less[id(box)] <= sum(x.plain for x in some):
+        return False
+    while box is not None:
+        if unwanted(box):
+            return False
+        box = box.up
+    return True
+
+
 def articles(root: Node, nodes: list[Node]) -> list[Node]:
-    """The blocks that a page marks as its articles, if these hold a twentieth of its letters outside links; else the
-    innermost box that holds more than half of them."""
+    """The blocks that a page marks as its articles, if these hold a twentieth of its letters outside links and aren't teasers
+    beside a longer text; else the innermost box that holds more than half of them."""
     for tag in ("article", "main"):
         some, outside = [], {id(root)}
         for x in nodes[1:]:
@@ -202,15 +256,12 @@ def articles(root: Node, nodes: list[Node]) -> list[Node]:
                     some.append(x)
                 else:
                     outside.add(id(x))
-        if sum(x.plain for x in some) * 20 > root.plain:
+        if tag == "article" and teasers(some, root):
+            for x in some:
+                x.tag = "aside"  # what it is for a reader
+        elif sum(x.plain for x in some) * 20 > root.plain:
             return some
-    node = root
-    while True:
-        into = next((c for c in node.children if isinstance(c, Node) and c.plain * 2 > node.plain and c.tag not in LISTS and (c.tag in BOXES or c.tag in CELLS or c.tag in KEPT)), None)
-        into = into or next((c for c in node.children if isinstance(c, Node) and c.tag == "table" and c.plain * 2 > node.plain), None)
-        if into is None:
-            return [node]
-        node = into
+    return [inmost_box(root, letters_of([x for x in nodes if x.tag == "aside" and not inside(x, "aside")]))]
 
 
 class Page(NamedTuple):
@@ -248,8 +299,9 @@ def keys(node: Node, page: Page) -> list[tuple[int, int]]:
         out.append((OUTER, xxhash.xxh64_intdigest(node.hash.to_bytes(8, "little"), seed=OUTER) - (1 << 63)))
     if node.tag in BOXES and (node.tag in PARTS or not node.titled) or node.tag in LISTS and node.plain * 2 < node.size:
         key = form_key(node)
-        if key not in page.guards and (page.marked or node.plain * 4 <= page.most):
-            out.append((FORM, key))
+        if key not in page.guards and (node.plain <= page.most if page.marked else node.plain * 4 <= page.most):
+            menu = page.marked or node.tag in PARTS or node.plain * 2 < node.size
+            out.append((FORM, key) if menu else (LOOSE, key ^ LOOSE))
     return out
 
 
@@ -328,21 +380,22 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, article, found): each page's article and the distinct (kind, hash) of its subtrees that may be template."""
+    """(host, article, found): each page's article and the distinct (kind, hash) of its subtrees that may be template, those of
+    kind LOOSE with the hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64())]))
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("text", pa.int64())]))
         for whole in batches:
             for b in chunks(whole, "html"):
                 names, found = [], []
                 for text in b.column("html").to_pylist():
                     page = page_of(text)
                     names.append(article_key(page))
-                    some = sorted({k for x in page.nodes for k in keys(x, page) if x.tag not in UNSEEN})
-                    found.append([{"kind": k, "hash": h} for k, h in some])
+                    some = sorted({(k, h, x.words - (1 << 63) if k == LOOSE else 0) for x in page.nodes for k, h in keys(x, page) if x.tag not in UNSEEN})
+                    found.append([{"kind": k, "hash": h, "text": t} for k, h, t in some])
                 yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(names, pa.int64()), pa.array(found, kind)], names=["host", "article", "found"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, article bigint, found array<struct<kind:int,hash:bigint>>")
+    return pages.select("host", "html").mapInArrow(run, "host string, article bigint, found array<struct<kind:int,hash:bigint,text:bigint>>")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
@@ -352,8 +405,9 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = L
     """
     each = stored(subtrees(pages).groupBy("host", "article").agg(F.min("found").alias("found")))
     sizes = each.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = each.select("host", F.explode("found").alias("f")).groupBy("host", "f.kind", "f.hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    least = F.when(F.col("kind") == FORM, FORM_SHARE).when(F.col("kind") == OUTER, share).otherwise(INNER_SHARE)
+    by_text = each.select("host", F.explode("found").alias("f")).groupBy("host", "f.kind", "f.hash", "f.text").agg(F.count("*").alias("n"))
+    counts = by_text.groupBy("host", "kind", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where((F.col("n") >= least_pages) & ((F.col("kind") != LOOSE) | (2 * F.col("texts") <= F.col("n"))))
+    least = F.when(F.col("kind").isin(FORM, LOOSE), FORM_SHARE).when(F.col("kind") == OUTER, share).otherwise(INNER_SHARE)
     enough = (F.col("n") >= F.col("pages") * least) & ((F.col("kind") != INNER) | (F.col("n") >= INNER_PAGES))
     return counts.join(sizes, "host").where(enough).select("host", "hash")
 

@@ -149,3 +149,33 @@ def test_joined_templates_give_the_same(spark, monkeypatch):
     first = sorted(html.extract(df, counts=True).collect())
     monkeypatch.setattr(html, "SMALL", 0)
     assert sorted(html.extract(df, counts=True).collect()) == first and first[3].text == "t3" and first[3].n_template == 2
+
+
+def say(i, n):
+    """Words of a page that come nowhere else."""
+    return " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k % 6]}" for k in range(n))
+
+
+def test_teasers_are_no_article(spark):
+    card = "<article class='card'><a href='/{0}'>{1}</a><p>{2}</p></article>"
+    rows = []
+    for i in range(12):
+        cards = "".join(card.format(k, say(40 + i * 3 + k, 4), say(80 + i * 3 + k, 5)) for k in range(3))
+        rows.append((i, f"https://t.example/{i}", f"<body><nav><a href='/'>home</a></nav><div class='post-body'><h1>{say(i, 3)}</h1><p>{say(i, 80)}</p><p>{say(i + 20, 80)}</p></div><div class='more'>{cards}</div></body>"))
+    rows += [(100 + i, f"https://one.example/{i}", f"<div class='post-body'><p>{say(i, 120)}</p></div><article class='card'><a href='/x'>{say(i + 50, 9)}</a> go</article>") for i in range(8)]
+    rows += [(200 + i, f"https://forum.example/{i}", f"<h1>{say(i, 4)}</h1><article><p>{say(i, 30)}</p></article><article><p>{say(i + 30, 20)}</p></article><div class='stats'>{i} seen</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{say(i, 3)} {say(i, 80)} {say(i + 20, 80)}" for i in range(12))
+    assert all(got[100 + i] == say(i, 120) for i in range(8))
+    assert all(got[200 + i] == f"{say(i, 4)} {say(i, 30)} {say(i + 30, 20)}" for i in range(8))
+
+
+def test_blocks_beside_the_longest_stay_if_their_words_differ(spark):
+    rows = []
+    for i in range(20):
+        menu = "".join(f"<a href='/{k}'>{say(60 + i, k + 2)}</a>" for k in range(4))  # its words change from page to page
+        ad = f"<div class='zz'>{say(200 + i // 4, 6)}</div>"  # one of five
+        rows.append((i, f"https://u.example/{i}", f"<body><div class='m'>{menu}</div><div class='intro'><p>{say(i, 15)}</p></div><div class='text'><p>{say(i + 26, 100)}</p></div>{ad}<div class='outro'>{say(i + 52, 20)}</div></body>"))
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), counts=True).collect()}
+    assert all(got[i].text == f"{say(i, 15)} {say(i + 26, 100)} {say(i + 52, 20)}" for i in range(20))
+    assert all(r.n_template == 2 and r.n_named == 0 for r in got.values())
