@@ -147,6 +147,10 @@ def parse(file: bytes) -> Frame:
                 raise ValueError("no frame")
             picked = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
             parts = tuple((*found[i], t >> 4, 0x10 | t & 15, i) for i, t in picked)
+            if not parts or any(p[2] not in quantisers or p[3] not in tables or p[4] not in tables for p in parts):
+                raise ValueError("a table is missing")
+            if not all(size) or any(not 1 <= n <= 4 for p in parts for n in p[:2]):
+                raise ValueError("no size")
             if len(parts) == 1:  # a scan of one component has single blocks, whatever its sampling
                 parts = ((1, 1, *parts[0][2:]),)
             end = len(file) - 2 if file[-2:] == b"\xff\xd9" else len(file)
@@ -327,8 +331,8 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def decoded(files: list[bytes | None]) -> list[tuple[Frame, np.ndarray] | str]:
-    """Each file's frame and coefficients, or why there are none. One bad file doesn't touch the others."""
+def decoded(files: list[bytes | None]) -> list[tuple[Frame, np.ndarray, str] | str]:
+    """Each file's frame, coefficients and thumbnail's hash, or why there are none. One bad file doesn't touch the others."""
     broken = (ValueError, IndexError, KeyError, struct.error)
     out: list = ["null" if x is None else "" for x in files]
     sound = []
@@ -343,11 +347,12 @@ def decoded(files: list[bytes | None]) -> list[tuple[Frame, np.ndarray] | str]:
                 out[i] = str(e) or "unreadable"
     try:
         for i, got in zip(sound, decode([files[i] for i in sound])):
-            out[i] = got
+            out[i] = (*got, average_hash(thumbnail(*got)))
     except broken:
         for i in sound:
             try:
-                out[i] = decode([files[i]])[0]
+                (got,) = decode([files[i]])
+                out[i] = (*got, average_hash(thumbnail(*got)))
             except broken as e:
                 out[i] = str(e) or "unreadable"
     return out
@@ -382,10 +387,10 @@ def features(media: DataFrame, keep_payload: bool = False) -> DataFrame:
                     if isinstance(got, str):
                         rows.append([None, None, None, *stored_as, None, None, None, got] + [None] * keep_payload)
                         continue
-                    f, c = got
+                    f, c, shown = got
                     payload = payload_in(f, c)
                     said = [None] * 3 if payload is None else [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])]
-                    rows.append([*said, *stored_as, f"{f.width}x{f.height}:{average_hash(thumbnail(f, c))}", f.width, f.height, None] + [payload] * keep_payload)
+                    rows.append([*said, *stored_as, f"{f.width}x{f.height}:{shown}", f.width, f.height, None] + [payload] * keep_payload)
                 types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
                 names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "error", "payload"]
                 cols = [b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))]

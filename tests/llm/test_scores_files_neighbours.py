@@ -158,3 +158,24 @@ def test_raking_says_what_it_missed(spark):
     torn = mixing.rake(cells, {"source": share("ab", [0.5, 0.5]), "lang": share("xy", [0.9, 0.1])}, sweeps=5)
     assert torn.first().miss > 0.1  # no weights can meet both
     assert mixing.rake(cells).first().miss < mixing.CLOSE
+
+
+def test_files_without_a_segment_and_with_wrong_bytes_give_rows(spark):
+    good = media.encode([b"some text of a document".ljust(384)])[0]
+    cuts, at = [], 2
+    while good[at] == 0xFF and good[at + 1] != 0xDA:
+        length = int.from_bytes(good[at + 2 : at + 4], "big") + 2
+        cuts.append(good[:at] + good[at + length :])
+        at += length
+    rng = np.random.default_rng(1)
+    flipped = []
+    for _ in range(300):
+        x = bytearray(good)
+        x[int(rng.integers(2, len(x)))] = int(rng.integers(256))
+        flipped.append(bytes(x))
+    files = [good, *cuts, *(good[:k] for k in range(0, len(good), 7)), *flipped, good]
+    out = media.decoded(files)
+    assert len(out) == len(files) and not isinstance(out[0], str) and not isinstance(out[-1], str) and out[0][2] == out[-1][2]
+    assert all(isinstance(x, str) and x for x in out[2 : len(cuts) - 1])  # without quantiser, frame or codes
+    rows = media.features(spark.createDataFrame([(i, 1, x) for i, x in enumerate(files)], "doc_id long, n_bytes long, media binary")).collect()
+    assert len(rows) == len(files) and rows[0].error is None and rows[0].tail_crc32 is not None and {r.error for r in rows} > {None, "a table is missing"}
