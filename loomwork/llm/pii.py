@@ -25,11 +25,10 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 # Four letters or more, or a shorter word with a capital (or of a script without): names like Li and Ann.
 TERM = r"(?<![\p{L}\p{N}_@.+-])(?:\p{L}[\p{L}\p{N}_-]{3,}+|[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{N}_-]{1,2}+)(?![\p{L}\p{N}_@]|[.+-][\p{L}\p{N}@])"
-CONTEXT = 60  # characters on either side of an entity, and on from there to the borders of the sentences
-UP_TO = r"(?s)^(?:.*(?:[.!?]\s|[\n\r\u3002\uFF01\uFF1F]))?(.*)$"  # what follows the last border of sentences
-ON_TO = r"(?s)^(.*?)(?:[.!?]\s|[\n\r\u3002\uFF01\uFF1F]|$)"
+BORDER = r"[.!?](?=\s)|[\n\r\u3002\uFF01\uFF1F]"  # of sentences
+NEAR, FAR = 8, 24  # words on either side of an entity that count anyway, and that count up to the border of the sentence
 SUPPORT = 1  # distinct texts in which a term stands near an entity before it counts as evidence
-PLAIN = 3  # distinct texts from which on evidence counts in full; less is shrunk
+PLAIN = 3  # distinct texts from which on evidence counts in full; less is shrunk, and counts for names alone
 GENERALISE, REMOVE = 0.8, 0.95
 LITERALS = 20_000  # disclosed terms that may go into an expression; beyond, they are joined
 
@@ -65,24 +64,48 @@ def found(text: Column, pattern: str, only: Column | None = None) -> Column:
     return every if only is None else F.when(only, every).otherwise(F.array().cast("array<string>"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, add) -> Column:
+    """The running results of ``add`` over an array of numbers: in pieces of the root of its length, then over the pieces, so
+    that building the arrays costs the power 1.5 of the length, not its square."""
+    empty = F.array().cast("array<int>")
+
+    def scan(some: Column) -> Column:
+        step = lambda done, x: F.concat(done, F.array(F.when(F.size(done) == 0, x).otherwise(add(F.element_at(done, F.greatest(F.size(done), F.lit(1))), x))))
+        return F.aggregate(some, empty, step)
+
+    def joined(pieces: Column) -> Column:
+        ends = scan(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.element_at(p, -1)))
+        rest = F.zip_with(F.slice(pieces, F.lit(2), F.size(pieces) - 1), ends, lambda p, e: F.transform(p, lambda x: add(e, x)))
+        return F.concat(F.element_at(pieces, 1), F.flatten(rest))
+
+    def cut(some: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(some))).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), width - 1), lambda k: scan(F.slice(some, k * width + 1, width)))
+        return F.when(F.size(some) == 0, empty).otherwise(bound(F.filter(pieces, lambda p: F.size(p) > 0), joined))
+
+    return bound(values, cut)
+
+
 def placed(text: Column, pattern: str, matches: Column, kind: Column | int, keep) -> Column:
     """Spans (start, kind, end, value) of those ``matches`` that ``keep`` accepts.
 
-    Places are sums of the lengths of matches and of what ``split`` leaves between them, in code points.
+    Places are running sums of the lengths of matches and of what ``split`` leaves before them, in code points.
     """
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    both = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     kind = F.lit(kind) if isinstance(kind, int) else kind
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"), x["m"].alias("value")))
-        return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), F.lit(1), F.size(found))
+        ends = running(F.zip_with(found, gaps, lambda m, g: F.length(m) + g), lambda a, b: a + b)
+        every = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), kind.alias("kind"), e.alias("end"), m.alias("value")))
+        return F.when(F.exists(found, keep), F.filter(every, lambda s: keep(s["value"]))).otherwise(empty)
 
-    walked = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.exists(matches, keep), walked).otherwise(empty)
+    return bound(matches, spans)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -101,39 +124,66 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(found(text, TERM), lambda m: F.lower(m)))
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Distinct terms within CONTEXT characters of a span and in the rest of the sentences that these end in."""
-    near = F.least(F.lit(CONTEXT), span["start"])
-    before = F.concat(F.regexp_extract(F.substring(text, F.lit(1), span["start"] - near), UP_TO, 1), F.substring(text, span["start"] - near + 1, near))
-    after = F.concat(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), F.regexp_extract(F.substring(text, span["end"] + CONTEXT + 1, F.length(text)), ON_TO, 1))
-    return terms_of(F.concat(before, F.lit(" "), after))
+WORD_KIND = 10
+
+
+def entity_of(span: Column) -> Column:
+    return F.concat(span["kind"].cast("string"), F.lit(":"), F.lower(span["value"]))
+
+
+def contexts(base: DataFrame) -> DataFrame:
+    """(key, entity, term, named) for every term near an entity, a row or more for each distinct text.
+
+    Entities, terms and the borders of sentences stand in one array by place; the terms near an entity are the NEAR on either
+    side and on up to FAR within its sentence, so they are in proportion to the entities however long a sentence is. ``named``:
+    whether the term begins with a capital there and not with a sentence.
+    """
+    tokens = placed(F.col("text"), f"{TERM}|{BORDER}", found(F.col("text"), f"{TERM}|{BORDER}"), WORD_KIND, lambda m: F.lit(True))
+    some = base.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), "text", "base").dropDuplicates(["key"])
+    listed = some.select("key", F.array_sort(F.concat("base", tokens)).alias("all"))
+    border = lambda x: (x["kind"] == WORD_KIND) & ~F.rlike(x["value"], F.lit(r"^\p{L}"))
+    kinds = F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), F.when(border(x), "").otherwise(x["value"]).alias("value")))
+    marked = listed.select("key", kinds.alias("all"))
+
+    def named(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.element_at("all", F.greatest(i, F.lit(1)))["value"]).otherwise("")
+        return (before != "") & F.rlike(x["value"], F.lit(r"^[\p{Lu}\p{Lt}\p{Lo}]"))
+
+    full = marked.select("key", F.transform("all", lambda x, i: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), named(x, i).alias("named"))).alias("all"))
+    is_border = lambda some: F.transform(some, lambda x: x["value"] == "")
+
+    def near(i: Column) -> Column:
+        after = F.slice("all", i + 2, F.lit(FAR))
+        before = F.reverse(F.slice("all", F.greatest(i - FAR, F.lit(0)) + 1, F.least(i, F.lit(FAR))))
+        inside = lambda some: F.slice(some, F.lit(1), F.greatest(F.when(F.array_position(is_border(some), True) == 0, FAR).otherwise(F.array_position(is_border(some), True) - 1), F.lit(NEAR)).cast("int"))
+        return F.filter(F.concat(inside(before), inside(after)), lambda x: (x["kind"] == WORD_KIND) & (x["value"] != ""))
+
+    around = F.transform("all", lambda x, i: F.when(x["kind"] != WORD_KIND, F.struct(entity_of(x).alias("entity"), near(i).alias("terms"))))
+    each = full.select("key", F.explode(F.filter(around, lambda x: x.isNotNull())).alias("e"))
+    return each.select("key", "e.entity", F.explode_outer("e.terms").alias("t")).select("key", "entity", F.lower("t.value").alias("term"), "t.named")
 
 
 def disclosures(base: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(term, entity, together, term_rows, entity_rows, disclosure) of all terms that disclose an entity enough.
 
-    Counts are numbers of distinct texts, over the whole corpus. ``base`` comes from ``base_spans``. Evidence c from fewer
-    than PLAIN of an entity's m texts enters PMI as (c - 1/2) c / m: a word of one text is generalised where it is rare
-    enough, and never removed.
+    Counts are numbers of distinct texts, over the whole corpus. ``base`` comes from ``base_spans``. Evidence from fewer
+    than PLAIN of an entity's m texts says little of a word that is merely rare, so there only its c uses as a name count, and
+    enter PMI as (c - 1/2) c / m: a name from one text is generalised where it is rare enough, and never removed.
     """
-    entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
-    some = base.where(F.size("base") > 0)
-    pairs = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(near_terms(F.col("text"), s), lambda t: F.struct(entity(s).alias("entity"), t.alias("term"))))))
-    near = stored(some.select(F.xxhash64("text").alias("key"), F.array_distinct(F.transform("base", entity)).alias("entities"), pairs.alias("pairs")).dropDuplicates(["key"]))
-    entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_rows"))
-    rows = base.select(F.xxhash64("text").alias("key")).distinct().count()
-    n = F.lit(float(rows))
-    together = near.select(F.explode("pairs").alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    near = stored(contexts(base).groupBy("key", "entity", "term").agg(F.max(F.col("named").cast("int")).alias("named")))
+    entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_rows"))
+    n = F.lit(float(base.select(F.xxhash64("text").alias("key")).distinct().count()))
+    together = near.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("together"), F.sum("named").alias("as_name")).where(F.col("together") >= support)
     together = together.join(entities, "entity")
-    shrunk = (F.col("together") - 0.5) * F.col("together") / F.col("entity_rows")
-    together = together.withColumn("evidence", F.when(F.col("together") >= PLAIN, F.col("together").cast("double")).otherwise(shrunk))
+    shrunk = (F.col("as_name") - 0.5) * F.col("as_name") / F.col("entity_rows")
+    together = together.withColumn("evidence", F.when(F.col("together") >= PLAIN, F.col("together").cast("double")).otherwise(shrunk)).where("evidence > 0")
     together = together.withColumn("most", F.col("evidence") * F.pow(n / F.col("entity_rows"), F.lit(1.0 - least)))
     # A term in more than ``most`` texts can't reach the threshold; it is in at least as many rows as it is near any entity in.
-    beside = near.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("beside"))
-    together = stored(together.join(beside, "term").where(F.col("beside") <= F.col("most") + 1).drop("most", "beside"))
+    beside = near.where("term is not null").select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("beside"))
+    together = stored(together.join(beside, "term").where(F.col("beside") <= F.col("most") + 1).drop("most", "beside", "as_name"))
     candidates = together.select("term").distinct()
     small = candidates.limit(10 * LITERALS + 1).count() <= 10 * LITERALS
-    every = base.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    every = base.select(F.xxhash64("text").alias("key"), F.explode(found(F.col("text"), TERM)).alias("word")).select("key", F.lower("word").alias("term"))
     terms = every.join(F.broadcast(candidates) if small else candidates, "term").groupBy("term").agg(F.countDistinct("key").alias("term_rows"))
     pmi = F.log(n * F.col("evidence") / (F.col("entity_rows") * F.col("term_rows")))
     out = together.join(terms, "term").withColumn("disclosure", pmi / F.nullif(F.log(n / F.col("entity_rows")), F.lit(0.0)))
@@ -146,18 +196,16 @@ def label(spans: Column) -> Column:
 
 
 def cleaned(text: Column, spans: Column) -> Column:
-    """The text with base spans and generalised terms replaced by their kind, and removed terms taken out."""
+    """The text with base spans and generalised terms replaced by their kind, and removed terms taken out; of spans that
+    overlap the first counts."""
     words = F.array(*map(F.lit, ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")))
-
-    def step(state: Column, s: Column) -> Column:
-        new = F.struct(
-            s["end"].alias("at"),
-            F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(words, s["kind"] + 1)).alias("out"),
-        )
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], new).otherwise(inside)
-
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    reached = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    before = F.concat(F.array(F.lit(0)), reached)
+    pieces = F.transform(
+        F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at"))),
+        lambda s: F.when(s["start"] >= s["at"], F.concat(F.substring(text, s["at"] + 1, s["start"] - s["at"]), F.element_at(words, s["kind"] + 1))).otherwise(""),
+    )
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(before, -1) + 1, F.length(text)))
 
 
 def sanitise(docs: DataFrame, with_text: bool = False, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -1,9 +1,12 @@
 """Places where an operator once did less than its whole job."""
 
-from collections import Counter
+import math
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from loomwork.llm import mixing, neardup, pii, secrets
@@ -104,3 +107,81 @@ def test_mixing_keeps_a_share_of_tokens_whatever_is_rare(spark):
     rare = next(r for r in out if r.doc_id == 9000)
     assert rare.copies >= 2 and rare.probability == 1
     assert sum(r.doc_id == 9000 for r in mixing.drawn(docs, share=0.9).collect()) == rare.copies
+
+
+def plain_disclosures(texts, least):
+    """Degrees by plain loops over the distinct texts: the terms near an entity are 8 words on either side, and up to 24 in
+    its sentence."""
+    border = lambda w: not w[0].isalpha()
+    texts = sorted(set(texts))
+    near, entities, rows = defaultdict(lambda: defaultdict(bool)), defaultdict(set), defaultdict(set)
+    for k, text in enumerate(texts):
+        found = [(m.start(), f"0:{m.group().lower()}", None) for m in regex.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        tokens = [(m.start(), None, m.group()) for m in regex.finditer(f"{pii.TERM}|{pii.BORDER}", text)]
+        for _, _, w in tokens:
+            if not border.fullmatch(w):
+                rows[w.lower()].add(k)
+        every = sorted(found + tokens, key=lambda x: x[0])
+        for i, (_, e, _) in enumerate(every):
+            if e is None:
+                continue
+            entities[e].add(k)
+            for side in (range(i - 1, max(i - 25, -1), -1), range(i + 1, min(i + 25, len(every)))):
+                ended = False
+                for n, j in enumerate(side):
+                    word = every[j][2]
+                    if word is not None and border(word):
+                        ended = True
+                    elif word is not None and (n < 8 or not ended):
+                        as_name = word[0].isupper() and j > 0 and not (every[j - 1][2] and border(every[j - 1][2]))
+                        near[e, word.lower()][k] |= as_name
+    out = {}
+    for (e, term), uses in near.items():
+        m, names = len(entities[e]), sum(uses.values())
+        c = len(uses) if len(uses) >= 3 else (names - 0.5) * names / m
+        if c > 0 and m < len(texts):
+            degree = math.log(len(texts) * c / (m * len(rows[term]))) / math.log(len(texts) / m)
+            if degree >= least:
+                out[e, term] = round(degree, 9)
+    return out
+
+
+def test_disclosures_equal_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    words = ["plain", "Words", "about", "Things", "other", "more", "Kim", "Ann.", "such", "else!", "Note", "and\n", "Quill", "then"]
+    texts = []
+    for i in range(260):
+        some = [str(rng.choice(words)) for _ in range(int(rng.integers(5, 60)))]
+        for _ in range(int(rng.integers(0, 3)) if i % 2 else 0):
+            some.insert(int(rng.integers(0, len(some))), f"u{rng.integers(0, 40)}@mail.example.org")
+        if i % 5 == 1:
+            some.insert(int(rng.integers(0, len(some))), f"Rare{chr(97 + i % 26)}{chr(97 + i // 26)}")
+        texts.append(" ".join(some))
+    texts += texts[:40]
+    got = {(r.entity, r.term): round(r.disclosure, 9) for r in pii.disclosures(pii.base_spans(documents(spark, list(enumerate(texts)))), least=0.1).collect()}
+    assert got == plain_disclosures(texts, 0.1) and len(got) > 10
+
+
+def test_planted_names_are_found_and_words_are_not(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(4, 8))))  # noqa: E731  most are rare
+    rows, names = [], set()
+    for i in range(600):
+        said = [word() for _ in range(20)]
+        if i % 10 == 0:
+            name = word().capitalize() + "son"
+            names.add(name.lower())
+            said[5:5] = [name, f"at {word()}{i}@mail.example.org"]
+        rows.append((i, " ".join(said)))
+    found = {r.term for r in pii.disclosures(pii.base_spans(documents(spark, rows))).select("term").collect()}
+    assert found == names  # precision and recall 1
+
+
+def test_long_text_of_entries_is_no_square(spark):
+    text = "".join(f"Nam{chr(97 + i % 26)}{chr(97 + i // 26)} | user{i}@mail{i}.example.org | " for i in range(600))
+    began = time.time()
+    (r,) = pii.sanitise(documents(spark, [(1, text)])).collect()
+    small = time.time() - began
+    began = time.time()
+    (big,) = pii.sanitise(documents(spark, [(1, text * 10)])).collect()
+    assert r.n_email == 600 and big.n_email == 6000 and time.time() - began < small + 12
