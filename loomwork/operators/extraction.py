@@ -230,19 +230,25 @@ def flat(records: DataFrame, field: str) -> DataFrame:
     return records.select("course_id", F.explode(field).alias("x")).select("course_id", "x.*")
 
 
-def rolled_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
-    """New texts of a syllabus's university-date rows ``(doc_id, line_no, new_text)``; ``dates(doc_id, pos, event, day,
-    date_start, date_end)`` are paired with them by place if there are as many, else by event. Rows without a partner and
-    further cells stay as they are."""
+def paired_dates(old: DataFrame, dates: DataFrame) -> DataFrame:
+    """New cells of university-date rows ``old(doc_id, line_no, cells)``; ``dates(doc_id, pos, event, day, date_start,
+    date_end)`` are paired with them by place if there are as many, else by event. Rows without a partner are left out; further
+    cells stay as they are."""
     numbered = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(by))).withColumn("of", F.count("*").over(Window.partitionBy("doc_id")))
     same = lambda text: F.lower(F.trim(text))
-    old = numbered(tables_headed(rows, "event").select("doc_id", "line_no", "cells", same(cell(1)).alias("name")), "line_no")
+    old = numbered(old.select("doc_id", "line_no", "cells", same(cell(1)).alias("name")), "line_no")
     new = numbered(dates, "pos").select("doc_id", F.col("nth").alias("n_nth"), F.col("of").alias("n_of"), "event", same("event").alias("n_name"), "day", "date_start", "date_end")
     paired = old.join(new, "doc_id").where(F.when(F.col("of") == F.col("n_of"), F.col("nth") == F.col("n_nth")).otherwise(F.col("name") == F.col("n_name")))
     first = paired.groupBy("doc_id", "line_no", "cells").agg(F.min_by(F.struct("event", "day", "date_start", "date_end"), "n_nth").alias("n"))
     when = F.coalesce(F.concat(t.month_day(F.col("n.day")), F.lit("/"), F.year("n.day").cast("string")), F.concat_ws(" - ", t.month_day(F.col("n.date_start")), t.month_day(F.col("n.date_end"))))
     rest = F.slice("cells", 3, F.greatest(F.size("cells") - 2, F.lit(0)))
-    return first.select("doc_id", "line_no", F.concat(F.lit("| "), F.array_join(F.concat(F.array(F.col("n.event"), when), rest), " | "), F.lit(" |")).alias("new_text"))
+    return first.select("doc_id", "line_no", F.concat(F.array(F.col("n.event"), when), rest).alias("cells"))
+
+
+def rolled_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    """New texts of a syllabus's university-date rows ``(doc_id, line_no, new_text)``; rules as for ``paired_dates``."""
+    new = paired_dates(tables_headed(rows, "event"), dates)
+    return new.select("doc_id", "line_no", F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |")).alias("new_text"))
 
 
 def rolled_lines(rows: DataFrame, plan: DataFrame, targets: DataFrame, dates: DataFrame | None = None) -> DataFrame:
