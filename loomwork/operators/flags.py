@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+import itertools
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,9 @@ from loomwork.functions import terms as t
 from loomwork.sources.files import small
 
 
+TOKEN = re.compile(r"\s+|\S+")
+
+
 def schedule_choices(courses: DataFrame, dropped: DataFrame) -> DataFrame:
     """Breaks that a class meets through, by name, and meeting days that differ from those listed, where both are known.
 
@@ -131,3 +139,53 @@ def tidy_tables(tables: DataFrame) -> DataFrame:
     rows = tables.withColumn("cells", clean).withColumn("filled", F.size(F.filter(F.col("cells"), lambda c: c != ""))).where("filled > 0")
     is_week = F.rlike(F.element_at("cells", 1), F.lit(r"(?i)^week\s+[0-9]+"))
     return rows.groupBy("doc_id", "item_no").agg(F.count("*").alias("rows"), (F.bool_or(is_week) | (2 * F.count_if(F.col("filled") >= 2) > F.count("*"))).alias("is_real"))
+
+
+CONTEXT, ABSORBED = 2, 2  # words in front of a change that tell its place; unchanged words that are folded into the changes around them
+CHANGES = "array<struct<old:string,new:string,context:string>>"
+
+
+def edits_of(old: str, new: str) -> list[dict]:
+    """Changes between two texts, word by word: what to look for, what to put there, and the words in front of it.
+
+    What is only put in takes the word before it along, so every change replaces something; changes with no more than ABSORBED
+    words between them, or between the last one and the end, are one. Changes of white space alone are none.
+    """
+    a, b = TOKEN.findall(old), TOKEN.findall(new)
+    words = [0, *itertools.accumulate(not x.isspace() for x in a)]  # in front of each token
+    spans: list[tuple[int, int, int, int]] = []
+    for kind, i, i_end, j, j_end in difflib.SequenceMatcher(None, a, b, False).get_opcodes():
+        if kind == "equal":
+            continue
+        while kind == "insert" and i > 0:
+            i, j = i - 1, j - 1
+            if not a[i].isspace():
+                break
+        if spans and words[i] - words[spans[-1][1]] <= ABSORBED:
+            i, j = spans[-1][0], spans.pop()[2]
+        spans.append((i, i_end, j, j_end))
+    if spans and words[-1] - words[spans[-1][1]] <= ABSORBED:
+        i, _, j, _ = spans.pop()
+        spans.append((i, len(a), j, len(b)))
+    pieces = (("".join(a[i:i_end]).strip(), "".join(b[j:j_end]).strip(), "".join(a[:i]).split()[-CONTEXT:]) for i, i_end, j, j_end in spans)
+    return [{"old": x, "new": y, "context": " ".join(before)} for x, y, before in pieces if x]
+
+
+def word_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Every change between two versions of documents: (doc_id, para_no, nth, old, new, context, error_code).
+
+    ``(doc_id, para_no, text)`` each. Documents with another number of paragraphs give one error row; null texts are empty;
+    paragraphs that are alike, or differ in white space alone, give none. Paragraphs are compared one by one, in Arrow batches.
+    """
+    both = before.select("doc_id", "para_no", F.coalesce("text", F.lit("")).alias("old")).join(after.select("doc_id", "para_no", F.coalesce("text", F.lit("")).alias("new")), ["doc_id", "para_no"], "full_outer")
+    torn = both.where("old is null or new is null").select("doc_id").distinct()
+
+    @F.pandas_udf(CHANGES)
+    def changes(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([edits_of(x, y) for x, y in zip(old, new)])
+
+    differing = both.where("old <> new").join(torn, "doc_id", "left_anti")
+    found = differing.select("doc_id", "para_no", F.posexplode(changes("old", "new")).alias("nth", "c")).select("doc_id", "para_no", "nth", "c.old", "c.new", "c.context", F.lit(None).cast("string").alias("error_code"))
+    none = F.lit(None)
+    errors = torn.select("doc_id", none.cast("int").alias("para_no"), none.cast("int").alias("nth"), *(none.cast("string").alias(c) for c in ("old", "new", "context")), F.lit("paragraph_count").alias("error_code"))
+    return found.unionByName(errors)

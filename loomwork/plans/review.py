@@ -48,3 +48,24 @@ add("e17_real_tables", lambda s, d: f.tidy_tables(document_lines(s, d).select("d
     f"""WITH {LINES}, c AS (SELECT doc_id, (line_no // 4)::INT AS item_no, CASE WHEN line_no % 8 = 0 THEN 'Week ' || line_no ELSE trim(text, ' ') END AS a, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END AS b FROM lines),
       r AS (SELECT *, (CASE WHEN regexp_full_match(a, '[-–—]+') OR a = '' THEN 0 ELSE 1 END) + (CASE WHEN b = '' THEN 0 ELSE 1 END) AS filled FROM c)
     SELECT doc_id, item_no, count(*) AS rows, bool_or(regexp_matches(a, '^[Ww]eek\\s+[0-9]+')) OR 2 * count(*) FILTER (filled >= 2) > count(*) AS is_real FROM r WHERE filled > 0 GROUP BY ALL""")
+
+
+def paragraphs(s, d, changed: bool):
+    """Lines whose words are numbered, so none comes twice; changed: the fifth word is another, every third line has one more
+    behind its second word, every seventh document a line more."""
+    words = F.transform(F.filter(F.split("text", r"[ \t\r\x0b\f]+"), lambda w: w != ""), lambda w, i: F.concat(w, F.lit("~"), i.cast("string")))
+    lines = document_lines(s, d).select("doc_id", F.col("line_no").alias("para_no"), words.alias("w"))
+    if not changed:
+        return lines.select("doc_id", "para_no", F.array_join("w", " ").alias("text"))
+    put = F.when(F.col("para_no") % 3 == 1, F.concat(F.slice("w", 1, 2), F.array(F.lit("put")), F.slice("w", F.lit(3), F.greatest(F.size("w") - 2, F.lit(0))))).otherwise(F.transform("w", lambda x, i: F.when(i == 4, "other").otherwise(x)))
+    new = lines.select("doc_id", "para_no", F.array_join(F.when(F.size("w") >= 2, put).otherwise(F.col("w")), " ").alias("text"))
+    return new.unionByName(new.where("doc_id % 7 = 0 and para_no = 0").withColumn("para_no", F.lit(-1)))
+
+
+add("j16_word_changes", lambda s, d: f.word_changes(paragraphs(s, d, False), paragraphs(s, d, True)),
+    f"""WITH {LINES}, w AS (SELECT doc_id, line_no, list_transform(list_filter(string_split_regex(text, '[ \\t\\r\\x0b\\f]+'), lambda x: x <> ''), lambda x, i: x || '~' || (i - 1)) AS w FROM lines),
+      c AS (SELECT *, len(w) AS n, CASE WHEN line_no % 3 = 1 THEN 2 ELSE 5 END AS i FROM w WHERE len(w) >= CASE WHEN line_no % 3 = 1 THEN 2 ELSE 5 END AND doc_id % 7 <> 0),
+      e AS (SELECT *, CASE WHEN n - i <= 2 THEN n ELSE i END AS upto FROM c)
+    SELECT doc_id, line_no::INT AS para_no, 0 AS nth, array_to_string(w[i:upto], ' ') AS old, concat_ws(' ', CASE WHEN i = 2 THEN w[2] || ' put' ELSE 'other' END, CASE WHEN upto > i THEN array_to_string(w[i + 1:upto], ' ') END) AS new,
+      array_to_string(w[greatest(i - 2, 1):i - 1], ' ') AS context, NULL::VARCHAR AS error_code FROM e
+    UNION ALL SELECT DISTINCT doc_id, NULL::INT, NULL::INT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 'paragraph_count' FROM lines WHERE doc_id % 7 = 0""")
