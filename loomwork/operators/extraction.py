@@ -17,12 +17,18 @@ MONTH_DAY = r"([0-9]{1,2})/([0-9]{1,2})(?:/([0-9]{4}))?"
 JUMP = 180  # days back that mean a new year
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """F8: (doc_id, field, value): lines ``Label: value`` of known labels, markup stripped; the first of a field counts."""
-    clean = F.regexp_replace("text", r"[*_`]|^\s*#+\s*|^\s*[-•]\s+", "")
+def label_of(text: Column) -> Column:
+    """F8: (field, value) of a line ``Label: value`` with a known label, markup stripped; null for other lines."""
+    clean = F.regexp_replace(text, r"[*_`]|^\s*#+\s*|^\s*[-•]\s+", "")
     name = F.lower(F.trim(F.regexp_extract(clean, r"^\s*([A-Za-z ]+?)\s*:\s*\S", 1)))
     known = F.create_map(*[x for field, names in ALIASES.items() for n in names for x in (F.lit(n), F.lit(field))])
-    found = rows.withColumn("field", F.try_element_at(known, name)).withColumn("value", F.trim(F.regexp_extract(clean, r"^[^:]*:\s*(.+?)\s*$", 1))).where("field is not null and value <> ''")
+    field, value = F.try_element_at(known, name), F.trim(F.regexp_extract(clean, r"^[^:]*:\s*(.+?)\s*$", 1))
+    return F.when(field.isNotNull() & (value != ""), F.struct(field.alias("field"), value.alias("value")))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """F8: (doc_id, field, value): lines ``Label: value`` of known labels, markup stripped; the first of a field counts."""
+    found = rows.select("doc_id", "line_no", label_of(F.col("text")).alias("l")).where("l is not null").select("doc_id", "line_no", "l.*")
     return found.groupBy("doc_id", "field").agg(F.min_by("value", "line_no").alias("value"))
 
 
@@ -34,6 +40,81 @@ def front_matter(rows: DataFrame) -> DataFrame:
     return out.withColumn("term", F.when(t.season(F.col("term")).isNotNull() & t.year_of(F.col("term")).isNotNull(), named)).withColumn("error_code", F.when(F.col("term").isNull(), "no_term"))
 
 
+HEADER = 15  # lines with text at a syllabus's top that may hold its details without a label
+COURSE = r"\b[A-Z]{2,5}[ -]?[0-9]{4}\b"
+EDGES = " \t-–—:,|·*_`#"
+# How a class is taught, as written behind a title.
+MODES = ("online", "hybrid", "in person", "remote", "face to face")
+MODE = rf"(?i)\s*[-–—:|·,(]\s*(?:fully )?(?:{'|'.join(m.replace(' ', '[- ]') for m in MODES)})(?: a?sync(?:hronous)?)?\s*\)?\s*$"
+UNTITLED = "Untitled course"
+
+
+def term_in(text: Column) -> Column:
+    """The first season that a year follows, with "term" or "semester" between them or not: (season, year); null without one."""
+    words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)), lambda w: ~F.lower(w).isin("term", "semester"))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.struct(a.alias("season"), b.alias("year")))
+    return F.try_element_at(F.filter(pairs, lambda p: F.lower(p["season"]).isin("fall", "spring", "summer") & F.rlike(p["year"], F.lit("^[0-9]{4}$"))), F.lit(1))
+
+
+def course_in(text: Column) -> Column:
+    """The first course number of a line: (number, section, before, behind); null without one. A section stands right behind it,
+    after a hyphen or "Section"."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(COURSE), F.lit(0)), lambda m: ~F.rlike(m, F.lit("^(?:FALL|SPRING|SUMMER)[^A-Z]")))
+    first = F.try_element_at(found, F.lit(1))
+    at = F.position(first, text)
+    rest = F.substring(text, at + F.length(first), F.length(text))
+    tokens = F.filter(F.regexp_extract_all(rest, F.lit(r"[A-Za-z]+|[0-9]+|[^\s.]"), F.lit(0)), lambda x: x != ",")
+    is_mark = (F.try_element_at(tokens, F.lit(1)) == "-") | F.lower(F.try_element_at(tokens, F.lit(1))).isin("section", "sec")
+    section = F.when(is_mark & F.rlike(F.try_element_at(tokens, F.lit(2)), F.lit("^[0-9]{1,3}$")) & (F.coalesce(F.try_element_at(tokens, F.lit(3)), F.lit("")) != "-"), F.try_element_at(tokens, F.lit(2)))
+    behind = F.when(section.isNotNull(), F.regexp_replace(rest, F.concat(F.lit("^[^0-9]*"), section), F.lit(""))).otherwise(rest)
+    number = F.concat_ws(" ", F.regexp_extract(first, "^[A-Z]+", 0), F.regexp_extract(first, "[0-9]+$", 0))
+    return F.when(first.isNotNull(), F.struct(number.alias("number"), section.alias("section"), F.substring(text, F.lit(1), at - 1).alias("before"), behind.alias("behind")))
+
+
+def title_in(text: Column, course: Column, term: Column) -> Column:
+    """What is left of a line without markup, course number, term, "syllabus" and how the class is taught; null if that is
+    fewer than three characters."""
+    kept = F.when(course.isNotNull(), F.concat(course["before"], course["behind"])).otherwise(text)
+    named = F.concat(F.lit(r"(?i)\b"), term["season"], F.lit(r"\W+(?:(?:semester|term)\W+)?"), term["year"])
+    kept = F.when(term.isNotNull(), F.regexp_replace(kept, named, F.lit(""))).otherwise(kept)
+    kept = F.btrim(F.regexp_replace(F.regexp_replace(kept, r"(?i)\bsyllabus\b", ""), r"\s{2,}", " "), F.lit(EDGES))
+    short = F.btrim(F.regexp_replace(kept, MODE, ""), F.lit(EDGES))
+    best = F.when(F.length(short) >= 3, short).otherwise(kept)
+    return F.when(F.length(best) >= 3, best)
+
+
+def header_guesses(rows: DataFrame) -> DataFrame:
+    """a syllabus's details from its labels, else from its first HEADER lines with text; one row a document.
+
+    Each line offers what it may hold; of each detail a label counts first, then the first line that offers it. Labelled lines
+    offer a term, credits and meeting times, but no number, section or title; a labelled number gives its section. Without a title the number
+    stands for it, or UNTITLED; without a term the row has an error code. ``rows(doc_id, line_no, text)``.
+    """
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    header = rows.where(F.trim("text") != "").withColumn("nth", place).where(F.col("nth") <= HEADER).select("doc_id", "line_no", F.trim("text").alias("text"))
+    header = header.withColumn("plain", label_of(F.col("text")).isNull()).withColumn("term", term_in(F.col("text"))).withColumn("course", F.when(F.col("plain"), course_in(F.col("text"))))
+    header = header.withColumn("title", F.when(F.col("plain"), title_in(F.col("text"), F.col("course"), F.col("term"))))
+    counted = F.filter(F.zip_with(F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,2}(?:\.[0-9]{1,2})?)\s+([A-Za-z]+)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,2}(?:\.[0-9]{1,2})?)\s+([A-Za-z]+)"), F.lit(2)), lambda n, w: F.struct(n.alias("n"), w.alias("w"))), lambda x: F.lower(x["w"]).isin("credit", "credits"))
+    days = (*t.DAY_NAMES, *(f"{n}s" for n in t.DAY_NAMES), *t.DAY_SHORT)
+    says_day = F.exists(F.split(F.lower("text"), "[^a-z]+"), lambda w: w.isin(*days))
+    meets = says_day & F.rlike("text", F.lit(r"(?i)[0-9]\s*[ap]m\b")) & ~F.rlike("text", F.lit("^[A-Za-z][^:0-9]{0,40}:"))
+    header = header.withColumn("credits", F.try_element_at(counted, F.lit(1))["n"]).withColumn("meets", F.when(meets, F.col("text")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    guessed = header.groupBy("doc_id").agg(*map(first, ("term", "course", "title", "credits", "meets")))
+    wide = labelled(rows).groupBy("doc_id").pivot("field", list(ALIASES)).agg(F.first("value"))
+    named = rows.select("doc_id").distinct().join(wide.select("doc_id", *(F.col(c).alias(f"l_{c}") for c in ALIASES)), "doc_id", "left").join(guessed, "doc_id", "left")
+    stated, own = course_in(F.col("l_number")), term_in(F.coalesce("l_term", F.lit("")))
+    named = named.withColumn("stated", stated).withColumn("own", F.when(F.col("l_term").isNull(), F.col("term")).otherwise(own))
+    number = F.coalesce(F.when(F.col("stated.section").isNotNull(), F.col("stated.number")), "l_number", "course.number", F.lit(""))
+    section = F.coalesce("stated.section", F.col("course.section"), F.lit(""))
+    year = F.when(F.col("own").isNotNull(), F.concat_ws(" ", F.initcap(F.lower("own.season")), "own.year")).otherwise(F.col("l_term"))
+    return named.select(
+        "doc_id", year.alias("term"), number.alias("number"), section.alias("section"), F.coalesce("l_title", "title", F.nullif(number, F.lit("")), F.lit(UNTITLED)).alias("title"),
+        F.regexp_extract(F.coalesce("l_credits", "credits", F.lit("")), r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double").alias("credits"), F.coalesce("l_meeting_pattern", "meets", F.lit("")).alias("meeting_pattern"),
+        F.when(F.coalesce("l_term", year).isNull(), "no_term").alias("error_code"),
+    )
+
+
 def section_lines(rows: DataFrame, heading: str) -> DataFrame:
     """The bullets behind the first heading that matches, up to the next heading, table or other line."""
     is_head = F.rlike("text", F.lit(r"^\s*#+\s"))

@@ -101,3 +101,23 @@ add("e6_untouched_lines", lambda s, d: rolled(s, d).where("text not like '|%'").
     "SELECT course_id AS doc_id, 11::BIGINT AS lines, 'Term: ' || split_part(term, ' ', 1) || ' ' || (split_part(term, ' ', 2)::INT + 1) AS term_line FROM fx_courses")
 add("f10_written_labels", lambda s, d: fx.weeks(s, d).where("not is_break").select("course_id", "row_no", t.written_label(F.col("week_number").cast("string"), F.date_add("day", 364), fx.pick(F.col("row_no") % 5, "m/d", "Mon. d", "Month d", "undated", "Mon d")).alias("label")),
     """SELECT course_id, row_no, 'Week ' || week_number || CASE row_no % 5 WHEN 3 THEN '' ELSE ' (' || CASE row_no % 5 WHEN 0 THEN month(n) || '/' || day(n) WHEN 1 THEN strftime(n, '%b. %-d') WHEN 2 THEN strftime(n, '%B %-d') ELSE strftime(n, '%b %-d') END || ')' END AS label FROM (SELECT *, (day + 364)::DATE AS n FROM fx_weeks WHERE NOT is_break)""")
+
+
+def header_lines(s: SparkSession, d: str) -> DataFrame:
+    """Tops of syllabi in five forms: details in one line, in several, under labels, without a term, with little else."""
+    c = fx.courses(s, d)
+    key = F.col("course_id")
+    forms = F.array(
+        F.array(F.concat("number", F.lit("-00"), key % 9 + 1, F.lit(": "), "title", F.lit(" – Online "), "term"), F.lit(""), F.lit("1.5 credit hours"), F.lit("Office Hours: Monday 1 pm"), F.lit("Tuesdays 6:00-9:00 pm CRCC 105")),
+        F.array(F.lit("# Syllabus"), F.concat(F.upper("term"), F.lit(" 1234")), F.concat(F.lit("**"), "title", F.lit("** (In-Person)")), F.concat(F.lit("see "), "number", F.lit(", Section 12 of 3 credits"))),
+        F.array(F.lit("Course: IS 6640-001"), F.concat(F.lit("Term: "), F.regexp_replace("term", " ", " semester ")), F.concat(F.lit("Title: "), "title"), F.lit("Credits: 3 hours"), F.lit("Meets: MWF 9:00"), F.lit("Other IS 7777 course")),
+        F.array(F.lit("About this class"), F.lit("-"), F.lit("Spring fever 2027")),
+        F.array(F.lit("Week 12"), F.lit("ab"), F.lit("Term: Fall Semester")),
+    )
+    return c.select(key.alias("doc_id"), F.posexplode(F.element_at(forms, (key % 5 + 1).cast("int"))).alias("line_no", "text"))
+
+
+add("f9_header_guesses", lambda s, d: x.header_guesses(header_lines(s, d)),
+    """SELECT course_id AS doc_id, CASE course_id % 5 WHEN 3 THEN NULL WHEN 4 THEN 'Fall Semester' ELSE term END AS term, CASE WHEN course_id % 5 < 2 THEN number WHEN course_id % 5 = 2 THEN 'IS 6640' ELSE '' END AS number,
+      CASE course_id % 5 WHEN 0 THEN '00' || (course_id % 9 + 1) WHEN 1 THEN '12' WHEN 2 THEN '001' ELSE '' END AS section, CASE course_id % 5 WHEN 1 THEN '1234' WHEN 3 THEN 'About this class' WHEN 4 THEN 'Week 12' ELSE title END AS title,
+      CASE course_id % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 3 WHEN 2 THEN 3 END::DOUBLE AS credits, CASE course_id % 5 WHEN 0 THEN 'Tuesdays 6:00-9:00 pm CRCC 105' WHEN 2 THEN 'MWF 9:00' ELSE '' END AS meeting_pattern, CASE WHEN course_id % 5 = 3 THEN 'no_term' END AS error_code FROM fx_courses""")

@@ -60,3 +60,46 @@ def test_tables_are_cleaned(spark):
     for r in out:
         got.setdefault(r.doc_id, ([], r.is_real))[0].append(list(r.cells))
     assert got == {1: ([["Week 1 (8/24)"], ["a"]], True), 2: ([["a boxed text"], ["more of it"]], False), 3: ([["a", "b"], ["c", "d"], ["e", ""]], True), 4: ([["a", "b"]], False)}
+
+
+def test_word_changes_by_hand():
+    from loomwork.operators.flags import edits_of
+
+    one = lambda old, new: [(x["old"], x["new"], x["context"]) for x in edits_of(old, new)]
+    assert one("Week 2 (Jan. 6) has more words behind", "Week 2 (Aug. 30) has more words behind") == [("(Jan. 6)", "(Aug. 30)", "Week 2")]
+    assert one("Term: Spring 2026", "Term: Fall 2026") == [("Spring 2026", "Fall 2026", "Term:")]  # up to the paragraph's end
+    assert one("a b c d e f", "a b x c d e f") == [("b", "b x", "a")]  # what is only put in takes a word along
+    assert one("b c d e", "x b c d e") == []  # nothing before it to look for
+    assert one("a b c d e f g h i j", "a B c d e f G h i j") == [("b", "B", "a"), ("g", "G", "e f")]
+    assert one("a b c d e f g", "a B c d E f g") == [("b c d e f g", "B c d E f g", "a")]  # two words between are absorbed
+    assert one("a b c d e", "a c d e") == [("b", "", "a")] and one("same", "same") == [] and one("a   b c d e", "a b c d e") == []
+
+
+def test_word_changes_of_documents(spark):
+    from loomwork.operators.flags import word_changes
+
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id int, para_no int, text string")
+    out = word_changes(rows((1, 0, "one two"), (1, 1, None), (2, 0, "a"), (3, 0, "same")), rows((1, 0, "one 2"), (1, 1, "x"), (2, 0, "a"), (2, 1, "b"), (3, 0, "same"))).collect()
+    assert sorted((r.doc_id, r.para_no, r.old, r.new, r.context, r.error_code) for r in out if r.doc_id == 1) == [(1, 0, "two", "2", "one", None)]
+    assert [(r.doc_id, r.error_code) for r in out if r.doc_id > 1] == [(2, "paragraph_count")]
+
+
+def test_header_guesses_by_hand(spark):
+    from loomwork.operators.extraction import header_guesses
+
+    tops = {
+        1: ["IS 6640-001 Networking and Servers – Online", "Fall Semester 2026, 3 credit hours", "Office Hours: Tuesday 2:00 pm", "Tuesday 6:00-9:00 pm CRCC 105"],
+        2: ["# Online Learning Design (Hybrid Asynchronous)", "FALL 2026", "OSC6660, Sec. 012"],
+        3: ["Course: IS 4410 - 003", "Title: Data", "Semester: spring 2027"],
+        4: ["Syllabus", "IS 5555-8001 Data"],
+        5: ["x"] * 15 + ["Fall 2026"],
+        6: ["Term: Fall Semester", "Summer 2027", "12 credits of 3"],
+    }
+    rows = [(d, 2 * i, x) for d, lines in tops.items() for i, x in enumerate(lines)] + [(1, 1, "")]
+    got = {r.doc_id: r for r in header_guesses(spark.createDataFrame(rows, "doc_id int, line_no int, text string")).collect()}
+    one = lambda d: (got[d].term, got[d].number, got[d].section, got[d].title, got[d].credits, got[d].meeting_pattern)
+    assert one(1) == ("Fall 2026", "IS 6640", "001", "Networking and Servers", 3.0, "Tuesday 6:00-9:00 pm CRCC 105")
+    assert one(2) == ("Fall 2026", "OSC 6660", "012", "Online Learning Design", None, "")
+    assert one(3) == ("Spring 2027", "IS 4410", "003", "Data", None, "")
+    assert one(4)[1:4] == ("IS 5555", "", "8001 Data") and got[4].error_code == "no_term" and got[5].error_code == "no_term" and got[5].title == "Untitled course"
+    assert one(6)[0] == "Fall Semester" and one(6)[4] == 12.0
