@@ -254,10 +254,66 @@ def undated_breaks(dated: DataFrame, courses: DataFrame, no_class: DataFrame) ->
     return near.where(slot.between(F.col("date_start"), F.col("date_end")) & (slot < F.col("last"))).select("course_id", "date_start", "date_end", t.break_label(F.col("label"), F.col("date_start"), F.col("date_end")).alias("label"))
 
 
+SESSION_WEEKS, SESSIONS = 5, 3
+#: A semester's spans of sessions, the whole first; a summer's lengths in weeks, the full one first.
+SPANS = ((1, 3), (1, 2), (2, 3), (1, 1), (2, 2), (3, 3))
+SUMMER_WEEKS = (12, 10)
+
+
+def span_label(first: Column, last: Column, weeks: Column) -> Column:
+    """how a span is called; summer lengths have no sessions."""
+    long = F.concat(F.lit(" ("), weeks.cast("string"), F.lit(" weeks)"))
+    summer = F.when(weeks == max(SUMMER_WEEKS), F.concat(F.lit("Full summer term"), long)).otherwise(F.concat(weeks.cast("string"), F.lit(" weeks")))
+    some = F.when(first == last, F.concat(F.lit("Session "), first.cast("string"))).otherwise(F.concat(F.lit("Sessions "), first.cast("string"), F.lit("–"), last.cast("string")))
+    return F.when(first.isNull(), summer).when((first == 1) & (last == SESSIONS), F.lit(f"Full term (Sessions 1–{SESSIONS})")).otherwise(F.concat(some, long))
+
+
+def session_code(text: Column) -> Column:
+    """the span that a text names ("2", "1–3"), as first and last session; null for any other text."""
+    plain = F.replace(F.trim(text), F.lit("–"), F.lit("-"))
+    known = F.create_map(*[x for a, b in SPANS for x in (F.lit(f"{a}" if a == b else f"{a}-{b}"), F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")))])
+    return F.try_element_at(known, plain)
+
+
+def available_spans(terms: DataFrame, no_class: DataFrame) -> DataFrame:
+    """the spans that each term of the calendar offers, in order: (term, place, code, label, weeks, week_one).
+
+    In summer the two lengths from the term's first day. Else the whole term, and every span all of whose sessions fit: a
+    session fits if its last class week begins no later than the term ends.
+    """
+    spans = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(a).alias("first"), F.lit(b).alias("last")) for i, (a, b) in enumerate(SPANS)))
+    starts = session_starts(terms, no_class, SESSIONS)
+    ends = small(terms.select("term", "end_date", (F.coalesce(t.season(F.col("term")), F.lit("")) == "Summer").alias("summer"), "start_date"))
+    fits = starts.join(ends, "term").where("not summer").withColumn("fits", F.date_add("session_start", 7 * (SESSION_WEEKS - 1)) <= F.col("end_date"))
+    each = fits.select("term", "session", "session_start", "fits", F.explode(spans).alias("s")).select("term", "session", "session_start", "fits", "s.*").where("session between first and last")
+    held = each.groupBy("term", "place", "first", "last").agg(F.bool_and("fits").alias("fit"), F.min("session_start").alias("week_one")).where(F.col("fit") | (F.col("place") == 0))
+    weeks = (SESSION_WEEKS * (F.col("last") - F.col("first") + 1)).cast("int")
+    code = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
+    regular = held.select("term", "place", code.alias("code"), span_label(F.col("first"), F.col("last"), weeks).alias("label"), weeks.alias("weeks"), "week_one")
+    lengths = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("weeks")) for i, n in enumerate(SUMMER_WEEKS)))
+    none = F.lit(None).cast("int")
+    summer = ends.where("summer").select("term", "start_date", F.explode(lengths).alias("s"))
+    return regular.unionByName(summer.select("term", "s.place", F.concat("s.weeks", F.lit(" weeks")).alias("code"), span_label(none, none, F.col("s.weeks")).alias("label"), "s.weeks", F.col("start_date").alias("week_one")))
+
+
+def settled_span(courses: DataFrame, terms: DataFrame, no_class: DataFrame) -> DataFrame:
+    """the span that a course takes in its term: the likely one if the term offers it, else the whole term, with its first
+    day and the weeks that the course then has (its own in a whole term). ``courses(course_id, target_term, week_count,
+    credits)``; courses whose term isn't in the calendar are left out."""
+    guess = guess_session(courses.withColumnRenamed("target_term", "term")).select("course_id", F.col("session").alias("guess"))
+    # the calendar's few spans, its whole term beside each
+    offered = available_spans(terms, no_class)
+    wholes = offered.where("place = 0").select(F.col("term").alias("target_term"), F.struct("code", "label", "weeks", "week_one").alias("whole"))
+    some = offered.select(F.col("term").alias("target_term"), F.col("code").alias("guess"), F.struct("code", "label", "weeks", "week_one").alias("span"))
+    joined = courses.join(guess, "course_id").join(small(wholes), "target_term").join(small(some), ["target_term", "guess"], "left").withColumn("taken", F.coalesce("span", "whole"))
+    own = F.col("taken.code") == f"1-{SESSIONS}"
+    return joined.select("course_id", "target_term", "guess", F.col("taken.code").alias("session"), F.col("taken.label").alias("label"), F.when(own, F.col("week_count")).otherwise(F.col("taken.weeks")).alias("weeks"), F.col("taken.week_one").alias("week_one"))
+
+
 def default_plan(courses: DataFrame, weeks: DataFrame, terms: DataFrame) -> DataFrame:
     """what a rollover would take if nobody chose: the suggested term, the likely span, and the class days: those of the
     meeting pattern, else those of the schedule, else the usual weekday. ``courses(course_id, term, duration_weeks, credits,
-    meeting_pattern)``."""
+    meeting_pattern)``; ``settled_span`` checks the span against the term."""
     listed = F.nullif(t.meeting_days(F.col("meeting_pattern")), F.array().cast("array<int>"))
     span = guess_session(courses.withColumnRenamed("duration_weeks", "week_count"))
     joined = courses.join(next_terms(terms, courses).select("course_id", "suggested_term"), "course_id").join(span, "course_id")

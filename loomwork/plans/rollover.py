@@ -109,6 +109,33 @@ add("w11_break_rows", lambda s, d: r.undated_breaks(r.date_undated(planned(s, d)
     f"""WITH {PLAN}, k AS (SELECT course_id, count(*) AS n FROM fx_weeks WHERE NOT is_break GROUP BY 1), s AS (SELECT course_id, target_term, i, (week_one + (7 * i)::INT)::DATE AS day FROM p, range(0, 60) g(i) WHERE week_one IS NOT NULL),
       h AS (SELECT s.*, n.label, n.date_start, n.date_end, count(*) FILTER (n.label IS NULL) OVER (PARTITION BY course_id ORDER BY s.day) AS free FROM s LEFT JOIN fx_no_class n ON n.term = s.target_term AND s.day BETWEEN n.date_start AND n.date_end)
     SELECT DISTINCT course_id, date_start, date_end, label || ' (' || {MD.format('date_start')} || ' - ' || {MD.format('date_end')} || ')' AS label FROM h JOIN k USING (course_id) WHERE label IS NOT NULL AND free < n""")
+#: Each span of a semester: its place, first and last session.
+SPANS = "(VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(r.SPANS)) + ") s(place, first, last)"
+OFFERED = f"""sl AS (SELECT term, start_date, end_date, (start_date + 7 * i::INT)::DATE AS d, row_number() OVER (PARTITION BY term ORDER BY i) AS n FROM fx_terms t, range(0, 40) r(i) WHERE NOT EXISTS (SELECT 1 FROM fx_no_class b WHERE b.term = t.term AND b.date_start IS NOT NULL AND (t.start_date + 7 * i::INT)::DATE BETWEEN b.date_start AND b.date_end)),
+      se AS (SELECT term, end_date, ((n - 1) / 5 + 1)::INT AS session, d, d + 28 <= end_date AS fits FROM sl WHERE n IN (1, 6, 11) AND term NOT LIKE 'Summer%'),
+      sp AS (SELECT term, place, first, last, min(d) AS week_one, bool_and(fits) AS fit FROM se JOIN {SPANS} ON session BETWEEN first AND last GROUP BY ALL HAVING bool_and(fits) OR place = 0),
+      offered AS (SELECT term, place::INT AS place, CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END AS code, CASE WHEN place = 0 THEN 'Full term (Sessions 1–3)' ELSE CASE WHEN first = last THEN 'Session ' || first ELSE 'Sessions ' || first || '–' || last END || ' (' || 5 * (last - first + 1) || ' weeks)' END AS label, (5 * (last - first + 1))::INT AS weeks, week_one FROM sp
+        UNION ALL SELECT term, unnest([0, 1])::INT, unnest(['12 weeks', '10 weeks']), unnest(['Full summer term (12 weeks)', '10 weeks']), unnest([12, 10])::INT, start_date FROM fx_terms WHERE term LIKE 'Summer%')"""
+
+
+def short_terms(s):
+    """The calendar, and its terms cut short so that late sessions don't fit."""
+    c = fx.terms(s)
+    return c.unionByName(c.select(F.concat("term", F.lit(" short")).alias("term"), "pos", "start_date", F.date_sub("end_date", 30).alias("end_date")))
+
+
+add("f7_available_spans", lambda s, d: r.available_spans(fx.terms(s), fx.no_class(s)).join(fx.courses(s, d).select(F.col("target_term").alias("term"), "course_id"), "term"),
+    f"WITH {OFFERED} SELECT o.*, course_id FROM offered o JOIN fx_courses c ON c.target_term = o.term")
+add("f7_short_terms", lambda s, d: r.available_spans(short_terms(s), fx.no_class(s)).where("term like '% short'").withColumn("term", F.replace("term", F.lit(" short"), F.lit(""))).join(fx.courses(s, d).groupBy("term").agg(F.count("*").alias("courses")), "term").select("term", "code", "weeks", "week_one", "courses"),
+    f"""WITH {OFFERED.replace("FROM fx_terms t", "FROM (SELECT * REPLACE ((end_date - 30)::DATE AS end_date) FROM fx_terms) t").replace("SELECT 1 FROM fx_no_class b WHERE b.term = t.term AND", "SELECT 1 FROM fx_no_class b WHERE false AND")}
+    SELECT o.term, code, weeks, week_one, courses FROM offered o JOIN (SELECT term, count(*) AS courses FROM fx_courses GROUP BY 1) USING (term)""")
+add("f7_session_codes", lambda s, d: fx.table(s, d, "orders").select(F.col("o_orderkey").alias("request_id"), r.session_code(F.element_at(F.array(*map(F.lit, ("2", " 1–3 ", "3-1", "2-3", "", "1-1", "two"))), (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("c")).select("request_id", "c.first", "c.last"),
+    "SELECT o_orderkey AS request_id, CASE o_orderkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 2 END::INT AS first, CASE o_orderkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 3 END::INT AS last FROM orders")
+GUESS = """CASE WHEN target_term LIKE 'Summer%' THEN CASE WHEN duration_weeks <= 10 THEN '10 weeks' ELSE '12 weeks' END WHEN course_id % 4 + 0.5 < 2 OR duration_weeks = 5 THEN '1' WHEN duration_weeks = 10 THEN '1-2' ELSE '1-3' END"""
+add("f17_settled_spans", lambda s, d: r.settled_span(fx.courses(s, d).select("course_id", "target_term", F.col("duration_weeks").alias("week_count"), (F.col("course_id") % 4 + 0.5).alias("credits")), short_terms(s).where("term not like 'Fall 2027' and term not like 'Summer 2027 short' and term not like 'Spring 2027 short'").withColumn("term", F.replace("term", F.lit("Fall 2027 short"), F.lit("Fall 2027"))), fx.no_class(s)),
+    f"""WITH {OFFERED.replace("FROM fx_terms t", "FROM (SELECT * REPLACE ((end_date - CASE WHEN term = 'Fall 2027' THEN 30 ELSE 0 END)::DATE AS end_date) FROM fx_terms) t")}, g AS (SELECT course_id, target_term, duration_weeks, {GUESS} AS guess FROM fx_courses)
+    SELECT course_id, target_term, guess, coalesce(o.code, w.code) AS session, coalesce(o.label, w.label) AS label, CASE WHEN coalesce(o.code, w.code) = '1-3' THEN duration_weeks ELSE coalesce(o.weeks, w.weeks) END::INT AS weeks, coalesce(o.week_one, w.week_one) AS week_one
+    FROM g JOIN offered w ON w.term = target_term AND w.place = 0 LEFT JOIN offered o ON o.term = target_term AND o.code = guess""")
 add("f17_default_plan", lambda s, d: r.default_plan(fx.courses(s, d).withColumn("credits", F.col("course_id") % 4 + 0.5), fx.weeks(s, d), fx.terms(s)).withColumn("days", F.array_join(F.transform("days", lambda x: x.cast("string")), ",")),
     f"""WITH l AS (SELECT term, lead(term) OVER (ORDER BY pos) AS after FROM fx_terms), w AS (SELECT course_id, week_number, list_sort(list_distinct(list((isodow(day) - 1)::INT))) AS dd, min(row_no) AS first FROM fx_weeks WHERE NOT is_break GROUP BY ALL),
       f AS (SELECT *, max(len(dd)) OVER (PARTITION BY course_id) AS m FROM w), g AS (SELECT course_id, dd, count(*) AS c, min(first) AS first FROM f WHERE len(dd) = m GROUP BY ALL), b AS (SELECT course_id, dd FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY c DESC, first) AS k FROM g) WHERE k = 1)
