@@ -113,3 +113,43 @@ def line_kinds(rows: DataFrame) -> DataFrame:
         .when(F.rlike(text, F.lit(r"^\s*[-*•] ")), "bullet").when(F.rlike(text, F.lit(r"^\s*[0-9]+[.)] ")), "number").when(F.rlike(text, F.lit("^> ")), "quote").when(F.rlike(text, F.lit(r"^\s*\|.*\|\s*$")), "table").otherwise("paragraph")
     )
     return rows.withColumn("kind", kind)
+
+
+BANNER = r"(?i)^\s*>?\s*(?:<!--.*-->|\W*AI[- ]generated draft\b.*)\s*$"  # a line that says no more than that a draft is one
+MARKS = {"subsection": "### ", "section": "## ", "title": "# ", "bullet": "- ", "quote": "> "}
+
+
+def blocks(drafts: DataFrame) -> DataFrame:
+    """A draft as blocks for a document: (doc_id, block_no, kind, content, rows).
+
+    ``drafts(doc_id, title, text)``. Banner lines go; a draft without a title of its own gets ``title``, if that isn't blank.
+    Kinds: title, section (in capitals), highlighted_section (an AI-use task), subsection, bullet, number, quote, paragraph,
+    blank, and table: a run of lines that begin with a bar, separators left out, whose cells are in ``rows``. Emphasis marks are
+    taken out. A null text has no lines.
+    """
+    every = lines(drafts.select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text"))).where(~F.rlike("text", F.lit(BANNER)))
+    every = every.select("doc_id", "line_no", F.btrim("text", F.lit(" \t\x0b\x0c")).alias("line"))
+    titled = every.groupBy("doc_id").agg(F.bool_or(F.startswith("line", F.lit("# "))).alias("has_title"))
+    given = drafts.select("doc_id", "title").join(titled, "doc_id").where("not has_title and trim(title) <> ''")
+    opening = given.select("doc_id", F.explode(F.array(F.struct(F.lit(-2).alias("line_no"), F.concat(F.lit("# "), F.trim("title")).alias("line")), F.struct(F.lit(-1).alias("line_no"), F.lit("").alias("line")))).alias("l")).select("doc_id", "l.*")
+    told = every.unionByName(opening)
+    is_row = F.startswith("line", F.lit("|"))
+    by_mark = lambda m: F.startswith("line", F.lit(m))
+    kind = F.when(is_row, "table").when(F.col("line") == "", "blank")
+    for name, mark in MARKS.items():
+        kind = kind.when(by_mark(mark), name)
+    kind = kind.when(by_mark("* "), "bullet").when(F.rlike("line", F.lit(r"^[0-9]+[.)]\s")), "number").otherwise("paragraph")
+    bare = F.regexp_replace("line", r"^(?:#{1,3} |[-*] |> |[0-9]+[.)]\s+)", "")
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\*\*(.*?)\*\*", "$1"), r"\*(.*?)\*", "$1"))
+    content = F.when(F.col("kind") == "paragraph", clean(F.col("line"))).when(F.col("kind") == "section", F.upper(clean(bare))).otherwise(clean(bare))
+    # runs of table lines: a table line's place less its rank among its document's table lines stays the same within a run
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    numbered = told.withColumn("kind", kind).withColumn("place", F.row_number().over(order))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("line_no"))
+    numbered = numbered.withColumn("run", F.when(F.col("kind") == "table", F.col("place") - rank)).withColumn("content", F.when(F.col("kind") != "table", content))
+    cells = F.transform(F.split(F.btrim("line", F.lit("|")), r"\|"), clean)
+    rows = numbered.where("kind = 'table'").where(~F.rlike("line", F.lit(r"^\|?[\s:|-]*-[\s:|-]*$"))).select("doc_id", "run", "place", F.struct("place", cells.alias("cells")).alias("r"))
+    tables = rows.groupBy("doc_id", "run").agg(F.min("place").alias("place"), F.transform(F.array_sort(F.collect_list("r")), lambda x: x["cells"]).alias("rows"))
+    single = numbered.where("kind <> 'table'").select("doc_id", "place", F.when((F.col("kind") == "section") & (F.replace("content", F.lit("-"), F.lit(" ")) == "AI USE TASK"), "highlighted_section").otherwise(F.col("kind")).alias("kind"), "content")
+    both = single.unionByName(tables.select("doc_id", "place", F.lit("table").alias("kind"), "rows"), allowMissingColumns=True)
+    return both.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")).alias("block_no"), "kind", "content", "rows")

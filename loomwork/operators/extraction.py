@@ -267,6 +267,20 @@ def roll_new_year(rows: DataFrame) -> DataFrame:
     return walked.select("doc_id", back.alias("back"), F.explode("w.out").alias("x")).select("doc_id", F.col("x.row_no").alias("row_no"), F.add_months("x.day", -12 * F.col("back")).alias("day"))
 
 
+DATES = ("day", "date_start", "date_end")
+
+
+def roll_dates(rows: DataFrame) -> DataFrame:
+    """W2 over all dates of a schedule: ``rows(doc_id, row_no, day, date_start, date_end, is_spring)``. The dates of a row come in
+    that order, behind those of the rows before; a row that crosses New Year itself ends in the next year. Rows without a date
+    stay as they are."""
+    listed = F.array(*(F.struct((len(DATES) * F.col("row_no") + i).cast("int").alias("row_no"), F.col(c).alias("day")) for i, c in enumerate(DATES)))
+    each = rows.select("doc_id", "is_spring", F.explode(listed).alias("d")).select("doc_id", "is_spring", "d.*").where("day is not null")
+    moved = roll_new_year(each).select("doc_id", F.floor(F.col("row_no") / len(DATES)).cast("int").alias("row_no"), F.pmod("row_no", F.lit(len(DATES))).alias("place"), "day")
+    wide = moved.groupBy("doc_id", "row_no").agg(*(F.max(F.when(F.col("place") == i, F.col("day"))).alias(c) for i, c in enumerate(DATES)))
+    return rows.select("doc_id", "row_no").join(wide, ["doc_id", "row_no"], "left")
+
+
 def week_label(text: Column, year: Column) -> Column:
     """week number, day and style of labels "Week N (m/d)" and "(Mon. d)"."""
     numeric = F.regexp_extract(text, r"\(([0-9]{1,2}/[0-9]{1,2})\)", 1)

@@ -69,6 +69,24 @@ add("w2_new_year", lambda s, d: x.roll_new_year(fx.table(s, d, "orders").select(
       walk AS (SELECT doc_id, row_no, 0 AS extra, day FROM o WHERE row_no = 1 UNION ALL
         SELECT o.doc_id, o.row_no, w.extra + (w.day - (o.day + to_months(12 * w.extra))::DATE > 180)::INT, (o.day + to_months(12 * (w.extra + (w.day - (o.day + to_months(12 * w.extra))::DATE > 180)::INT)))::DATE FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.row_no = w.row_no + 1)
     SELECT doc_id, row_no::INT AS row_no, CASE WHEN doc_id % 2 = 0 THEN (day - to_months(12 * max(extra) OVER (PARTITION BY doc_id)))::DATE ELSE day END AS day FROM walk""")
+def dated_rows(s: SparkSession, d: str) -> DataFrame:
+    """Orders as schedule rows: a day, a span of up to 400 days, both, or nothing."""
+    o = fx.table(s, d, "orders")
+    day, kind = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
+    return o.select(
+        F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("row_no"), F.when(kind.isin(0, 2), day).alias("day"),
+        F.when(kind.isin(1, 2), F.date_add(day, 3)).alias("date_start"), F.when(kind.isin(1, 2), F.date_add(day, -(F.col("o_orderkey") % 400).cast("int"))).alias("date_end"), (F.col("o_custkey") % 2 == 0).alias("is_spring"),
+    )
+
+
+add("w2_all_dates", lambda s, d: x.roll_dates(dated_rows(s, d)),
+    """WITH RECURSIVE r AS (SELECT o_custkey AS doc_id, o_orderkey AS k, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no FROM orders),
+      e AS (SELECT doc_id, row_no, 0 AS place, day FROM r WHERE k % 4 IN (0, 2) UNION ALL SELECT doc_id, row_no, 1, day + 3 FROM r WHERE k % 4 IN (1, 2) UNION ALL SELECT doc_id, row_no, 2, day - (k % 400)::INT FROM r WHERE k % 4 IN (1, 2)),
+      o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no, place) AS n FROM e),
+      walk AS (SELECT doc_id, row_no, place, n, 0 AS extra, day FROM o WHERE n = 1 UNION ALL
+        SELECT o.doc_id, o.row_no, o.place, o.n, w.extra + (w.day - (o.day + to_months(12 * w.extra))::DATE > 180)::INT, (o.day + to_months(12 * (w.extra + (w.day - (o.day + to_months(12 * w.extra))::DATE > 180)::INT)))::DATE FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1),
+      f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN (day - to_months(12 * max(extra) OVER (PARTITION BY doc_id)))::DATE ELSE day END AS d FROM walk)
+    SELECT r.doc_id, r.row_no::INT AS row_no, max(d) FILTER (place = 0) AS day, max(d) FILTER (place = 1) AS date_start, max(d) FILTER (place = 2) AS date_end FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.row_no = r.row_no GROUP BY ALL""")
 add("f10_week_labels", lambda s, d: fx.weeks(s, d).where("not is_break").select("course_id", "row_no", x.week_label(F.when(F.col("row_no") % 3 == 0, F.concat("label", F.lit(" ("), t.month_day(F.col("day")), F.lit(")"))).when(F.col("row_no") % 3 == 1, F.concat("label", F.lit(" ("), F.date_format("day", "MMM. d"), F.lit(")"))).otherwise(F.col("label")), F.year("day")).alias("l")).select("course_id", "row_no", "l.*"),
     "SELECT course_id, row_no, week_number, CASE WHEN row_no % 3 < 2 THEN day END AS day, CASE row_no % 3 WHEN 0 THEN 'm/d' WHEN 1 THEN 'Mon. d' ELSE 'undated' END AS style FROM fx_weeks WHERE NOT is_break")
 add("e7_course_brief", lambda s, d: x.brief(fx.courses(s, d), fx.weeks(s, d), fx.university_dates(s, d)),

@@ -172,3 +172,24 @@ add("p11_ai_tasks", lambda s, d: fx.table(s, d, "documents").select("doc_id", t.
 add("s7_archive_events", lambda s, d: dr.archive_events(listing(s, d).select(F.concat_ws(":", "project_id", "path").alias("key"), F.col("modified_at").alias("version_ts"), F.col("source_id").cast("string").alias("path"))),
     f"""WITH {LISTING}, v AS (SELECT project_id || ':' || path AS key, modified_at, source_id::VARCHAR AS path, row_number() OVER (PARTITION BY project_id, path ORDER BY modified_at DESC, source_id::VARCHAR DESC) AS nth FROM files)
     SELECT 'archive' AS event_type, key AS original_path, regexp_replace(key, '\\.[^./]+$', '') || '-' || strftime(modified_at, '%Y%m%d-%H%M%S') || regexp_extract(key, '(\\.[^./]+)$', 1) AS archived_path, path FROM v WHERE nth > 1""")
+
+
+def marked_drafts(s, d):
+    """Documents as drafts: every line gets a mark by its place; of every two drafts one has a title."""
+    text = document_lines(s, d).select("doc_id", "line_no", F.trim(F.regexp_replace("text", r"[*|#>\x0b\x0c\t-]|^[0-9]+", "")).alias("t"))
+    mark = F.element_at(F.array(*map(F.lit, ("## ", "- ", "| a | **", "|---|", "| ", "", "> ", "12. ", "### "))), (F.col("line_no") % 9 + 1).cast("int"))
+    line = F.concat(mark, F.when(F.col("line_no") % 9 == 3, "").otherwise(F.col("t")), F.when(F.col("line_no") % 9 == 2, "** |").otherwise(""))
+    gathered = text.select("doc_id", F.struct("line_no", line.alias("l")).alias("l")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["l"]), "\n").alias("text"))
+    first = F.when(F.col("doc_id") % 2 == 0, "# Own *title*\n<!-- a banner -->\n").otherwise("## AI-use task\n")
+    return gathered.select("doc_id", F.lit("Given").alias("title"), F.concat(first, "text").alias("text"))
+
+
+add("e14_blocks", lambda s, d: doc.blocks(marked_drafts(s, d)).select("doc_id", "block_no", "kind", F.coalesce("content", F.array_join(F.transform("rows", lambda r: F.array_join(r, "~")), "^")).alias("content")),
+    f"""WITH {LINES}, m AS (SELECT doc_id, line_no, line_no % 9 AS k, trim(regexp_replace(text, '[*|#>\\x0b\\x0c\\t-]|^[0-9]+', '', 'g'), ' ') AS t FROM lines),
+      h AS (SELECT DISTINCT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [-3] ELSE [-3, -2, -1] END)::INT AS n FROM lines),
+      b AS (SELECT doc_id, n AS line_no, CASE WHEN n = -2 THEN 'blank' WHEN n = -1 THEN 'highlighted_section' ELSE 'title' END AS kind, CASE WHEN n = -2 THEN '' WHEN n = -1 THEN 'AI-USE TASK' WHEN doc_id % 2 = 0 THEN 'Own title' ELSE 'Given' END AS content FROM h
+        UNION ALL SELECT doc_id, line_no, CASE k WHEN 0 THEN CASE WHEN t = '' THEN 'paragraph' ELSE 'section' END WHEN 1 THEN CASE WHEN t = '' THEN 'paragraph' ELSE 'bullet' END WHEN 5 THEN CASE WHEN t = '' THEN 'blank' ELSE 'paragraph' END WHEN 6 THEN CASE WHEN t = '' THEN 'paragraph' ELSE 'quote' END WHEN 7 THEN CASE WHEN t = '' THEN 'paragraph' ELSE 'number' END WHEN 8 THEN CASE WHEN t = '' THEN 'paragraph' ELSE 'subsection' END ELSE 'table' END,
+          CASE WHEN k = 0 THEN CASE WHEN t = '' THEN '##' ELSE upper(replace(t, 'ß', 'ss')) END WHEN t = '' THEN CASE k WHEN 1 THEN '-' WHEN 6 THEN '>' WHEN 7 THEN '12.' WHEN 8 THEN '###' ELSE '' END ELSE t END FROM m WHERE k NOT IN (2, 3, 4)),
+      t AS (SELECT doc_id, min(line_no) AS line_no, 'table' AS kind, string_agg(CASE WHEN k = 2 THEN 'a~' || t ELSE t END, '^' ORDER BY line_no) AS content FROM m WHERE k IN (2, 4) GROUP BY doc_id, line_no // 9),
+      e AS (SELECT * FROM b UNION ALL SELECT * FROM t)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INT AS block_no, kind, content FROM e""")

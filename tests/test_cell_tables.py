@@ -103,3 +103,26 @@ def test_header_guesses_by_hand(spark):
     assert one(3) == ("Spring 2027", "IS 4410", "003", "Data", None, "")
     assert one(4)[1:4] == ("IS 5555", "", "8001 Data") and got[4].error_code == "no_term" and got[5].error_code == "no_term" and got[5].title == "Untitled course"
     assert one(6)[0] == "Fall Semester" and one(6)[4] == 12.0
+
+
+def test_blocks_of_a_draft(spark):
+    from loomwork.operators.documents import blocks
+
+    text = "> **AI-generated draft** for review\n## Tasks **in** brief\n| a | *b* |\n|---|:-:|\n| c | d |\n\n| e |\n* one\n1. two\n### Three\n> said\nplain **words**\r\n## AI-use task"
+    rows = [(1, "Week 3", text), (2, "Given", "# Own\nx"), (3, " ", "x"), (4, "T", None)]
+    out = blocks(spark.createDataFrame(rows, "doc_id int, title string, text string")).orderBy("doc_id", "block_no").collect()
+    got = [(r.kind, r.content if r.rows is None else [list(x) for x in r.rows]) for r in out if r.doc_id == 1]
+    assert got == [
+        ("title", "Week 3"), ("blank", ""), ("section", "TASKS IN BRIEF"), ("table", [["a", "b"], ["c", "d"]]), ("blank", ""), ("table", [["e"]]), ("bullet", "one"), ("number", "two"),
+        ("subsection", "Three"), ("quote", "said"), ("paragraph", "plain words"), ("highlighted_section", "AI-USE TASK"),
+    ]
+    assert [(r.doc_id, r.kind, r.content) for r in out if r.doc_id > 1] == [(2, "title", "Own"), (2, "paragraph", "x"), (3, "paragraph", "x")]
+
+
+def test_dates_roll_inside_a_row(spark):
+    from loomwork.operators.extraction import roll_dates
+
+    rows = [(1, 0, D(2026, 12, 7), None, None, False), (1, 1, None, D(2026, 12, 20), D(2026, 1, 3), False), (1, 2, D(2026, 1, 11), None, None, False), (1, 3, None, None, None, False)]
+    rows += [(2, 0, D(2027, 12, 15), None, None, True), (2, 1, D(2027, 1, 11), None, None, True)]
+    got = [tuple(r)[2:] for r in roll_dates(spark.createDataFrame(rows, "doc_id int, row_no int, day date, date_start date, date_end date, is_spring boolean")).orderBy("doc_id", "row_no").collect()]
+    assert got == [(D(2026, 12, 7), None, None), (None, D(2026, 12, 20), D(2027, 1, 3)), (D(2027, 1, 11), None, None), (None, None, None), (D(2026, 12, 15), None, None), (D(2027, 1, 11), None, None)]
