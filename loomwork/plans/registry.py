@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import base, cell_tables, extraction, metrics, pages, quality, review, rollover, streams, text  # noqa: F401  (importing a module registers its queries)
+from loomwork.plans import base, cell_tables, extraction, metrics, pages, quality, review, rollover, rollover_job, streams, text  # noqa: F401  (importing a module registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,17 +155,19 @@ NAMED = f"""{PLAN}, u AS (SELECT d.*, target_term, week_one, target_end, week_on
       x AS (SELECT *, CASE WHEN regexp_matches(event, '(?i)\\bbegin') THEN 'begin' WHEN regexp_matches(event, '(?i)\\bend') THEN 'end' WHEN b_pos IS NOT NULL THEN 'break' WHEN h_pos IS NOT NULL AND day IS NOT NULL THEN 'holiday' ELSE 'moved' END AS rule FROM u),
       f AS (SELECT course_id, CASE WHEN n.day IS NULL THEN 'break' ELSE 'holiday' END AS kind, n.label, coalesce(n.day, n.date_start) AS s, n.date_end AS e, row_number() OVER (PARTITION BY course_id, n.day IS NULL ORDER BY n.pos) AS nth FROM p JOIN fx_no_class n ON n.term = target_term
         WHERE season_change AND week_one IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u WHERE u.course_id = p.course_id AND n.pos = CASE WHEN n.day IS NULL THEN u.b_pos ELSE u.h_pos END))"""
-add("j7_university_dates", lambda s, d: r.roll_university_dates(fx.university_dates(s, d), moving(s, d), fx.no_class(s)),
-    f"""WITH {NAMED}, k AS (SELECT *, CASE WHEN season_change AND rule = 'moved' THEN CASE WHEN date_start IS NOT NULL THEN 'break' WHEN is_holiday THEN 'holiday' END END AS kind FROM x),
+J7_DATES = f"""WITH {NAMED}, k AS (SELECT *, CASE WHEN season_change AND rule = 'moved' THEN CASE WHEN date_start IS NOT NULL THEN 'break' WHEN is_holiday THEN 'holiday' END END AS kind FROM x),
       y AS (SELECT k.*, row_number() OVER (PARTITION BY course_id, kind ORDER BY pos) AS nth FROM k),
       z AS (SELECT y.* REPLACE (CASE WHEN f.s IS NULL THEN rule ELSE 'next_' || y.kind END AS rule), f.label, f.s, f.e FROM y LEFT JOIN f ON f.course_id = y.course_id AND f.kind = y.kind AND f.nth = y.nth)
     SELECT course_id, z.pos, coalesce(z.label, event) AS event, rule, CASE rule WHEN 'begin' THEN week_one WHEN 'end' THEN coalesce(target_end, (z.day + o::INT)::DATE) WHEN 'holiday' THEN h.day WHEN 'next_holiday' THEN s WHEN 'moved' THEN (z.day + o::INT)::DATE END AS day,
       CASE rule WHEN 'break' THEN b.date_start WHEN 'next_break' THEN s WHEN 'moved' THEN (z.date_start + o::INT)::DATE END AS date_start, CASE rule WHEN 'break' THEN b.date_end WHEN 'next_break' THEN e WHEN 'moved' THEN (z.date_end + o::INT)::DATE END AS date_end,
       CASE WHEN rule = 'moved' AND season_change THEN 'unmatched' END AS flag
-    FROM z LEFT JOIN fx_no_class h ON h.term = target_term AND h.pos = h_pos LEFT JOIN fx_no_class b ON b.term = target_term AND b.pos = b_pos""")
+    FROM z LEFT JOIN fx_no_class h ON h.term = target_term AND h.pos = h_pos LEFT JOIN fx_no_class b ON b.term = target_term AND b.pos = b_pos"""
+J7_MISSING = f"""WITH {NAMED}, h AS (SELECT course_id, count(*) FILTER (rule = 'moved' AND is_holiday AND date_start IS NULL) AS taken FROM x GROUP BY 1 HAVING bool_or(is_holiday))
+    SELECT course_id, (nth - taken)::INT AS nth, label, s AS day FROM f JOIN h USING (course_id) WHERE kind = 'holiday' AND nth > taken"""
+add("j7_university_dates", lambda s, d: r.roll_university_dates(fx.university_dates(s, d), moving(s, d), fx.no_class(s)),
+    J7_DATES)
 add("j7_missing_holidays", lambda s, d: r.missing_holidays(fx.university_dates(s, d), moving(s, d), fx.no_class(s)),
-    f"""WITH {NAMED}, h AS (SELECT course_id, count(*) FILTER (rule = 'moved' AND is_holiday AND date_start IS NULL) AS taken FROM x GROUP BY 1 HAVING bool_or(is_holiday))
-    SELECT course_id, (nth - taken)::INT AS nth, label, s AS day FROM f JOIN h USING (course_id) WHERE kind = 'holiday' AND nth > taken""")
+    J7_MISSING)
 add("f1_f4_term_functions", lambda s, d: planned(s, d).select("course_id", t.season(F.col("term")).alias("season"), t.year_of(F.col("target_term")).alias("year"), "season_change", F.array_join(F.transform("days", lambda x: x.cast("string")), ",").alias("days"), F.array_join(F.transform(t.class_dates(F.col("week_one"), F.col("days")), lambda x: x.cast("string")), ",").alias("week_days"), t.first_class_day(F.col("week_one"), F.col("days")).alias("first_class"), t.provisional_start(F.col("target_term")).alias("provisional")),
     f"""WITH {PLAN} SELECT course_id, {SEASON.format('term')} AS season, right(target_term, 4)::INT AS year, season_change, array_to_string(days, ',') AS days,
       CASE WHEN len(days) > 0 THEN coalesce(array_to_string(list_transform(days, lambda x: ((week_one - (isodow(week_one) - 1)::INT + x)::DATE)::VARCHAR), ','), '') ELSE coalesce(week_one::VARCHAR, '') END AS week_days,
