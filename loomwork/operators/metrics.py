@@ -197,6 +197,25 @@ def usage_tally(events: DataFrame) -> DataFrame:
     return of_type(events, "generation").groupBy("project_id", "model", day.alias("day")).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
+def run_events(runs: DataFrame, calls: DataFrame, rates: DataFrame) -> DataFrame:
+    """One event a run with what its calls took together: calls, tokens, cost and whether it failed.
+
+    ``runs(run_id, content_type, failed)``, ``calls(run_id, model, input_tokens, output_tokens)``, rates by model. A run that failed
+    before its first call left nothing to count and has no event; one that failed later has. The cost is null where a call's model
+    has no rate; null token counts add nothing.
+    """
+    known = small(rates.select("model", "input_per_1k", "output_per_1k"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cost = count("input_tokens") / 1000 * F.col("input_per_1k") + count("output_tokens") / 1000 * F.col("output_per_1k")
+    priced = calls.join(known, "model", "left").withColumn("cost", cost)
+    tallies = priced.groupBy("run_id").agg(
+        F.count("*").alias("calls"), F.sum(count("input_tokens")).alias("input_tokens"), F.sum(count("output_tokens")).alias("output_tokens"),
+        F.when(F.count("cost") == F.count("*"), F.round(F.sum("cost"), 8)).alias("cost_usd"),
+    )
+    joined = runs.join(tallies, "run_id", "left").where(F.col("calls").isNotNull() | ~F.coalesce("failed", F.lit(False)))
+    return joined.select("run_id", F.when(F.col("failed"), "generation_failed").otherwise("generation").alias("event_type"), "content_type", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens")), F.when(F.col("calls").isNull(), F.lit(0.0)).otherwise(F.col("cost_usd")).alias("cost_usd"))
+
+
 def report(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """One text per project from the tables above."""
     files = files_processed(events).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(" | ", "format", "extracted", "errors", F.format_number(100 * F.col("error_rate"), 0)))).alias("rows"))

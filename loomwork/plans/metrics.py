@@ -106,3 +106,18 @@ add("e9_evaluation_report", lambda s, d: m.report(fx.eval_events(s, d), ZONE),
     SELECT project_id, '# Project ' || project_id || chr(10) || chr(10) || '## Files' || chr(10) || coalesce(fr.r, 'none') || chr(10) || chr(10) || '## Consistency' || chr(10) || kr.r || coalesce(terms, '') || chr(10) || chr(10) || '## Rollovers' || chr(10) || coalesce(hr.r, 'none')
       || chr(10) || chr(10) || '## Cost by type' || chr(10) || coalesce(cr.r, 'none') || chr(10) || chr(10) || '## Cost by month' || chr(10) || coalesce(mr.r, 'none') AS content
     FROM kr LEFT JOIN kt USING (project_id) LEFT JOIN fr USING (project_id) LEFT JOIN hr USING (project_id) LEFT JOIN cr USING (project_id) LEFT JOIN mr USING (project_id)""")
+
+
+def runs(s, d):
+    """Orders as grading runs, their items as calls; every seventh run failed, some of these before a call."""
+    o = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), fx.pick(F.col("o_orderkey") % 2, "quiz", "grading").alias("content_type"), (F.col("o_orderkey") % 7 == 0).alias("failed"))
+    model = F.when(F.col("l_suppkey") % 40 == 0, "other").when(F.col("l_suppkey") % 2 == 0, "gpt-4o").otherwise("flash").alias("model")
+    c = fx.table(s, d, "lineitem").where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("run_id"), model, (F.col("l_partkey") % 3000).cast("long").alias("input_tokens"), F.when(F.col("l_linenumber") < 5, F.col("l_quantity").cast("long")).alias("output_tokens"))
+    return o, c
+
+
+add("a11_run_events", lambda s, d: m.run_events(*runs(s, d), fx.rates(s)),
+    """WITH c AS (SELECT l_orderkey AS run_id, CASE WHEN l_suppkey % 40 = 0 THEN 'other' WHEN l_suppkey % 2 = 0 THEN 'gpt-4o' ELSE 'flash' END AS model, (l_partkey % 3000)::BIGINT AS i, coalesce(CASE WHEN l_linenumber < 5 THEN l_quantity::BIGINT END, 0) AS o FROM lineitem WHERE l_orderkey % 3 > 0),
+      t AS (SELECT run_id, count(*) AS calls, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o, CASE WHEN count(input_per_1k) = count(*) THEN round(sum(i / 1000 * input_per_1k + o / 1000 * output_per_1k), 8) END AS cost FROM c LEFT JOIN fx_rates USING (model) GROUP BY 1)
+    SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 7 = 0 THEN 'generation_failed' ELSE 'generation' END AS event_type, CASE o_orderkey % 2 WHEN 0 THEN 'quiz' ELSE 'grading' END AS content_type, coalesce(calls, 0) AS calls, coalesce(i, 0) AS input_tokens, coalesce(o, 0) AS output_tokens,
+      CASE WHEN calls IS NULL THEN 0.0 ELSE cost END AS cost_usd FROM orders LEFT JOIN t ON run_id = o_orderkey WHERE calls IS NOT NULL OR o_orderkey % 7 > 0""")

@@ -15,23 +15,39 @@ CALENDAR = "terms array<struct<term:string,start:date,end:date,no_class_dates:ar
 def read_log(spark: SparkSession, path: str, fail: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, corrupt rows) of a JSON-lines log; a log that isn't there is empty, blank lines are skipped.
 
-    With ``fail`` a corrupt line is an error. A half-written last line counts as corrupt, and is read whole next time.
+    A corrupt row has ``is_tail``: whether it is the last line of its file and no newline ends it, as while it is being written; it
+    is read whole next time. With ``fail`` any other corrupt line is an error. That a file ends without a newline is told by its size,
+    which then is one byte less than its lines and their ends (files that aren't compressed).
     """
     schema = f"{EVENT}, _corrupt string"
     try:
-        raw = spark.read.text(path)
-        lines = raw.where("trim(value) <> ''").select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("e")).select("e.*")
+        raw = spark.read.option("lineSep", "\n").text(path)
+        placed = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+        lines = placed.where("trim(value) <> ''").select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("e"), "file", "at").select("e.*", "file", "at")
+        ends = placed.groupBy("file").agg((F.sum(F.octet_length("value") + 1) == F.max("size") + 1).alias("open"), F.max("at").alias("last"))
+        corrupt = lines.where("_corrupt is not null").select("_corrupt", "file", "at").join(ends, "file")
+        bad = corrupt.select("_corrupt", (F.col("open") & (F.col("at") == F.col("last"))).alias("is_tail"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        lines = spark.createDataFrame([], schema)
-    bad = lines.where("_corrupt is not null").select("_corrupt")
-    if fail and bad.limit(1).count():
+        lines = spark.createDataFrame([], f"{schema}, file string, at long")
+        bad = spark.createDataFrame([], "_corrupt string, is_tail boolean")
+    if fail and bad.where("not is_tail").limit(1).count():
         raise ValueError("the log has a corrupt line")
-    good = lines.where("_corrupt is null").drop("_corrupt").withColumn("ts", F.to_timestamp("timestamp"))
+    good = lines.where("_corrupt is null").drop("_corrupt", "file", "at").withColumn("ts", F.to_timestamp("timestamp"))
     return good, bad
 
 
+def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, rejected files) of a folder of markdown files: (path, line_no, text) with line ends of any kind, and (path,
+    error_code) of files that aren't UTF-8. A byte order mark at the start is no text; an empty file has no lines."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path).select("path", F.coalesce("content", F.lit("").cast("binary")).alias("content"))
+    sound = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    lines = files.where(sound).select("path", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "text"))
+    return lines, files.where(~sound).select("path", F.lit("not_utf8").alias("error_code"))
+
+
 def append_log(events: DataFrame, path: str) -> None:
     """Append events as JSON lines, with a UTC time where there is none; null fields aren't written."""
     stamp = F.date_format(F.coalesce(F.to_timestamp("timestamp"), F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -126,3 +126,35 @@ def test_dates_roll_inside_a_row(spark):
     rows += [(2, 0, D(2027, 12, 15), None, None, True), (2, 1, D(2027, 1, 11), None, None, True)]
     got = [tuple(r)[2:] for r in roll_dates(spark.createDataFrame(rows, "doc_id int, row_no int, day date, date_start date, date_end date, is_spring boolean")).orderBy("doc_id", "row_no").collect()]
     assert got == [(D(2026, 12, 7), None, None), (None, D(2026, 12, 20), D(2027, 1, 3)), (D(2027, 1, 11), None, None), (None, None, None), (D(2026, 12, 15), None, None), (D(2027, 1, 11), None, None)]
+
+
+def test_half_written_tails_and_other_corrupt_lines(spark, tmp_path):
+    from loomwork.sources import files
+
+    good = '{"event_type": "generation", "timestamp": "2026-01-01T00:00:00Z"}'
+    (tmp_path / "a.jsonl").write_text(f"{good}\n\n{good}\n" + '{"event_type": "gen')
+    (tmp_path / "b.jsonl").write_text(f"{good}\nnot é json\n{good}\n")
+    (tmp_path / "c.jsonl").write_text(f"{good}\nbroken\n")
+    (tmp_path / "d.jsonl").write_text(f"broken\n{good}")
+    events, bad = files.read_log(spark, str(tmp_path))
+    assert events.count() == 6 and sorted((r._corrupt, r.is_tail) for r in bad.collect()) == [("broken", False), ("broken", False), ("not é json", False), ('{"event_type": "gen', True)]
+    assert files.read_log(spark, str(tmp_path / "a.jsonl"), fail=True)[0].count() == 2
+    try:
+        files.read_log(spark, str(tmp_path / "c.jsonl"), fail=True)
+        raise AssertionError("a corrupt line with its end is an error")
+    except ValueError:
+        pass
+    assert files.read_log(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_markdown_files(spark, tmp_path):
+    from loomwork.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.md").write_bytes("﻿# Één\r\ntwo\rthree\n".encode())
+    (tmp_path / "in" / "b.md").write_bytes(b"caf\xe9\n")
+    (tmp_path / "c.md").write_bytes(b"")
+    (tmp_path / "d.txt").write_bytes(b"\xff")
+    lines, rejected = files.read_markdown(spark, str(tmp_path))
+    assert [(r.path[-4:], r.line_no, r.text) for r in lines.orderBy("path", "line_no").collect()] == [("a.md", 0, "# Één"), ("a.md", 1, "two"), ("a.md", 2, "three"), ("a.md", 3, "")]
+    assert [(r.path[-4:], r.error_code) for r in rejected.collect()] == [("b.md", "not_utf8")]
