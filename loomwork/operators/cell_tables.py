@@ -16,6 +16,7 @@ from loomwork.sources.files import settled
 LABEL = r"(?i)\bweek\s+([0-9]+)(\s*\(\s*([^()]*?)\s*\))?"
 BREAK = r"(?i)\b(?:break|no class|holiday)\b"
 NO_CLASS = "No class"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 LAST = 1 << 30  # behind every row of a table
 
 
@@ -26,8 +27,9 @@ def first_cell(cells: Column) -> Column:
 def style_of(date: Column) -> Column:
     """How the date of a label is written; null where it isn't one."""
     is_like = lambda pattern: F.rlike(date, F.lit(pattern))
+    month = F.lower(F.substring(date, 1, 3)).isin(*MONTHS)
     return (
-        F.when(is_like("^[0-9]{1,2}/[0-9]{1,2}$"), "m/d").when(is_like(r"^[A-Za-z]{3}\. ?[0-9]{1,2}$"), "Mon. d")
+        F.when(is_like("^[0-9]{1,2}/[0-9]{1,2}$"), "m/d").when(~month, None).when(is_like(r"^[A-Za-z]{3,4}\. ?[0-9]{1,2}$"), "Mon. d")
         .when(is_like(r"^[A-Za-z]{3} [0-9]{1,2}$"), "Mon d").when(is_like(r"^[A-Za-z]{4,} [0-9]{1,2}$"), "Month d")
     )
 
@@ -143,3 +145,69 @@ def tidy_rows(tables: DataFrame) -> DataFrame:
     is_week = F.rlike(F.element_at("cells", 1), F.lit(r"(?i)^week\s+[0-9]+"))
     real = (F.max("width").over(table) >= 2) & (F.bool_or(is_week).over(table) | ((F.count("*").over(table) >= 2) & (2 * F.count_if(full >= 2).over(table) > F.count("*").over(table))))
     return kept.select(*key, F.row_number().over(table.orderBy("row_no")).alias("row_no"), "cells", real.alias("is_real"))
+
+
+# What the first column of a schedule without dates is called, and words of columns that hold assignments.
+NUMBERED = ("week", "meeting", "session", "module", "class", "lesson", "unit")
+NUMBERED_COLUMNS = (*NUMBERED, *(f"{n}s" for n in NUMBERED), "classes", "#", "no", "no.")
+WORK_COLUMNS = ("assignment", "assignments", "deliverable", "deliverables")  # as a header's first word; "due" as any
+RANGE = r"([0-9]{1,2}/[0-9]{1,2})\s*[-–—]\s*([0-9]{1,2}/[0-9]{1,2})"
+BARE = rf"(?i)^\s*(?:{'|'.join(NUMBERED)})?\s*([0-9]{{1,2}})(?![0-9A-Za-z/(])"
+
+
+def day_of(date: Column, year: Column) -> Column:
+    """The date that "8/24", "Jan. 6" or "January 6" means in a year; null for anything else."""
+    month = F.when(F.contains(date, F.lit("/")), F.substring_index(date, "/", 1).try_cast("int")).otherwise(F.month(F.try_to_date(F.concat_ws(" ", F.initcap(F.substring(F.ltrim(date), 1, 3)), F.lit("1 2000")), "MMM d yyyy")))
+    return F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(date, "([0-9]{1,2})\\s*$", 1), 2, "0")), "yyyy-MM-dd")
+
+
+def schedule_rows(rows: DataFrame, years: DataFrame) -> DataFrame:
+    """Schedules from Word tables: doc_id, table_no, row_no, kind, week_number, day, date_start, date_end, topics, assignments,
+    notes, error_code.
+
+    ``years(doc_id, year, week_one)``: the term's year and provisional Week 1. A table counts if a row behind its first begins with
+    a week and date, or if it has no such row, its first header names NUMBERED_COLUMNS and two rows or more begin with a number:
+    those weeks are a week apart from Week 1. A row with a span of dates in its first two cells is a break; one that says "break"
+    without is an error (``bad_break``). The header is the last row before the first week: all lines in columns that it heads with
+    WORK_COLUMNS or "due" are assignments; elsewhere lines with the word "due" are. Lines that begin with "Note:" are notes, all others topics,
+    what stands behind the label too. Rows that are neither week nor break are left out.
+    """
+    table = Window.partitionBy("doc_id", "table_no")
+    first = first_cell(F.col("cells"))
+    dated_line = F.try_element_at(F.filter(F.split(first, "\n"), lambda x: F.rlike(x, F.lit(LABEL)) & style_of(F.regexp_extract(x, LABEL, 3)).isNotNull()), F.lit(1))
+    told = rows.join(years, "doc_id", "left").withColumn("dated", F.when(F.col("row_no") > 0, dated_line)).withColumn("bare", F.when(F.col("row_no") > 0, F.regexp_extract(first, BARE, 1).try_cast("int")))
+    heads = F.bool_or((F.col("row_no") == 0) & F.lower(F.trim(first)).isin(*NUMBERED_COLUMNS)).over(table)
+    any_date = F.bool_or(F.col("dated").isNotNull()).over(table)
+    told = told.withColumn("any_date", any_date).withColumn("undated", ~F.col("any_date") & heads & (F.count("bare").over(table) >= 2)).where("any_date or undated")
+    number = F.when(F.col("undated"), F.col("bare")).otherwise(F.regexp_extract("dated", LABEL, 1).try_cast("int"))
+    told = told.withColumn("week_number", number)
+    # columns of assignments, by the last row before the first week
+    start = F.min(F.when(F.col("week_number").isNotNull(), F.col("row_no"))).over(table)
+    head = F.max_by("cells", F.when(F.col("row_no") < F.col("start"), F.col("row_no"))).over(table)
+    told = told.withColumn("start", start).withColumn("head", head)
+    words = lambda c: F.split(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z]+")
+    names_work = lambda c: words(c)[0].isin(*WORK_COLUMNS) | F.array_contains(words(c), "due")
+    told = told.withColumn("work", F.transform("head", lambda c, i: (i > 0) & names_work(c)))
+    two = F.concat_ws(" ", F.slice("cells", 1, 2))
+    span = F.rlike(two, F.lit(RANGE))
+    says_break = F.contains(F.lower(first), F.lit("break"))
+    kind = F.when(F.col("week_number").isNotNull(), "week").when(F.col("row_no") == 0, None).when(span | says_break, "break")
+    told = told.withColumn("kind", kind).where("kind is not null")
+    # lines of all cells in order; of the label's own line what stands behind the label
+    stripped = lambda x, i: F.when(F.col("undated") & (i == 0), F.regexp_replace(x, BARE, "")).when(~F.col("undated"), F.regexp_replace(x, rf"(?i)^.*?{LABEL.removeprefix('(?i)')}", "")).otherwise(x)
+    after = F.transform(F.split(first, "\n"), lambda x, i: F.btrim(stripped(x, i), F.lit(" \t:;,-–—")))
+    lines = F.flatten(F.transform("cells", lambda c, i: F.transform(F.when(i == 0, after).otherwise(F.split(F.coalesce(c, F.lit("")), "\n")), lambda x: F.struct(F.trim(x).alias("text"), F.coalesce(F.try_element_at("work", i + 1), F.lit(False)).alias("work")))))
+    full = F.filter(lines, lambda x: x["text"] != "")
+    told = told.withColumn("lines", F.when(F.col("kind") == "week", full))
+    note = r"(?i)^notes?:\s*"
+    is_note = lambda x: F.rlike(x["text"], F.lit(note))
+    is_work = lambda x: ~is_note(x) & (x["work"] | F.rlike(x["text"], F.lit(r"(?i)\bdue\b")))
+    texts = lambda keep: F.coalesce(F.transform(F.filter("lines", keep), lambda x: x["text"]), F.array().cast("array<string>"))
+    day = F.when(F.col("undated"), F.date_add("week_one", (7 * (F.col("week_number") - 1)).cast("int"))).otherwise(day_of(F.regexp_extract("dated", LABEL, 3), F.col("year")))
+    edge = lambda n: F.when(F.col("kind") == "break", day_of(F.nullif(F.regexp_extract(two, RANGE, n), F.lit("")), F.col("year")))
+    notes = F.array_join(F.transform(texts(is_note), lambda x: F.regexp_replace(x, note, "")), " ")
+    return told.select(
+        "doc_id", "table_no", "row_no", "kind", "week_number", F.when(F.col("kind") == "week", day).alias("day"), edge(1).alias("date_start"), edge(2).alias("date_end"),
+        texts(lambda x: ~is_note(x) & ~is_work(x)).alias("topics"), texts(is_work).alias("assignments"), F.nullif(notes, F.lit("")).alias("notes"),
+        F.when((F.col("kind") == "break") & ~span, "bad_break").when((F.col("kind") == "week") & day.isNull(), "bad_date").alias("error_code"),
+    )

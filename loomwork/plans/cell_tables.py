@@ -75,3 +75,30 @@ add("e17_tidy_rows", lambda s, d: c.tidy_rows(document_lines(s, d).select("doc_i
     f"""WITH {LINES}, c AS (SELECT doc_id, (line_no // 4)::INT AS item_no, line_no, line_no % 4 = 3 AS wk, CASE WHEN line_no % 4 = 3 THEN 'Week ' || line_no WHEN regexp_full_match(trim(text, ' '), '[-–—]+') THEN '' ELSE trim(text, ' ') END AS a, CASE WHEN line_no % 4 < 2 AND doc_id % 2 = 0 THEN 'x' ELSE '' END AS x FROM lines WHERE line_no % 4 <> 2),
       r AS (SELECT * FROM c WHERE a <> '' OR x <> ''), m AS (SELECT *, bool_or(a <> '') OVER t AS has_a, bool_or(x <> '') OVER t AS has_x, bool_or(wk OR regexp_matches(a, '(?i)^week\\s+[0-9]+')) OVER t AS week, count(*) OVER t AS n, count(*) FILTER (a <> '' AND x <> '') OVER t AS two FROM r WINDOW t AS (PARTITION BY doc_id, item_no))
     SELECT doc_id, item_no, (row_number() OVER (PARTITION BY doc_id, item_no ORDER BY line_no))::INT AS row_no, CASE WHEN has_a AND has_x THEN a || '|' || x WHEN has_a THEN a ELSE x END AS cells, week OR (n >= 2 AND 2 * two > n) AS is_real FROM m""")
+
+
+def syllabus_tables(s, d):
+    """Schedules in Word tables of two forms: dated labels, notes and work in their own column; numbered meetings without dates,
+    under a module's title, with work among the topics. A table of something else stands beside them."""
+    w = fx.weeks(s, d)
+    even = F.col("course_id") % 2 == 0
+    topics, work = F.array_join("topics", "\n"), F.array_join(F.concat("assignments", F.when(F.col("row_no") == 10, F.array(F.lit("Read ahead"))).otherwise(F.array().cast("array<string>"))), "\n")
+    note = F.when(F.col("notes").isNotNull(), F.concat(F.lit("\nNote: "), "notes")).otherwise("")
+    dated = F.array(F.concat("label", F.lit(" ("), F.date_format("day", "MMM. d"), F.lit("): start\nof it")), F.concat(topics, note), work)
+    plain = F.array(F.concat(F.lit("Meeting "), "week_number"), F.concat(topics, F.lit("\n"), F.array_join("assignments", "\n"), note))
+    own = F.when(F.col("is_break"), F.when(even, F.array("label", F.lit("No class"), F.lit(""))).otherwise(F.array(F.lit("Fall Break"), F.when(F.col("course_id") % 9 == 0, "off").otherwise("10/10 – 10/18")))).otherwise(F.when(even, dated).otherwise(plain))
+    rows = w.select(F.col("course_id").alias("doc_id"), F.lit(1).alias("table_no"), "row_no", own.alias("cells"))
+    c = fx.courses(s, d).select(F.col("course_id").alias("doc_id"), (F.col("course_id") % 2 == 0).alias("even"))
+    head = c.select("doc_id", F.lit(1).alias("table_no"), F.lit(0).alias("row_no"), F.when(F.col("even"), F.array(*map(F.lit, ("Module one", "", "")))).otherwise(F.array(*map(F.lit, ("Meeting", "What is due and read")))).alias("cells"))
+    second = c.where("even").select("doc_id", F.lit(1).alias("table_no"), F.lit(5).alias("row_no"), F.array(*map(F.lit, ("Week", "Topics", "Assignments"))).alias("cells"))
+    other = c.select("doc_id", F.lit(0).alias("table_no"), F.explode(F.array(F.struct(F.lit(0).alias("row_no"), F.array(F.lit("Part"), F.lit("Points")).alias("cells")), F.struct(F.lit(1).alias("row_no"), F.array(F.lit("1 Essay"), F.lit("40")).alias("cells")))).alias("x")).select("doc_id", "table_no", "x.*")
+    return rows.unionByName(head).unionByName(second).unionByName(other)
+
+
+add("e2_schedule_tables", lambda s, d: c.schedule_rows(syllabus_tables(s, d), fx.weeks(s, d).groupBy(F.col("course_id").alias("doc_id")).agg(F.max(F.year("day")).alias("year"), F.min("day").alias("week_one"))).select("doc_id", "table_no", "row_no", "kind", "week_number", "day", "date_start", "date_end", F.array_join("topics", "|").alias("topics"), F.array_join("assignments", "|").alias("assignments"), "notes", "error_code"),
+    """WITH w AS (SELECT *, course_id % 2 = 0 AS even, min(day) OVER (PARTITION BY course_id) AS one FROM fx_weeks)
+    SELECT course_id AS doc_id, 1 AS table_no, row_no, CASE WHEN is_break THEN 'break' ELSE 'week' END AS kind, week_number, CASE WHEN even THEN day WHEN NOT is_break THEN (one + 7 * (week_number - 1))::DATE END AS day,
+      CASE WHEN even OR course_id % 9 > 0 THEN date_start END AS date_start, CASE WHEN even OR course_id % 9 > 0 THEN date_end END AS date_end,
+      CASE WHEN is_break THEN '' WHEN even THEN 'start|of it|' || array_to_string(topics, '|') ELSE '' END AS topics,
+      CASE WHEN is_break THEN '' WHEN even THEN concat_ws('|', nullif(array_to_string(assignments, '|'), ''), CASE WHEN row_no = 10 THEN 'Read ahead' END) ELSE concat_ws('|', array_to_string(topics, '|'), nullif(array_to_string(assignments, '|'), '')) END AS assignments,
+      notes, CASE WHEN is_break AND NOT even AND course_id % 9 = 0 THEN 'bad_break' END AS error_code FROM w""")

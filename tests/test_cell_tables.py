@@ -158,3 +158,19 @@ def test_markdown_files(spark, tmp_path):
     lines, rejected = files.read_markdown(spark, str(tmp_path))
     assert [(r.path[-4:], r.line_no, r.text) for r in lines.orderBy("path", "line_no").collect()] == [("a.md", 0, "# Één"), ("a.md", 1, "two"), ("a.md", 2, "three"), ("a.md", 3, "")]
     assert [(r.path[-4:], r.error_code) for r in rejected.collect()] == [("b.md", "not_utf8")]
+
+
+def test_schedules_are_read(spark):
+    rows = [
+        (1, 0, 0, ["Unit", "Text", "Due"]), (1, 0, 1, ["Week 1 (8/24): hello", "a\nNotes: bring it\nQuiz due", "x\nNote: y"]), (1, 0, 2, ["Module 2", ""]), (1, 0, 3, ["first\nWeek 2 (Aug 31)", "b", "z"]), (1, 0, 4, ["Fall break", "9/5 – 9/7"]), (1, 0, 5, ["Winter break", "soon"]),
+        (2, 3, 0, ["#", "Topic"]), (2, 3, 1, ["1", "a"]), (2, 3, 2, ["Meeting 3: c", "d due"]), (2, 3, 3, ["2nd try", "x"]), (2, 4, 0, ["Grade", "Points"]), (2, 4, 1, ["1", "2"]), (2, 4, 2, ["2", "3"]),
+        (3, 0, 0, ["Week", "x"]), (3, 0, 1, ["Week 3 (Online 2)", "x"]), (3, 0, 2, ["Week 4 (2/30)", "x"]), (4, 0, 0, ["Week"]), (4, 0, 1, ["1"]),
+    ]
+    years = spark.createDataFrame([(i, 2026, D(2026, 8, 24)) for i in range(1, 5)], "doc_id int, year int, week_one date")
+    out = c.schedule_rows(spark.createDataFrame(rows, ROWS), years).orderBy("doc_id", "table_no", "row_no").collect()
+    got = [(r.doc_id, r.kind, r.week_number, r.day or r.date_start, list(r.topics), list(r.assignments), r.notes, r.error_code) for r in out]
+    assert got == [
+        (1, "week", 1, D(2026, 8, 24), ["hello", "a"], ["Quiz due", "x"], "bring it y", None), (1, "week", 2, D(2026, 8, 31), ["first", "b"], ["z"], None, None),
+        (1, "break", None, D(2026, 9, 5), [], [], None, None), (1, "break", None, None, [], [], None, "bad_break"),
+        (2, "week", 1, D(2026, 8, 24), ["a"], [], None, None), (2, "week", 3, D(2026, 9, 7), ["c"], ["d due"], None, None), (3, "week", 4, None, ["x"], [], None, "bad_date"),
+    ]
