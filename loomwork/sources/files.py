@@ -12,11 +12,11 @@ EVENT = "event_type string, timestamp string, content_type string, week_number i
 CALENDAR = "terms array<struct<term:string,start:date,end:date,no_class_dates:array<struct<label:string,date:date,date_start:date,date_end:date>>>>"
 
 
-def read_log(spark: SparkSession, path: str, fail: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_log(spark: SparkSession, path: str, fail: bool = False, allow_tail: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, corrupt rows) of a JSON-lines log; a log that isn't there is empty, blank lines are skipped.
 
     A corrupt row has ``is_tail``: whether it is the last line of its file and no newline ends it, as while it is being written; it
-    is read whole next time. With ``fail`` any other corrupt line is an error. That a file ends without a newline is told by its size,
+    is read whole next time. With ``fail`` a corrupt line is an error, with ``allow_tail`` such a tail isn't. That a file ends without a newline is told by its size,
     which then is one byte less than its lines and their ends (files that aren't compressed).
     """
     schema = f"{EVENT}, _corrupt string"
@@ -32,7 +32,7 @@ def read_log(spark: SparkSession, path: str, fail: bool = False) -> tuple[DataFr
             raise
         lines = spark.createDataFrame([], f"{schema}, file string, at long")
         bad = spark.createDataFrame([], "_corrupt string, is_tail boolean")
-    if fail and bad.where("not is_tail").limit(1).count():
+    if fail and (bad.where("not is_tail") if allow_tail else bad).limit(1).count():
         raise ValueError("the log has a corrupt line")
     good = lines.where("_corrupt is null").drop("_corrupt", "file", "at").withColumn("ts", F.to_timestamp("timestamp"))
     return good, bad
