@@ -65,6 +65,59 @@ def missing_variables(templates: DataFrame, required: DataFrame) -> DataFrame:
     return templates.join(small(required), "content_type").withColumn("missing", gone).where(F.size("missing") > 0).select("template_id", "content_type", F.array_join("missing", ",").alias("missing"))
 
 
+# What a quiz may be made of; the last mixes the other two.
+QUIZ_FORMATS = ("multiple choice", "short answer", "mixed")
+BY_WEEK = ("quiz", "discussion", "summary", "slides")  # content that belongs to a week of the schedule
+
+
+def checked_requests(requests: DataFrame, weeks: DataFrame) -> DataFrame:
+    """(request_id, error_code, format): what is wrong with each request, first things first, and the text that stands for a
+    quiz's format; null where nothing is.
+
+    ``requests(request_id, course_id, content_type, week_number, question_count, quiz_format, multiple_choice, short_answer,
+    prompt_count, name, goal, description, mode, total_points)``. Content by week needs a week of the course's schedule; a mixed quiz
+    may say how many questions of each kind it has: both, at least one each, all together its count. Blank texts are none.
+    """
+    taught = weeks.where("not is_break").select("course_id", "week_number", F.lit(True).alias("is_taught")).distinct()
+    rows = requests.join(taught, ["course_id", "week_number"], "left")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    is_type = lambda name: F.col("content_type") == name
+    few = lambda c: F.coalesce(F.col(c), F.lit(0)) < 1
+    mc, sa = F.col("multiple_choice"), F.col("short_answer")
+    split = is_type("quiz") & (F.col("quiz_format") == QUIZ_FORMATS[-1]) & (mc.isNotNull() | sa.isNotNull())
+    rules = [
+        (is_type("assignment") & (blank("name") | blank("goal")), "no_name_or_goal"),
+        (is_type("assignment") & ~F.coalesce(F.col("mode").isin("create", "enhance"), F.lit(False)), "unknown_mode"),
+        (is_type("assignment") & (F.col("mode") == "enhance") & blank("description"), "nothing_to_enhance"),
+        (is_type("rubric") & (blank("name") | blank("description")), "no_name_or_description"),
+        (is_type("rubric") & few("total_points"), "no_points"),
+        (F.col("content_type").isin(*BY_WEEK) & F.col("is_taught").isNull(), "no_such_week"),
+        (is_type("quiz") & few("question_count"), "no_questions"),
+        (is_type("quiz") & ~F.coalesce(F.col("quiz_format").isin(*QUIZ_FORMATS), F.lit(False)), "unknown_format"),
+        (split & (mc.isNull() | sa.isNull()), "half_a_split"),
+        (split & ((mc < 1) | (sa < 1)), "empty_part"),
+        (split & (mc + sa != F.col("question_count")), "parts_and_count_differ"),
+        (is_type("discussion") & few("prompt_count"), "no_prompts"),
+    ]
+    error = F.coalesce(*(F.when(F.coalesce(wrong, F.lit(False)), code) for wrong, code in rules))
+    mixed = F.concat(F.lit("mixed (exactly "), mc.cast("string"), F.lit(" multiple choice and "), sa.cast("string"), F.lit(" short answer)"))
+    text = F.when(is_type("quiz") & error.isNull(), F.when(split, mixed).otherwise(F.col("quiz_format")))
+    return rows.select("request_id", error.alias("error_code"), text.alias("format"))
+
+
+def with_guidance(prompts: DataFrame, templates: DataFrame, guidance: DataFrame) -> DataFrame:
+    """Prompts with the guidance that their template has no place for, each on its own behind a blank line, by ``pos``.
+
+    ``prompts(request_id, content_type, prompt)``, ``templates(content_type, text)``, ``guidance(request_id, pos, variable, text)``; blank
+    guidance adds nothing.
+    """
+    known = small(templates.select("content_type", F.regexp_extract_all("text", F.lit(r"\{([a-z_]+)\}"), F.lit(1)).alias("named")))
+    asked = guidance.where("trim(text) <> ''").join(prompts.select("request_id", "content_type"), "request_id").join(known, "content_type").where(~F.array_contains("named", F.col("variable")))
+    listed = asked.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("more"))
+    full = F.concat(F.array_join(F.concat(F.array(F.regexp_replace("prompt", r"\s+$", "")), F.col("more")), "\n\n"), F.lit("\n"))
+    return prompts.join(listed, "request_id", "left").select("request_id", "content_type", F.when(F.col("more").isNull(), F.col("prompt")).otherwise(full).alias("prompt"))
+
+
 def prompts(requests: DataFrame, weeks: DataFrame, sources: DataFrame, templates: DataFrame, budget: int = 24_000) -> DataFrame:
     """The prompt of each request, filled in one pass, so values with braces stay as they are.
 

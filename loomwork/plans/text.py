@@ -193,3 +193,33 @@ add("e14_blocks", lambda s, d: doc.blocks(marked_drafts(s, d)).select("doc_id",
       t AS (SELECT doc_id, min(line_no) AS line_no, 'table' AS kind, string_agg(CASE WHEN k = 2 THEN 'a~' || t ELSE t END, '^' ORDER BY line_no) AS content FROM m WHERE k IN (2, 4) GROUP BY doc_id, line_no // 9),
       e AS (SELECT * FROM b UNION ALL SELECT * FROM t)
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INT AS block_no, kind, content FROM e""")
+
+
+def asked(s, d):
+    """Orders as requests of five kinds, with details of all sorts missing or wrong."""
+    k = F.col("o_orderkey")
+    o = fx.table(s, d, "orders")
+    kind = F.element_at(F.array(*map(F.lit, ("quiz", "discussion", "assignment", "rubric", "slides"))), (k % 5 + 1).cast("int"))
+    n = (k % 7).cast("int")
+    return o.select(
+        k.alias("request_id"), F.col("o_custkey").alias("course_id"), kind.alias("content_type"), (k % 13 + 1).cast("int").alias("week_number"), n.alias("question_count"),
+        fx.pick(k % 4, "mixed", "short answer", "essay", "mixed").alias("quiz_format"), F.when(k % 3 > 0, (k % 6).cast("int")).alias("multiple_choice"), F.when(k % 8 > 1, F.greatest(n - (k % 6).cast("int"), F.lit(0))).alias("short_answer"),
+        (k % 3).cast("int").alias("prompt_count"), fx.pick(k % 3, "Essay", " ", "Lab").alias("name"), fx.pick(k % 2, "Learn", "Learn more").alias("goal"), fx.pick(k % 4, "", "text", "more", "text").alias("description"), fx.pick(k % 9, "create", "enhance", "other", "enhance", "create", "enhance", "create", "enhance", "create").alias("mode"), (k % 11).cast("int").alias("total_points"),
+    )
+
+
+ASKED = """a AS (SELECT o_orderkey AS k, o_custkey AS course_id, (o_orderkey % 13 + 1)::INT AS week_number, o_orderkey % 7 AS n, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 6 END AS mc, CASE WHEN o_orderkey % 8 > 1 THEN greatest(o_orderkey % 7 - o_orderkey % 6, 0) END AS sa FROM orders),
+      w AS (SELECT a.*, EXISTS (SELECT 1 FROM fx_weeks f WHERE f.course_id = a.course_id AND f.week_number = a.week_number AND NOT is_break) AS taught, k % 4 IN (0, 3) AND (mc IS NOT NULL OR sa IS NOT NULL) AS split FROM a),
+      e AS (SELECT *, CASE k % 5 WHEN 2 THEN CASE WHEN k % 3 = 1 THEN 'no_name_or_goal' WHEN k % 9 = 2 THEN 'unknown_mode' WHEN k % 9 IN (1, 3, 5, 7) AND k % 4 = 0 THEN 'nothing_to_enhance' END
+        WHEN 3 THEN CASE WHEN k % 3 = 1 OR k % 4 = 0 THEN 'no_name_or_description' WHEN k % 11 = 0 THEN 'no_points' END
+        ELSE CASE WHEN NOT taught THEN 'no_such_week' WHEN k % 5 = 0 THEN CASE WHEN n < 1 THEN 'no_questions' WHEN k % 4 = 2 THEN 'unknown_format' WHEN split AND (mc IS NULL OR sa IS NULL) THEN 'half_a_split' WHEN split AND (mc < 1 OR sa < 1) THEN 'empty_part' WHEN split AND mc + sa <> n THEN 'parts_and_count_differ' END
+          WHEN k % 5 = 1 AND k % 3 = 0 THEN 'no_prompts' END END AS error_code FROM w)"""
+add("e10_checked_requests", lambda s, d: dr.checked_requests(asked(s, d), fx.weeks(s, d)),
+    f"""WITH {ASKED} SELECT k AS request_id, error_code, CASE WHEN k % 5 = 0 AND error_code IS NULL THEN CASE WHEN split THEN 'mixed (exactly ' || mc || ' multiple choice and ' || sa || ' short answer)' WHEN k % 4 IN (0, 3) THEN 'mixed' ELSE 'short answer' END END AS format FROM e""")
+add("e10_unplaced_guidance", lambda s, d: dr.with_guidance(
+        fx.table(s, d, "documents").select(F.col("doc_id").alias("request_id"), fx.pick(F.col("doc_id") % 2, "quiz", "assignment").alias("content_type"), F.concat_ws("", "text", F.lit(" \n")).alias("prompt")),
+        s.createDataFrame([("quiz", "{topics} {level}"), ("assignment", "{topics}")], "content_type string, text string"),
+        fx.table(s, d, "documents").select(F.col("doc_id").alias("request_id"), F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.lit("ai").alias("variable"), F.when(F.col("doc_id") % 3 == 0, "Use AI.").otherwise(" ").alias("text")), F.struct(F.lit(0).alias("pos"), F.lit("level").alias("variable"), F.lit("For beginners.").alias("text")))).alias("g")).select("request_id", "g.*"),
+    ).select("request_id", "content_type", F.sha2("prompt", 256).alias("prompt_sha256")),
+    """WITH d AS (SELECT doc_id, concat(text, ' ' || chr(10)) AS p, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 2 = 1 THEN 'For beginners.' END, CASE WHEN doc_id % 3 = 0 THEN 'Use AI.' END) AS more FROM documents)
+    SELECT doc_id AS request_id, CASE doc_id % 2 WHEN 0 THEN 'quiz' ELSE 'assignment' END AS content_type, sha256(CASE WHEN more = '' THEN p ELSE rtrim(rtrim(p, chr(10)), ' ') || chr(10) || chr(10) || more || chr(10) END) AS prompt_sha256 FROM d""")
