@@ -87,3 +87,14 @@ def extraction_summary(courses: DataFrame, weeks: DataFrame, dates: DataFrame) -
     blanks = codes(*((F.coalesce(F.trim(c), F.lit("")) == "", c) for c in DETAILS))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return courses.join(w, "course_id", "left").join(d, "course_id", "left").select("course_id", zero("week_rows"), zero("break_rows"), zero("dates"), blanks.alias("blank_fields"))
+
+
+def reading_summary(courses: DataFrame, weeks: DataFrame, dates: DataFrame, assessments: DataFrame, objectives: DataFrame) -> DataFrame:
+    """What was read of each course: rows of its schedule and dates, assessments with the sum of their weights and whether
+    that needs a look (A8), learning objectives, and blank details. ``assessments(course_id, weight)``, ``objectives(course_id)``."""
+    graded = assessments.groupBy("course_id").agg(F.count("*").alias("assessments"), F.round(F.sum("weight"), 6).alias("weight_total"))
+    aims = objectives.groupBy("course_id").agg(F.count("*").alias("objectives"))
+    odd = weight_warnings(assessments).select("course_id", F.lit(True).alias("weight_warning"))
+    joined = extraction_summary(courses, weeks, dates).join(graded, "course_id", "left").join(aims, "course_id", "left").join(odd, "course_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("course_id", "week_rows", "break_rows", "dates", zero("assessments"), "weight_total", F.coalesce("weight_warning", F.lit(False)).alias("weight_warning"), zero("objectives"), "blank_fields")

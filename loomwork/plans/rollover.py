@@ -247,3 +247,7 @@ add("a8_weight_warning", lambda s, d: c.weight_warnings(fx.table(s, d, "lineitem
 add("a16_extraction_summary", lambda s, d: c.extraction_summary(fx.courses(s, d), fx.weeks(s, d), fx.university_dates(s, d)),
     """SELECT course_id, (SELECT count(*) FROM fx_weeks w WHERE w.course_id = c.course_id AND NOT is_break) AS week_rows, (SELECT count(*) FROM fx_weeks w WHERE w.course_id = c.course_id AND is_break) AS break_rows,
       (SELECT count(*) FROM fx_university_dates u WHERE u.course_id = c.course_id) AS dates, CASE WHEN meeting_pattern = '' THEN 'meeting_pattern' ELSE '' END AS blank_fields FROM fx_courses c""")
+add("a16_reading_summary", lambda s, d: c.reading_summary(fx.courses(s, d), fx.weeks(s, d), fx.university_dates(s, d),
+        fx.courses(s, d).where("course_id % 3 > 0").select("course_id", F.explode(F.when(F.col("course_id") % 3 == 1, F.array(F.lit(0.5), F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.1)))).alias("weight")), fx.courses(s, d).where("course_id % 4 > 0").select("course_id", F.explode(F.sequence(F.lit(1), (F.col("course_id") % 4).cast("int"))))),
+    """SELECT course_id, (SELECT count(*) FROM fx_weeks w WHERE w.course_id = c.course_id AND NOT is_break) AS week_rows, (SELECT count(*) FROM fx_weeks w WHERE w.course_id = c.course_id AND is_break) AS break_rows, (SELECT count(*) FROM fx_university_dates u WHERE u.course_id = c.course_id) AS dates,
+      CASE course_id % 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END::BIGINT AS assessments, CASE course_id % 3 WHEN 1 THEN 1.0 WHEN 2 THEN 0.9 END::DOUBLE AS weight_total, course_id % 3 = 2 AS weight_warning, (course_id % 4)::BIGINT AS objectives, CASE WHEN meeting_pattern = '' THEN 'meeting_pattern' ELSE '' END AS blank_fields FROM fx_courses c""")
