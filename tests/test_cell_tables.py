@@ -75,6 +75,29 @@ def test_word_changes_by_hand():
     assert one("a b c d e", "a c d e") == [("b", "", "a")] and one("same", "same") == [] and one("a   b c d e", "a b c d e") == []
 
 
+def test_word_changes_are_those_of_the_standard_matcher_in_time():
+    import difflib
+    import random
+    import time
+
+    from loomwork.operators.flags import TOKEN, blocks_of, edits_of
+
+    draw = random.Random(1)
+    for n in range(600):
+        a, b = ([f"w{draw.randrange(draw.choice((2, 5, 40)))}" for _ in range(draw.randrange(25))] for _ in "ab")
+        if n % 3 == 0:  # words that come once
+            a, b = [f"{x}~{i}" for i, x in enumerate(a)], [f"{x}~{i}" for i, x in enumerate(a) if draw.random() < 0.8] + ["new"]
+        a, b = TOKEN.findall(" ".join(a)), TOKEN.findall("  ".join(b) if n % 5 == 0 else " ".join(b))
+        blocks = lambda found: [(i, j) for i0, j0, size in found for i, j in zip(range(i0, i0 + size), range(j0, j0 + size))]
+        assert blocks(blocks_of(a, b)) == blocks(difflib.SequenceMatcher(None, a, b, False).get_matching_blocks())
+    # 10,000 words in one paragraph: every blank is like every other, which once took minutes
+    words = [f"w{draw.randrange(3000)}" for _ in range(10_000)]
+    for old in (words, [f"{w}~{i}" for i, w in enumerate(words)]):
+        began = time.time()
+        assert [x["new"] for x in edits_of(" ".join(old), " ".join([*old[:5000], "other", *old[5001:]]))] == ["other"]
+        assert time.time() - began < 10
+
+
 def test_word_changes_of_documents(spark):
     from loomwork.operators.flags import word_changes
 
