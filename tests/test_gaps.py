@@ -84,6 +84,31 @@ def test_new_year_and_rolled_dates(spark):
     assert two == {4: "| start | 8/23/2027 | x |", 5: "| other | 9/1/2027 |"}  # by place
 
 
+def test_rolled_lines_of_odd_syllabi(spark):
+    week = "| Week | Date | Topics | Assignments |"
+    texts = {
+        1: ["term: Fall 2026", "|---|", week, "|:---|---|", "| 1 | 8/24 | A | |", "| 2 | 8/31 | B | |", "x", "Term: again", week, "| 3 | 9/7 | C | |"],  # a separator first; a number left out behind the second header; two term lines
+        2: ["| a |", "| Event | Date |", "| End | 12/1/2026 | kept |", "", "| EVENT | Date |", "|---|---|", "| start | 2/30 |", "| |", None],  # "event" isn't the first row's; no schedule; no term
+        3: ["Semester: Fall 2026", week],  # a schedule without rows
+        None: ["Term: Fall 2026", week, "| 1 | 8/24 | A | |"],
+    }
+    lines = spark.createDataFrame([(k, 10 * (k == 1 and i > 8) + i, v) for k, rows in texts.items() for i, v in enumerate(rows)], "doc_id int, line_no int, text string")
+    plan = spark.createDataFrame([(k, n, n, False, D(2027, 8, 23 + n), None, ["T"], []) for k in (1, 2, 3) for n in (2, 1)], "doc_id int, row_no int, week_number int, is_break boolean, day date, day_end date, topics array<string>, assignments array<string>")
+    targets = spark.createDataFrame([(1, "Fall 2027"), (2, "Fall 2027")], "doc_id int, term string")
+    dates = spark.createDataFrame([(2, 9, "Start", D(2027, 8, 23), None, None), (2, 8, "start", None, D(2027, 8, 24), D(2027, 8, 25)), (2, 7, "End", D(2027, 12, 9), None, None)], "doc_id int, pos int, event string, day date, date_start date, date_end date")
+    got = {k: [] for k in texts}
+    for p in sorted(x.rolled_lines(lines, plan, targets, dates).collect(), key=lambda p: p["line_no"]):
+        got[p["doc_id"]].append(p["text"])
+        assert p["line_no"] == len(got[p["doc_id"]])
+    assert got == {
+        1: ["term: Fall 2027", "|---|", week, "|:---|---|", "| 1 | 8/24 | T |  |", "| 2 | 8/25 | T |  |", "x", "Term: again", week, "| 3 | 9/7 | C | |"],
+        2: texts[2][:6] + ["| start | 8/24 - 8/25 |", "| |", None],
+        3: texts[3], None: texts[None],
+    }
+    read = x.university_dates(lines.where("doc_id = 2").union(spark.createDataFrame([(2, 99, "Term: Spring 2024"), (2, 11, "| Event |"), (2, 12, "| leap | 2/29 |"), (2, 13, "| span | 1/2 to 3/4/2025 |"), (2, 14, "| none | 13/1 - 2/3 |")], lines.schema)))
+    assert [tuple(p)[1:5] for p in read.orderBy("pos").collect()] == [("leap", D(2024, 2, 29), None, None), ("span", None, D(2024, 1, 2), D(2025, 3, 4))]
+
+
 def test_undated_breaks(spark):
     no_class = spark.createDataFrame([("T", 0, "Long Break", None, D(2027, 1, 16), D(2027, 1, 30)), ("T", 1, "Late Break", None, D(2027, 2, 8), D(2027, 2, 9)), ("T", 2, "Short", None, D(2027, 2, 2), D(2027, 2, 3))], NO_CLASS)
     courses = spark.createDataFrame([(1, "T", D(2027, 1, 11))], "course_id long, target_term string, week_one date")

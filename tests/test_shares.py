@@ -33,6 +33,12 @@ def test_schedules_are_counted_where_they_are_made(spark, many, name):
     assert "ENSURE_REQUIREMENTS" not in plan_of(QUERIES[name](spark, many))
 
 
+@pytest.mark.parametrize("name", ["e6_rolled_dates", "e6_rolled_syllabi", "e6_untouched_lines", "e1_schedule", "e4_university_dates"])
+def test_syllabi_are_read_where_they_are_made(spark, many, name):
+    plan = plan_of(QUERIES[name](spark, many))
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_points_come_to_the_evaluations(spark):
     rows = [(s, pos, part, met, evidence) for s in range(50) for pos in range(2) for part, met, evidence in ((0, True, ["q"]), (1, True, []), (2, None, ["q"]))]
     given = spark.createDataFrame(rows, "submission_id long, pos int, part int, met boolean, evidence array<string>")
